@@ -83,28 +83,36 @@ def log_normalize(m: ExprMatrix, scale: float = 1e4) -> ExprMatrix:
     return m.with_cells(cells)
 
 
-def scale_genes_rows(m: ExprMatrix, by: str = "var") -> tuple[DataFrame, DataFrame]:
-    """C5 in dense row-array form: ``(sample_id, values)`` with (x − mean)/var per gene.
+def scale_by_variance(m: ExprMatrix, by: str = "var") -> DataFrame:
+    """C5 as a dense long table ``(sample_id, gene_id, value)`` with (x − mean)/var.
 
-    The result is dense (an absent zero becomes −mean/var), so it is produced one row
-    per sample: each sample's stored cells become a map, and every gene position is
-    read from it and from one broadcast row holding the per-gene mean and divisor
-    arrays. A constant gene has variance 0 and gives NULL (try_divide), where pandas
-    gives NaN (Q14). ``by='std'`` divides by the standard deviation instead (Q13).
+    The result is dense (an absent zero becomes −mean/var), so each sample's stored
+    cells are first laid out as a dense row (one shuffle by sample), exploded, and
+    joined to the per-gene mean and divisor, a gene-sized table broadcast after its
+    size check. A constant gene has variance 0 and gives NULL (try_divide) where
+    pandas gives NaN (Q14); ``by='std'`` divides by the standard deviation (Q13).
     """
     if by not in ("var", "std"):
         raise ValueError("by must be 'var' or 'std'")
-    stats = gene_stats(m)
     idx = materialize(m.gene_index())
-    st = materialize(stats.join(m.genes_bc(idx), GENE)
-                     .select(GENE_IDX, "mean", (F.col("var") if by == "var" else F.sqrt("var")).alias("div")))
-    vec = st.agg(F.array_sort(F.collect_list(F.struct(GENE_IDX, "mean", "div"))).alias("v")).scalar()
+    st = materialize(gene_stats(m).join(m.genes_bc(idx), GENE)
+                     .select(GENE_IDX, GENE, "mean",
+                             (F.col("var") if by == "var" else F.sqrt("var")).alias("div")))
     rows, _ = m.to_row_array(idx)
-    scaled = F.transform(VALUES, lambda x, j: F.try_divide(x - vec[j]["mean"], vec[j]["div"]))
-    return rows.select(SAMPLE, scaled.alias(VALUES)), idx
+    long = rows.select(SAMPLE, F.posexplode(VALUES).alias(GENE_IDX, VALUE))
+    return (long.join(m.genes_bc(st), GENE_IDX)
+            .select(SAMPLE, GENE, GENE_IDX,
+                    F.try_divide(F.col(VALUE) - F.col("mean"), F.col("div")).alias(VALUE)))
 
 
-def scale_by_variance(m: ExprMatrix, by: str = "var") -> DataFrame:
-    """C5 as a dense long table ``(sample_id, gene_id, value)``."""
-    rows, idx = scale_genes_rows(m, by)
-    return ExprMatrix.row_array_to_long(rows, idx, m.n_genes)
+def scale_genes_rows(m: ExprMatrix, by: str = "var") -> tuple[DataFrame, DataFrame]:
+    """C5 in dense row-array form ``(sample_id, values)`` plus the gene index.
+
+    Built from the long result; the exploded rows keep their hash partitioning by
+    sample, so gathering them back per sample adds no shuffle.
+    """
+    long = scale_by_variance(m, by)
+    rows = (long.groupBy(SAMPLE)
+            .agg(F.array_sort(F.collect_list(F.struct(GENE_IDX, VALUE))).alias("_e"))
+            .select(SAMPLE, F.transform("_e", lambda e: e[VALUE]).alias(VALUES)))
+    return rows, long.select(GENE, GENE_IDX).distinct()

@@ -115,3 +115,103 @@ FROM cells c JOIN nf USING (sample_id), geo"""
 def q_upper_quartile_sparse(spark, sf_dir):
     m = B.tpch_matrix(spark, sf_dir, sparse=True)
     return r6(transforms.upper_quartile_normalize(m, 0.75).cells)
+
+
+# ---------------------------------------------------------------------------- P7 / C2
+def _sql_normalized(cte: str) -> str:
+    return _sql_uq_factors(cte) + """,
+norm AS (SELECT d.sample_id, d.gene_id, d.value * nf.norm_factor / geo.g AS value
+         FROM dense d JOIN nf USING (sample_id), geo),
+gs AS (SELECT gene_id, avg(value) AS m, var_samp(value) AS v FROM norm GROUP BY gene_id),
+th AS (SELECT quantile_cont(m, 0.25) AS qm, quantile_cont(v, 0.25) AS qv FROM gs),
+keep AS (SELECT gene_id FROM gs, th
+         WHERE (m - qm) > 1e-12 * greatest(abs(m), abs(qm)) AND (v - qv) > 1e-12 * greatest(abs(v), abs(qv)))"""
+
+
+SQL_P7 = _sql_normalized(CTE) + "\nSELECT gene_id FROM keep"
+
+
+@register("p7_filter_low_signal", SQL_P7)
+def q_filter_low_signal(spark, sf_dir):
+    m = B.tpch_matrix(spark, sf_dir)
+    return filters.filter_low_signal(transforms.upper_quartile_normalize(m)).genes
+
+
+SQL_C2 = _sql_normalized(CTE) + """
+SELECT c.sample_id, c.gene_id, round(log2(c.value * nf.norm_factor / geo.g + 1), 6) AS value
+FROM cells c JOIN keep USING (gene_id) JOIN nf USING (sample_id), geo"""
+
+
+@register("c2_feature_preprocessing", SQL_C2)
+def q_feature_preprocessing(spark, sf_dir):
+    from .bulk import feature_preprocessing
+    m = B.tpch_matrix(spark, sf_dir)
+    return r6(feature_preprocessing(m).cells)
+
+
+# ---------------------------------------------------------------------------- C3 / K / C4–C6
+def _sql_lognorm(src: str) -> str:
+    """log-normalised values of relation ``src`` (sample_id, gene_id, value) using dense gene sums."""
+    return f"""SELECT x.sample_id, x.gene_id,
+       ln(CASE WHEN x.value / (CASE WHEN gs.s = 0 THEN 1e-6 ELSE gs.s END) * 10000 = 0 THEN 1
+               ELSE x.value / (CASE WHEN gs.s = 0 THEN 1e-6 ELSE gs.s END) * 10000 END) AS value
+FROM {src} x JOIN (SELECT gene_id, sum(value) AS s FROM dense GROUP BY gene_id) gs USING (gene_id)"""
+
+
+SQL_C3 = f"""WITH {CTE}
+SELECT sample_id, gene_id, round(value, 6) AS value FROM ({_sql_lognorm('cells')})"""
+
+
+@register("c3_log_normalize", SQL_C3)
+def q_log_normalize(spark, sf_dir):
+    m = B.tpch_matrix(spark, sf_dir)
+    return r6(transforms.log_normalize(m).cells)
+
+
+SQL_K2 = f"""WITH {CTE}
+SELECT gene_id, round(var_samp(value), 6) AS var FROM dense GROUP BY gene_id
+ORDER BY var_samp(value) DESC, gene_id LIMIT 20"""
+
+
+@register("k2_top_variance_genes", SQL_K2)
+def q_top_variance(spark, sf_dir):
+    from ..operators.selection import top_variance_genes
+    return r6(top_variance_genes(B.tpch_matrix(spark, sf_dir), 20))
+
+
+_SQL_HVG = f"""WITH {CTE},
+ln AS ({_sql_lognorm('dense')}),
+hv AS (SELECT gene_id, var_samp(value) AS var FROM ln GROUP BY gene_id ORDER BY var DESC, gene_id LIMIT 20)"""
+
+SQL_C4 = _SQL_HVG + "\nSELECT gene_id, round(var, 6) AS var FROM hv"
+
+
+@register("c4_highly_variable_genes", SQL_C4)
+def q_hvg(spark, sf_dir):
+    from ..operators.selection import top_variance_genes
+    return r6(top_variance_genes(transforms.log_normalize(B.tpch_matrix(spark, sf_dir)), 20))
+
+
+SQL_C5 = f"""WITH {CTE},
+st AS (SELECT gene_id, avg(value) AS m, var_samp(value) AS v FROM dense GROUP BY gene_id)
+SELECT d.sample_id, d.gene_id, round(CASE WHEN v = 0 THEN NULL ELSE (d.value - m) / v END, 6) AS value
+FROM dense d JOIN st USING (gene_id)"""
+
+
+@register("c5_scale_by_variance", SQL_C5)
+def q_scale(spark, sf_dir):
+    return r6(transforms.scale_by_variance(B.tpch_matrix(spark, sf_dir)).drop("gene_idx"))
+
+
+SQL_C6 = _SQL_HVG + """,
+sel AS (SELECT ln.* FROM ln JOIN hv USING (gene_id)),
+st AS (SELECT gene_id, avg(value) AS m, var_samp(value) AS v FROM sel GROUP BY gene_id)
+SELECT sample_id, gene_id, round(CASE WHEN v = 0 THEN NULL ELSE (value - m) / v END, 6) AS value
+FROM sel JOIN st USING (gene_id)"""
+
+
+@register("c6_single_cell_pipeline", SQL_C6)
+def q_single_cell(spark, sf_dir):
+    from .singlecell import single_cell_pipeline
+    m = B.tpch_matrix(spark, sf_dir)
+    return r6(single_cell_pipeline(m, n_top=20).drop("gene_idx"))
