@@ -215,3 +215,87 @@ def q_single_cell(spark, sf_dir):
     from .singlecell import single_cell_pipeline
     m = B.tpch_matrix(spark, sf_dir)
     return r6(single_cell_pipeline(m, n_top=20).drop("gene_idx"))
+
+
+# ---------------------------------------------------------------------------- M1–M5, S7
+def sql_key(col: str, seed: int = 42) -> str:
+    return f"('0x' || substr(md5(CAST({col} AS VARCHAR) || '-{seed}'), 1, 8))::BIGINT"
+
+
+SQL_M1 = f"""WITH r AS (SELECT vec_id, row_number() OVER (ORDER BY {sql_key('vec_id')}, vec_id) - 1 AS rk FROM embeddings)
+SELECT vec_id AS sample_id, CASE WHEN rk < ceil(0.3 * (SELECT count(*) FROM embeddings)) THEN 'test' ELSE 'train' END AS split
+FROM r"""
+
+
+@register("m1_train_test_split", SQL_M1)
+def q_split(spark, sf_dir):
+    from ..operators.sampling import train_test_split
+    rows = B.embedding_rows(spark, sf_dir).select(SAMPLE)
+    return train_test_split(rows, SAMPLE, 0.3, 42)
+
+
+SQL_M4 = f"""WITH r AS (SELECT vec_id, row_number() OVER (ORDER BY {sql_key('vec_id')}, vec_id) - 1 AS rk,
+                  count(*) OVER () AS n FROM embeddings),
+p AS (SELECT *, n // 10 + 1 AS big, n % 10 AS rem, n // 10 AS small FROM r)
+SELECT vec_id AS sample_id,
+       CAST(CASE WHEN rk < rem * big THEN rk // big ELSE rem + (rk - rem * big) // small END AS INTEGER) AS fold
+FROM p"""
+
+
+@register("m4_kfold", SQL_M4)
+def q_kfold(spark, sf_dir):
+    from ..operators.sampling import kfold
+    rows = B.embedding_rows(spark, sf_dir).select(SAMPLE)
+    return kfold(rows, SAMPLE, 10, 42)
+
+
+SQL_M5 = f"""SELECT vec_id AS sample_id, CAST(label AS VARCHAR) AS label,
+  CAST((row_number() OVER (PARTITION BY CAST(label AS VARCHAR) ORDER BY {sql_key('vec_id')}, vec_id) - 1) % 10 AS INTEGER) AS fold
+FROM embeddings"""
+
+
+@register("m5_stratified_kfold", SQL_M5)
+def q_strat_kfold(spark, sf_dir):
+    from ..operators.sampling import kfold
+    rows = B.embedding_rows(spark, sf_dir).select(SAMPLE, "label")
+    return kfold(rows, SAMPLE, 10, 42, stratify="label")
+
+
+SQL_M2 = f"""WITH l AS ({B.SQL_REGION_LABELS}),
+c AS (SELECT label, count(*) AS n_class FROM l GROUP BY label),
+b AS (SELECT label, n_class, floor(50 * n_class / (SELECT sum(n_class) FROM c)) AS b,
+             50 * n_class / (SELECT sum(n_class) FROM c) - floor(50 * n_class / (SELECT sum(n_class) FROM c)) AS rem FROM c),
+q AS (SELECT label, b + CASE WHEN row_number() OVER (ORDER BY rem DESC, label)
+                                  <= 50 - (SELECT sum(b) FROM b) THEN 1 ELSE 0 END AS quota FROM b),
+r AS (SELECT l.*, row_number() OVER (PARTITION BY label ORDER BY {sql_key('sample_id')}, sample_id) - 1 AS rk FROM l)
+SELECT sample_id, label FROM r JOIN q USING (label) WHERE rk < quota"""
+
+
+@register("m2_stratified_sample", SQL_M2)
+def q_strat_sample(spark, sf_dir):
+    from ..operators.sampling import stratified_sample
+    return stratified_sample(B.region_labels(spark, sf_dir), "label", 50, SAMPLE, 42)
+
+
+SQL_M3 = f"""WITH {CTE},
+s AS (SELECT sample_id FROM samples ORDER BY {sql_key('sample_id')}, sample_id LIMIT 40),
+g AS (SELECT gene_id FROM genes ORDER BY {sql_key('gene_id')}, gene_id LIMIT 30)
+SELECT c.sample_id, c.gene_id, round(c.value, 6) AS value FROM cells c JOIN s USING (sample_id) JOIN g USING (gene_id)"""
+
+
+@register("m3_sample_matrix", SQL_M3)
+def q_sample_matrix(spark, sf_dir):
+    from ..operators.sampling import sample_matrix
+    return r6(sample_matrix(B.tpch_matrix(spark, sf_dir), 40, 30, 42).cells)
+
+
+SQL_S7 = f"""WITH r AS (SELECT s_suppkey AS sample_id, row_number() OVER (ORDER BY s_suppkey) - 1 AS rk FROM supplier),
+d AS (SELECT range AS draw, {sql_key('range')} % (SELECT count(*) FROM supplier) AS rk FROM range(200))
+SELECT draw, sample_id FROM d JOIN r USING (rk)"""
+
+
+@register("s7_sample_with_replacement", SQL_S7)
+def q_with_replacement(spark, sf_dir):
+    from ..operators.sampling import sample_with_replacement
+    ids = B.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias(SAMPLE))
+    return sample_with_replacement(ids, SAMPLE, 200, 42)
