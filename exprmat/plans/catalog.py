@@ -299,3 +299,251 @@ def q_with_replacement(spark, sf_dir):
     from ..operators.sampling import sample_with_replacement
     ids = B.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias(SAMPLE))
     return sample_with_replacement(ids, SAMPLE, 200, 42)
+
+
+# ---------------------------------------------------------------------------- P1, P4, P5
+SQL_P1 = f"""WITH {CTE},
+g AS (SELECT DISTINCT p_brand || '|' || p_type AS gene_id FROM part WHERE p_retailprice > 995)
+SELECT sample_id, gene_id, round(value, 6) AS value FROM cells JOIN g USING (gene_id)"""
+
+
+@register("p1_select_genes", SQL_P1)
+def q_select_genes(spark, sf_dir):
+    m = B.tpch_matrix(spark, sf_dir)
+    g = B.table(spark, sf_dir, "part").filter("p_retailprice > 995").select(B.gene_col().alias(GENE)).distinct()
+    return r6(filters.select_genes(m, g).cells)
+
+
+SQL_P4 = f"""WITH {CTE}
+SELECT sample_id, gene_id, round(value, 6) AS value FROM cells WHERE starts_with(gene_id, 'Brand#1')"""
+
+
+@register("p4_keep_gene_prefix", SQL_P4)
+def q_gene_prefix(spark, sf_dir):
+    return r6(filters.keep_gene_prefix(B.tpch_matrix(spark, sf_dir), "Brand#1").cells)
+
+
+SQL_P5 = f"""WITH {CTE},
+lst AS (SELECT DISTINCT p_brand || '|' || p_type || '.' || CAST(p_size % 3 AS VARCHAR) AS l FROM part WHERE p_size > 45)
+SELECT sample_id, gene_id, round(value, 6) AS value FROM cells
+WHERE split_part(gene_id, '.', 1) IN (SELECT split_part(l, '.', 1) FROM lst)"""
+
+
+def _versioned_gene_list(spark, sf_dir):
+    """A coding-gene list with versioned ids (``id.version``) derived from part."""
+    return (B.table(spark, sf_dir, "part").filter("p_size > 45")
+            .select(F.concat(B.gene_col(), F.lit("."), (F.col("p_size") % 3).cast("string")).alias("l"))
+            .distinct())
+
+
+@register("p5_select_coding_genes", SQL_P5)
+def q_coding_genes(spark, sf_dir):
+    m = B.tpch_matrix(spark, sf_dir)
+    return r6(filters.select_coding_genes(m, _versioned_gene_list(spark, sf_dir), "l").cells)
+
+
+SQL_P5_CONTAINS = f"""WITH {CTE},
+lst AS (SELECT DISTINCT p_brand || '|' AS l FROM part WHERE p_size = 7)
+SELECT sample_id, gene_id, round(value, 6) AS value FROM cells
+WHERE EXISTS (SELECT 1 FROM lst WHERE contains(cells.gene_id, lst.l))"""
+
+
+@register("p5_select_genes_contains", SQL_P5_CONTAINS)
+def q_coding_genes_contains(spark, sf_dir):
+    m = B.tpch_matrix(spark, sf_dir)
+    lst = B.table(spark, sf_dir, "part").filter("p_size = 7").select(F.concat("p_brand", F.lit("|")).alias("l"))
+    return r6(filters.select_coding_genes(m, lst, "l", mode="contains").cells)
+
+
+# ---------------------------------------------------------------------------- P2, P3, J1, J2, J3, U1, U2
+SQL_P2_P3 = """SELECT d.doc_id AS sample_id, l.quality AS label FROM documents d LEFT JOIN labels l USING (doc_id)
+WHERE l.quality IS NOT NULL"""
+
+
+@register("p2_p3_rename_dropna", SQL_P2_P3)
+def q_rename_dropna(spark, sf_dir):
+    d = B.table(spark, sf_dir, "documents").select("doc_id")
+    lab = B.table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return (d.join(lab, "doc_id", "left").withColumnRenamed("doc_id", SAMPLE)
+            .withColumnRenamed("quality", "label").dropna(subset=["label"]))
+
+
+def _file_map(spark, sf_dir):
+    """(doc_id, file_name): a per-document file name made from its source."""
+    return B.table(spark, sf_dir, "documents").select(
+        "doc_id", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".counts.tsv")).alias("file_name"))
+
+
+SQL_J1 = """SELECT l.doc_id, d.source || '/' || CAST(d.doc_id AS VARCHAR) || '.counts.tsv' AS file_name
+FROM (SELECT doc_id FROM labels UNION ALL SELECT -doc_id FROM labels WHERE doc_id % 7 = 0) l
+LEFT JOIN documents d USING (doc_id)"""
+
+
+@register("j1_attach_filename", SQL_J1)
+def q_attach_filename(spark, sf_dir):
+    from ..operators.joins import attach_filename
+    lab = B.table(spark, sf_dir, "labels").select("doc_id")
+    ids = lab.unionByName(lab.filter(F.col("doc_id") % 7 == 0).select((-F.col("doc_id")).alias("doc_id")))
+    return attach_filename(ids, _file_map(spark, sf_dir), "doc_id")
+
+
+SQL_J2 = """SELECT doc_id, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)"""
+
+
+@register("j2_match_samples", SQL_J2)
+def q_match_samples(spark, sf_dir):
+    from ..operators.joins import match_samples
+    f, _ = match_samples(B.table(spark, sf_dir, "documents").select("doc_id", "n_chars"),
+                         B.table(spark, sf_dir, "labels"), "doc_id")
+    return f
+
+
+SQL_J3 = f"""WITH {CTE}
+SELECT sample_id, CAST(count(*) AS BIGINT) AS n_stored, round(sum(value), 6) AS total, label
+FROM cells JOIN ({B.SQL_REGION_LABELS}) USING (sample_id) GROUP BY sample_id, label"""
+
+
+@register("j3_join_labels", SQL_J3)
+def q_join_labels(spark, sf_dir):
+    from ..operators.joins import join_labels
+    m = B.tpch_matrix(spark, sf_dir)
+    per = m.cells.groupBy(SAMPLE).agg(F.count(F.lit(1)).alias("n_stored"), F.sum(VALUE).alias("total"))
+    return r6(join_labels(per, B.region_labels(spark, sf_dir)))
+
+
+SQL_U1 = f"""WITH {CTE}
+SELECT sample_id, gene_id, round(value, 6) AS value FROM cells WHERE gene_id LIKE 'Brand#1%'
+UNION ALL SELECT sample_id, gene_id, round(value, 6) AS value FROM cells WHERE gene_id LIKE '%PROMO'"""
+
+
+@register("u1_append_rows", SQL_U1)
+def q_union(spark, sf_dir):
+    from ..operators.joins import append_rows
+    c = B.tpch_matrix(spark, sf_dir).cells
+    return r6(append_rows(c.filter(F.col(GENE).startswith("Brand#1")), c.filter(F.col(GENE).endswith("PROMO"))))
+
+
+SQL_U2 = """SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels"""
+
+
+@register("u2_common_ids", SQL_U2)
+def q_intersect(spark, sf_dir):
+    from ..operators.joins import common_ids
+    return common_ids(B.table(spark, sf_dir, "documents"), B.table(spark, sf_dir, "labels"), "doc_id")
+
+
+# ---------------------------------------------------------------------------- J4, J5
+SQL_J4 = f"""WITH {CTE},
+st AS (SELECT gene_id, avg(value) AS m FROM dense GROUP BY gene_id)
+SELECT sample_id, gene_id, round(value - m, 6) AS value FROM cells JOIN st USING (gene_id)"""
+
+
+@register("j4_gene_vector_join", SQL_J4)
+def q_gene_vector(spark, sf_dir):
+    m = B.tpch_matrix(spark, sf_dir)
+    st = stats.gene_stats(m).select(GENE, "mean")
+    return r6(m.cells.join(m.genes_bc(st), GENE).select(SAMPLE, GENE, (F.col(VALUE) - F.col("mean")).alias(VALUE)))
+
+
+SQL_J5 = f"""WITH {CTE},
+st AS (SELECT sample_id, sum(value) AS t FROM cells GROUP BY sample_id)
+SELECT sample_id, gene_id, round(value / t, 6) AS value FROM cells JOIN st USING (sample_id)"""
+
+
+@register("j5_sample_vector_join", SQL_J5)
+def q_sample_vector(spark, sf_dir):
+    m = B.tpch_matrix(spark, sf_dir)
+    st = stats.sample_stats(m).select(SAMPLE, "total")
+    return r6(m.cells.join(m.samples_bc(st), SAMPLE)
+              .select(SAMPLE, GENE, F.try_divide(F.col(VALUE), F.col("total")).alias(VALUE)))
+
+
+# ---------------------------------------------------------------------------- P10–P15, K1, K4, K5
+SQL_P10 = f"""WITH {CTE}
+SELECT sample_id, CAST(count(*) AS INTEGER) AS n_values,
+       string_agg(CAST(value AS VARCHAR), ',' ORDER BY gene_id) AS values_csv
+FROM dense GROUP BY sample_id"""
+
+
+@register("p10_to_row_array", SQL_P10)
+def q_row_array(spark, sf_dir):
+    m = B.tpch_matrix(spark, sf_dir)
+    rows, _ = m.to_row_array()
+    return rows.select(SAMPLE, F.size("values").alias("n_values"),
+                       F.array_join(F.transform("values", lambda x: x.cast("string")), ",").alias("values_csv"))
+
+
+SQL_P11 = """SELECT vec_id AS sample_id, CAST(i - 1 AS INTEGER) AS gene_id, round(CAST(embedding[i] AS DOUBLE), 6) AS value
+FROM embeddings, range(1, 65) t(i)"""
+
+
+@register("p11_to_long", SQL_P11)
+def q_long(spark, sf_dir):
+    from ..matrix import ExprMatrix
+    rows = B.embedding_rows(spark, sf_dir)
+    m = ExprMatrix.from_row_array(rows, SAMPLE, "values", drop_zeros=False)
+    return r6(m.cells)
+
+
+SQL_P12 = """SELECT s_suppkey AS sample_id, s_name, row_number() OVER (ORDER BY s_name, s_suppkey) - 1 AS ordinal FROM supplier"""
+
+
+@register("p12_ordinal_index", SQL_P12)
+def q_ordinal(spark, sf_dir):
+    from ..operators.reshape import with_ordinal
+    s = B.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias(SAMPLE), "s_name")
+    return with_ordinal(s, ["s_name", SAMPLE])
+
+
+SQL_P13 = """SELECT page_id, regexp_extract(url, '[^/]*$') AS file_name, lower(split_part(url, ':', 1)) AS scheme FROM pages"""
+
+
+@register("p13_derived_columns", SQL_P13)
+def q_derived(spark, sf_dir):
+    from ..functions.scalar import basename
+    p = B.table(spark, sf_dir, "pages")
+    return p.select("page_id", basename("url").alias("file_name"),
+                    F.lower(F.split("url", ":").getItem(0)).alias("scheme"))
+
+
+SQL_P15 = f"""WITH {CTE_SPARSE}
+SELECT (SELECT count(*) FROM samples) AS n_samples, (SELECT count(*) FROM genes) AS n_genes,
+       count(*) AS n_stored, count(*) - count(value) AS n_null, count(*) FILTER (WHERE value <> 0) AS n_nonzero,
+       round(count(*) FILTER (WHERE value <> 0) / ((SELECT count(*) FROM samples) * (SELECT count(*) FROM genes)), 6) AS density
+FROM cells"""
+
+
+@register("p15_matrix_profile", SQL_P15)
+def q_profile(spark, sf_dir):
+    from ..operators.reshape import matrix_profile
+    return r6(matrix_profile(B.tpch_matrix(spark, sf_dir, sparse=True)))
+
+
+SQL_K1 = """SELECT s_suppkey AS sample_id, s_acctbal FROM supplier ORDER BY sample_id"""
+
+
+@register("k1_sort_by_key", SQL_K1)
+def q_sort(spark, sf_dir):
+    return B.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias(SAMPLE), "s_acctbal").orderBy(SAMPLE)
+
+
+SQL_K4 = f"""WITH {CTE}
+SELECT sample_id, round(sum(value), 6) AS total FROM cells GROUP BY sample_id ORDER BY sum(value) DESC, sample_id LIMIT 10"""
+
+
+@register("k4_head", SQL_K4)
+def q_head(spark, sf_dir):
+    from ..operators.reshape import ordered_head
+    per = B.tpch_matrix(spark, sf_dir).cells.groupBy(SAMPLE).agg(F.sum(VALUE).alias("total"))
+    return r6(ordered_head(per, 10, [F.desc("total"), SAMPLE]))
+
+
+SQL_K5 = """SELECT l_returnflag, l_linestatus, round(min(l_extendedprice), 6) AS value FROM lineitem
+GROUP BY ALL ORDER BY l_returnflag DESC, l_linestatus DESC"""
+
+
+@register("k5_reverse_order", SQL_K5)
+def q_reverse(spark, sf_dir):
+    li = B.table(spark, sf_dir, "lineitem")
+    return r6(li.groupBy("l_returnflag", "l_linestatus").agg(F.min("l_extendedprice").alias("value"))
+              .orderBy(F.desc("l_returnflag"), F.desc("l_linestatus")))
