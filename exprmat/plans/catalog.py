@@ -547,3 +547,205 @@ def q_reverse(spark, sf_dir):
     li = B.table(spark, sf_dir, "lineitem")
     return r6(li.groupBy("l_returnflag", "l_linestatus").agg(F.min("l_extendedprice").alias("value"))
               .orderBy(F.desc("l_returnflag"), F.desc("l_linestatus")))
+
+
+# ---------------------------------------------------------------------------- A8–A14, A17, A18
+def _readout(spark, sf_dir):
+    """(sample_id, label, prediction, fold): embeddings with a fixed linear readout as the
+    "model" — the position of the largest of the first ten components — and its
+    10-fold assignment, so every metric below has a deterministic SQL oracle."""
+    from ..operators.sampling import kfold
+    e = B.table(spark, sf_dir, "embeddings")
+    head = F.slice(F.transform("embedding", lambda x: x.cast("double")), 1, 10)
+    rows = e.select(F.col("vec_id").alias(SAMPLE), F.col("label").cast("string").alias("label"),
+                    (F.array_position(head, F.array_max(head)) - 1).cast("string").alias("prediction"))
+    return kfold(rows, SAMPLE, 10, 42)
+
+
+_SQL_READOUT = f"""r0 AS (SELECT vec_id AS sample_id, CAST(label AS VARCHAR) AS label,
+         CAST(list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS VARCHAR) AS prediction,
+         row_number() OVER (ORDER BY {sql_key('vec_id')}, vec_id) - 1 AS rk, count(*) OVER () AS n FROM embeddings),
+ro AS (SELECT sample_id, label, prediction,
+         CAST(CASE WHEN rk < (n % 10) * (n // 10 + 1) THEN rk // (n // 10 + 1)
+              ELSE n % 10 + (rk - (n % 10) * (n // 10 + 1)) // (n // 10) END AS INTEGER) AS fold FROM r0)"""
+
+SQL_A8 = f"""WITH {_SQL_READOUT}
+SELECT count(*) AS n, round(avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM ro"""
+
+
+@register("a8_accuracy", SQL_A8)
+def q_accuracy(spark, sf_dir):
+    from ..operators.metrics import accuracy
+    return r6(accuracy(_readout(spark, sf_dir)))
+
+
+SQL_A9 = """WITH p AS (SELECT s_acctbal AS y, avg(s_acctbal) OVER (PARTITION BY s_nationkey) AS p FROM supplier)
+SELECT count(*) AS n, round(1 - sum((y - p) * (y - p)) / (count(y) * var_pop(y)), 6) AS r2 FROM p"""
+
+
+@register("a9_r2", SQL_A9)
+def q_r2(spark, sf_dir):
+    """R² of a nation-mean predictor of supplier account balance."""
+    from pyspark.sql import Window
+    from ..operators.metrics import r2
+    s = B.table(spark, sf_dir, "supplier")
+    p = s.select(F.col("s_acctbal").alias("y"), F.avg("s_acctbal").over(Window.partitionBy("s_nationkey")).alias("p"))
+    return r6(r2(p, "y", "p"))
+
+
+SQL_A10 = f"""WITH {_SQL_READOUT},
+f AS (SELECT fold, avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END) AS score FROM ro GROUP BY fold)
+SELECT count(*) AS n_folds, round(avg(score), 6) AS mean_cv, round(var_pop(score), 6) AS var_cv,
+       round(stddev_pop(score), 6) AS std_cv FROM f"""
+
+
+@register("a10_cv_summary", SQL_A10)
+def q_cv_summary(spark, sf_dir):
+    from ..operators.metrics import cv_summary
+    ro = _readout(spark, sf_dir)
+    scores = ro.groupBy("fold").agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("score"))
+    return r6(cv_summary(scores))
+
+
+SQL_A11 = f"""WITH {_SQL_READOUT},
+cls AS (SELECT label AS c FROM ro UNION SELECT prediction FROM ro),
+cnt AS (SELECT label, prediction, count(*) AS n FROM ro GROUP BY ALL)
+SELECT a.c AS label, b.c AS prediction, CAST(coalesce(cnt.n, 0) AS BIGINT) AS n
+FROM cls a CROSS JOIN cls b LEFT JOIN cnt ON cnt.label = a.c AND cnt.prediction = b.c"""
+
+
+@register("a11_confusion_matrix", SQL_A11)
+def q_confusion(spark, sf_dir):
+    from ..operators.metrics import confusion_matrix
+    return confusion_matrix(_readout(spark, sf_dir))
+
+
+SQL_A12 = f"""WITH {_SQL_READOUT},
+cls AS (SELECT label AS cls FROM ro UNION SELECT prediction FROM ro),
+s AS (SELECT cls,
+        (SELECT count(*) FROM ro WHERE label = cls AND prediction = cls) AS tp,
+        (SELECT count(*) FROM ro WHERE label = cls) AS support,
+        (SELECT count(*) FROM ro WHERE prediction = cls) AS n_pred FROM cls),
+m AS (SELECT cls, support, CASE WHEN n_pred = 0 THEN 0.0 ELSE tp / n_pred END AS p,
+             CASE WHEN support = 0 THEN 0.0 ELSE tp / support END AS r FROM s)
+SELECT cls, round(p, 6) AS precision, round(r, 6) AS recall, CAST(support AS BIGINT) AS support,
+       round(CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END, 6) AS f1 FROM m"""
+
+
+@register("a12_class_report", SQL_A12)
+def q_class_report(spark, sf_dir):
+    from ..operators.metrics import class_report
+    return r6(class_report(_readout(spark, sf_dir)))
+
+
+SQL_A13 = f"""WITH {_SQL_READOUT} SELECT label AS cls FROM ro UNION SELECT prediction FROM ro"""
+
+
+@register("a13_classes", SQL_A13)
+def q_classes(spark, sf_dir):
+    from ..operators.metrics import classes_of
+    return classes_of(_readout(spark, sf_dir))
+
+
+SQL_A14 = f"""SELECT label, count(*) AS n FROM ({B.SQL_REGION_LABELS}) GROUP BY label"""
+
+
+@register("a14_class_counts", SQL_A14)
+def q_class_counts(spark, sf_dir):
+    from ..operators.metrics import class_counts
+    return class_counts(B.region_labels(spark, sf_dir))
+
+
+SQL_A17 = f"""WITH {CTE},
+st AS (SELECT gene_id, avg(value) AS m FROM dense GROUP BY gene_id),
+xy AS (SELECT CAST(row_number() OVER (ORDER BY gene_id) - 1 AS DOUBLE) AS x, m AS y FROM st)
+SELECT count(*) AS n, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept,
+       round(corr(x, y), 6) AS r,
+       round(sqrt((1 - corr(x, y) * corr(x, y)) * var_pop(y) / (var_pop(x) * (count(*) - 2))), 6) AS stderr FROM xy"""
+
+
+@register("a17_gene_trend", SQL_A17)
+def q_gene_trend(spark, sf_dir):
+    from ..operators.metrics import gene_trend
+    return r6(gene_trend(B.tpch_matrix(spark, sf_dir)).drop("p_value"))
+
+
+@register("a17_gene_trend_pvalue")
+def q_gene_trend_p(spark, sf_dir):
+    """A17 with the p-value (no SQL oracle: DuckDB has no t distribution)."""
+    from ..operators.metrics import gene_trend
+    return r6(gene_trend(B.tpch_matrix(spark, sf_dir), log10=True))
+
+
+SQL_A18 = f"""WITH {CTE},
+st AS (SELECT gene_id, avg(value) AS m FROM dense GROUP BY gene_id),
+r AS (SELECT min(m) AS lo, max(m) AS hi FROM st),
+b AS (SELECT CAST(least(floor(coalesce(CASE WHEN hi = lo THEN NULL ELSE (m - lo) / (hi - lo) END, 0) * 10), 9) AS INTEGER) AS bin
+      FROM st, r),
+c AS (SELECT bin, count(*) AS n FROM b GROUP BY bin)
+SELECT CAST(f.range AS INTEGER) AS bin, round(lo + f.range * (hi - lo) / 10, 6) AS lo,
+       round(lo + (f.range + 1) * (hi - lo) / 10, 6) AS hi, CAST(coalesce(c.n, 0) AS BIGINT) AS n
+FROM range(10) f CROSS JOIN r LEFT JOIN c ON c.bin = f.range"""
+
+
+@register("a18_gene_mean_histogram", SQL_A18)
+def q_histogram(spark, sf_dir):
+    from ..operators.metrics import gene_mean_histogram
+    return r6(gene_mean_histogram(B.tpch_matrix(spark, sf_dir), 10))
+
+
+# ---------------------------------------------------------------------------- A15, A16, S16, C12
+def _results(spark, sf_dir):
+    """Result rows from lineitem: dimension = return flag, framework = line status,
+    one repeat per line, value = extended price, pos = its order in the file."""
+    li = B.table(spark, sf_dir, "lineitem")
+    return li.select(F.col("l_returnflag").alias("dimension"), F.col("l_linestatus").alias("framework"),
+                     F.col("l_extendedprice").alias("value"),
+                     (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("pos"))
+
+
+SQL_A15 = """SELECT l_returnflag AS dimension, l_linestatus AS framework, round(min(l_extendedprice), 6) AS value
+FROM lineitem GROUP BY ALL"""
+
+
+@register("a15_best_of_repeats", SQL_A15)
+def q_best(spark, sf_dir):
+    from ..operators.report import best_of_repeats
+    return r6(best_of_repeats(_results(spark, sf_dir)))
+
+
+SQL_A16 = """SELECT l_returnflag AS dimension,
+  round(arg_max(l_extendedprice, l_orderkey * 100 + l_linenumber) FILTER (WHERE l_linestatus = 'F'), 6) AS F,
+  round(arg_max(l_extendedprice, l_orderkey * 100 + l_linenumber) FILTER (WHERE l_linestatus = 'O'), 6) AS O
+FROM lineitem GROUP BY l_returnflag"""
+
+
+@register("a16_pivot_results", SQL_A16)
+def q_pivot(spark, sf_dir):
+    from ..operators.report import pivot_results
+    return r6(pivot_results(_results(spark, sf_dir), ["F", "O"], order="pos"))
+
+
+SQL_S16 = """SELECT dimension, framework, round(value, 6) AS value FROM (
+  SELECT l_returnflag AS dimension, min(l_extendedprice) FILTER (WHERE l_linestatus = 'F') AS F,
+         min(l_extendedprice) FILTER (WHERE l_linestatus = 'O') AS O FROM lineitem GROUP BY 1)
+UNPIVOT (value FOR framework IN (F, O))"""
+
+
+@register("s16_unpivot_results", SQL_S16)
+def q_unpivot(spark, sf_dir):
+    from ..operators.report import best_of_repeats, pivot_results, unpivot_results
+    wide = pivot_results(best_of_repeats(_results(spark, sf_dir)), ["F", "O"])
+    return r6(unpivot_results(wide, frameworks=["F", "O"]))
+
+
+SQL_C12 = """SELECT l_returnflag AS dimension,
+  round(min(l_extendedprice) FILTER (WHERE l_linestatus = 'F'), 6) AS F,
+  round(min(l_extendedprice) FILTER (WHERE l_linestatus = 'O'), 6) AS O
+FROM lineitem GROUP BY l_returnflag"""
+
+
+@register("c12_benchmark_report", SQL_C12)
+def q_report(spark, sf_dir):
+    from ..operators.report import benchmark_report
+    return r6(benchmark_report(_results(spark, sf_dir), ["F", "O"]))
