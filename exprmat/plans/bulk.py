@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..matrix import ExprMatrix
+from ..matrix import ExprMatrix, materialize
 from ..operators.filters import filter_low_signal
 from ..operators.transforms import log2p1, upper_quartile_normalize
 
@@ -21,3 +21,42 @@ def feature_preprocessing(m: ExprMatrix, q_uq: float = 0.75, q_filter: float = 0
     uq = upper_quartile_normalize(m, q_uq, on_empty_sample)
     kept = filter_low_signal(uq, q_filter, stats_from=m if threshold_on == "raw" else None)
     return log2p1(kept)
+
+
+def bulk_pipeline(m: ExprMatrix, labels, task: str = "classification", label: str = "label",
+                  grid: dict | None = None, kind: str = "rf", k: int = 10, seed: int = 42,
+                  parallelism: int = 4, **est_params):
+    """Preprocess (C2) → dense rows → pre-ML (C7) → cross-validated scores on the
+    training split (L7, or nested CV with a grid search, L9 + L8) → fit on train and
+    score the test split (A8 accuracy / A9 R²).
+
+    Returns one row ``(task, n_train, n_test, n_folds, mean_cv, var_cv, std_cv, eval_score)``;
+    ``var_cv`` is what the reference calls its standard deviation (np.var).
+    """
+    from pyspark.sql import functions as F
+
+    from ..operators import ml
+    from ..operators.metrics import cv_summary
+
+    task = ml.normalize_task(task)
+    pre = feature_preprocessing(m)
+    rows, _ = pre.to_row_array()
+    prepared = materialize(ml.pre_ml(rows, labels, task, label, seed=seed))
+    train = prepared.filter(F.col("split") == "train")
+    est = ml.make_estimator(task, kind, seed, **est_params)
+    if grid:
+        if task != ml.CLASSIFICATION:
+            raise ValueError("grid search scores accuracy; it needs a classification task (Q17)")
+        scores = ml.nested_cv(train, est, grid, task, 5, 2, seed, parallelism)
+        model, _ = ml.grid_search(train, est, grid, task, 2, seed, parallelism)
+        pred = model.bestModel.transform(prepared.filter(F.col("split") == "test"))
+        eval_score = float(ml.evaluator(task).evaluate(pred))
+    else:
+        scores = ml.cross_validate(train, est, task, k, seed, parallelism)
+        _, _, eval_score = ml.fit_and_score(prepared, est, task)
+    n = prepared.groupBy("split").count().collect()
+    counts = {r["split"]: r["count"] for r in n}
+    summary = cv_summary(scores)
+    return summary.select(F.lit(task).alias("task"), F.lit(counts.get("train", 0)).cast("bigint").alias("n_train"),
+                          F.lit(counts.get("test", 0)).cast("bigint").alias("n_test"), "n_folds", "mean_cv",
+                          "var_cv", "std_cv", F.lit(eval_score).alias("eval_score"))

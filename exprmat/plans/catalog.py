@@ -749,3 +749,180 @@ FROM lineitem GROUP BY l_returnflag"""
 def q_report(spark, sf_dir):
     from ..operators.report import benchmark_report
     return r6(benchmark_report(_results(spark, sf_dir), ["F", "O"]))
+
+
+# ---------------------------------------------------------------------------- F1–F10
+SQL_F_NUMERIC = f"""WITH {CTE}
+SELECT sample_id, gene_id,
+  round(log2(value + 1), 6) AS f1_log2p1,
+  round(ln(CASE WHEN value - 25 = 0 THEN 1 ELSE value - 25 END), 6) AS f2_ln_zero_as_one,
+  round(log10(value + 1), 6) AS f3_log10p1,
+  round(exp(ln(value) / 4), 6) AS f4_exp_ln,
+  round(value * 10000, 6) AS f5_scaled,
+  round(value / CASE WHEN value - 25 = 0 THEN 1e-6 ELSE value - 25 END, 6) AS f6_guarded
+FROM cells WHERE value >= 25"""
+
+
+@register("f1_f6_numeric_functions", SQL_F_NUMERIC)
+def q_numeric_functions(spark, sf_dir):
+    from ..functions import scalar as fx
+    c = B.tpch_matrix(spark, sf_dir).cells.filter(F.col(VALUE) >= 25)
+    v = F.col(VALUE)
+    return r6(c.select(SAMPLE, GENE, fx.log2p1(v).alias("f1_log2p1"),
+                       fx.ln_zero_as_one(v - 25).alias("f2_ln_zero_as_one"),
+                       fx.log10p1(v).alias("f3_log10p1"), F.exp(F.ln(v) / 4).alias("f4_exp_ln"),
+                       (v * 1e4).alias("f5_scaled"), fx.guarded_div(v, v - 25).alias("f6_guarded")))
+
+
+SQL_F_TEXT = """SELECT event_id,
+  starts_with(event_type, 'c') AS f7_startswith, contains(props, '9') AS f7_contains,
+  upper(event_type) || '_' || lower(trim('  ' || event_type || '  ')) AS f7_case_trim,
+  split_part(props, ':', 1) AS f7_split,
+  CAST(json_extract('[' || props || ']', '$[0].k') AS INTEGER) AS f8_json_first_k,
+  TRY_CAST(CASE WHEN event_id % 3 = 0 THEN 'x' || CAST(value AS VARCHAR) ELSE CAST(round(value, 2) AS VARCHAR) END AS DOUBLE) AS f9_to_double,
+  (CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END) IS NULL AS f10_isnull
+FROM events"""
+
+
+@register("f7_f10_text_functions", SQL_F_TEXT)
+def q_text_functions(spark, sf_dir):
+    from ..functions import scalar as fx
+    e = B.table(spark, sf_dir, "events")
+    arr = F.from_json(F.concat(F.lit("["), "props", F.lit("]")), "array<struct<k:int>>")
+    text = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("x"), F.col("value").cast("string"))) \
+        .otherwise(F.round("value", 2).cast("string"))
+    return e.select("event_id",
+                    F.col("event_type").startswith("c").alias("f7_startswith"),
+                    F.col("props").contains("9").alias("f7_contains"),
+                    F.concat(F.upper("event_type"), F.lit("_"),
+                             F.lower(F.trim(F.concat(F.lit("  "), "event_type", F.lit("  "))))).alias("f7_case_trim"),
+                    F.split("props", ":").getItem(0).alias("f7_split"),
+                    F.get(arr, 0)["k"].alias("f8_json_first_k"),
+                    fx.to_double(text).alias("f9_to_double"),
+                    F.when(F.col("event_id") % 3 == 0, F.lit(None)).otherwise(F.col("value")).isNull().alias("f10_isnull"))
+
+
+# ---------------------------------------------------------------------------- L1, L2, C7
+SQL_L1 = f"""WITH l AS ({B.SQL_REGION_LABELS}),
+r AS (SELECT *, row_number() OVER (ORDER BY {sql_key('sample_id')}, sample_id) - 1 AS rk FROM l),
+s AS (SELECT *, CASE WHEN rk < ceil(0.3 * (SELECT count(*) FROM l)) THEN 'test' ELSE 'train' END AS split FROM r),
+cls AS (SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS DOUBLE) AS label_idx
+        FROM (SELECT DISTINCT label FROM s WHERE split = 'train'))
+SELECT sample_id, split, label, label_idx FROM s JOIN cls USING (label)"""
+
+
+@register("l1_label_encoding", SQL_L1)
+def q_label_encoding(spark, sf_dir):
+    from ..operators.ml import fit_label_encoder
+    from ..operators.sampling import train_test_split
+    s = train_test_split(B.region_labels(spark, sf_dir), SAMPLE, 0.3, 42)
+    enc = fit_label_encoder(s.filter(F.col("split") == "train"))
+    return enc.transform(s).select(SAMPLE, "split", "label", "label_idx")
+
+
+_SQL_EMB_SPLIT = f"""r AS (SELECT vec_id, CAST(label AS VARCHAR) AS label, embedding,
+        row_number() OVER (ORDER BY {sql_key('vec_id')}, vec_id) - 1 AS rk FROM embeddings),
+s AS (SELECT *, CASE WHEN rk < ceil(0.3 * (SELECT count(*) FROM embeddings)) THEN 'test' ELSE 'train' END AS split FROM r),
+l AS (SELECT s.vec_id, s.split, s.label, i - 1 AS gene_idx, CAST(s.embedding[i] AS DOUBLE) AS x FROM s, range(1, 65) t(i)),
+st AS (SELECT gene_idx, avg(x) AS m, stddev_pop(x) AS sd FROM l WHERE split = 'train' GROUP BY gene_idx)"""
+
+SQL_C7 = f"""WITH {_SQL_EMB_SPLIT},
+cls AS (SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS DOUBLE) AS label_idx
+        FROM (SELECT DISTINCT label FROM s WHERE split = 'train'))
+SELECT vec_id AS sample_id, split, label_idx, CAST(gene_idx AS INTEGER) AS gene_idx,
+       round((x - m) / CASE WHEN sd > 0 THEN sd ELSE 1 END, 6) AS value
+FROM l JOIN st USING (gene_idx) JOIN cls USING (label)"""
+
+
+def _prepared_embeddings(spark, sf_dir):
+    from ..operators.ml import pre_ml
+    rows = B.embedding_rows(spark, sf_dir)
+    return pre_ml(rows.select(SAMPLE, "values"), rows.select(SAMPLE, "label"), "classification")
+
+
+@register("c7_pre_ml", SQL_C7)
+def q_pre_ml(spark, sf_dir):
+    p = _prepared_embeddings(spark, sf_dir)
+    return r6(p.select(SAMPLE, "split", "label_idx", F.posexplode("values").alias("gene_idx", VALUE)))
+
+
+SQL_L2 = f"""WITH {CTE},
+r AS (SELECT sample_id, row_number() OVER (ORDER BY {sql_key('sample_id')}, sample_id) - 1 AS rk FROM samples),
+s AS (SELECT sample_id, CASE WHEN rk < ceil(0.3 * (SELECT count(*) FROM samples)) THEN 'test' ELSE 'train' END AS split FROM r),
+g AS (SELECT gene_id, CAST(row_number() OVER (ORDER BY gene_id) - 1 AS INTEGER) AS gene_idx FROM genes),
+l AS (SELECT d.sample_id, s.split, g.gene_idx, d.value AS x FROM dense d JOIN s USING (sample_id) JOIN g USING (gene_id)),
+st AS (SELECT gene_idx, avg(x) AS m, stddev_pop(x) AS sd FROM l WHERE split = 'train' GROUP BY gene_idx)
+SELECT sample_id, split, gene_idx, round((x - m) / CASE WHEN sd > 0 THEN sd ELSE 1 END, 6) AS value
+FROM l JOIN st USING (gene_idx)"""
+
+
+@register("l2_standard_scale", SQL_L2)
+def q_standard_scale(spark, sf_dir):
+    from ..operators.ml import apply_standard_scaler, fit_standard_scaler
+    from ..operators.sampling import train_test_split
+    rows, _ = B.tpch_matrix(spark, sf_dir).to_row_array()
+    s = train_test_split(rows, SAMPLE, 0.3, 42)
+    means, scales = fit_standard_scaler(s.filter(F.col("split") == "train"))
+    out = apply_standard_scaler(s, means, scales)
+    return r6(out.select(SAMPLE, "split", F.posexplode("values").alias("gene_idx", VALUE)))
+
+
+# ---------------------------------------------------------------------------- L3–L10, C8 (no SQL oracle)
+@register("l3_gbt_classifier")
+def q_gbt_classifier(spark, sf_dir):
+    """One-vs-rest boosted trees on embeddings; test-split predictions."""
+    from ..operators.ml import fit_and_score, make_estimator
+    p = _prepared_embeddings(spark, sf_dir)
+    _, pred, _ = fit_and_score(p, make_estimator("classification", "gbt", 42, maxIter=5, maxDepth=3))
+    return pred.select(SAMPLE, "label_idx", "prediction")
+
+
+@register("l4_gbt_regressor")
+def q_gbt_regressor(spark, sf_dir):
+    """Boosted-tree regression of supplier account balance on preprocessed expression."""
+    from ..operators.ml import fit_and_score, make_estimator, pre_ml
+    from .bulk import feature_preprocessing
+    rows, _ = feature_preprocessing(B.tpch_matrix(spark, sf_dir)).to_row_array()
+    p = pre_ml(rows, B.acctbal_target(spark, sf_dir), "regression", "target")
+    _, pred, _ = fit_and_score(p, make_estimator("regression", "gbt", 42, maxIter=10, maxDepth=3), "regression")
+    return pred.select(SAMPLE, "label_idx", "prediction")
+
+
+@register("l5_l6_rf_classifier_predict")
+def q_rf_classifier(spark, sf_dir):
+    """Random-forest classifier (the fast tree option) fit on train, predictions on test."""
+    from ..operators.ml import fit_and_score, make_estimator
+    p = _prepared_embeddings(spark, sf_dir)
+    _, pred, _ = fit_and_score(p, make_estimator("classification", "rf", 42, numTrees=20, maxDepth=6))
+    return pred.select(SAMPLE, "label_idx", "prediction")
+
+
+@register("l7_cross_validate")
+def q_cross_validate(spark, sf_dir):
+    from ..operators.ml import cross_validate, make_estimator
+    p = _prepared_embeddings(spark, sf_dir).filter(F.col("split") == "train")
+    return cross_validate(p, make_estimator("classification", "rf", 42, numTrees=20, maxDepth=6), k=10)
+
+
+@register("l8_grid_search")
+def q_grid_search(spark, sf_dir):
+    from ..operators.ml import grid_search, make_estimator
+    p = _prepared_embeddings(spark, sf_dir).filter(F.col("split") == "train")
+    _, table = grid_search(p, make_estimator("classification", "rf", 42),
+                           {"numTrees": [10, 20], "maxDepth": [3, 6]}, folds=2)
+    return table
+
+
+@register("l9_nested_cv")
+def q_nested_cv(spark, sf_dir):
+    from ..operators.ml import make_estimator, nested_cv
+    p = _prepared_embeddings(spark, sf_dir).filter(F.col("split") == "train")
+    return nested_cv(p, make_estimator("classification", "rf", 42), {"numTrees": [10, 20]}, outer=5, inner=2)
+
+
+@register("c8_bulk_pipeline")
+def q_bulk_pipeline(spark, sf_dir):
+    """C2 → C7 → 10-fold CV + test score, classifying suppliers by region."""
+    from .bulk import bulk_pipeline
+    return bulk_pipeline(B.tpch_matrix(spark, sf_dir), B.region_labels(spark, sf_dir), "classification",
+                         numTrees=20, maxDepth=5)
