@@ -926,3 +926,272 @@ def q_bulk_pipeline(spark, sf_dir):
     from .bulk import bulk_pipeline
     return bulk_pipeline(B.tpch_matrix(spark, sf_dir), B.region_labels(spark, sf_dir), "classification",
                          numTrees=20, maxDepth=5)
+
+
+# ---------------------------------------------------------------------------- S1–S15 round trips, C9–C11
+# Each query writes a table derived from the driver tables under the shared checkpoint
+# folder (spark.checkpoint.dir) and reads it back with the reader under test.
+SQL_CELLS_STR = f"""WITH {CTE}
+SELECT CAST(sample_id AS VARCHAR) AS sample_id, gene_id, round(value, 6) AS value FROM cells"""
+
+
+def _scratch(spark, name):
+    from ..session import scratch_path
+    return scratch_path(spark, name)
+
+
+@register("s1_s9_csv_roundtrip", SQL_CELLS_STR)
+def q_csv_roundtrip(spark, sf_dir):
+    from ..sources.matrix_io import read_matrix, write_matrix
+    m = B.tpch_matrix(spark, sf_dir)
+    rows, idx = m.to_row_array()
+    names = [r[GENE] for r in idx.orderBy("gene_idx").collect()]
+    path = _scratch(spark, "csv")
+    write_matrix(rows, path, "csv", gene_names=names)
+    back = read_matrix(spark, path, fmt="csv", id_col=SAMPLE)
+    return r6(back.cells)
+
+
+@register("s2_s11_parquet_roundtrip", SQL_CELLS_STR)
+def q_parquet_roundtrip(spark, sf_dir):
+    from ..sources.matrix_io import detect_format, read_matrix, write_matrix
+    m = B.tpch_matrix(spark, sf_dir)
+    path = _scratch(spark, "long") + ".parquet"
+    write_matrix(m.cells.withColumn(SAMPLE, F.col(SAMPLE).cast("string")), path, "parquet")
+    assert detect_format(path) == "parquet"
+    return r6(read_matrix(spark, path).cells)
+
+
+SQL_WIDE = f"""WITH {CTE}
+SELECT CAST(sample_id AS VARCHAR) AS sample_id, translate(gene_id, ' ', '_') AS gene_id, round(value, 6) AS value FROM cells"""
+
+
+@register("s2_wide_parquet_import", SQL_WIDE)
+def q_wide_import(spark, sf_dir):
+    """A wide file (one column per gene, written by pivot) imported with the pyarrow
+    row-group reader (the path used above the array(*cols) width limit)."""
+    from ..matrix import ExprMatrix
+    from ..sources.matrix_io import read_wide_parquet
+    m = B.tpch_matrix(spark, sf_dir)
+    names = sorted(r[GENE] for r in m.genes.collect())
+    wide = (m.cells.withColumn(GENE, F.translate(GENE, " ", "_"))
+            .groupBy(SAMPLE).pivot(GENE, [n.replace(" ", "_") for n in names]).agg(F.first(VALUE)).fillna(0.0))
+    path = _scratch(spark, "wide")
+    wide.write.mode("overwrite").parquet(path)
+    rows, genes = read_wide_parquet(spark, path, id_col=SAMPLE, max_array_columns=100)
+    return r6(ExprMatrix.from_row_array(rows, SAMPLE, "values", gene_ids=genes, drop_zeros=True).cells)
+
+
+SQL_S4 = f"""SELECT CAST(sample_id AS VARCHAR) AS sample_id, label FROM ({B.SQL_REGION_LABELS}) l
+JOIN supplier ON s_suppkey = sample_id WHERE s_nationkey % 5 <> 0"""
+
+
+@register("s4_read_labels_tsv", SQL_S4)
+def q_labels_tsv(spark, sf_dir):
+    from ..sources.files import NA_MARKER, read_labels
+    lab = B.region_labels(spark, sf_dir).join(B.table(spark, sf_dir, "supplier"), F.col(SAMPLE) == F.col("s_suppkey"))
+    lab = lab.select(F.col(SAMPLE).alias("case_id"),
+                     F.when(F.col("s_nationkey") % 5 == 0, F.lit(NA_MARKER)).otherwise(F.col("label")).alias("subtype"),
+                     F.lit("x").alias("other"))
+    path = _scratch(spark, "labels")
+    lab.write.mode("overwrite").option("header", True).option("sep", "\t").csv(path)
+    back = read_labels(spark, path, ["case_id", "subtype"], rename={"case_id": SAMPLE, "subtype": "label"})
+    return back.dropna(subset=["label"])
+
+
+SQL_S5 = """SELECT 'U' || CAST(user_id AS VARCHAR) AS id,
+       arg_max(event_type || '-' || CAST(event_id AS VARCHAR) || '.counts.tsv', event_id) AS file_name
+FROM events GROUP BY user_id"""
+
+
+@register("s5_read_file_map", SQL_S5)
+def q_file_map(spark, sf_dir):
+    from ..sources.files import read_file_map
+    ev = B.table(spark, sf_dir, "events")
+    recs = ev.select(F.concat("event_type", F.lit("-"), F.col("event_id").cast("string"), F.lit(".counts.tsv")).alias("file_name"),
+                     F.array(F.struct(F.concat(F.lit("TCGA-"), F.col("user_id").cast("string")).alias("entity_submitter_id"),
+                                      F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("case_id"))
+                             ).alias("associated_entities"),
+                     "event_id")
+    path = _scratch(spark, "cart")
+    recs.write.mode("overwrite").json(path)
+    return read_file_map(spark, path, "case_id", multiline=False, order_field="event_id")
+
+
+def _write_sample_tree(spark, sf_dir, path):
+    """Per-sample TSV files (gene id, value) in one folder per supplier, each with a
+    non-gene footer row, as the per-sample expression files of the reference."""
+    c = B.tpch_matrix(spark, sf_dir).cells
+    footer = c.select(SAMPLE).distinct().select(SAMPLE, F.lit("__no_feature").alias(GENE), F.lit(1.0).alias(VALUE))
+    (c.unionByName(footer).repartition(SAMPLE).write.mode("overwrite").partitionBy(SAMPLE)
+     .option("sep", "\t").option("header", False).csv(path))
+
+
+SQL_S6 = f"""WITH {CTE}
+SELECT 'sample_id=' || CAST(sample_id AS VARCHAR) AS sample_id, gene_id, round(value, 6) AS value FROM cells"""
+
+
+@register("s6_read_sample_files", SQL_S6)
+def q_sample_files(spark, sf_dir):
+    from ..sources.files import read_sample_files
+    path = _scratch(spark, "tree")
+    _write_sample_tree(spark, sf_dir, path)
+    m = read_sample_files(spark, path, name_glob="part-*", gene_prefix="Brand#", key="folder")
+    return r6(m.cells)
+
+
+SQL_S8 = """SELECT DISTINCT p_brand || '|' || p_type || '.' || CAST(p_size % 3 AS VARCHAR) AS gene_id FROM part WHERE p_size > 45"""
+
+
+@register("s8_read_gene_list", SQL_S8)
+def q_gene_list(spark, sf_dir):
+    from ..sources.files import read_gene_list
+    path = _scratch(spark, "genes")
+    _versioned_gene_list(spark, sf_dir).withColumnRenamed("l", "gene_id").write.mode("overwrite") \
+        .option("header", True).csv(path)
+    return read_gene_list(spark, path)
+
+
+@register("s10_append_rows", SQL_CELLS_STR)
+def q_append(spark, sf_dir):
+    from ..sources.matrix_io import read_matrix, write_matrix
+    c = B.tpch_matrix(spark, sf_dir).cells.withColumn(SAMPLE, F.col(SAMPLE).cast("string"))
+    path = _scratch(spark, "append") + ".parquet"
+    write_matrix(c.filter(F.col(GENE) < "Brand#2"), path, "parquet", mode="overwrite")
+    write_matrix(c.filter(F.col(GENE) >= "Brand#2"), path, "parquet", mode="append")
+    return r6(read_matrix(spark, path).cells)
+
+
+SQL_CELLS = f"""WITH {CTE} SELECT sample_id, gene_id, round(value, 6) AS value FROM cells"""
+
+
+@register("s12_repartition_by_size", SQL_CELLS)
+def q_by_size(spark, sf_dir):
+    from ..sources.matrix_io import repartition_by_size
+    c = B.tpch_matrix(spark, sf_dir).cells
+    return r6(repartition_by_size(c, 64 * 1024))
+
+
+@register("s13_copartition", SQL_J3)
+def q_copartition(spark, sf_dir):
+    from ..sources.matrix_io import copartition
+    m = B.tpch_matrix(spark, sf_dir)
+    per = m.cells.groupBy(SAMPLE).agg(F.count(F.lit(1)).alias("n_stored"), F.sum(VALUE).alias("total"))
+    a, b = copartition(per, B.region_labels(spark, sf_dir), SAMPLE)
+    return r6(a.join(b, SAMPLE))
+
+
+SQL_S14 = f"""WITH {CTE},
+si AS (SELECT sample_id, row_number() OVER (ORDER BY sample_id) - 1 AS i FROM samples),
+gi AS (SELECT gene_id, row_number() OVER (ORDER BY gene_id) - 1 AS j FROM genes)
+SELECT i AS sample_id, j AS gene_id, round(value, 6) AS value FROM cells JOIN si USING (sample_id) JOIN gi USING (gene_id)"""
+
+
+@register("s14_read_coo", SQL_S14)
+def q_coo(spark, sf_dir):
+    """Matrix Market coordinate files: every part file starts with the size line."""
+    from ..operators.reshape import with_ordinal
+    from ..sources.matrix_io import read_coo
+    m = B.tpch_matrix(spark, sf_dir)
+    si = with_ordinal(m.samples, SAMPLE, "i")
+    gi = with_ordinal(m.genes, GENE, "j")
+    trip = m.cells.join(si, SAMPLE).join(gi, GENE)
+    nnz = trip.count()
+    dims = [str(m.n_samples), str(m.n_genes), str(nnz)]
+    seen = set()
+    for k, d in enumerate(dims):       # distinct header names: pad repeats with spaces
+        while d in seen:
+            d += " "
+        seen.add(d)
+        dims[k] = d
+    path = _scratch(spark, "mtx")
+    (trip.select((F.col("i") + 1).cast("string").alias(dims[0]), (F.col("j") + 1).cast("string").alias(dims[1]),
+                 F.col(VALUE).cast("string").alias(dims[2]))
+     .write.mode("overwrite").option("header", True).option("sep", " ").csv(path))
+    return r6(read_coo(spark, path).cells)
+
+
+SQL_S15 = SQL_A15
+
+
+@register("s15_read_results", SQL_S15)
+def q_read_results(spark, sf_dir):
+    from ..operators.report import best_of_repeats
+    from ..sources.files import read_results, write_results
+    path = _scratch(spark, "results")
+    write_results(best_of_repeats(_results(spark, sf_dir)), path)
+    return r6(read_results(spark, path))
+
+
+SQL_C9 = f"""WITH {CTE},
+lst AS (SELECT DISTINCT split_part(p_brand || '|' || p_type || '.' || CAST(p_size % 3 AS VARCHAR), '.', 1) AS g
+        FROM part WHERE p_size > 45),
+lab AS (SELECT l.sample_id, l.label FROM ({B.SQL_REGION_LABELS}) l JOIN supplier ON s_suppkey = l.sample_id
+        WHERE s_nationkey % 7 <> 0 AND l.sample_id % 9 <> 0)
+SELECT 'sample_id=' || CAST(c.sample_id AS VARCHAR) AS sample_id, c.gene_id, round(c.value, 6) AS value, lab.label
+FROM cells c JOIN lab USING (sample_id) WHERE c.gene_id IN (SELECT g FROM lst)"""
+
+
+@register("c9_prepare_bulk_dataset", SQL_C9)
+def q_prepare(spark, sf_dir):
+    """Per-sample files + metadata JSON (with a superseded duplicate) + label TSV (with NA
+    markers and unlabeled cases) + versioned gene list → matched, coding-gene matrix."""
+    from ..sources.files import NA_MARKER, read_file_map, read_labels, read_sample_files
+    from .prep import prepare_bulk_dataset
+    base = _scratch(spark, "prep")
+    _write_sample_tree(spark, sf_dir, base + "/samples")
+    sup = B.table(spark, sf_dir, "supplier")
+    case = F.concat(F.lit("C"), F.col("s_suppkey").cast("string"))
+    good = sup.select(F.col("s_suppkey"), F.concat(F.lit("sample_id="), F.col("s_suppkey").cast("string")).alias("file_name"),
+                      F.lit(1).cast("long").alias("pos"), case.alias("case_id"))
+    stale = good.filter(F.col("s_suppkey") % 10 == 0).select(
+        "s_suppkey", F.lit("sample_id=-1").alias("file_name"), F.lit(0).cast("long").alias("pos"), "case_id")
+    cart = good.unionByName(stale).select(
+        "file_name", F.array(F.struct(F.lit(None).cast("string").alias("entity_submitter_id"),
+                                      F.col("case_id"))).alias("associated_entities"), "pos")
+    cart.write.mode("overwrite").json(base + "/cart")
+    lab = (B.region_labels(spark, sf_dir).join(sup, F.col(SAMPLE) == F.col("s_suppkey"))
+           .filter(F.col(SAMPLE) % 9 != 0)
+           .select(F.concat(F.lit("C"), F.col(SAMPLE).cast("string")).alias("case_id"),
+                   F.when(F.col("s_nationkey") % 7 == 0, F.lit(NA_MARKER)).otherwise(F.col("label")).alias("subtype")))
+    lab.write.mode("overwrite").option("header", True).option("sep", "\t").csv(base + "/labels")
+    features = read_sample_files(spark, base + "/samples", name_glob="part-*", gene_prefix="Brand#", key="folder")
+    fmap = read_file_map(spark, base + "/cart", "case_id", multiline=False, order_field="pos")
+    labels = read_labels(spark, base + "/labels", ["case_id", "subtype"])
+    m, lab_out = prepare_bulk_dataset(features, labels, fmap, "case_id", "subtype",
+                                      _versioned_gene_list(spark, sf_dir), "l")
+    return r6(m.cells.join(lab_out, SAMPLE))
+
+
+SQL_C10 = f"""WITH {CTE},
+top AS (SELECT gene_id FROM dense GROUP BY gene_id ORDER BY var_samp(value) DESC, gene_id LIMIT 20),
+l AS ({B.SQL_REGION_LABELS}),
+c AS (SELECT label, count(*) AS n_class FROM l GROUP BY label),
+b AS (SELECT label, floor(50 * n_class / (SELECT sum(n_class) FROM c)) AS b,
+             50 * n_class / (SELECT sum(n_class) FROM c) - floor(50 * n_class / (SELECT sum(n_class) FROM c)) AS rem FROM c),
+q AS (SELECT label, b + CASE WHEN row_number() OVER (ORDER BY rem DESC, label) <= 50 - (SELECT sum(b) FROM b)
+                           THEN 1 ELSE 0 END AS quota FROM b),
+r AS (SELECT l.*, row_number() OVER (PARTITION BY label ORDER BY {sql_key('sample_id')}, sample_id) - 1 AS rk FROM l),
+s AS (SELECT sample_id, label FROM r JOIN q USING (label) WHERE rk < quota)
+SELECT sample_id, gene_id, round(value, 6) AS value, label FROM cells JOIN s USING (sample_id) JOIN top USING (gene_id)"""
+
+
+@register("c10_undersample_dataset", SQL_C10)
+def q_undersample(spark, sf_dir):
+    from .prep import undersample_dataset
+    m, lab = undersample_dataset(B.tpch_matrix(spark, sf_dir), B.region_labels(spark, sf_dir), 20, 50)
+    return r6(m.cells.join(lab, SAMPLE))
+
+
+SQL_C11 = f"""WITH {CTE},
+sr AS (SELECT sample_id, row_number() OVER (ORDER BY {sql_key('sample_id')}, sample_id) - 1 AS sr FROM samples),
+gr AS (SELECT gene_id, row_number() OVER (ORDER BY {sql_key('gene_id')}, gene_id) - 1 AS gr FROM genes),
+grid AS (SELECT * FROM (VALUES (20, 10), (20, 30), (40, 10), (40, 30)) t(n_samples, n_genes))
+SELECT n_samples, n_genes, sample_id, gene_id, round(value, 6) AS value
+FROM cells JOIN sr USING (sample_id) JOIN gr USING (gene_id) JOIN grid ON sr < n_samples AND gr < n_genes"""
+
+
+@register("c11_subsample_grid", SQL_C11)
+def q_subsample_grid(spark, sf_dir):
+    from .prep import subsample_grid
+    return r6(subsample_grid(B.tpch_matrix(spark, sf_dir), [20, 40], [10, 30]))
