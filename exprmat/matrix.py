@@ -36,17 +36,40 @@ def checked_broadcast(df: DataFrame, n_rows: int, max_rows: int) -> DataFrame:
     return F.broadcast(df) if n_rows <= max_rows else df
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write a small, expensive-to-recompute table to the checkpoint folder.
-
-    Used for dimension tables and per-gene statistics derived from a full scan: they
-    are read several times, and a reliable checkpoint both cuts the lineage and lets
-    a lost executor be replaced without rescanning the matrix.
+def materialize(df: DataFrame, name: str = "t", bucket_by: str | None = None,
+                n_buckets: int | None = None) -> DataFrame:
+    """Write an intermediate table under the shared checkpoint folder and read it back.
+
+    For tables read by several passes (the stored cells of a matrix). One write job;
+    the lineage is cut, so a lost executor never recomputes upstream scans, and the
+    files give the optimizer real sizes. With ``bucket_by`` the table is written
+    bucketed on that key (an external table at the scratch path): the shuffle is paid
+    once at write time and every later aggregate or join on the key reads the
+    buckets as they lie, without another exchange.
     """
-    from .session import ensure_checkpoint_dir
+    import uuid
+
+    from .session import scratch_path
 
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    if bucket_by is None:
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+    n = n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table_name = f"exprmat_{name}_{uuid.uuid4().hex[:12]}"
+    (df.write.mode("overwrite").option("path", path).bucketBy(n, bucket_by).sortBy(bucket_by)
+     .saveAsTable(table_name))
+    return spark.table(table_name)
+
+
+def cache_small(df: DataFrame) -> DataFrame:
+    """Keep a small derived table (gene-, sample- or class-sized) in executor memory.
+
+    Such tables are read several times; a lost cached partition is recomputed from
+    its short lineage (which starts at materialised cells or a dimension scan).
+    """
+    return df.cache()
 
 
 @dataclass
@@ -70,11 +93,17 @@ class ExprMatrix:
         if drop_zeros:
             cells = cells.filter(F.col(VALUE) != 0.0)
         if samples is None:
-            samples = materialize(cells.select(SAMPLE).distinct())
+            samples = cache_small(cells.select(SAMPLE).distinct())
         if genes is None:
-            genes = materialize(cells.select(GENE).distinct())
+            genes = cache_small(cells.select(GENE).distinct())
         return cls(cells, samples.select(SAMPLE), genes.select(GENE))
 
+    def materialized(self) -> ExprMatrix:
+        """The same matrix with its cells written once to the checkpoint folder (for
+        matrices whose cells come from an expensive plan and are read several times)."""
+        return ExprMatrix(materialize(self.cells, "cells", bucket_by=SAMPLE), self.samples, self.genes,
+                          self._n_samples, self._n_genes)
+
     # ---------------------------------------------------------------- shape
     @property
     def n_samples(self) -> int:
@@ -111,7 +140,7 @@ class ExprMatrix:
         """Keep only the genes in ``keep(gene_id)`` (a left-semi join on cells and genes)."""
         keep = keep.select(GENE)
         if n_keep is None:
-            keep = materialize(keep)
+            keep = cache_small(keep)
             n_keep = keep.count()
         keep_bc = checked_broadcast(keep, n_keep, MAX_BROADCAST_GENES)
         cells = self.cells.join(keep_bc, GENE, "left_semi")
@@ -122,7 +151,7 @@ class ExprMatrix:
         """Keep only the samples in ``keep(sample_id)``."""
         keep = keep.select(SAMPLE)
         if n_keep is None:
-            keep = materialize(keep)
+            keep = cache_small(keep)
             n_keep = keep.count()
         keep_bc = checked_broadcast(keep, n_keep, MAX_BROADCAST_SAMPLES)
         cells = self.cells.join(keep_bc, SAMPLE, "left_semi")
@@ -149,7 +178,7 @@ class ExprMatrix:
         stored cell still get a row of zeros.
         """
         if gene_index is None:
-            gene_index = materialize(self.gene_index())
+            gene_index = cache_small(self.gene_index())
         g = self.n_genes
         idx_bc = checked_broadcast(gene_index, g, MAX_BROADCAST_GENES)
         per_sample = (self.cells.join(idx_bc, GENE)

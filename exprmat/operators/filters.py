@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as fx
-from ..matrix import GENE, MAX_BROADCAST_GENES, ExprMatrix, checked_broadcast, materialize
+from ..matrix import GENE, MAX_BROADCAST_GENES, ExprMatrix, checked_broadcast, cache_small
 from .stats import gene_stats, strictly_greater
 
 
 def drop_zero_genes(m: ExprMatrix) -> ExprMatrix:
     """Keep genes whose mean over all samples is > 0."""
-    keep = materialize(gene_stats(m).filter(F.col("mean") > 0).select(GENE))
+    keep = cache_small(gene_stats(m).filter(F.col("mean") > 0).select(GENE))
     return m.restrict_genes(keep)
 
 
@@ -29,7 +29,7 @@ def filter_low_signal(m: ExprMatrix, q: float = 0.25, stats_from: ExprMatrix | N
     included. ``stats_from`` takes the statistics from another matrix (the reference's
     cluster script thresholds on the raw matrix, Q4).
     """
-    stats = materialize(gene_stats(stats_from or m))
+    stats = cache_small(gene_stats(stats_from or m))
     qm, qv = low_signal_thresholds(stats, q)
     keep = stats.filter(strictly_greater(F.col("mean"), qm) & strictly_greater(F.col("var"), qv)).select(GENE)
     return m.restrict_genes(keep)
@@ -55,7 +55,7 @@ def select_coding_genes(m: ExprMatrix, gene_list: DataFrame, list_col: str = GEN
     substring semantics (a gene is kept when its id contains any listed id): a
     left-semi join on ``contains``, with the list broadcast after its size is checked.
     """
-    lst = materialize(gene_list.select(F.col(list_col).cast("string").alias("_l")).distinct())
+    lst = cache_small(gene_list.select(F.col(list_col).cast("string").alias("_l")).distinct())
     n_l = lst.count()
     if mode == "stable_id":
         lst_bc = checked_broadcast(lst.select(fx.stable_gene_id("_l").alias("_sid")).distinct(),

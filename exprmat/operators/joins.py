@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..matrix import MAX_BROADCAST_SAMPLES, SAMPLE, checked_broadcast, materialize
+from ..matrix import MAX_BROADCAST_SAMPLES, SAMPLE, checked_broadcast, cache_small
 
 
 def attach_filename(ids: DataFrame, file_map: DataFrame, id_col: str = "id",
@@ -14,7 +14,7 @@ def attach_filename(ids: DataFrame, file_map: DataFrame, id_col: str = "id",
 
     The map is broadcast when its checked row count allows, else shuffle-joined.
     """
-    fm = materialize(file_map.select(id_col, file_col))
+    fm = cache_small(file_map.select(id_col, file_col))
     return ids.join(checked_broadcast(fm, fm.count(), MAX_BROADCAST_SAMPLES), id_col, "left")
 
 

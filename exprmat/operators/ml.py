@@ -20,7 +20,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..matrix import GENE_IDX, SAMPLE, VALUE, VALUES, materialize
+from ..matrix import GENE_IDX, SAMPLE, VALUE, VALUES, cache_small
 from .joins import join_labels
 from .sampling import kfold, train_test_split
 
@@ -82,7 +82,7 @@ def pre_ml(rows: DataFrame, labels: DataFrame, task: str = CLASSIFICATION, label
     """
     task = normalize_task(task)
     j = join_labels(rows.select(SAMPLE, VALUES), labels.select(SAMPLE, label))
-    s = materialize(train_test_split(j, SAMPLE, test_frac, seed))
+    s = cache_small(train_test_split(j, SAMPLE, test_frac, seed))
     train = s.filter(F.col("split") == "train")
     if task == CLASSIFICATION:
         s = fit_label_encoder(train, label).transform(s)
@@ -132,7 +132,7 @@ def cross_validate(df: DataFrame, estimator: Estimator, task: str = CLASSIFICATI
     computed (Q9). Folds run as concurrent Spark jobs from ``parallelism`` threads.
     """
     spark = df.sparkSession
-    folded = materialize(kfold(df.drop("fold") if "fold" in df.columns else df, SAMPLE, k, seed))
+    folded = cache_small(kfold(df.drop("fold") if "fold" in df.columns else df, SAMPLE, k, seed))
     ev = evaluator(task)
 
     def one(f: int):
@@ -174,7 +174,7 @@ def nested_cv(df: DataFrame, estimator: Estimator, grid: dict[str, list], task:
     """``outer`` shuffled folds; in each, a grid search (L8) on the rest and the
     refit best model scored on the fold. Returns ``(fold, n_test, score, best_params)``."""
     spark = df.sparkSession
-    folded = materialize(kfold(df.drop("fold") if "fold" in df.columns else df, SAMPLE, outer, seed))
+    folded = cache_small(kfold(df.drop("fold") if "fold" in df.columns else df, SAMPLE, outer, seed))
     ev = evaluator(task)
 
     def one(f: int):

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import hash_rank_key
-from ..matrix import GENE, SAMPLE, ExprMatrix, materialize
+from ..matrix import GENE, SAMPLE, ExprMatrix, cache_small
 
 RANK = "_rank"
 
@@ -105,7 +105,7 @@ def class_quotas(df: DataFrame, label: str, n: int) -> DataFrame:
 
     Runs on the class-count table (one row per class).
     """
-    counts = materialize(df.groupBy(label).agg(F.count(F.lit(1)).alias("n_class")))
+    counts = cache_small(df.groupBy(label).agg(F.count(F.lit(1)).alias("n_class")))
     total = counts.agg(F.sum("n_class")).scalar()
     exact = F.lit(n) * F.col("n_class") / total
     base = counts.select(label, "n_class", F.floor(exact).alias("_b"), (exact - F.floor(exact)).alias("_rem"))
@@ -131,8 +131,8 @@ def sample_ids(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
 
 def sample_matrix(m: ExprMatrix, n_samples: int, n_genes: int, seed: int = 42) -> ExprMatrix:
     """M3: a seeded subset of n_samples samples and n_genes genes (two semi joins)."""
-    s = materialize(sample_ids(m.samples, SAMPLE, n_samples, seed))
-    g = materialize(sample_ids(m.genes, GENE, n_genes, seed))
+    s = cache_small(sample_ids(m.samples, SAMPLE, n_samples, seed))
+    g = cache_small(sample_ids(m.genes, GENE, n_genes, seed))
     return m.restrict_samples(s, min(n_samples, m.n_samples)).restrict_genes(g, min(n_genes, m.n_genes))
 
 

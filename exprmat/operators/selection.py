@@ -5,22 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..matrix import GENE, ExprMatrix, materialize
+from ..matrix import GENE, ExprMatrix, cache_small
 from .stats import gene_stats
 
 
 def top_variance_genes(m: ExprMatrix, n: int, tie_break: str = GENE) -> DataFrame:
     """K2/K3: ``(gene_id, var)`` of the n genes of largest sample variance.
 
-    Ties are broken by ``tie_break`` ascending so the choice is deterministic. The
-    input is the gene-statistics table (one row per gene), so the top-k is a
+    Variances are compared rounded to 9 decimals and ties are broken by ``tie_break``
+    ascending, so equal variances reached by different summation orders rank the same
+    way. The input is the gene-statistics table (one row per gene), so the top-k is a
     TakeOrdered over at most n_genes rows, never over the cells.
     """
     st = gene_stats(m)
-    return st.orderBy(F.col("var").desc_nulls_last(), F.col(tie_break)).limit(n).select(GENE, "var")
+    key = F.round(F.col("var"), 9)
+    return st.orderBy(key.desc_nulls_last(), F.col(tie_break)).limit(n).select(GENE, "var")
 
 
 def highly_variable_genes(m: ExprMatrix, n: int = 2000) -> ExprMatrix:
     """C4: restrict ``m`` to its n most variable genes."""
-    top = materialize(top_variance_genes(m, n))
+    top = cache_small(top_variance_genes(m, n))
     return m.restrict_genes(top.select(GENE), min(n, m.n_genes))

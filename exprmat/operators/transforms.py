@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as fx
 from ..matrix import (GENE, GENE_IDX, MAX_BROADCAST_SAMPLES, SAMPLE, VALUE, VALUES,
-                      ExprMatrix, checked_broadcast, materialize)
+                      ExprMatrix, checked_broadcast, cache_small)
 from .filters import drop_zero_genes
 from .stats import gene_stats, geometric_mean_zero_as_one, sample_stats
 
@@ -26,19 +26,13 @@ def upper_quartile_factors(m: ExprMatrix, q: float = 0.75, on_empty_sample: str
     if on_empty_sample not in ("error", "drop"):
         raise ValueError("on_empty_sample must be 'error' or 'drop'")
     fit = drop_zero_genes(m)
-    per = sample_stats(fit, q)
-    nf = per.select(SAMPLE, F.try_divide("quantile", "total").alias("norm_factor"))
-    if on_empty_sample == "error":
-        # Every sample of the matrix must have a nonzero total; samples missing from
-        # the cells are all-zero too, so compare counts instead of joining the table.
-        n_ok = per.filter(F.col("total") != 0).agg(F.count(F.lit(1))).scalar()
-        check = F.when(n_ok != F.lit(m.n_samples),
-                       F.raise_error(F.lit("upper_quartile: a sample has no nonzero value "
-                                           "(pass on_empty_sample='drop' to leave it out)")))
-        nf = nf.withColumn("norm_factor", F.coalesce(check.cast("double"), F.col("norm_factor")))
-    else:
-        nf = nf.filter(F.col("norm_factor").isNotNull())
-    nf = materialize(nf)
+    per = cache_small(sample_stats(fit, q))
+    n_ok = per.filter(F.col("total") != 0).count()
+    if on_empty_sample == "error" and n_ok != m.n_samples:
+        # Samples missing from the cells are all-zero too, so counts decide it.
+        raise ValueError(f"upper_quartile: {m.n_samples - n_ok} sample(s) have no nonzero value "
+                         "(pass on_empty_sample='drop' to leave them out)")
+    nf = per.filter(F.col("total") != 0).select(SAMPLE, F.try_divide("quantile", "total").alias("norm_factor"))
     geo = nf.agg(geometric_mean_zero_as_one("norm_factor")).scalar()
     return nf.select(SAMPLE, "norm_factor", (F.col("norm_factor") / geo).alias("scaling_factor"))
 
@@ -74,7 +68,7 @@ def log_normalize(m: ExprMatrix, scale: float = 1e4) -> ExprMatrix:
     Totals are per gene over all samples (the pandas path, D0.4). The gene totals are
     a gene-sized table joined by broadcast when the gene count allows.
     """
-    totals = materialize(gene_stats(m).select(GENE, "total"))
+    totals = cache_small(gene_stats(m).select(GENE, "total"))
     t_bc = m.genes_bc(totals)
     cells = (m.cells.join(t_bc, GENE)
              .select(SAMPLE, GENE,
@@ -94,8 +88,8 @@ def scale_by_variance(m: ExprMatrix, by: str = "var") -> DataFrame:
     """
     if by not in ("var", "std"):
         raise ValueError("by must be 'var' or 'std'")
-    idx = materialize(m.gene_index())
-    st = materialize(gene_stats(m).join(m.genes_bc(idx), GENE)
+    idx = cache_small(m.gene_index())
+    st = cache_small(gene_stats(m).join(m.genes_bc(idx), GENE)
                      .select(GENE_IDX, GENE, "mean",
                              (F.col("var") if by == "var" else F.sqrt("var")).alias("div")))
     rows, _ = m.to_row_array(idx)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..matrix import GENE, SAMPLE, VALUE, VALUES, ExprMatrix, materialize
+from ..matrix import GENE, SAMPLE, VALUE, VALUES, ExprMatrix, cache_small
 
 SPARSE_SLICE = "p_size <= 5"
 
@@ -38,8 +38,21 @@ def tpch_matrix(spark: SparkSession, sf_dir: str, sparse: bool = False) -> ExprM
              .groupBy(F.col("l_suppkey").alias(SAMPLE), GENE)
              .agg(F.sum("l_quantity").alias(VALUE)))
     samples = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias(SAMPLE))
-    genes = materialize(table(spark, sf_dir, "part").select(gene_col().alias(GENE)).distinct())
-    return ExprMatrix.from_cells(cells, samples, genes)
+    genes = cache_small(table(spark, sf_dir, "part").select(gene_col().alias(GENE)).distinct())
+    return ExprMatrix.from_cells(cells, samples, genes).materialized()
+
+
+def customer_part_matrix(spark: SparkSession, sf_dir: str) -> ExprMatrix:
+    """A sparse, single-cell-shaped matrix: sample = customer, gene = part,
+    value = Σ l_quantity over the customer's orders (15,000 × 20,000 at sf0.1)."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    cells = (li.join(o, li.l_orderkey == o.o_orderkey)
+             .groupBy(F.col("o_custkey").alias(SAMPLE), F.col("l_partkey").alias(GENE))
+             .agg(F.sum("l_quantity").alias(VALUE)))
+    samples = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias(SAMPLE))
+    genes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias(GENE))
+    return ExprMatrix.from_cells(cells, samples, genes).materialized()
 
 
 def region_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,5 +99,14 @@ dense AS (SELECT s.sample_id, g.gene_id, coalesce(c.value, 0.0) AS value
   FROM samples s CROSS JOIN genes g LEFT JOIN cells c ON c.sample_id = s.sample_id AND c.gene_id = g.gene_id)"""
 
 
+def sql_customer_part_ctes() -> str:
+    return """cells AS (SELECT o_custkey AS sample_id, l_partkey AS gene_id, sum(l_quantity) AS value
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
+samples AS (SELECT c_custkey AS sample_id FROM customer),
+genes AS (SELECT p_partkey AS gene_id FROM part),
+dense AS (SELECT s.sample_id, g.gene_id, coalesce(c.value, 0.0) AS value
+  FROM samples s CROSS JOIN genes g LEFT JOIN cells c ON c.sample_id = s.sample_id AND c.gene_id = g.gene_id)"""
+
+
 SQL_REGION_LABELS = """SELECT s_suppkey AS sample_id, r_name AS label FROM supplier
   JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""

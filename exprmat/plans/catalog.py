@@ -170,7 +170,7 @@ def q_log_normalize(spark, sf_dir):
 
 SQL_K2 = f"""WITH {CTE}
 SELECT gene_id, round(var_samp(value), 6) AS var FROM dense GROUP BY gene_id
-ORDER BY var_samp(value) DESC, gene_id LIMIT 20"""
+ORDER BY round(var_samp(value), 9) DESC, gene_id LIMIT 20"""
 
 
 @register("k2_top_variance_genes", SQL_K2)
@@ -181,7 +181,7 @@ def q_top_variance(spark, sf_dir):
 
 _SQL_HVG = f"""WITH {CTE},
 ln AS ({_sql_lognorm('dense')}),
-hv AS (SELECT gene_id, var_samp(value) AS var FROM ln GROUP BY gene_id ORDER BY var DESC, gene_id LIMIT 20)"""
+hv AS (SELECT gene_id, var_samp(value) AS var FROM ln GROUP BY gene_id ORDER BY round(var, 9) DESC, gene_id LIMIT 20)"""
 
 SQL_C4 = _SQL_HVG + "\nSELECT gene_id, round(var, 6) AS var FROM hv"
 
@@ -1164,7 +1164,7 @@ def q_prepare(spark, sf_dir):
 
 
 SQL_C10 = f"""WITH {CTE},
-top AS (SELECT gene_id FROM dense GROUP BY gene_id ORDER BY var_samp(value) DESC, gene_id LIMIT 20),
+top AS (SELECT gene_id FROM dense GROUP BY gene_id ORDER BY round(var_samp(value), 9) DESC, gene_id LIMIT 20),
 l AS ({B.SQL_REGION_LABELS}),
 c AS (SELECT label, count(*) AS n_class FROM l GROUP BY label),
 b AS (SELECT label, floor(50 * n_class / (SELECT sum(n_class) FROM c)) AS b,
@@ -1195,3 +1195,22 @@ FROM cells JOIN sr USING (sample_id) JOIN gr USING (gene_id) JOIN grid ON sr < n
 def q_subsample_grid(spark, sf_dir):
     from .prep import subsample_grid
     return r6(subsample_grid(B.tpch_matrix(spark, sf_dir), [20, 40], [10, 30]))
+
+
+# ---------------------------------------------------------------------------- C6 on the customer × part matrix
+SQL_C6_CUSTOMERS = f"""WITH {B.sql_customer_part_ctes()},
+ln AS ({_sql_lognorm('dense')}),
+hv AS (SELECT gene_id FROM ln GROUP BY gene_id ORDER BY round(var_samp(value), 9) DESC, gene_id LIMIT 1000),
+sel AS (SELECT ln.* FROM ln JOIN hv USING (gene_id)),
+st AS (SELECT gene_id, avg(value) AS m, var_samp(value) AS v FROM sel GROUP BY gene_id)
+SELECT sample_id, gene_id, round(CASE WHEN v = 0 THEN NULL ELSE (value - m) / v END, 6) AS value
+FROM sel JOIN st USING (gene_id)"""
+
+
+@register("c6_single_cell_pipeline_customers", SQL_C6_CUSTOMERS)
+def q_single_cell_customers(spark, sf_dir):
+    """C6 on a sparse customer × part matrix (1,500 × 2,000 at sf0.01, 15,000 × 20,000
+    at sf0.1): log-normalise, 1,000 most variable parts, dense scaled output."""
+    from .singlecell import single_cell_pipeline
+    m = B.customer_part_matrix(spark, sf_dir)
+    return r6(single_cell_pipeline(m, n_top=1000).drop("gene_idx"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..matrix import GENE, SAMPLE, VALUE, ExprMatrix, materialize
+from ..matrix import GENE, SAMPLE, VALUE, ExprMatrix, cache_small
 from ..operators.filters import select_coding_genes
 from ..operators.joins import attach_filename, match_samples
 from ..operators.sampling import RANK, seeded_rank, stratified_sample
@@ -30,7 +30,7 @@ def prepare_bulk_dataset(features: ExprMatrix, labels: DataFrame, file_map: Data
            .select(F.col("file_name").alias(SAMPLE), "label"))
     present = features.cells.select(SAMPLE).distinct()
     _, lab = match_samples(present, lab, SAMPLE)
-    lab = materialize(lab)
+    lab = cache_small(lab)
     m = features.restrict_samples(lab.select(SAMPLE))
     if gene_list is not None:
         m = select_coding_genes(m, gene_list, gene_list_col)
@@ -44,9 +44,9 @@ def undersample_dataset(m: ExprMatrix, labels: DataFrame, n_genes: int, n_sample
                         label: str = "label", seed: int = 42, out: str | None = None) -> tuple[ExprMatrix, DataFrame]:
     """The n_genes most variable genes (K2) of a class-stratified, seeded sample
     of n_samples samples (M2); optionally written as parquet (S11)."""
-    lab = materialize(stratified_sample(labels.join(m.samples, SAMPLE, "left_semi"), label, n_samples, SAMPLE, seed))
+    lab = cache_small(stratified_sample(labels.join(m.samples, SAMPLE, "left_semi"), label, n_samples, SAMPLE, seed))
     sub = m.restrict_samples(lab.select(SAMPLE))
-    top = materialize(top_variance_genes(m, n_genes))
+    top = cache_small(top_variance_genes(m, n_genes))
     sub = sub.restrict_genes(top.select(GENE), min(n_genes, m.n_genes))
     if out:
         write_matrix(sub.cells, out.rstrip("/") + "/features")
@@ -62,9 +62,9 @@ def subsample_grid(m: ExprMatrix, ns: list[int], fs: list[int], seed: int = 42,
     from one pass: each stored cell is ranked once and emitted for every (n, f) that
     contains it.
     """
-    sr = materialize(seeded_rank(m.samples, SAMPLE, seed).withColumnRenamed(RANK, "_sr")
+    sr = cache_small(seeded_rank(m.samples, SAMPLE, seed).withColumnRenamed(RANK, "_sr")
                      .filter(F.col("_sr") < max(ns)))
-    gr = materialize(seeded_rank(m.genes, GENE, seed).withColumnRenamed(RANK, "_gr")
+    gr = cache_small(seeded_rank(m.genes, GENE, seed).withColumnRenamed(RANK, "_gr")
                      .filter(F.col("_gr") < max(fs)))
     grid = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(f).alias("f")) for n in ns for f in fs])
     cells = m.cells.join(m.samples_bc(sr), SAMPLE).join(m.genes_bc(gr), GENE)
