@@ -27,6 +27,32 @@ def _padded_var(k: Column, a: Column, v: Column, n: int) -> Column:
     return F.when(k == 0, F.lit(0.0)).otherwise(ss / F.lit(float(n - 1)))
 
 
+def _padded_var_col(k: Column, a: Column, v: Column, n: Column) -> Column:
+    """As ``_padded_var`` with the sample count as a column (per-batch statistics)."""
+    k = k.cast("double")
+    n = n.cast("double")
+    ss = k * v + k * (n - k) / n * a * a
+    return F.when(n < 2, F.lit(None).cast("double")).when(k == 0, F.lit(0.0)).otherwise(ss / (n - 1))
+
+
+def gene_stats_by_batch(m: ExprMatrix, batches: DataFrame, batch: str = "batch") -> DataFrame:
+    """``(batch, gene_id, n, total, mean, var)`` per batch of samples (Q1/Q2 variant).
+
+    ``batches(sample_id, batch)`` assigns samples to batches; n is the batch's sample
+    count, so zeros are padded per batch. Only (batch, gene) pairs with a stored cell
+    appear; a missing pair is an all-zero gene in that batch (total = mean = var = 0).
+    """
+    b = batches.select(SAMPLE, batch)
+    n_b = b.groupBy(batch).agg(F.count(F.lit(1)).alias("n"))
+    agg = (m.cells.join(m.samples_bc(b), SAMPLE).groupBy(batch, GENE)
+           .agg(F.count(VALUE).alias("_k"), F.avg(VALUE).alias("_a"), F.var_pop(VALUE).alias("_v")))
+    st = agg.join(F.broadcast(n_b), batch)
+    total = F.col("_k").cast("double") * F.col("_a")
+    return st.select(batch, GENE, F.col("n").cast("bigint").alias("n"), total.alias("total"),
+                     (total / F.col("n")).alias("mean"),
+                     _padded_var_col(F.col("_k"), F.col("_a"), F.col("_v"), F.col("n")).alias("var"))
+
+
 def gene_stats(m: ExprMatrix) -> DataFrame:
     """``(gene_id, n, total, mean, var)`` for every gene of ``m`` (A1–A3).
 

@@ -10,7 +10,7 @@ from ..functions import scalar as fx
 from ..matrix import (GENE, GENE_IDX, MAX_BROADCAST_SAMPLES, SAMPLE, VALUE, VALUES,
                       ExprMatrix, checked_broadcast, cache_small)
 from .filters import drop_zero_genes
-from .stats import gene_stats, geometric_mean_zero_as_one, sample_stats
+from .stats import gene_stats, gene_stats_by_batch, geometric_mean_zero_as_one, sample_stats
 
 
 def upper_quartile_factors(m: ExprMatrix, q: float = 0.75, on_empty_sample: str = "error") -> DataFrame:
@@ -62,41 +62,58 @@ def log2p1(m: ExprMatrix) -> ExprMatrix:
     return m.map_values(fx.log2p1)
 
 
-def log_normalize(m: ExprMatrix, scale: float = 1e4) -> ExprMatrix:
+def log_normalize(m: ExprMatrix, scale: float = 1e4, batches: DataFrame | None = None,
+                  batch: str = "batch") -> ExprMatrix:
     """X / gene_total (0 → 1e-6) × scale, then ln with 0 replaced by 1.
 
-    Totals are per gene over all samples (the pandas path, D0.4). The gene totals are
-    a gene-sized table joined by broadcast when the gene count allows.
+    Totals are per gene over all samples (the pandas path, D0.4); with ``batches``
+    (``sample_id, batch``) they are per gene within each batch, the reference's
+    per-partition Dask behaviour made explicit (Q1). The totals are a gene-sized
+    table joined by broadcast when the gene count allows.
     """
-    totals = cache_small(gene_stats(m).select(GENE, "total"))
-    t_bc = m.genes_bc(totals)
-    cells = (m.cells.join(t_bc, GENE)
-             .select(SAMPLE, GENE,
-                     fx.ln_zero_as_one(fx.guarded_div(F.col(VALUE), F.col("total")) * F.lit(float(scale)))
-                     .alias(VALUE)))
-    return m.with_cells(cells)
+    f = lambda v, t: fx.ln_zero_as_one(fx.guarded_div(v, t) * F.lit(float(scale)))
+    if batches is None:
+        totals = cache_small(gene_stats(m).select(GENE, "total"))
+        cells = m.cells.join(m.genes_bc(totals), GENE)
+    else:
+        totals = cache_small(gene_stats_by_batch(m, batches, batch).select(batch, GENE, "total"))
+        cells = (m.cells.join(m.samples_bc(batches.select(SAMPLE, batch)), SAMPLE)
+                 .join(totals, [batch, GENE]))
+    return m.with_cells(cells.select(SAMPLE, GENE, f(F.col(VALUE), F.col("total")).alias(VALUE)))
 
 
-def scale_by_variance(m: ExprMatrix, by: str = "var") -> DataFrame:
-    """C5 as a dense long table ``(sample_id, gene_id, value)`` with (x − mean)/var.
+def scale_by_variance(m: ExprMatrix, by: str = "var", batches: DataFrame | None = None,
+                      batch: str = "batch") -> DataFrame:
+    """C5 as a dense long table ``(sample_id, gene_id, gene_idx, value)`` with (x − mean)/var.
 
     The result is dense (an absent zero becomes −mean/var), so each sample's stored
-    cells are first laid out as a dense row (one shuffle by sample), exploded, and
-    joined to the per-gene mean and divisor, a gene-sized table broadcast after its
-    size check. A constant gene has variance 0 and gives NULL (try_divide) where
-    pandas gives NaN (Q14); ``by='std'`` divides by the standard deviation (Q13).
+    cells are first laid out as a dense row (grouped by sample; no shuffle when the
+    cells are bucketed by sample), exploded, and joined to the per-gene mean and
+    divisor, a gene-sized table broadcast after its size check. A constant gene has
+    variance 0 and gives NULL (try_divide) where pandas gives NaN (Q14); ``by='std'``
+    divides by the standard deviation (Q13). With ``batches`` the mean and variance
+    are taken within each batch of samples (Q2).
     """
     if by not in ("var", "std"):
         raise ValueError("by must be 'var' or 'std'")
     idx = cache_small(m.gene_index())
-    st = cache_small(gene_stats(m).join(m.genes_bc(idx), GENE)
-                     .select(GENE_IDX, GENE, "mean",
-                             (F.col("var") if by == "var" else F.sqrt("var")).alias("div")))
     rows, _ = m.to_row_array(idx)
     long = rows.select(SAMPLE, F.posexplode(VALUES).alias(GENE_IDX, VALUE))
-    return (long.join(m.genes_bc(st), GENE_IDX)
-            .select(SAMPLE, GENE, GENE_IDX,
-                    F.try_divide(F.col(VALUE) - F.col("mean"), F.col("div")).alias(VALUE)))
+    div = lambda c: c if by == "var" else F.sqrt(c)
+    if batches is None:
+        st = cache_small(gene_stats(m).join(m.genes_bc(idx), GENE)
+                         .select(GENE_IDX, GENE, "mean", div(F.col("var")).alias("div")))
+        joined = long.join(m.genes_bc(st), GENE_IDX)
+    else:
+        st = cache_small(gene_stats_by_batch(m, batches, batch).join(m.genes_bc(idx), GENE)
+                         .select(batch, GENE_IDX, "mean", div(F.col("var")).alias("div")))
+        joined = (long.join(m.samples_bc(batches.select(SAMPLE, batch)), SAMPLE)
+                  .join(m.genes_bc(idx), GENE_IDX)
+                  .join(st, [batch, GENE_IDX], "left")
+                  .withColumn("mean", F.coalesce("mean", F.lit(0.0)))
+                  .withColumn("div", F.coalesce("div", F.lit(0.0))))
+    return joined.select(SAMPLE, GENE, GENE_IDX,
+                         F.try_divide(F.col(VALUE) - F.col("mean"), F.col("div")).alias(VALUE))
 
 
 def scale_genes_rows(m: ExprMatrix, by: str = "var") -> tuple[DataFrame, DataFrame]:

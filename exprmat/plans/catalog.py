@@ -1214,3 +1214,39 @@ def q_single_cell_customers(spark, sf_dir):
     from .singlecell import single_cell_pipeline
     m = B.customer_part_matrix(spark, sf_dir)
     return r6(single_cell_pipeline(m, n_top=1000).drop("gene_idx"))
+
+
+# ---------------------------------------------------------------------------- C3 / C5 per batch (Q1, Q2)
+def _supplier_batches(spark, sf_dir):
+    """(sample_id, batch): suppliers in three batches by nation key."""
+    return B.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias(SAMPLE),
+                                                     (F.col("s_nationkey") % 3).alias("batch"))
+
+
+_SQL_BATCH = "bt AS (SELECT s_suppkey AS sample_id, s_nationkey % 3 AS batch FROM supplier)"
+
+SQL_C3_BATCH = f"""WITH {CTE}, {_SQL_BATCH},
+gs AS (SELECT batch, gene_id, sum(value) AS s FROM dense JOIN bt USING (sample_id) GROUP BY ALL)
+SELECT sample_id, gene_id,
+  round(ln(CASE WHEN value / (CASE WHEN s = 0 THEN 1e-6 ELSE s END) * 10000 = 0 THEN 1
+                ELSE value / (CASE WHEN s = 0 THEN 1e-6 ELSE s END) * 10000 END), 6) AS value
+FROM cells JOIN bt USING (sample_id) JOIN gs USING (batch, gene_id)"""
+
+
+@register("c3_log_normalize_batches", SQL_C3_BATCH)
+def q_log_normalize_batches(spark, sf_dir):
+    m = B.tpch_matrix(spark, sf_dir)
+    return r6(transforms.log_normalize(m, batches=_supplier_batches(spark, sf_dir)).cells)
+
+
+SQL_C5_BATCH = f"""WITH {CTE}, {_SQL_BATCH},
+d AS (SELECT * FROM dense JOIN bt USING (sample_id)),
+st AS (SELECT batch, gene_id, avg(value) AS m, var_samp(value) AS v FROM d GROUP BY ALL)
+SELECT sample_id, gene_id, round(CASE WHEN v = 0 OR v IS NULL THEN NULL ELSE (value - m) / v END, 6) AS value
+FROM d JOIN st USING (batch, gene_id)"""
+
+
+@register("c5_scale_by_variance_batches", SQL_C5_BATCH)
+def q_scale_batches(spark, sf_dir):
+    m = B.tpch_matrix(spark, sf_dir)
+    return r6(transforms.scale_by_variance(m, batches=_supplier_batches(spark, sf_dir)).drop("gene_idx"))
