@@ -58,8 +58,9 @@ def materialize(df: DataFrame, name: str = "t", bucket_by: str | None = None,
         return spark.read.parquet(path)
     n = n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     table_name = f"exprmat_{name}_{uuid.uuid4().hex[:12]}"
-    (df.write.mode("overwrite").option("path", path).bucketBy(n, bucket_by).sortBy(bucket_by)
-     .saveAsTable(table_name))
+    # Hash-partition on the bucket key first so each task writes exactly one bucket file.
+    (df.repartition(n, bucket_by).write.mode("overwrite").option("path", path)
+     .bucketBy(n, bucket_by).sortBy(bucket_by).saveAsTable(table_name))
     return spark.table(table_name)
 
 
@@ -222,6 +223,26 @@ class ExprMatrix:
         samples = base.select(SAMPLE)
         return cls(cells, samples, gene_index.select(GENE), None, width)
 
+    def dense_long(self, gene_index: DataFrame) -> DataFrame:
+        """All n_samples × n_genes cells as ``(sample_id, gene_idx, value)``, zeros included.
+
+        Each sample's stored cells (at most n_genes) are gathered into one map (grouped
+        by sample: no exchange when the cells are bucketed by sample); every sample
+        then generates its n_genes positions and reads each from the map in a plain
+        projection, so the whole step stays in generated code.
+        """
+        g = self.n_genes
+        idx_bc = checked_broadcast(gene_index.select(GENE, GENE_IDX), g, MAX_BROADCAST_GENES)
+        per_sample = (self.cells.join(idx_bc, GENE)
+                      .groupBy(SAMPLE)
+                      .agg(F.map_from_entries(F.collect_list(F.struct(GENE_IDX, VALUE))).alias("_m")))
+        rows = self.samples.join(per_sample, SAMPLE, "left")
+        if g == 0:
+            return rows.select(SAMPLE, F.lit(None).cast("int").alias(GENE_IDX),
+                               F.lit(None).cast("double").alias(VALUE)).limit(0)
+        return (rows.select(SAMPLE, "_m", F.explode(F.sequence(F.lit(0), F.lit(g - 1))).alias(GENE_IDX))
+                .select(SAMPLE, GENE_IDX, F.coalesce(F.try_element_at("_m", F.col(GENE_IDX)), F.lit(0.0)).alias(VALUE)))
+
     def dense_cells(self) -> DataFrame:
         """All n_samples × n_genes cells, zeros included (for small outputs and checks)."""
         rows, idx = self.to_row_array()

@@ -22,7 +22,15 @@ def top_variance_genes(m: ExprMatrix, n: int, tie_break: str = GENE) -> DataFram
     return st.orderBy(key.desc_nulls_last(), F.col(tie_break)).limit(n).select(GENE, "var")
 
 
-def highly_variable_genes(m: ExprMatrix, n: int = 2000) -> ExprMatrix:
-    """C4: restrict ``m`` to its n most variable genes."""
-    top = cache_small(top_variance_genes(m, n))
-    return m.restrict_genes(top.select(GENE), min(n, m.n_genes))
+def highly_variable_genes(m: ExprMatrix, n: int = 2000, with_stats: bool = False):
+    """C4: restrict ``m`` to its n most variable genes.
+
+    With ``with_stats`` also returns the selected genes' ``gene_id, mean, var``; they
+    are statistics over the same samples, so a following scaling step (C5) can reuse
+    them instead of another pass over the cells.
+    """
+    st = cache_small(gene_stats(m))
+    key = F.round(F.col("var"), 9)
+    top = cache_small(st.orderBy(key.desc_nulls_last(), F.col(GENE)).limit(n).select(GENE, "mean", "var"))
+    out = m.restrict_genes(top.select(GENE), min(n, m.n_genes))
+    return (out, top) if with_stats else out

@@ -18,5 +18,5 @@ def single_cell_pipeline(m: ExprMatrix, n_top: int = 2000, scale: float = 1e4,
     partition (Q1, Q2). The result stays distributed; the reference collects it.
     """
     ln = log_normalize(m, scale)
-    hv = highly_variable_genes(ln, n_top)
-    return scale_by_variance(hv, by)
+    hv, hv_stats = highly_variable_genes(ln, n_top, with_stats=True)
+    return scale_by_variance(hv, by, stats=hv_stats)
