@@ -36,6 +36,14 @@ def checked_broadcast(df: DataFrame, n_rows: int, max_rows: int) -> DataFrame:
     return F.broadcast(df) if n_rows <= max_rows else df
 
 
+def counted_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_SAMPLES) -> tuple[DataFrame, int]:
+    """Cache a small lookup table, count it, and broadcast it only within ``max_rows``;
+    beyond that the join is left to a shuffle join. Returns (table, row count)."""
+    df = df.cache()
+    n = df.count()
+    return checked_broadcast(df, n, max_rows), n
+
+
 def materialize(df: DataFrame, name: str = "t", bucket_by: str | None = None,
                 n_buckets: int | None = None) -> DataFrame:
     """Write an intermediate table under the shared checkpoint folder and read it back.
@@ -163,13 +171,15 @@ class ExprMatrix:
     def gene_index(self, order_by: str | Column = GENE) -> DataFrame:
         """``genes(gene_idx, gene_id)`` with a dense 0-based index in ``order_by`` order.
 
-        The gene table is bounded by the gene count (checked), so a single ordered
-        window over it is cheap; it never touches the cells.
+        Ranked with the distributed range-partition ranker (no single-task window);
+        it only reads the gene table, never the cells.
         """
-        from pyspark.sql import Window
+        from .operators.sampling import RANK, global_rank
 
-        w = Window.orderBy(order_by, GENE)
-        return self.genes.select(GENE, (F.row_number().over(w) - 1).cast("int").alias(GENE_IDX))
+        g = self.genes.select(GENE) if isinstance(order_by, str) and order_by == GENE else \
+            self.genes.select(GENE, order_by.alias("_o") if not isinstance(order_by, str) else F.col(order_by).alias("_o"))
+        order = [GENE] if "_o" not in g.columns else ["_o", GENE]
+        return global_rank(g, order).select(GENE, F.col(RANK).cast("int").alias(GENE_IDX))
 
     def to_row_array(self, gene_index: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         """Dense row-array form ``(sample_id, values)`` plus the gene index used.

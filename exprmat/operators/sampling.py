@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import hash_rank_key
-from ..matrix import GENE, SAMPLE, ExprMatrix, cache_small
+from ..matrix import GENE, MAX_BROADCAST_SAMPLES, SAMPLE, ExprMatrix, cache_small, counted_broadcast
 
 RANK = "_rank"
 
@@ -54,13 +54,22 @@ def seeded_rank(df: DataFrame, id_col: str, seed: int = 42, within: str | None =
     if within is None:
         return global_rank(df.withColumn("_key", key), ["_key", id_col]).drop("_key")
     ranked = global_rank(df.withColumn("_key", key), [within, "_key", id_col]).drop("_key")
-    counts = df.groupBy(within).agg(F.count(F.lit(1)).alias("_c"))
+    counts = cache_small(df.groupBy(within).agg(F.count(F.lit(1)).alias("_c")))
+    _check_groups(counts, within)
     w = Window.orderBy(within).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(within, F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_start"))
     return (ranked.join(F.broadcast(starts), within)
             .withColumn(RANK, F.col(RANK) - F.col("_start")).drop("_start"))
 
 
+def _check_groups(counts: DataFrame, col: str) -> None:
+    """Group-level tables (one row per class) are ordered and broadcast whole; refuse a
+    grouping column with more distinct values than that allows."""
+    n = counts.count()
+    if n > MAX_BROADCAST_SAMPLES:
+        raise ValueError(f"{col} has {n} distinct values; too many groups to stratify by")
+
+
 def train_test_split(df: DataFrame, id_col: str = SAMPLE, test_frac: float = 0.3, seed: int = 42,
                      n_rows: int | None = None) -> DataFrame:
     """M1: add ``split`` ∈ {'train','test'}; the first ceil(test_frac·n) ranks are test
@@ -106,6 +115,7 @@ def class_quotas(df: DataFrame, label: str, n: int) -> DataFrame:
     Runs on the class-count table (one row per class).
     """
     counts = cache_small(df.groupBy(label).agg(F.count(F.lit(1)).alias("n_class")))
+    _check_groups(counts, label)
     total = counts.agg(F.sum("n_class")).scalar()
     exact = F.lit(n) * F.col("n_class") / total
     base = counts.select(label, "n_class", F.floor(exact).alias("_b"), (exact - F.floor(exact)).alias("_rem"))

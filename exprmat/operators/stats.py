@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..matrix import GENE, SAMPLE, VALUE, ExprMatrix
+from ..matrix import GENE, SAMPLE, VALUE, ExprMatrix, counted_broadcast
 
 
 def _padded_var(k: Column, a: Column, v: Column, n: int) -> Column:
@@ -43,10 +43,10 @@ def gene_stats_by_batch(m: ExprMatrix, batches: DataFrame, batch: str = "batch")
     appear; a missing pair is an all-zero gene in that batch (total = mean = var = 0).
     """
     b = batches.select(SAMPLE, batch)
-    n_b = b.groupBy(batch).agg(F.count(F.lit(1)).alias("n"))
+    n_b, _ = counted_broadcast(b.groupBy(batch).agg(F.count(F.lit(1)).alias("n")))
     agg = (m.cells.join(m.samples_bc(b), SAMPLE).groupBy(batch, GENE)
            .agg(F.count(VALUE).alias("_k"), F.avg(VALUE).alias("_a"), F.var_pop(VALUE).alias("_v")))
-    st = agg.join(F.broadcast(n_b), batch)
+    st = agg.join(n_b, batch)
     total = F.col("_k").cast("double") * F.col("_a")
     return st.select(batch, GENE, F.col("n").cast("bigint").alias("n"), total.alias("total"),
                      (total / F.col("n")).alias("mean"),

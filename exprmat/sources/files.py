@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import basename
-from ..matrix import GENE, SAMPLE, VALUE, ExprMatrix
+from ..matrix import GENE, SAMPLE, VALUE, ExprMatrix, counted_broadcast
 
 # The reference's NA marker in exposure tables, the file-name tags of a
 # per-sample expression file, and the row prefix of gene (not footer) rows.
@@ -88,7 +88,8 @@ def read_sample_files(spark: SparkSession, root: str, tags=SAMPLE_FILE_TAGS, nam
         first = draws.join(first, "_dir").select("_dir", "_path", "draw")
     else:
         first = first.withColumn("draw", F.lit(None).cast("long"))
-    cells = raw.join(F.broadcast(first) if n_subsamples is None else first, ["_dir", "_path"])
+    first, _ = counted_broadcast(first)      # one row per folder (draw)
+    cells = raw.join(first, ["_dir", "_path"])
     if gene_prefix:
         cells = cells.filter(F.col(GENE).startswith(gene_prefix))
     sid = basename("_path") if key == "file" else basename("_dir")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..matrix import GENE, SAMPLE, VALUE, VALUES, ExprMatrix
+from ..matrix import GENE, SAMPLE, VALUE, VALUES, ExprMatrix, counted_broadcast
 
 # Above this many gene columns a wide parquet file is imported with pyarrow on the
 # executors instead of array(*cols), which the optimizer handles badly when wide.
@@ -269,10 +269,10 @@ def read_coo(spark: SparkSession, path: str, fmt: str = "mtx", one_based: bool =
              .select(F.trim("value").alias("v"), F.col("_metadata.file_path").alias("_f"),
                      F.input_file_block_start().alias("_b"), F.monotonically_increasing_id().alias("_o"))
              .filter(~F.col("v").startswith("%") & (F.length("v") > 0)))
-    firsts = lines.filter(F.col("_b") == 0).groupBy("_f").agg(F.min("_o").alias("_o"))
-    size = lines.join(F.broadcast(firsts), ["_f", "_o"]).select(F.split("v", sep).alias("s"))
+    firsts, _ = counted_broadcast(lines.filter(F.col("_b") == 0).groupBy("_f").agg(F.min("_o").alias("_o")))
+    size = lines.join(firsts, ["_f", "_o"]).select(F.split("v", sep).alias("s"))
     dims = size.agg(F.max(F.col("s")[0].cast("long")).alias("r"), F.max(F.col("s")[1].cast("long")).alias("c")).first()
-    body = lines.join(F.broadcast(firsts), ["_f", "_o"], "left_anti").select(F.split("v", sep).alias("t"))
+    body = lines.join(firsts, ["_f", "_o"], "left_anti").select(F.split("v", sep).alias("t"))
     shift = 1 if one_based else 0
     cells = body.select((F.col("t")[0].cast("long") - shift).alias(SAMPLE),
                         (F.col("t")[1].cast("long") - shift).alias(GENE),

@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as fx
-from ..matrix import GENE, SAMPLE, VALUE
+from ..matrix import GENE, MAX_BROADCAST_GENES, SAMPLE, VALUE, counted_broadcast
 
 
 def log_normalize_stream(cells: DataFrame, gene_totals: DataFrame, scale: float = 1e4) -> DataFrame:
     """C3 with gene totals fitted beforehand (``gene_id, total``)."""
-    return (cells.join(F.broadcast(gene_totals.select(GENE, "total")), GENE)
+    totals, _ = counted_broadcast(gene_totals.select(GENE, "total"), MAX_BROADCAST_GENES)
+    return (cells.join(totals, GENE)
             .select(SAMPLE, GENE, fx.ln_zero_as_one(fx.guarded_div(F.col(VALUE), F.col("total"))
                                                     * F.lit(float(scale))).alias(VALUE)))
 
@@ -25,5 +26,5 @@ def log_normalize_stream(cells: DataFrame, gene_totals: DataFrame, scale: float
 def scale_stream(cells: DataFrame, gene_stats: DataFrame, by: str = "var") -> DataFrame:
     """C5 on stored cells with fitted ``gene_id, mean, var``."""
     div = F.col("var") if by == "var" else F.sqrt("var")
-    st = F.broadcast(gene_stats.select(GENE, "mean", div.alias("_div")))
+    st, _ = counted_broadcast(gene_stats.select(GENE, "mean", div.alias("_div")), MAX_BROADCAST_GENES)
     return cells.join(st, GENE).select(SAMPLE, GENE, F.try_divide(F.col(VALUE) - F.col("mean"), F.col("_div")).alias(VALUE))
