@@ -1250,3 +1250,51 @@ FROM d JOIN st USING (batch, gene_id)"""
 def q_scale_batches(spark, sf_dir):
     m = B.tpch_matrix(spark, sf_dir)
     return r6(transforms.scale_by_variance(m, batches=_supplier_batches(spark, sf_dir)).drop("gene_idx"))
+
+
+# ---------------------------------------------------------------------------- X3, X4
+@register("x4_uq_estimator", SQL_C1)
+def q_uq_estimator(spark, sf_dir):
+    """C1 through the Estimator/Model interface (fit on the cells, transform them)."""
+    from ..operators.estimators import UpperQuartileNormalizer
+    cells = B.tpch_matrix(spark, sf_dir).cells
+    return r6(UpperQuartileNormalizer(q=0.75).fit(cells).transform(cells))
+
+
+SQL_X3 = f"""WITH {CTE}, {_SQL_BATCH}
+SELECT batch, CAST(count(*) AS BIGINT) AS n_cells, round(sum(value), 6) AS total
+FROM cells JOIN bt USING (sample_id) GROUP BY batch"""
+
+
+@register("x3_map_batches", SQL_X3)
+def q_map_batches(spark, sf_dir):
+    """A pandas function per batch of samples (the reference's map_partitions hook)."""
+    import pandas as pd
+
+    from ..operators.estimators import map_batches
+
+    def summarise(p: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"batch": [int(p["batch"].iloc[0])], "n_cells": [len(p)],
+                             "total": [float(p["value"].sum())]})
+
+    c = B.tpch_matrix(spark, sf_dir).cells.join(_supplier_batches(spark, sf_dir), SAMPLE)
+    return r6(map_batches(c, summarise, "batch int, n_cells long, total double", "batch"))
+
+
+# ---------------------------------------------------------------------------- C2 on embeddings (row-array input)
+CTE_EMB = """cells AS (SELECT vec_id AS sample_id, CAST(i - 1 AS INTEGER) AS gene_id, abs(CAST(embedding[i] AS DOUBLE)) AS value
+                FROM embeddings, range(1, 65) t(i)),
+samples AS (SELECT vec_id AS sample_id FROM embeddings),
+genes AS (SELECT CAST(range AS INTEGER) AS gene_id FROM range(64)),
+dense AS (SELECT * FROM cells)"""
+
+SQL_C2_EMB = _sql_normalized(CTE_EMB) + """
+SELECT c.sample_id, c.gene_id, round(log2(c.value * nf.norm_factor / geo.g + 1), 6) AS value
+FROM cells c JOIN keep USING (gene_id) JOIN nf USING (sample_id), geo"""
+
+
+@register("c2_feature_preprocessing_embeddings", SQL_C2_EMB)
+def q_feature_preprocessing_emb(spark, sf_dir):
+    """C2 on the row-array embeddings (absolute values; the table holds no zeros)."""
+    from .bulk import feature_preprocessing
+    return r6(feature_preprocessing(B.embedding_matrix(spark, sf_dir, absolute=True)).cells)
