@@ -73,12 +73,21 @@ def materialize(df: DataFrame, name: str = "t", bucket_by: str | None = None,
 
 
 def cache_small(df: DataFrame) -> DataFrame:
-    """Keep a small derived table (gene-, sample- or class-sized) in executor memory.
+    """Pin a small derived table (gene-, sample- or class-sized) that is read again.
 
-    Such tables are read several times; a lost cached partition is recomputed from
-    its short lineage (which starts at materialised cells or a dimension scan).
+    The table is computed once (cached), written by a reliable ``checkpoint`` to the
+    shared folder named by ``spark.checkpoint.dir``, and the cache is dropped. Later
+    plans start from the checkpoint files: they stay shallow (analysis and cache
+    matching do not grow with pipeline depth), nothing piles up in executor memory,
+    and a lost executor never recomputes the upstream passes.
     """
-    return df.cache()
+    from .session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    df = df.cache()
+    out = df.checkpoint(eager=True)
+    df.unpersist()
+    return out
 
 
 @dataclass

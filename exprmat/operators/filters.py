@@ -13,7 +13,7 @@ from .stats import gene_stats, strictly_greater
 def drop_zero_genes(m: ExprMatrix) -> ExprMatrix:
     """Keep genes whose mean over all samples is > 0."""
     keep = cache_small(gene_stats(m).filter(F.col("mean") > 0).select(GENE))
-    return m.restrict_genes(keep)
+    return m.restrict_genes(keep, keep.count())
 
 
 def low_signal_thresholds(stats: DataFrame, q: float = 0.25) -> tuple[Column, Column]:
@@ -32,7 +32,7 @@ def filter_low_signal(m: ExprMatrix, q: float = 0.25, stats_from: ExprMatrix | N
     stats = cache_small(gene_stats(stats_from or m))
     qm, qv = low_signal_thresholds(stats, q)
     keep = stats.filter(strictly_greater(F.col("mean"), qm) & strictly_greater(F.col("var"), qv)).select(GENE)
-    return m.restrict_genes(keep)
+    return m.restrict_genes(keep, keep.count())   # a filter over the pinned statistics
 
 
 def keep_gene_prefix(m: ExprMatrix, prefix: str) -> ExprMatrix:

@@ -90,7 +90,8 @@ def pre_ml(rows: DataFrame, labels: DataFrame, task: str = CLASSIFICATION, label
         s = s.withColumn("label_idx", F.col(label).cast("double"))
     means, scales = fit_standard_scaler(train)
     s = apply_standard_scaler(s, means, scales)
-    return s.withColumn("features", array_to_vector(VALUES))
+    # The ML table is read by every fit, fold and score: written once, read flat.
+    return cache_small(s.withColumn("features", array_to_vector(VALUES)))
 
 
 # ---------------------------------------------------------------------------- L3–L6

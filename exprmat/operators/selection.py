@@ -32,5 +32,5 @@ def highly_variable_genes(m: ExprMatrix, n: int = 2000, with_stats: bool = False
     st = cache_small(gene_stats(m))
     key = F.round(F.col("var"), 9)
     top = cache_small(st.orderBy(key.desc_nulls_last(), F.col(GENE)).limit(n).select(GENE, "mean", "var"))
-    out = m.restrict_genes(top.select(GENE), min(n, m.n_genes))
+    out = m.restrict_genes(top.select(GENE), min(n, m.n_genes))     # count known: no second pin
     return (out, top) if with_stats else out

@@ -31,7 +31,7 @@ def prepare_bulk_dataset(features: ExprMatrix, labels: DataFrame, file_map: Data
     present = features.cells.select(SAMPLE).distinct()
     _, lab = match_samples(present, lab, SAMPLE)
     lab = cache_small(lab)
-    m = features.restrict_samples(lab.select(SAMPLE))
+    m = features.restrict_samples(lab.select(SAMPLE), lab.count())
     if gene_list is not None:
         m = select_coding_genes(m, gene_list, gene_list_col)
     if out:
@@ -45,7 +45,7 @@ def undersample_dataset(m: ExprMatrix, labels: DataFrame, n_genes: int, n_sample
     """The n_genes most variable genes (K2) of a class-stratified, seeded sample
     of n_samples samples (M2); optionally written as parquet (S11)."""
     lab = cache_small(stratified_sample(labels.join(m.samples, SAMPLE, "left_semi"), label, n_samples, SAMPLE, seed))
-    sub = m.restrict_samples(lab.select(SAMPLE))
+    sub = m.restrict_samples(lab.select(SAMPLE), lab.count())
     top = cache_small(top_variance_genes(m, n_genes))
     sub = sub.restrict_genes(top.select(GENE), min(n_genes, m.n_genes))
     if out:
