@@ -242,25 +242,21 @@ class ExprMatrix:
         samples = base.select(SAMPLE)
         return cls(cells, samples, gene_index.select(GENE), None, width)
 
-    def dense_long(self, gene_index: DataFrame) -> DataFrame:
-        """All n_samples × n_genes cells as ``(sample_id, gene_idx, value)``, zeros included.
-
-        Each sample's stored cells (at most n_genes) are gathered into one map (grouped
-        by sample: no exchange when the cells are bucketed by sample); every sample
-        then generates its n_genes positions and reads each from the map in a plain
-        projection, so the whole step stays in generated code.
+    def dense_long(self) -> DataFrame:
+        """All n_samples × n_genes cells as ``(sample_id, gene_id, value)``, zeros included.
+
+        Each sample's stored cells (at most n_genes) are gathered into one map keyed
+        by gene (grouped by sample: no exchange when the cells are bucketed by
+        sample); every sample then explodes the gene list (a one-row scalar subquery
+        of at most n_genes ids) and reads each value from its map in a plain
+        projection, so the step stays in generated code and needs no gene index.
         """
-        g = self.n_genes
-        idx_bc = checked_broadcast(gene_index.select(GENE, GENE_IDX), g, MAX_BROADCAST_GENES)
-        per_sample = (self.cells.join(idx_bc, GENE)
-                      .groupBy(SAMPLE)
-                      .agg(F.map_from_entries(F.collect_list(F.struct(GENE_IDX, VALUE))).alias("_m")))
+        per_sample = (self.cells.groupBy(SAMPLE)
+                      .agg(F.map_from_entries(F.collect_list(F.struct(GENE, VALUE))).alias("_m")))
         rows = self.samples.join(per_sample, SAMPLE, "left")
-        if g == 0:
-            return rows.select(SAMPLE, F.lit(None).cast("int").alias(GENE_IDX),
-                               F.lit(None).cast("double").alias(VALUE)).limit(0)
-        return (rows.select(SAMPLE, "_m", F.explode(F.sequence(F.lit(0), F.lit(g - 1))).alias(GENE_IDX))
-                .select(SAMPLE, GENE_IDX, F.coalesce(F.try_element_at("_m", F.col(GENE_IDX)), F.lit(0.0)).alias(VALUE)))
+        all_genes = self.genes.agg(F.collect_list(GENE)).scalar()
+        return (rows.select(SAMPLE, "_m", F.explode(all_genes).alias(GENE))
+                .select(SAMPLE, GENE, F.coalesce(F.try_element_at("_m", F.col(GENE)), F.lit(0.0)).alias(VALUE)))
 
     def dense_cells(self) -> DataFrame:
         """All n_samples × n_genes cells, zeros included (for small outputs and checks)."""

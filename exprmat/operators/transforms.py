@@ -84,7 +84,7 @@ def log_normalize(m: ExprMatrix, scale: float = 1e4, batches: DataFrame | None =
 
 def scale_by_variance(m: ExprMatrix, by: str = "var", batches: DataFrame | None = None,
                       batch: str = "batch", stats: DataFrame | None = None) -> DataFrame:
-    """C5 as a dense long table ``(sample_id, gene_id, gene_idx, value)`` with (x − mean)/var.
+    """C5 as a dense long table ``(sample_id, gene_id, value)`` with (x − mean)/var.
 
     The result is dense (an absent zero becomes −mean/var), so each sample's stored
     cells are first laid out as a dense row (grouped by sample; no shuffle when the
@@ -97,33 +97,32 @@ def scale_by_variance(m: ExprMatrix, by: str = "var", batches: DataFrame | None
     """
     if by not in ("var", "std"):
         raise ValueError("by must be 'var' or 'std'")
-    idx = cache_small(m.gene_index())
-    long = m.dense_long(idx)
+    long = m.dense_long()
     div = lambda c: c if by == "var" else F.sqrt(c)
     if batches is None:
-        st = cache_small((stats if stats is not None else gene_stats(m)).join(m.genes_bc(idx), GENE)
-                         .select(GENE_IDX, GENE, "mean", div(F.col("var")).alias("div")))
-        joined = long.join(m.genes_bc(st), GENE_IDX)
+        st = cache_small((stats if stats is not None else gene_stats(m))
+                         .select(GENE, "mean", div(F.col("var")).alias("div")))
+        joined = long.join(m.genes_bc(st), GENE)
     else:
-        st = cache_small(gene_stats_by_batch(m, batches, batch).join(m.genes_bc(idx), GENE)
-                         .select(batch, GENE_IDX, "mean", div(F.col("var")).alias("div")))
+        st = cache_small(gene_stats_by_batch(m, batches, batch)
+                         .select(batch, GENE, "mean", div(F.col("var")).alias("div")))
         joined = (long.join(m.samples_bc(batches.select(SAMPLE, batch)), SAMPLE)
-                  .join(m.genes_bc(idx), GENE_IDX)
-                  .join(st, [batch, GENE_IDX], "left")
+                  .join(st, [batch, GENE], "left")
                   .withColumn("mean", F.coalesce("mean", F.lit(0.0)))
                   .withColumn("div", F.coalesce("div", F.lit(0.0))))
-    return joined.select(SAMPLE, GENE, GENE_IDX,
-                         F.try_divide(F.col(VALUE) - F.col("mean"), F.col("div")).alias(VALUE))
+    return joined.select(SAMPLE, GENE, F.try_divide(F.col(VALUE) - F.col("mean"), F.col("div")).alias(VALUE))
 
 
 def scale_genes_rows(m: ExprMatrix, by: str = "var") -> tuple[DataFrame, DataFrame]:
-    """C5 in dense row-array form ``(sample_id, values)`` plus the gene index.
+    """C5 in dense row-array form ``(sample_id, values)`` plus the gene index
+    ``(gene_id, gene_idx)`` giving the array positions (genes in id order).
 
     Built from the long result; the exploded rows keep their hash partitioning by
     sample, so gathering them back per sample adds no shuffle.
     """
-    long = scale_by_variance(m, by)
+    idx = cache_small(m.gene_index())
+    long = scale_by_variance(m, by).join(m.genes_bc(idx), GENE)
     rows = (long.groupBy(SAMPLE)
             .agg(F.array_sort(F.collect_list(F.struct(GENE_IDX, VALUE))).alias("_e"))
             .select(SAMPLE, F.transform("_e", lambda e: e[VALUE]).alias(VALUES)))
-    return rows, long.select(GENE, GENE_IDX).distinct()
+    return rows, idx

@@ -200,7 +200,7 @@ FROM dense d JOIN st USING (gene_id)"""
 
 @register("c5_scale_by_variance", SQL_C5)
 def q_scale(spark, sf_dir):
-    return r6(transforms.scale_by_variance(B.tpch_matrix(spark, sf_dir)).drop("gene_idx"))
+    return r6(transforms.scale_by_variance(B.tpch_matrix(spark, sf_dir)))
 
 
 SQL_C6 = _SQL_HVG + """,
@@ -214,7 +214,7 @@ FROM sel JOIN st USING (gene_id)"""
 def q_single_cell(spark, sf_dir):
     from .singlecell import single_cell_pipeline
     m = B.tpch_matrix(spark, sf_dir)
-    return r6(single_cell_pipeline(m, n_top=20).drop("gene_idx"))
+    return r6(single_cell_pipeline(m, n_top=20))
 
 
 # ---------------------------------------------------------------------------- M1–M5, S7
@@ -1213,7 +1213,7 @@ def q_single_cell_customers(spark, sf_dir):
     at sf0.1): log-normalise, 1,000 most variable parts, dense scaled output."""
     from .singlecell import single_cell_pipeline
     m = B.customer_part_matrix(spark, sf_dir)
-    return r6(single_cell_pipeline(m, n_top=1000).drop("gene_idx"))
+    return r6(single_cell_pipeline(m, n_top=1000))
 
 
 # ---------------------------------------------------------------------------- C3 / C5 per batch (Q1, Q2)
@@ -1249,7 +1249,7 @@ FROM d JOIN st USING (batch, gene_id)"""
 @register("c5_scale_by_variance_batches", SQL_C5_BATCH)
 def q_scale_batches(spark, sf_dir):
     m = B.tpch_matrix(spark, sf_dir)
-    return r6(transforms.scale_by_variance(m, batches=_supplier_batches(spark, sf_dir)).drop("gene_idx"))
+    return r6(transforms.scale_by_variance(m, batches=_supplier_batches(spark, sf_dir)))
 
 
 # ---------------------------------------------------------------------------- X3, X4

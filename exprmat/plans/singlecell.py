@@ -13,7 +13,7 @@ def single_cell_pipeline(m: ExprMatrix, n_top: int = 2000, scale: float = 1e4,
                          by: str = "var") -> DataFrame:
     """Log-normalise (C3) → n_top most variable genes (C4) → scale.
 
-    Returns the dense scaled matrix ``(sample_id, gene_id, gene_idx, value)`` over the
+    Returns the dense scaled matrix ``(sample_id, gene_id, value)`` over the
     selected genes. Statistics are global over all cells (the pandas path), not per
     partition (Q1, Q2). The result stays distributed; the reference collects it.
     """
