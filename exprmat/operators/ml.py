@@ -24,6 +24,8 @@ from ..matrix import GENE_IDX, SAMPLE, VALUE, VALUES, cache_small
 from .joins import join_labels
 from .sampling import kfold, train_test_split
 
+ML_PARTITION_BYTES = 64 * 1024 * 1024
+
 CLASSIFICATION, REGRESSION = "classification", "regression"
 _TASKS = {"classification": CLASSIFICATION, "class": CLASSIFICATION,
           "regression": REGRESSION, "regress": REGRESSION}
@@ -72,6 +74,11 @@ def apply_standard_scaler(df: DataFrame, means: list[float], scales: list[float]
 
 
 # ---------------------------------------------------------------------------- C7
+def repartition_by_size(df, target_bytes, n_rows, row_bytes):
+    from ..sources.matrix_io import repartition_by_size as _rbs
+    return _rbs(df, target_bytes, n_rows=n_rows, row_bytes=row_bytes)
+
+
 def pre_ml(rows: DataFrame, labels: DataFrame, task: str = CLASSIFICATION, label: str = "label",
            test_frac: float = 0.3, seed: int = 42) -> DataFrame:
     """Join features and labels by key (J3) → seeded train/test split (M1) →
@@ -89,9 +96,11 @@ def pre_ml(rows: DataFrame, labels: DataFrame, task: str = CLASSIFICATION, label
     else:
         s = s.withColumn("label_idx", F.col(label).cast("double"))
     means, scales = fit_standard_scaler(train)
-    s = apply_standard_scaler(s, means, scales)
-    # The ML table is read by every fit, fold and score: written once, read flat.
-    return cache_small(s.withColumn("features", array_to_vector(VALUES)))
+    s = apply_standard_scaler(s, means, scales).withColumn("features", array_to_vector(VALUES))
+    # The ML table is read by every fit, fold and score: pinned once, with partitions
+    # sized to ~64 MB (S12) so tree learners do not schedule hundreds of tiny tasks.
+    row_bytes = 64 + 16 * len(means)
+    return cache_small(repartition_by_size(s, ML_PARTITION_BYTES, n_rows=j.count(), row_bytes=row_bytes))
 
 
 # ---------------------------------------------------------------------------- L3–L6
@@ -125,6 +134,14 @@ def evaluator(task: str):
 
 
 # ---------------------------------------------------------------------------- L7
+def _folds(df: DataFrame, k: int, seed: int) -> DataFrame:
+    """Fold numbers (M4), pinned, with the input's partition count restored (the
+    ranking range-partitions the rows; coalesce merges them back without a shuffle)."""
+    n_parts = df.rdd.getNumPartitions()
+    base = df.drop("fold") if "fold" in df.columns else df
+    return cache_small(kfold(base, SAMPLE, k, seed).coalesce(max(1, n_parts)))
+
+
 def cross_validate(df: DataFrame, estimator: Estimator, task: str = CLASSIFICATION, k: int = 10,
                    seed: int = 42, parallelism: int = 4) -> DataFrame:
     """K shuffled folds (M4); per fold fit on the rest and score on the fold.
@@ -133,7 +150,7 @@ def cross_validate(df: DataFrame, estimator: Estimator, task: str = CLASSIFICATI
     computed (Q9). Folds run as concurrent Spark jobs from ``parallelism`` threads.
     """
     spark = df.sparkSession
-    folded = cache_small(kfold(df.drop("fold") if "fold" in df.columns else df, SAMPLE, k, seed))
+    folded = _folds(df, k, seed)
     ev = evaluator(task)
 
     def one(f: int):
@@ -175,7 +192,7 @@ def nested_cv(df: DataFrame, estimator: Estimator, grid: dict[str, list], task:
     """``outer`` shuffled folds; in each, a grid search (L8) on the rest and the
     refit best model scored on the fold. Returns ``(fold, n_test, score, best_params)``."""
     spark = df.sparkSession
-    folded = cache_small(kfold(df.drop("fold") if "fold" in df.columns else df, SAMPLE, outer, seed))
+    folded = _folds(df, outer, seed)
     ev = evaluator(task)
 
     def one(f: int):
