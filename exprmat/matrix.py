@@ -188,7 +188,7 @@ class ExprMatrix:
         g = self.genes.select(GENE) if isinstance(order_by, str) and order_by == GENE else \
             self.genes.select(GENE, order_by.alias("_o") if not isinstance(order_by, str) else F.col(order_by).alias("_o"))
         order = [GENE] if "_o" not in g.columns else ["_o", GENE]
-        return global_rank(g, order).select(GENE, F.col(RANK).cast("int").alias(GENE_IDX))
+        return global_rank(g, order, n_rows=self.n_genes).select(GENE, F.col(RANK).cast("int").alias(GENE_IDX))
 
     def to_row_array(self, gene_index: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         """Dense row-array form ``(sample_id, values)`` plus the gene index used.

@@ -20,17 +20,27 @@ from ..matrix import GENE, MAX_BROADCAST_SAMPLES, SAMPLE, ExprMatrix, cache_smal
 RANK = "_rank"
 
 
-def _n_parts(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+# Rows per range partition when ranking: ids sort comfortably in one task at this size.
+RANK_ROWS_PER_PARTITION = 500_000
 
 
-def global_rank(df: DataFrame, order: list[Column | str], n_partitions: int | None = None) -> DataFrame:
+def _n_parts(df: DataFrame, n_rows: int | None) -> int:
+    """Range partitions for ranking: one per RANK_ROWS_PER_PARTITION rows, at most
+    spark.sql.shuffle.partitions (the cluster's sizing), at least one."""
+    cap = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if n_rows is None:
+        n_rows = df.count()
+    return max(1, min(cap, math.ceil(n_rows / RANK_ROWS_PER_PARTITION)))
+
+
+def global_rank(df: DataFrame, order: list[Column | str], n_partitions: int | None = None,
+                n_rows: int | None = None) -> DataFrame:
     """Add ``_rank`` = 0-based position of each row in ``order`` (must be a total order).
 
     Two passes over the range-partitioned rows: per-partition counts (a tiny table,
     turned into offsets) and the numbered rows; the shared shuffle is reused.
     """
-    n = n_partitions or _n_parts(df)
+    n = n_partitions or _n_parts(df, n_rows)
     parts = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
              .withColumn("_pid", F.spark_partition_id())
              .withColumn("_local", F.monotonically_increasing_id()))
@@ -43,7 +53,8 @@ def global_rank(df: DataFrame, order: list[Column | str], n_partitions: int | No
             .drop("_pid", "_local", "_off"))
 
 
-def seeded_rank(df: DataFrame, id_col: str, seed: int = 42, within: str | None = None) -> DataFrame:
+def seeded_rank(df: DataFrame, id_col: str, seed: int = 42, within: str | None = None,
+                n_rows: int | None = None) -> DataFrame:
     """``_rank`` in md5(id-seed) order; with ``within``, the rank inside each value of it.
 
     A rank within a group is the global rank in (group, key, id) order minus the
@@ -52,10 +63,11 @@ def seeded_rank(df: DataFrame, id_col: str, seed: int = 42, within: str | None =
     """
     key = hash_rank_key(F.col(id_col), seed)
     if within is None:
-        return global_rank(df.withColumn("_key", key), ["_key", id_col]).drop("_key")
-    ranked = global_rank(df.withColumn("_key", key), [within, "_key", id_col]).drop("_key")
+        return global_rank(df.withColumn("_key", key), ["_key", id_col], n_rows=n_rows).drop("_key")
     counts = cache_small(df.groupBy(within).agg(F.count(F.lit(1)).alias("_c")))
     _check_groups(counts, within)
+    total = n_rows if n_rows is not None else counts.agg(F.sum("_c")).first()[0] or 0
+    ranked = global_rank(df.withColumn("_key", key), [within, "_key", id_col], n_rows=total).drop("_key")
     w = Window.orderBy(within).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(within, F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_start"))
     return (ranked.join(F.broadcast(starts), within)
@@ -76,7 +88,7 @@ def train_test_split(df: DataFrame, id_col: str = SAMPLE, test_frac: float = 0.3
     (sklearn's test size for a fraction)."""
     n = df.count() if n_rows is None else n_rows
     n_test = math.ceil(test_frac * n)
-    return (seeded_rank(df, id_col, seed)
+    return (seeded_rank(df, id_col, seed, n_rows=n)
             .withColumn("split", F.when(F.col(RANK) < n_test, "test").otherwise("train"))
             .drop(RANK))
 
@@ -105,7 +117,7 @@ def kfold(df: DataFrame, id_col: str = SAMPLE, k: int = 10, seed: int = 42,
     n = df.count() if n_rows is None else n_rows
     if n < k:
         raise ValueError(f"cannot split {n} rows into {k} folds")
-    return seeded_rank(df, id_col, seed).withColumn("fold", fold_of_rank(F.col(RANK), n, k)).drop(RANK)
+    return seeded_rank(df, id_col, seed, n_rows=n).withColumn("fold", fold_of_rank(F.col(RANK), n, k)).drop(RANK)
 
 
 def class_quotas(df: DataFrame, label: str, n: int) -> DataFrame:
@@ -154,7 +166,7 @@ def sample_with_replacement(ids: DataFrame, id_col: str, k: int, seed: int = 42)
     """
     spark = ids.sparkSession
     n = ids.count()
-    ranked = global_rank(ids.select(id_col), [id_col])
+    ranked = global_rank(ids.select(id_col), [id_col], n_rows=n)
     draws = spark.range(k).select(F.col("id").alias("draw"),
                                   (hash_rank_key(F.col("id"), seed) % F.lit(n)).alias(RANK))
     return draws.join(ranked, RANK).select("draw", id_col)

@@ -1298,3 +1298,18 @@ def q_feature_preprocessing_emb(spark, sf_dir):
     """C2 on the row-array embeddings (absolute values; the table holds no zeros)."""
     from .bulk import feature_preprocessing
     return r6(feature_preprocessing(B.embedding_matrix(spark, sf_dir, absolute=True)).cells)
+
+
+# ---------------------------------------------------------------------------- A7
+SQL_A7 = _sql_uq_factors(CTE) + """,
+norm AS (SELECT d.sample_id, d.gene_id, d.value * nf.norm_factor / geo.g AS value
+         FROM dense d JOIN nf USING (sample_id), geo),
+gs AS (SELECT gene_id, avg(value) AS m, var_samp(value) AS v FROM norm GROUP BY gene_id)
+SELECT round(quantile_cont(m, 0.25), 6) AS q_mean, round(quantile_cont(v, 0.25), 6) AS q_var FROM gs"""
+
+
+@register("a7_stat_quantiles", SQL_A7)
+def q_stat_quantiles(spark, sf_dir):
+    """Exact 0.25-quantiles of the per-gene means and variances of the normalised matrix."""
+    m = transforms.upper_quartile_normalize(B.tpch_matrix(spark, sf_dir))
+    return r6(stats.stat_quantiles(stats.gene_stats(m), 0.25))

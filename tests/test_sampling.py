@@ -56,8 +56,10 @@ def test_stratified_sample_quotas(spark):
     assert c == {"a": 46, "b": 23, "c": 8}
 
 
-def test_hot_label_is_spread(spark):
-    """A label holding most rows is ranked across partitions, not in one task."""
+def test_hot_label_is_spread(spark, monkeypatch):
+    """A label holding most rows is ranked across partitions, not in one task
+    (ranking partitions sized small here so 2,000 rows need several)."""
+    monkeypatch.setattr(sampling, "RANK_ROWS_PER_PARTITION", 100)
     df = ids(spark, 2000, ["hot"] * 9 + ["cold"])
     r = sampling.seeded_rank(df, "sample_id", 42, within="label")
     parts = r.filter(F.col("label") == "hot").select(F.spark_partition_id().alias("p")).distinct().count()
