@@ -177,6 +177,20 @@ class ExprMatrix:
         return ExprMatrix(cells, samples, self.genes, n_keep, self._n_genes)
 
     # ---------------------------------------------------------------- layouts
+    def _with_empty_samples(self, per_sample: DataFrame, col: str) -> DataFrame:
+        """Per-sample rows plus a NULL row for every sample without a stored cell.
+
+        The per-sample rows (one per sample, holding its cells) stay where the
+        grouping left them; only the sample ids are compared, through an anti join
+        against the sample-sized key set (broadcast after its size check), so no
+        data-sized table is ever broadcast or shuffled for this.
+        """
+        keys = checked_broadcast(per_sample.select(SAMPLE), self.n_samples, MAX_BROADCAST_SAMPLES)
+        missing = self.samples.join(keys, SAMPLE, "left_anti")
+        dtype = per_sample.schema[col].dataType
+        return per_sample.unionByName(missing.select(SAMPLE, F.lit(None).cast(dtype).alias(col)))
+
+
     def gene_index(self, order_by: str | Column = GENE) -> DataFrame:
         """``genes(gene_idx, gene_id)`` with a dense 0-based index in ``order_by`` order.
 
@@ -204,7 +218,7 @@ class ExprMatrix:
         per_sample = (self.cells.join(idx_bc, GENE)
                       .groupBy(SAMPLE)
                       .agg(F.map_from_entries(F.collect_list(F.struct(GENE_IDX, VALUE))).alias("_m")))
-        rows = self.samples.join(per_sample, SAMPLE, "left")
+        rows = self._with_empty_samples(per_sample, "_m")
         values = F.transform(F.sequence(F.lit(0), F.lit(g - 1)),
                              lambda j: F.coalesce(F.try_element_at(F.col("_m"), j), F.lit(0.0)))
         if g == 0:
@@ -253,7 +267,7 @@ class ExprMatrix:
         """
         per_sample = (self.cells.groupBy(SAMPLE)
                       .agg(F.map_from_entries(F.collect_list(F.struct(GENE, VALUE))).alias("_m")))
-        rows = self.samples.join(per_sample, SAMPLE, "left")
+        rows = self._with_empty_samples(per_sample, "_m")
         all_genes = self.genes.agg(F.collect_list(GENE)).scalar()
         return (rows.select(SAMPLE, "_m", F.explode(all_genes).alias(GENE))
                 .select(SAMPLE, GENE, F.coalesce(F.try_element_at("_m", F.col(GENE)), F.lit(0.0)).alias(VALUE)))
