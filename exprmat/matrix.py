@@ -64,7 +64,10 @@ def materialize(df: DataFrame, name: str = "t", bucket_by: str | None = None,
     if bucket_by is None:
         df.write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
-    n = n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Buckets: the cluster's shuffle-partition setting, but never more than four per
+    # core (a small deployment with the default of 200 would only write empty files).
+    n = n_buckets or max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                                4 * spark.sparkContext.defaultParallelism))
     table_name = f"exprmat_{name}_{uuid.uuid4().hex[:12]}"
     # Hash-partition on the bucket key first so each task writes exactly one bucket file.
     (df.repartition(n, bucket_by).write.mode("overwrite").option("path", path)
