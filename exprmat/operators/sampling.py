@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import hash_rank_key
-from ..matrix import GENE, MAX_BROADCAST_SAMPLES, SAMPLE, ExprMatrix, cache_small, counted_broadcast
+from ..matrix import GENE, MAX_BROADCAST_SAMPLES, SAMPLE, ExprMatrix, cache_small
 
 RANK = "_rank"
 
