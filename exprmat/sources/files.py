@@ -84,19 +84,19 @@ def read_sample_files(spark: SparkSession, root: str, tags=SAMPLE_FILE_TAGS, nam
     raw = raw.withColumn("_dir", F.regexp_replace("_path", "/[^/]*$", ""))
     first = raw.select("_dir", "_path").distinct().groupBy("_dir").agg(F.min("_path").alias("_path"))
     if n_subsamples is not None:
+        # The occurrence number of a repeated draw is computed on the draws (one row
+        # per draw), never on the cells, so a folder drawn many times adds no hot group.
         draws = sample_with_replacement(first, "_dir", n_subsamples, seed)
-        first = draws.join(first, "_dir").select("_dir", "_path", "draw")
+        occ = F.row_number().over(Window.partitionBy("_dir").orderBy("draw")) - 1
+        first = draws.withColumn("_occ", occ).join(first, "_dir").select("_dir", "_path", "_occ")
     else:
-        first = first.withColumn("draw", F.lit(None).cast("long"))
-    first, _ = counted_broadcast(first)      # one row per folder (draw)
+        first = first.withColumn("_occ", F.lit(0))
+    first, _ = counted_broadcast(first)      # one row per folder (per draw)
     cells = raw.join(first, ["_dir", "_path"])
     if gene_prefix:
         cells = cells.filter(F.col(GENE).startswith(gene_prefix))
     sid = basename("_path") if key == "file" else basename("_dir")
-    if n_subsamples is not None:
-        occ = F.dense_rank().over(Window.partitionBy("_dir").orderBy("draw")) - 1
-        cells = cells.withColumn("_occ", occ)
-        sid = F.when(F.col("_occ") == 0, sid).otherwise(F.concat(sid, F.lit("#"), F.col("_occ").cast("string")))
+    sid = F.when(F.col("_occ") == 0, sid).otherwise(F.concat(sid, F.lit("#"), F.col("_occ").cast("string")))
     cells = cells.select(sid.alias(SAMPLE), GENE, VALUE)
     return ExprMatrix.from_cells(cells.groupBy(SAMPLE, GENE).agg(F.sum(VALUE).alias(VALUE)))
 
