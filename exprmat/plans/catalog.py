@@ -610,10 +610,11 @@ SELECT count(*) AS n, round(1 - sum((y - p) * (y - p)) / (count(y) * var_pop(y))
 @register("a9_r2", SQL_A9)
 def q_r2(spark, sf_dir):
     """R² of a nation-mean predictor of supplier account balance."""
-    from pyspark.sql import Window
+    from ..matrix import counted_broadcast
     from ..operators.metrics import r2
     s = B.table(spark, sf_dir, "supplier")
-    p = s.select(F.col("s_acctbal").alias("y"), F.avg("s_acctbal").over(Window.partitionBy("s_nationkey")).alias("p"))
+    means, _ = counted_broadcast(s.groupBy("s_nationkey").agg(F.avg("s_acctbal").alias("p")))
+    p = s.join(means, "s_nationkey").select(F.col("s_acctbal").alias("y"), "p")
     return r6(r2(p, "y", "p"))
 
 
