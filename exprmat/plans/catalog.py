@@ -399,7 +399,7 @@ def _file_map(spark, sf_dir):
 
 
 SQL_J1 = """SELECT l.doc_id, d.source || '/' || CAST(d.doc_id AS VARCHAR) || '.counts.tsv' AS file_name
-FROM (SELECT doc_id FROM labels UNION ALL SELECT -doc_id FROM labels WHERE doc_id % 7 = 0) l
+FROM (SELECT doc_id FROM labels UNION ALL SELECT -doc_id FROM labels) l
 LEFT JOIN documents d USING (doc_id)"""
 
 
@@ -407,7 +407,7 @@ LEFT JOIN documents d USING (doc_id)"""
 def q_attach_filename(spark, sf_dir):
     from ..operators.joins import attach_filename
     lab = B.table(spark, sf_dir, "labels").select("doc_id")
-    ids = lab.unionByName(lab.filter(F.col("doc_id") % 7 == 0).select((-F.col("doc_id")).alias("doc_id")))
+    ids = lab.unionByName(lab.select((-F.col("doc_id")).alias("doc_id")))   # every label id, and an unmatched twin
     return attach_filename(ids, _file_map(spark, sf_dir), "doc_id")
 
 
@@ -435,16 +435,18 @@ def q_join_labels(spark, sf_dir):
     return r6(join_labels(per, B.region_labels(spark, sf_dir)))
 
 
-SQL_U1 = f"""WITH {CTE}
-SELECT sample_id, gene_id, round(value, 6) AS value FROM cells WHERE gene_id LIKE 'Brand#1%'
-UNION ALL SELECT sample_id, gene_id, round(value, 6) AS value FROM cells WHERE gene_id LIKE '%PROMO'"""
+SQL_U1 = f"""WITH {CTE}, sparse AS ({B.sql_cells(True)})
+SELECT sample_id, gene_id, round(value, 6) AS value FROM cells
+UNION ALL SELECT sample_id, gene_id, round(value, 6) AS value FROM sparse"""
 
 
 @register("u1_append_rows", SQL_U1)
 def q_union(spark, sf_dir):
+    """Bag union of two whole matrices' cells (all parts, and the parts of size ≤ 5)."""
     from ..operators.joins import append_rows
-    c = B.tpch_matrix(spark, sf_dir).cells
-    return r6(append_rows(c.filter(F.col(GENE).startswith("Brand#1")), c.filter(F.col(GENE).endswith("PROMO"))))
+    full = B.tpch_matrix(spark, sf_dir).cells
+    sparse = B.tpch_matrix(spark, sf_dir, sparse=True).cells
+    return r6(append_rows(full, sparse))
 
 
 SQL_U2 = """SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels"""
@@ -780,21 +782,21 @@ def q_report(spark, sf_dir):
 SQL_F_NUMERIC = f"""WITH {CTE}
 SELECT sample_id, gene_id,
   round(log2(value + 1), 6) AS f1_log2p1,
-  round(ln(CASE WHEN value - 25 = 0 THEN 1 ELSE value - 25 END), 6) AS f2_ln_zero_as_one,
+  round(ln(CASE WHEN abs(value - 25) = 0 THEN 1 ELSE abs(value - 25) END), 6) AS f2_ln_zero_as_one,
   round(log10(value + 1), 6) AS f3_log10p1,
   round(exp(ln(value) / 4), 6) AS f4_exp_ln,
   round(value * 10000, 6) AS f5_scaled,
   round(value / CASE WHEN value - 25 = 0 THEN 1e-6 ELSE value - 25 END, 6) AS f6_guarded
-FROM cells WHERE value >= 25"""
+FROM cells"""
 
 
 @register("f1_f6_numeric_functions", SQL_F_NUMERIC)
 def q_numeric_functions(spark, sf_dir):
     from ..functions import scalar as fx
-    c = B.tpch_matrix(spark, sf_dir).cells.filter(F.col(VALUE) >= 25)
+    c = B.tpch_matrix(spark, sf_dir).cells
     v = F.col(VALUE)
     return r6(c.select(SAMPLE, GENE, fx.log2p1(v).alias("f1_log2p1"),
-                       fx.ln_zero_as_one(v - 25).alias("f2_ln_zero_as_one"),
+                       fx.ln_zero_as_one(F.abs(v - 25)).alias("f2_ln_zero_as_one"),
                        fx.log10p1(v).alias("f3_log10p1"), F.exp(F.ln(v) / 4).alias("f4_exp_ln"),
                        (v * 1e4).alias("f5_scaled"), fx.guarded_div(v, v - 25).alias("f6_guarded")))
 
