@@ -118,3 +118,19 @@ def test_per_batch_statistics_match_numpy(spark):
                 if sub[r_i, j] != 0:
                     x = sub[r_i, j] / tot[j] * 1e4
                     assert ln[key] == pytest.approx(np.log(x))
+
+
+def test_dense_output_includes_samples_without_cells(spark):
+    """A sample with no stored cell still gets a full dense row (-mean/var per gene)."""
+    m, dense = random_matrix(spark, n=6, g=5, density=0.8, seed=4)
+    samples = m.samples.union(spark.createDataFrame([("s99",)], "sample_id string"))
+    m2 = ExprMatrix.from_cells(m.cells, samples, m.genes)
+    full = np.vstack([dense, np.zeros((1, dense.shape[1]))])
+    got = {(r["sample_id"], r["gene_id"]): r["value"] for r in transforms.scale_by_variance(m2).collect()}
+    assert len(got) == 7 * 5
+    mean, var = full.mean(axis=0), full.var(axis=0, ddof=1)
+    for j in range(5):
+        assert got[("s99", f"g{j:02d}")] == pytest.approx(-mean[j] / var[j])
+    rows, _ = m2.to_row_array()
+    z = {r["sample_id"]: r["values"] for r in rows.collect()}
+    assert z["s99"] == [0.0] * 5
