@@ -25,7 +25,7 @@ def feature_preprocessing(m: ExprMatrix, q_uq: float = 0.75, q_filter: float = 0
 
 def bulk_pipeline(m: ExprMatrix, labels, task: str = "classification", label: str = "label",
                   grid: dict | None = None, kind: str = "rf", k: int = 10, seed: int = 42,
-                  parallelism: int = 4, **est_params):
+                  parallelism: int = 8, **est_params):
     """Preprocess (C2) → dense rows → pre-ML (C7) → cross-validated scores on the
     training split (L7, or nested CV with a grid search, L9 + L8) → fit on train and
     score the test split (A8 accuracy / A9 R²).
