@@ -55,3 +55,12 @@ def test_entry_and_registry(spark):
     qs, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(qs)
     assert len(qs) >= 80
+
+
+def test_oracle_rounds_are_sign_normalised():
+    from exprmat.plans.catalog import positive_zero_rounds
+    sql = "SELECT round(log2(round(x, 2) + 1), 6) AS a, myround(y) AS b FROM t ORDER BY round(v, 9)"
+    assert positive_zero_rounds(sql) == ("SELECT (round(log2((round(x, 2) + 0.0) + 1), 6) + 0.0) AS a, "
+                                         "myround(y) AS b FROM t ORDER BY (round(v, 9) + 0.0)")
+    import duckdb
+    assert str(duckdb.sql(positive_zero_rounds("SELECT round(-1e-9, 6) AS z")).fetchone()[0]) == "0.0"
