@@ -63,4 +63,4 @@ def test_oracle_rounds_are_sign_normalised():
     assert positive_zero_rounds(sql) == ("SELECT (round(log2((round(x, 2) + 0.0) + 1), 6) + 0.0) AS a, "
                                          "myround(y) AS b FROM t ORDER BY (round(v, 9) + 0.0)")
     import duckdb
-    assert str(duckdb.sql(positive_zero_rounds("SELECT round(-1e-9, 6) AS z")).fetchone()[0]) == "0.0"
+    assert str(duckdb.sql(positive_zero_rounds("SELECT round(-1e-9, 6) AS z")).fetchall()[0][0]) == "0.0"
