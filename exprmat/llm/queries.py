@@ -29,3 +29,19 @@ def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     folder = write_token_ids(table(spark, sf_dir, "documents"), tokenizer_path())
     return read_token_ids(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from exprmat.llm.warc import read_warc, write_warc
+
+    index = write_warc(table(spark, sf_dir, "pages"))
+    return read_warc(index, with_payload=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from exprmat.llm.topk import exact_topk
+
+    return exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024.0)
