@@ -2,4 +2,35 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _words(text: str) -> str:
+    return (f"regexp_extract_all(translate(coalesce({text}, ''), '{UPPER}', '{UPPER.lower()}'), "
+            r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+
+
+def decontaminate_sql(documents: str = "documents") -> str:
+    return f"""
+WITH d AS (SELECT doc_id, {_words('text')} AS w FROM {documents}),
+b AS (SELECT item_id, {_words('text')} AS w FROM benchmark),
+wins AS (
+  SELECT DISTINCT item_id, w[s:s + least(13, len(w)) - 1] AS win
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS s FROM b WHERE len(w) > 0)),
+places AS (
+  SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s
+  FROM d, (SELECT DISTINCT len(win) AS n FROM wins)),
+met AS (SELECT doc_id, s, n, item_id FROM places JOIN wins ON w[s:s + n - 1] = win),
+covered AS (SELECT doc_id, count(DISTINCT pos) AS n_hit
+            FROM (SELECT doc_id, unnest(range(s, s + n)) AS pos FROM met) GROUP BY doc_id),
+items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items,
+                 string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS list FROM met GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(list, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+
+ORACLES: dict[str, str] = {
+    "op3_decontaminate": decontaminate_sql(),
+}

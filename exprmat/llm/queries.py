@@ -45,3 +45,11 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from exprmat.llm.topk import exact_topk
 
     return exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024.0)
+
+
+@query
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from exprmat.llm.decontaminate import contaminated, decontaminate
+
+    out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.withColumn("contaminated", contaminated(F.col("n_words"), F.col("n_hit")))
