@@ -40,9 +40,9 @@ MAGIC = b"S8BSHRD1"
 END_ID = 0
 #: Bytes of text per shard file and code points per vectorised step: bounds on a task's memory.
 SHARD_BYTES = 8 << 20
-STEP_CHARS = 6 << 20
+STEP_CHARS = 3 << 20
 #: Different pre-tokens a worker remembers; the store starts anew beyond it.
-REMEMBERED = 800_000
+REMEMBERED = 500_000
 
 LETTER, NUMBER, OTHER, SPACE, UNSURE = 0, 1, 2, 3, 4
 
