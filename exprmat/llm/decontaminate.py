@@ -71,8 +71,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     start = F.col("p") - F.col("o")
     met = (at_doc.join(small_side(prefixes, prefixes.count(), WINDOW_ROWS), "word")
            .where((start >= 0) & (start + F.col("len") <= F.size("w")))
-           .where(F.col("word2").isNull() | (F.try_element_at("w", start + F.col("o2") + 1) == F.col("word2")))
-           .where(F.slice("w", start + 1, F.col("len")) == F.col("win")))
+           .where(F.col("word2").isNull() | (F.get("w", start + F.col("o2")) == F.col("word2")))
+           .where(F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("len")) == F.col("win")))
     # one row per window of a document; its first occurrence of equal (start, length) is enough
     hits = pin(met.select("id", "h", start.alias("s"), (start + F.col("len")).alias("e"), "win").distinct(), "decontam-hits")
 
