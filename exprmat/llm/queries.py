@@ -53,3 +53,12 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.withColumn("contaminated", contaminated(F.col("n_words"), F.col("n_hit")))
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from exprmat.llm.toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, table(spark, sf_dir, "labels"))
+    return score(docs, model).select("doc_id", "held_out", "score", "predicted")
