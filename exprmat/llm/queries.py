@@ -62,3 +62,27 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"))
     return score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from exprmat.llm.quality import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+#: Target token weights of the label classes (quality, toxic) that the mixing query and stage use.
+TARGETS = {"q1t0": 0.9, "q0t0": 0.05, "q1t1": 0.04, "q0t1": 0.01}
+
+
+def label_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").where("quality is not null and toxic is not null").select(
+        "doc_id", F.concat(F.lit("q"), F.col("quality"), F.lit("t"), F.col("toxic")).alias("domain"))
+
+
+@query
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from exprmat.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"), label_domains(spark, sf_dir), TARGETS)
