@@ -86,3 +86,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from exprmat.llm.mixing import mix
 
     return mix(table(spark, sf_dir, "documents"), label_domains(spark, sf_dir), TARGETS)
+
+
+@query
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from exprmat.llm.jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
