@@ -19,8 +19,9 @@ exact. Frequent shingles are put last by their corpus counts; the counts sent to
 ``FREQUENT`` largest, and the rarer ones are ordered by hash (any common order is right).
 
 Cases: a text of fewer words than ``n`` is one shingle, a text without words (or null) has an empty set
-and links with nothing; repeated rows each get a row and form one class; a row with a null id has
-itself as a component of null id unless its set links it to a row with an id; an empty table gives no rows.
+and links with nothing; repeated rows each get a row and form one class; rows
+with null ids link only with rows of an equal set (their component is null if none of these has an id);
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ FREQUENT = 1 << 19
 #: Ranges of the hash space by which counts and lists are gathered, per shuffle partition.
 RANGES = 4
 #: Texts of one vectorised step.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -63,10 +64,17 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(max(n, 1), base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+    """1, base, base squared, and so on; kept from step to step."""
+    have = _POWERS.get(int(base))
+    if have is None or len(have) < n:
+        have = np.full(max(n, STEP_BYTES), base, np.uint64)
+        have[0] = 1
+        have = _POWERS[int(base)] = np.multiply.accumulate(have)
+    return have[:n]
 
 
 def shingle_sets(texts: list[bytes], n: int = N) -> list[np.ndarray]:
@@ -102,7 +110,11 @@ def _sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     at = 0
     for until in words_until.tolist():
         if until - at >= n:
-            out.append(np.unique(shingle[at:until - n + 1]))
+            one = np.sort(shingle[at:until - n + 1])
+            new = np.empty(len(one), bool)
+            new[0] = True
+            np.not_equal(one[1:], one[:-1], out=new[1:])
+            out.append(one[new])
         elif until > at:
             few = np.uint64(until - at)
             with np.errstate(over="ignore"):
@@ -121,13 +133,15 @@ def _class_of(s: np.ndarray) -> int:
     return int(np.add.reduce(h, dtype=np.uint64).astype(np.int64)) if len(s) else 0
 
 
+#: One-permutation sketching: the least shingle of each of these equal parts of the hash space.
+_PARTS = np.array([(i << 64) // (2 * SKETCHES) for i in range(2 * SKETCHES)], np.uint64)
+
+
 def _sketch(s: np.ndarray) -> list[int]:
-    """Each sketch is made of the least values of two reorderings of the set."""
-    out = []
-    for j in range(SKETCHES):
-        a, b = (_mix(s ^ np.uint64(0xA5A5 + 0x10001 * (2 * j + i))).min() for i in (0, 1))
-        out.append(int((_mix(np.array([a], np.uint64)) * _BASE + b + np.uint64(j)).astype(np.int64)[0]))
-    return out
+    """Each sketch joins the least shingles of two parts; an empty part takes the next one's."""
+    at = np.searchsorted(s, _PARTS)
+    least = s[np.where(at < len(s), at, 0)]
+    return (_mix(least[::2] * _BASE + least[1::2]) + np.arange(SKETCHES, dtype=np.uint64)).view(np.int64).tolist()
 
 
 def _texts(b: pa.RecordBatch) -> list[bytes]:
@@ -272,22 +286,25 @@ def prefix_lists(docs: DataFrame, id_col: str, text_col: str, frequent: tuple[np
     return posts.groupBy("range").applyInArrow(lists, "token long, cls long, size long, at long")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, rows: int, id_col: str, text_col: str, n: int = N) -> DataFrame:
-    """``cls, s`` (its shingles) of the wanted ``(id, cls)`` representatives."""
+def sets_of(docs: DataFrame, wanted: DataFrame, rows: int, id_col: str, text_col: str, unique: bool, n: int = N) -> DataFrame:
+    """``cls, s`` (its shingles) of the wanted ``id`` representatives; ``unique``: no wanted id has two rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = shingle_sets(_texts(b), n)
             yield _batch([(_class_of(s), s.view(np.int64)) for s in sets], ["cls", "s"], [pa.int64(), pa.list_(pa.int64())])
 
-    texts = _read(docs, id_col, text_col).join(small_side(wanted.select("id"), rows), "id")
-    return texts.mapInArrow(run, "cls long, s array<long>").dropDuplicates(["cls"])
+    texts = _read(docs, id_col, text_col).join(small_side(wanted, rows), "id")
+    sets = texts.mapInArrow(run, "cls long, s array<long>")
+    return sets if unique else sets.dropDuplicates(["cls"])
 
 
 def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a, b, inter, na, nb`` of class pairs, from their whole sets."""
-    left = sets.select(F.col("cls").alias("a"), F.col("s").alias("sa"))
-    right = sets.select(F.col("cls").alias("b"), F.col("s").alias("sb"))
-    return (pairs.select("a", "b").join(left, "a").join(right, "b")
+    """``a, b, inter, na, nb`` of class pairs, from their whole sets; sets that are in no pair are not shuffled."""
+    rows = pairs.count()
+    left = sets.join(small_side(pairs.select("a", "b"), rows), F.col("cls") == F.col("a")).select("a", "b", F.col("s").alias("sa"))
+    right = sets.join(small_side(pairs.select(F.col("b").alias("cls")).distinct(), rows), "cls", "left_semi").select(
+        F.col("cls").alias("b"), F.col("s").alias("sb"))
+    return (left.join(right, "b")
             .select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("inter"),
                     F.size("sa").cast("long").alias("na"), F.size("sb").cast("long").alias("nb")))
 
@@ -314,8 +331,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     lists = pin(prefix_lists(docs, id_col, text_col, frequent, ranges, n), "jaccard-lists")
     named = stars.select(F.col("a").alias("cls")).union(stars.select("b")).union(lists.select("cls")).distinct()
-    wanted = pin(classes.join(named, "cls").select("id", "cls"), "jaccard-wanted")
-    sets = pin(sets_of(docs, wanted.where("id is not null").distinct(), wanted.count(), id_col, text_col, n), "jaccard-sets")
+    wanted = pin(classes.join(named, "cls").where("id is not null").select("id").distinct(), "jaccard-wanted")
+    n_wanted = wanted.count()
+    unique = rows.join(small_side(wanted, n_wanted), "id").count() == n_wanted
+    sets = pin(sets_of(docs, wanted, n_wanted, id_col, text_col, unique, n), "jaccard-sets")
 
     star = pin(distances(stars, sets).where(LINKED), "jaccard-star-links")
     known = components(star, "a", "b", "jaccard-star")
