@@ -31,6 +31,44 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 
+URL_LISTS_SQL = r"""
+WITH split AS (
+  SELECT page_id, url, TIMESTAMP '2024-01-01' + to_minutes(((page_id % 525600) * 7919 % 525600)::BIGINT) AS fetched_at,
+         nullif(regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(
+           regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', '')), '\.$', ''), '^www\.', ''), '') AS host,
+         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*/([^/?#]+)', 1) AS path
+  FROM pages),
+hosts AS (SELECT host, ('0x' || substr(md5(host), 1, 7))::BIGINT AS x,
+                 regexp_extract(host, '^[^.]*\.(.*\..*)$', 1) AS parent
+          FROM (SELECT DISTINCT host FROM split WHERE host IS NOT NULL)),
+log AS (
+  SELECT 'host' AS kind, host AS pattern, 'block' AS action, x % 200 AS day FROM hosts WHERE x % 5 = 0
+  UNION SELECT 'host', host, 'remove', x % 200 + 60 FROM hosts WHERE x % 5 = 0
+  UNION SELECT 'host', host, 'block', x % 200 + 120 FROM hosts WHERE x % 10 = 0
+  UNION SELECT 'domain', parent, 'block', x % 300 FROM hosts WHERE x % 7 = 0 AND parent <> ''
+  UNION SELECT 'path', host || '/en', 'allow', 100 FROM hosts WHERE x % 3 = 0
+  UNION SELECT 'word', unnest(['cheap', 'pills']), 'block', 30),
+entries AS (SELECT kind, pattern, action, TIMESTAMP '2024-01-01' + to_days(day::INTEGER) AS begins,
+                   lead(TIMESTAMP '2024-01-01' + to_days(day::INTEGER)) OVER (PARTITION BY kind, pattern ORDER BY day) AS ends FROM log),
+hits AS (
+  SELECT s.page_id, s.url, e.kind, e.pattern, e.action,
+         CASE e.kind WHEN 'path' THEN 4000 WHEN 'host' THEN 3000 WHEN 'domain' THEN 1000 ELSE 0 END + length(e.pattern) AS rank
+  FROM split s JOIN entries e ON s.fetched_at >= e.begins AND s.fetched_at < coalesce(e.ends, TIMESTAMP '9999-12-31') AND e.action <> 'remove'
+   AND CASE e.kind WHEN 'host' THEN s.host = e.pattern
+                   WHEN 'domain' THEN s.host = e.pattern OR ends_with(s.host, '.' || e.pattern)
+                   WHEN 'path' THEN s.path <> '' AND s.host || '/' || s.path = e.pattern
+                   ELSE list_contains(regexp_extract_all(lower(s.host || '/' || s.path), '[a-z0-9]+'), e.pattern) END),
+decided AS (
+  SELECT page_id, url, count(*) AS n_active,
+         arg_max(struct_pack(kind := kind, pattern := pattern, action := action), struct_pack(r := rank, a := action = 'allow', k := kind, p := pattern)) AS best
+  FROM hits GROUP BY page_id, url)
+SELECT s.page_id, s.url, s.host, s.fetched_at, coalesce(best.action, '') <> 'block' AS kept,
+       CASE WHEN best IS NULL THEN 'unlisted' WHEN best.action = 'allow' THEN 'allowed' ELSE 'blocked' END AS verdict,
+       best.kind AS kind, best.pattern AS pattern, coalesce(n_active, 0)::BIGINT AS n_active
+FROM split s LEFT JOIN decided d ON s.page_id = d.page_id AND s.url = d.url"""
+
+
 ORACLES: dict[str, str] = {
+    "op2_url_lists": URL_LISTS_SQL,
     "op3_decontaminate": decontaminate_sql(),
 }

@@ -93,3 +93,44 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from exprmat.llm.jaccard import jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def page_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` with a fetch time: a minute of 2024 that follows from the page id."""
+    minute = (F.col("page_id") % 525_600) * 7919 % 525_600
+    return table(spark, sf_dir, "pages").select("page_id", "url", F.timestamp_seconds(1_704_067_200 + 60 * minute).alias("fetched_at"))
+
+
+def page_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dated list over all hosts of ``pages``: a fifth of them is blocked, removed again 60 days later and
+    half of those blocked anew; parent domains of a seventh are blocked; a third has its /en pages allowed;
+    and two words are blocked. Days follow from a digest of the host."""
+    from exprmat.llm.url_lists import url_host
+
+    def day(n):
+        return F.timestamp_seconds(F.lit(1_704_067_200) + 86_400 * n)
+
+    def entry(kind, pattern, action, dated):
+        return F.struct(F.lit(kind).alias("kind"), pattern.alias("pattern"), F.lit(action).alias("action"), dated.alias("dated"))
+
+    x, host = F.col("x"), F.col("host")
+    parent = F.regexp_extract("host", r"^[^.]*\.(.*\..*)$", 1)
+    hosts = (table(spark, sf_dir, "pages").select(url_host(F.col("url")).alias("host")).where("host is not null").distinct()
+             .withColumn("x", F.conv(F.substring(F.md5("host"), 1, 7), 16, 10).cast("long")))
+    made = hosts.select(F.explode(F.filter(F.array(
+        F.when(x % 5 == 0, entry("host", host, "block", day(x % 200))),
+        F.when(x % 5 == 0, entry("host", host, "remove", day(x % 200 + 60))),
+        F.when(x % 10 == 0, entry("host", host, "block", day(x % 200 + 120))),
+        F.when((x % 7 == 0) & (parent != ""), entry("domain", parent, "block", day(x % 300))),
+        F.when(x % 3 == 0, entry("path", F.concat(host, F.lit("/en")), "allow", day(F.lit(100)))),
+    ), lambda e: e.isNotNull())).alias("e")).select("e.*").distinct()
+    words = spark.range(2).select(F.lit("word").alias("kind"), F.when(F.col("id") == 0, "cheap").otherwise("pills").alias("pattern"),
+                                  F.lit("block").alias("action"), day(F.lit(30)).alias("dated"))
+    return made.union(words)
+
+
+@query
+def op2_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from exprmat.llm.url_lists import filter_urls
+
+    return filter_urls(page_captures(spark, sf_dir), page_lists(spark, sf_dir))
