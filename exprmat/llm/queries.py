@@ -134,3 +134,10 @@ def op2_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     from exprmat.llm.url_lists import filter_urls
 
     return filter_urls(page_captures(spark, sf_dir), page_lists(spark, sf_dir))
+
+
+@query
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from exprmat.llm.html_template import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
