@@ -31,6 +31,11 @@ MAX_BROADCAST_GENES = 2_000_000
 MAX_BROADCAST_SAMPLES = 2_000_000
 
 
+def missing_to_null(value: Column) -> Column:
+    """A missing value is NULL in this package, also where a file has NaN."""
+    return F.when(~F.isnan(value), value)
+
+
 def checked_broadcast(df: DataFrame, n_rows: int, max_rows: int) -> DataFrame:
     """Broadcast ``df`` only when its known row count is within ``max_rows``."""
     return F.broadcast(df) if n_rows <= max_rows else df
@@ -63,7 +68,7 @@ def materialize(df: DataFrame, name: str = "t", bucket_by: str | None = None,
     path = scratch_path(spark, name)
     if bucket_by is None:
         df.write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
     # Buckets: the cluster's shuffle-partition setting, but never more than four per
     # core (a small deployment with the default of 200 would only write empty files).
     n = n_buckets or max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")),
@@ -108,11 +113,12 @@ class ExprMatrix:
         """Build a matrix from stored cells; dimensions default to the ids seen in them.
 
         Cells must be unique per (sample_id, gene_id); ``drop_zeros`` removes stored
-        zeros, which never changes a result but shrinks the data.
+        zeros, which never changes a result but shrinks the data. A missing value (NULL
+        or NaN) stays stored as NULL: statistics skip it, it is not a zero.
         """
-        cells = cells.select(SAMPLE, GENE, F.col(VALUE).cast("double").alias(VALUE))
+        cells = cells.select(SAMPLE, GENE, missing_to_null(F.col(VALUE).cast("double")).alias(VALUE))
         if drop_zeros:
-            cells = cells.filter(F.col(VALUE) != 0.0)
+            cells = cells.filter((F.col(VALUE) != 0.0) | F.col(VALUE).isNull())
         if samples is None:
             samples = cache_small(cells.select(SAMPLE).distinct())
         if genes is None:
@@ -180,19 +186,10 @@ class ExprMatrix:
         return ExprMatrix(cells, samples, self.genes, n_keep, self._n_genes)
 
     # ---------------------------------------------------------------- layouts
-    def _with_empty_samples(self, per_sample: DataFrame, col: str) -> DataFrame:
-        """Per-sample rows plus a NULL row for every sample without a stored cell.
-
-        The per-sample rows (one per sample, holding its cells) stay where the
-        grouping left them; only the sample ids are compared, through an anti join
-        against the sample-sized key set (broadcast after its size check), so no
-        data-sized table is ever broadcast or shuffled for this.
-        """
-        keys = checked_broadcast(per_sample.select(SAMPLE), self.n_samples, MAX_BROADCAST_SAMPLES)
-        missing = self.samples.join(keys, SAMPLE, "left_anti")
-        dtype = per_sample.schema[col].dataType
-        return per_sample.unionByName(missing.select(SAMPLE, F.lit(None).cast(dtype).alias(col)))
-
+    def _with_empty_samples(self, per_sample: DataFrame) -> DataFrame:
+        """Per-sample rows plus a row of NULLs for every sample without a stored cell: one
+        outer join on the sample key, which the grouping above already partitioned by."""
+        return self.samples.select(SAMPLE).join(per_sample, SAMPLE, "left")
 
     def gene_index(self, order_by: str | Column = GENE) -> DataFrame:
         """``genes(gene_idx, gene_id)`` with a dense 0-based index in ``order_by`` order.
@@ -210,22 +207,29 @@ class ExprMatrix:
     def to_row_array(self, gene_index: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         """Dense row-array form ``(sample_id, values)`` plus the gene index used.
 
-        Each sample's stored cells (at most n_genes of them) are gathered into a map
-        and read out at every gene position; absent genes are 0. Samples with no
-        stored cell still get a row of zeros.
+        Each sample's stored cells (at most n_genes of them) are gathered in position
+        order and the gaps between them filled with zeros, so a row costs O(n_genes).
+        Samples with no stored cell still get a row of zeros; a stored NULL stays NULL.
         """
         if gene_index is None:
             gene_index = cache_small(self.gene_index())
         g = self.n_genes
-        idx_bc = checked_broadcast(gene_index, g, MAX_BROADCAST_GENES)
-        per_sample = (self.cells.join(idx_bc, GENE)
-                      .groupBy(SAMPLE)
-                      .agg(F.map_from_entries(F.collect_list(F.struct(GENE_IDX, VALUE))).alias("_m")))
-        rows = self._with_empty_samples(per_sample, "_m")
-        values = F.transform(F.sequence(F.lit(0), F.lit(g - 1)),
-                             lambda j: F.coalesce(F.try_element_at(F.col("_m"), j), F.lit(0.0)))
         if g == 0:
-            values = F.array().cast("array<double>")
+            return self.samples.select(SAMPLE, F.array().cast("array<double>").alias(VALUES)), gene_index
+        idx_bc = checked_broadcast(gene_index, g, MAX_BROADCAST_GENES)
+        per_sample = (self.cells.join(idx_bc, GENE).groupBy(SAMPLE)
+                      .agg(F.sort_array(F.collect_list(F.struct(F.col(GENE_IDX).alias("i"), F.col(VALUE).alias("v")))).alias("_e")))
+        rows = self._with_empty_samples(per_sample)
+
+        def zeros(n: Column) -> Column:
+            return F.array_repeat(F.lit(0.0), n.cast("int"))
+
+        # the entry before each one, by position: its end is where the gap starts
+        before = F.concat(F.array(F.lit(-1)), F.transform("_e", lambda e: e["i"]))
+        parts = F.zip_with("_e", F.slice(before, 1, F.size("_e")),
+                           lambda e, at: F.concat(zeros(e["i"] - at - 1), F.array(e["v"])))
+        tail = zeros(F.lit(g - 1) - F.element_at(before, -1))
+        values = F.when(F.col("_e").isNull(), zeros(F.lit(g))).otherwise(F.concat(F.flatten(parts), tail))
         return rows.select(SAMPLE, values.alias(VALUES)), gene_index
 
     @staticmethod
@@ -235,7 +239,7 @@ class ExprMatrix:
         idx_bc = checked_broadcast(gene_index, n_genes, MAX_BROADCAST_GENES)
         long = rows.select(SAMPLE, F.posexplode(VALUES).alias(GENE_IDX, VALUE))
         if drop_zeros:
-            long = long.filter(F.col(VALUE) != 0.0)
+            long = long.filter((F.col(VALUE) != 0.0) | F.col(VALUE).isNull())
         return long.join(idx_bc, GENE_IDX).select(SAMPLE, GENE, VALUE)
 
     @classmethod
@@ -244,12 +248,16 @@ class ExprMatrix:
         """Row-array input (e.g. a parquet column ``array<float>``) → long matrix.
 
         Gene ids are the array positions unless names are given. The gene table is
-        built from the width of the first row's array (all rows must share it).
+        built from the arrays' width, which all rows must share: unequal rows raise.
+        Missing values (NULL, NaN) stay stored as NULL.
         """
         spark = rows.sparkSession
         base = rows.select(F.col(id_col).alias(SAMPLE),
-                           F.transform(values_col, lambda x: x.cast("double")).alias(VALUES))
-        width = base.select(F.size(VALUES)).head()[0] if gene_ids is None else len(gene_ids)
+                           F.transform(values_col, lambda x: missing_to_null(x.cast("double"))).alias(VALUES))
+        least, most = base.agg(F.min(F.size(VALUES)), F.max(F.size(VALUES))).first()
+        width = (most or 0) if gene_ids is None else len(gene_ids)
+        if most is not None and (least != width or most != width):
+            raise ValueError(f"rows hold {least} to {most} values; all must hold {width}")
         if gene_ids is None:
             gene_index = spark.range(width).select(F.col("id").cast("int").alias(GENE_IDX),
                                                    F.col("id").cast("int").alias(GENE))
@@ -262,18 +270,11 @@ class ExprMatrix:
     def dense_long(self) -> DataFrame:
         """All n_samples × n_genes cells as ``(sample_id, gene_id, value)``, zeros included.
 
-        Each sample's stored cells (at most n_genes) are gathered into one map keyed
-        by gene (grouped by sample: no exchange when the cells are bucketed by
-        sample); every sample then explodes the gene list (a one-row scalar subquery
-        of at most n_genes ids) and reads each value from its map in a plain
-        projection, so the step stays in generated code and needs no gene index.
+        Each sample's stored cells are laid out as a dense row (grouped by sample: no
+        exchange when the cells are bucketed by sample) and exploded by position; the
+        gene ids come from the broadcast gene index. One pass over the cells.
         """
-        per_sample = (self.cells.groupBy(SAMPLE)
-                      .agg(F.map_from_entries(F.collect_list(F.struct(GENE, VALUE))).alias("_m")))
-        rows = self._with_empty_samples(per_sample, "_m")
-        all_genes = self.genes.agg(F.collect_list(GENE)).scalar()
-        return (rows.select(SAMPLE, "_m", F.explode(all_genes).alias(GENE))
-                .select(SAMPLE, GENE, F.coalesce(F.try_element_at("_m", F.col(GENE)), F.lit(0.0)).alias(VALUE)))
+        return self.dense_cells()
 
     def dense_cells(self) -> DataFrame:
         """All n_samples × n_genes cells, zeros included (for small outputs and checks)."""

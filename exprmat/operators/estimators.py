@@ -51,13 +51,19 @@ class UpperQuartileModel(Model):
                 .withColumn(VALUE, F.col(VALUE) * F.col("scaling_factor")).drop("scaling_factor"))
 
 
-def map_batches(df: DataFrame, fn, schema, batch_col: str | None = None) -> DataFrame:
+def map_batches(df: DataFrame, fn, schema, batch_col: str | None = None, max_rows: int | None = None) -> DataFrame:
     """Run a pandas function per batch.
 
-    With ``batch_col`` each batch is one group (``applyInPandas``): batches must be
-    bounded, as a group is handed to one Python worker whole. Without it, the function
-    runs on Arrow batches of each partition (``mapInPandas``).
+    With ``batch_col`` each batch is handed to one Python worker whole
+    (``applyInPandas``). ``max_rows`` splits the batches into parts of about so many
+    rows each (by a hash of the row), so that a large batch is no hot task; the caller
+    combines the parts' results. Without ``batch_col`` the function runs on the Arrow
+    batches of each partition (``mapInPandas``).
     """
-    if batch_col is not None:
+    if batch_col is None:
+        return df.mapInPandas(lambda it: (fn(p) for p in it), schema)
+    if max_rows is None:
         return df.groupBy(batch_col).applyInPandas(fn, schema)
-    return df.mapInPandas(lambda it: (fn(p) for p in it), schema)
+    parts = max(1, -(-df.count() // max_rows))
+    part = F.pmod(F.xxhash64(*df.columns), F.lit(parts))
+    return df.withColumn("_part", part).groupBy(batch_col, "_part").applyInPandas(lambda p: fn(p.drop(columns="_part")), schema)

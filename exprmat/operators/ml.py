@@ -20,7 +20,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..matrix import GENE_IDX, SAMPLE, VALUE, VALUES, cache_small
+from ..matrix import GENE_IDX, SAMPLE, VALUE, VALUES, cache_small, materialize
 from .joins import join_labels
 from .sampling import kfold, train_test_split
 
@@ -48,29 +48,30 @@ def fit_label_encoder(train: DataFrame, label: str = "label"):
 
 
 # ---------------------------------------------------------------------------- L2
-def fit_standard_scaler(train: DataFrame, values: str = VALUES) -> tuple[list[float], list[float]]:
-    """L2 fit: per-position mean and population standard deviation over training rows.
+def fit_standard_scaler(train: DataFrame, values: str = VALUES) -> DataFrame:
+    """L2 fit: one row ``(means, scales)``, per position the mean and population standard
+    deviation over training rows.
 
     One aggregate over the exploded arrays (partial aggregation leaves one row per
-    position per task before the shuffle). The two vectors are model parameters of
-    length n_genes, like MLlib's StandardScalerModel, and are returned to the driver.
-    A zero deviation becomes 1, so a constant column is only centred.
+    position per task before the shuffle), gathered into two arrays of length n_genes
+    in position order. They stay in Spark: nothing per gene enters the plan or the
+    driver. A zero deviation becomes 1, so a constant column is only centred.
     """
     st = (train.select(F.posexplode(values).alias(GENE_IDX, VALUE))
-          .groupBy(GENE_IDX).agg(F.avg(VALUE).alias("m"), F.stddev_pop(VALUE).alias("s"))
-          .orderBy(GENE_IDX).collect())
-    means = [float(r["m"]) for r in st]
-    scales = [float(r["s"]) if r["s"] and r["s"] > 0 else 1.0 for r in st]
-    return means, scales
+          .groupBy(GENE_IDX).agg(F.avg(VALUE).alias("m"), F.stddev_pop(VALUE).alias("s")))
+    scale = F.when(F.col("s") > 0, F.col("s")).otherwise(1.0)
+    by_place = F.sort_array(F.collect_list(F.struct(GENE_IDX, F.coalesce("m", F.lit(0.0)).alias("m"), scale.alias("s"))))
+    return cache_small(st.agg(by_place.alias("_p")).select(F.transform("_p", lambda x: x["m"]).alias("means"),
+                                                          F.transform("_p", lambda x: x["s"]).alias("scales")))
 
 
-def apply_standard_scaler(df: DataFrame, means: list[float], scales: list[float],
-                          values: str = VALUES) -> DataFrame:
-    """L2 transform: (x − mean) / scale per position, inside codegen (zip_with)."""
-    mv = F.array(*[F.lit(x) for x in means])
-    sv = F.array(*[F.lit(x) for x in scales])
-    scaled = F.zip_with(F.zip_with(values, mv, lambda x, m: x - m), sv, lambda d, s: d / s)
-    return df.withColumn(values, scaled)
+def apply_standard_scaler(df: DataFrame, scaler: DataFrame, values: str = VALUES) -> DataFrame:
+    """L2 transform: (x − mean) / scale per position; the fitted row joins every row on a
+    constant key (a broadcast of exactly one row)."""
+    one = scaler.select(F.lit(1).alias("_one"), F.col("means").alias("_means"), F.col("scales").alias("_scales"))
+    scaled = F.zip_with(F.zip_with(values, "_means", lambda x, m: x - m), "_scales", lambda d, s: d / s)
+    return (df.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one")
+            .withColumn(values, scaled).drop("_one", "_means", "_scales"))
 
 
 # ---------------------------------------------------------------------------- C7
@@ -88,19 +89,20 @@ def pre_ml(rows: DataFrame, labels: DataFrame, task: str = CLASSIFICATION, label
     the encoded class (classification) or the numeric target (regression).
     """
     task = normalize_task(task)
-    j = join_labels(rows.select(SAMPLE, VALUES), labels.select(SAMPLE, label))
-    s = cache_small(train_test_split(j, SAMPLE, test_frac, seed))
+    # joined rows are written once: the split ranks their ids and every later step reads them
+    j = materialize(join_labels(rows.select(SAMPLE, VALUES), labels.select(SAMPLE, label)), "ml_rows")
+    s = train_test_split(j, SAMPLE, test_frac, seed)
     train = s.filter(F.col("split") == "train")
     if task == CLASSIFICATION:
         s = fit_label_encoder(train, label).transform(s)
     else:
         s = s.withColumn("label_idx", F.col(label).cast("double"))
-    means, scales = fit_standard_scaler(train)
-    s = apply_standard_scaler(s, means, scales).withColumn("features", array_to_vector(VALUES))
+    scaler = fit_standard_scaler(train)
+    width, n = scaler.select(F.size("means")).first()[0], s.count()
+    s = apply_standard_scaler(s, scaler).withColumn("features", array_to_vector(VALUES))
     # The ML table is read by every fit, fold and score: pinned once, with partitions
     # sized to ~64 MB (S12) so tree learners do not schedule hundreds of tiny tasks.
-    row_bytes = 64 + 16 * len(means)
-    return cache_small(repartition_by_size(s, ML_PARTITION_BYTES, n_rows=j.count(), row_bytes=row_bytes))
+    return cache_small(repartition_by_size(s, ML_PARTITION_BYTES, n_rows=n, row_bytes=64 + 16 * max(0, width)))
 
 
 # ---------------------------------------------------------------------------- L3–L6
@@ -125,38 +127,48 @@ def make_estimator(task: str = CLASSIFICATION, kind: str = "rf", seed: int = 42,
     raise ValueError("kind must be 'rf' or 'gbt'")
 
 
-def evaluator(task: str):
-    """A8 / A9 as MLlib evaluators: accuracy for classes, R² for targets."""
-    if normalize_task(task) == CLASSIFICATION:
-        return MulticlassClassificationEvaluator(labelCol="label_idx", predictionCol="prediction",
-                                                 metricName="accuracy")
-    return RegressionEvaluator(labelCol="label_idx", predictionCol="prediction", metricName="r2")
+METRICS = {CLASSIFICATION: ("accuracy", "f1", "weightedPrecision", "weightedRecall"),
+           REGRESSION: ("r2", "rmse", "mse", "mae", "var")}
+
+
+def evaluator(task: str, metric: str | None = None):
+    """A8 / A9 as MLlib evaluators: accuracy for classes and R² for targets unless another
+    metric of the task is named; a metric of the other task raises."""
+    task = normalize_task(task)
+    metric = metric or METRICS[task][0]
+    if metric not in METRICS[task]:
+        raise ValueError(f"{metric!r} does not score a {task} task")
+    kind = MulticlassClassificationEvaluator if task == CLASSIFICATION else RegressionEvaluator
+    return kind(labelCol="label_idx", predictionCol="prediction", metricName=metric)
 
 
 # ---------------------------------------------------------------------------- L7
-def _folds(df: DataFrame, k: int, seed: int) -> DataFrame:
-    """Fold numbers (M4), pinned, with the input's partition count restored (the
-    ranking range-partitions the rows; coalesce merges them back without a shuffle)."""
+def _folds(df: DataFrame, k: int, seed: int, stratify: str | None = None) -> DataFrame:
+    """Fold numbers (M4; M5 with ``stratify``), pinned in as many partitions as the input has."""
     n_parts = df.rdd.getNumPartitions()
     base = df.drop("fold") if "fold" in df.columns else df
-    return cache_small(kfold(base, SAMPLE, k, seed).coalesce(max(1, n_parts)))
+    return cache_small(kfold(base, SAMPLE, k, seed, stratify).coalesce(max(1, n_parts)))
 
 
 def cross_validate(df: DataFrame, estimator: Estimator, task: str = CLASSIFICATION, k: int = 10,
-                   seed: int = 42, parallelism: int = 4) -> DataFrame:
-    """K shuffled folds (M4); per fold fit on the rest and score on the fold.
+                   seed: int = 42, parallelism: int = 4, stratify: str | None = None) -> DataFrame:
+    """K shuffled folds (M4; with ``stratify`` each fold keeps that column's proportions,
+    M5); per fold fit on the rest and score on the fold.
 
     Returns ``(fold, n_train, n_test, score)``, one row per fold — every fold is
     computed (Q9). Folds run as concurrent Spark jobs from ``parallelism`` threads.
     """
     spark = df.sparkSession
-    folded = _folds(df, k, seed)
+    folded = _folds(df, k, seed, stratify)
     ev = evaluator(task)
 
+    sizes = {r["fold"]: r["count"] for r in folded.groupBy("fold").count().collect()}
+    n = sum(sizes.values())
+
     def one(f: int):
-        tr, te = folded.filter(F.col("fold") != f), folded.filter(F.col("fold") == f)
-        model = estimator.fit(tr)
-        return (f, tr.count(), te.count(), float(ev.evaluate(model.transform(te))))
+        model = estimator.fit(folded.filter(F.col("fold") != f))
+        score = float(ev.evaluate(model.transform(folded.filter(F.col("fold") == f))))
+        return (f, n - sizes.get(f, 0), sizes.get(f, 0), score)
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         rows = list(pool.map(one, range(k)))
@@ -174,12 +186,12 @@ def param_grid(estimator: Estimator, grid: dict[str, list]) -> list:
 
 
 def grid_search(train: DataFrame, estimator: Estimator, grid: dict[str, list], task: str = CLASSIFICATION,
-                folds: int = 2, seed: int = 42, parallelism: int = 4):
-    """Grid search with ``folds``-fold CV scored by accuracy (R² for targets); the
-    best parameters are refit on all of ``train``. Returns (CrossValidatorModel, table
+                folds: int = 2, seed: int = 42, parallelism: int = 4, metric: str | None = None):
+    """Grid search with ``folds``-fold CV scored by ``metric`` (default accuracy for
+    classes, r2 for targets); the best parameters are refit on all of ``train``. Returns (CrossValidatorModel, table
     ``(params, avg_metric)``)."""
     maps = param_grid(estimator, grid)
-    cv = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=evaluator(task),
+    cv = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=evaluator(task, metric),
                         numFolds=folds, seed=seed, parallelism=parallelism)
     model = cv.fit(train)
     rows = [(json.dumps({p.name: v for p, v in m.items()}, sort_keys=True), float(a))
@@ -188,19 +200,22 @@ def grid_search(train: DataFrame, estimator: Estimator, grid: dict[str, list], t
 
 
 def nested_cv(df: DataFrame, estimator: Estimator, grid: dict[str, list], task: str = CLASSIFICATION,
-              outer: int = 5, inner: int = 2, seed: int = 42, parallelism: int = 2) -> DataFrame:
-    """``outer`` shuffled folds; in each, a grid search (L8) on the rest and the
-    refit best model scored on the fold. Returns ``(fold, n_test, score, best_params)``."""
+              outer: int = 5, inner: int = 2, seed: int = 42, parallelism: int = 2,
+              stratify: str | None = None, metric: str | None = None) -> DataFrame:
+    """``outer`` shuffled folds (stratified with ``stratify``); in each, a grid search
+    (L8) on the rest and the refit best model scored on the fold by ``metric``. Returns ``(fold, n_test, score, best_params)``."""
     spark = df.sparkSession
-    folded = _folds(df, outer, seed)
-    ev = evaluator(task)
+    folded = _folds(df, outer, seed, stratify)
+    ev = evaluator(task, metric)
+
+    sizes = {r["fold"]: r["count"] for r in folded.groupBy("fold").count().collect()}
 
     def one(f: int):
         tr, te = folded.filter(F.col("fold") != f), folded.filter(F.col("fold") == f)
-        model, table = grid_search(tr, estimator, grid, task, inner, seed, 1)
+        model, table = grid_search(tr, estimator, grid, task, inner, seed, 1, metric)
         best = table.orderBy(F.col("avg_metric").desc() if ev.isLargerBetter() else F.col("avg_metric"),
                              "params").first()["params"]
-        return (f, te.count(), float(ev.evaluate(model.bestModel.transform(te))), best)
+        return (f, sizes.get(f, 0), float(ev.evaluate(model.bestModel.transform(te))), best)
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         rows = list(pool.map(one, range(outer)))

@@ -3,8 +3,8 @@
 Randomness is a deterministic order (D0.7): rows are ordered by the first 8 hex
 digits of md5(id || '-' || seed), ties by id; a split takes ranks in that order.
 Ranks are computed without a global single-task window: the rows are range
-partitioned on the order key, numbered inside each partition, and shifted by the
-row count of all earlier partitions (a table with one row per partition).
+partitioned on the order key, numbered inside each partition, written once, and
+shifted by the row count of all earlier partitions (a table with one row per partition).
 """
 
 from __future__ import annotations
@@ -15,42 +15,49 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import hash_rank_key
-from ..matrix import GENE, MAX_BROADCAST_SAMPLES, SAMPLE, ExprMatrix, cache_small
+from ..matrix import (GENE, MAX_BROADCAST_SAMPLES, SAMPLE, ExprMatrix, cache_small, checked_broadcast,
+                      materialize)
 
 RANK = "_rank"
+# Rank rows (order columns and a rank) that may be broadcast back to their table.
+MAX_BROADCAST_RANKS = 200_000
 
 
 # Rows per range partition when ranking: ids sort comfortably in one task at this size.
 RANK_ROWS_PER_PARTITION = 500_000
 
 
-def _n_parts(df: DataFrame, n_rows: int | None) -> int:
-    """Range partitions for ranking: one per RANK_ROWS_PER_PARTITION rows, at most
-    spark.sql.shuffle.partitions (the cluster's sizing), at least one."""
-    cap = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if n_rows is None:
-        n_rows = df.count()
-    return max(1, min(cap, math.ceil(n_rows / RANK_ROWS_PER_PARTITION)))
-
-
-def global_rank(df: DataFrame, order: list[Column | str], n_partitions: int | None = None,
+def global_rank(df: DataFrame, order: list[str], n_partitions: int | None = None,
                 n_rows: int | None = None) -> DataFrame:
-    """Add ``_rank`` = 0-based position of each row in ``order`` (must be a total order).
+    """Add ``_rank`` = 0-based position of each row in ``order`` (columns; a total order).
 
-    Two passes over the range-partitioned rows: per-partition counts (a tiny table,
-    turned into offsets) and the numbered rows; the shared shuffle is reused.
+    Only the order columns are ranked: they are range-partitioned, numbered inside each
+    partition and written once, so partition sizes and positions come from the same
+    exchange, whatever it sampled. A second exchange would draw other boundaries.
+    The rank is joined back on the order columns; the payload is never sorted.
     """
-    n = n_partitions or _n_parts(df, n_rows)
-    parts = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    spark = df.sparkSession
+    if n_rows is None and n_partitions is None:
+        n_rows = df.count()
+    n = n_partitions or max(1, math.ceil(n_rows / RANK_ROWS_PER_PARTITION))
+    keys = df.select(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    names = keys.columns
+    parts = (keys.repartitionByRange(n, *names).sortWithinPartitions(*names)
              .withColumn("_pid", F.spark_partition_id())
              .withColumn("_local", F.monotonically_increasing_id()))
-    parts = parts.withColumn("_local", F.col("_local") - F.shiftleft(F.col("_pid").cast("bigint"), 33))
+    parts = materialize(parts.withColumn("_local", F.col("_local") - F.shiftleft(F.col("_pid").cast("bigint"), 33)), "ranks")
+    # one row per range partition
     counts = parts.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_off"))
-    return (parts.join(F.broadcast(offsets), "_pid")
-            .withColumn(RANK, F.col("_off") + F.col("_local"))
-            .drop("_pid", "_local", "_off"))
+    ranks = (parts.join(F.broadcast(offsets), "_pid")
+             .select(*names, (F.col("_off") + F.col("_local")).alias(RANK)))
+    if df.columns == list(order):
+        return ranks.select(*[F.col(o).alias(c) for o, c in zip(names, order)], RANK)
+    if n_rows is not None:
+        ranks = checked_broadcast(ranks, n_rows, MAX_BROADCAST_RANKS)
+    on = [F.col(c).eqNullSafe(F.col(o)) for c, o in zip(order, names)]
+    return df.join(ranks, on).drop(*names)
 
 
 def seeded_rank(df: DataFrame, id_col: str, seed: int = 42, within: str | None = None,
@@ -58,28 +65,18 @@ def seeded_rank(df: DataFrame, id_col: str, seed: int = 42, within: str | None =
     """``_rank`` in md5(id-seed) order; with ``within``, the rank inside each value of it.
 
     A rank within a group is the global rank in (group, key, id) order minus the
-    group's first global rank, so a group holding most rows is still spread over
+    group's smallest global rank, so a group holding most rows is still spread over
     all partitions instead of landing in one task.
     """
     key = hash_rank_key(F.col(id_col), seed)
     if within is None:
         return global_rank(df.withColumn("_key", key), ["_key", id_col], n_rows=n_rows).drop("_key")
-    counts = cache_small(df.groupBy(within).agg(F.count(F.lit(1)).alias("_c")))
-    _check_groups(counts, within)
-    total = n_rows if n_rows is not None else counts.agg(F.sum("_c")).first()[0] or 0
-    ranked = global_rank(df.withColumn("_key", key), [within, "_key", id_col], n_rows=total).drop("_key")
-    w = Window.orderBy(within).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(within, F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_start"))
-    return (ranked.join(F.broadcast(starts), within)
-            .withColumn(RANK, F.col(RANK) - F.col("_start")).drop("_start"))
-
-
-def _check_groups(counts: DataFrame, col: str) -> None:
-    """Group-level tables (one row per class) are ordered and broadcast whole; refuse a
-    grouping column with more distinct values than that allows."""
-    n = counts.count()
-    if n > MAX_BROADCAST_SAMPLES:
-        raise ValueError(f"{col} has {n} distinct values; too many groups to stratify by")
+    ranked = global_rank(df.withColumn("_key", key), [within, "_key", id_col], n_rows=n_rows).drop("_key")
+    # the group's first rank is its smallest one: no order over the groups is needed, however many
+    starts = cache_small(ranked.groupBy(F.col(within).alias("_w")).agg(F.min(RANK).alias("_start")))
+    starts = checked_broadcast(starts, starts.count(), MAX_BROADCAST_SAMPLES)
+    return (ranked.join(starts, F.col(within).eqNullSafe(F.col("_w")))
+            .withColumn(RANK, F.col(RANK) - F.col("_start")).drop("_w", "_start"))
 
 
 def train_test_split(df: DataFrame, id_col: str = SAMPLE, test_frac: float = 0.3, seed: int = 42,
@@ -127,22 +124,21 @@ def class_quotas(df: DataFrame, label: str, n: int) -> DataFrame:
     Runs on the class-count table (one row per class).
     """
     counts = cache_small(df.groupBy(label).agg(F.count(F.lit(1)).alias("n_class")))
-    _check_groups(counts, label)
     total = counts.agg(F.sum("n_class")).scalar()
     exact = F.lit(n) * F.col("n_class") / total
-    base = counts.select(label, "n_class", F.floor(exact).alias("_b"), (exact - F.floor(exact)).alias("_rem"))
+    base = counts.select(label, "n_class", F.floor(exact).alias("_b"), (-(exact - F.floor(exact))).alias("_rem"))
     extra = F.lit(n) - base.agg(F.sum("_b")).scalar()
-    w = Window.orderBy(F.col("_rem").desc(), F.col(label))
-    return base.select(label, "n_class",
-                       (F.col("_b") + F.when(F.row_number().over(w) <= extra, 1).otherwise(0))
-                       .cast("bigint").alias("quota"))
+    ranked = global_rank(base, ["_rem", label])
+    return ranked.select(label, "n_class",
+                         (F.col("_b") + F.when(F.col(RANK) < extra, 1).otherwise(0)).cast("bigint").alias("quota"))
 
 
 def stratified_sample(df: DataFrame, label: str, n: int, id_col: str = SAMPLE, seed: int = 42) -> DataFrame:
     """M2: n rows with class proportions kept (largest-remainder quotas), seeded."""
     quotas = class_quotas(df, label, n)
     ranked = seeded_rank(df, id_col, seed, within=label)
-    return (ranked.join(F.broadcast(quotas.select(label, "quota")), label)
+    quotas = checked_broadcast(cache_small(quotas.select(label, "quota")), quotas.count(), MAX_BROADCAST_SAMPLES)
+    return (ranked.join(quotas, label)
             .filter(F.col(RANK) < F.col("quota")).drop(RANK, "quota"))
 
 

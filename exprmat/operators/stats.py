@@ -8,6 +8,8 @@ v) out of n samples, z = n - k zeros are added analytically:
 
 Per-sample quantiles pad each sample's sorted stored values with its z zeros at the
 right rank (negative values before them, positive after), so no zero is ever stored.
+A missing value (a stored NULL) is skipped: n is the number of the gene's (or the
+sample's) values that are not missing.
 """
 
 from __future__ import annotations
@@ -18,17 +20,8 @@ from pyspark.sql import functions as F
 from ..matrix import GENE, SAMPLE, VALUE, ExprMatrix, counted_broadcast
 
 
-def _padded_var(k: Column, a: Column, v: Column, n: int) -> Column:
-    """Sample variance of n values made of k stored values (avg a, var_pop v) and zeros."""
-    if n < 2:
-        return F.lit(None).cast("double")
-    k = k.cast("double")
-    ss = k * v + k * (F.lit(n) - k) / F.lit(float(n)) * a * a
-    return F.when(k == 0, F.lit(0.0)).otherwise(ss / F.lit(float(n - 1)))
-
-
 def _padded_var_col(k: Column, a: Column, v: Column, n: Column) -> Column:
-    """As ``_padded_var`` with the sample count as a column (per-batch statistics)."""
+    """Sample variance of n values made of k stored values (avg a, var_pop v) and zeros."""
     k = k.cast("double")
     n = n.cast("double")
     ss = k * v + k * (n - k) / n * a * a
@@ -45,14 +38,20 @@ def gene_stats_by_batch(m: ExprMatrix, batches: DataFrame, batch: str = "batch")
     b = batches.select(SAMPLE, batch)
     n_b, _ = counted_broadcast(b.groupBy(batch).agg(F.count(F.lit(1)).alias("n")))
     agg = (m.cells.join(m.samples_bc(b), SAMPLE).groupBy(batch, GENE)
-           .agg(F.count(VALUE).alias("_k"), F.avg(VALUE).alias("_a"), F.var_pop(VALUE).alias("_v")))
-    st = agg.join(n_b, batch)
-    total = F.col("_k").cast("double") * F.col("_a")
+           .agg(*_moments()))
+    st = agg.join(n_b, batch).withColumn("n", F.col("n") - F.col("_m"))
+    total = F.col("_k").cast("double") * F.coalesce(F.col("_a"), F.lit(0.0))
     return st.select(batch, GENE, F.col("n").cast("bigint").alias("n"), total.alias("total"),
-                     (total / F.col("n")).alias("mean"),
+                     F.try_divide(total, F.col("n")).alias("mean"),
                      _padded_var_col(F.col("_k"), F.col("_a"), F.col("_v"), F.col("n")).alias("var"))
 
 
+def _moments() -> list[Column]:
+    """Of stored values: how many, mean, population variance; and how many are missing."""
+    return [F.count(VALUE).alias("_k"), F.avg(VALUE).alias("_a"), F.var_pop(VALUE).alias("_v"),
+            F.count_if(F.col(VALUE).isNull()).alias("_m")]
+
+
 def gene_stats(m: ExprMatrix) -> DataFrame:
     """``(gene_id, n, total, mean, var)`` for every gene of ``m`` (A1–A3).
 
@@ -60,17 +59,15 @@ def gene_stats(m: ExprMatrix) -> DataFrame:
     task to one row per gene before the shuffle), then a join with the gene table,
     which is bounded by the gene count and broadcast when that count allows.
     """
-    n = m.n_samples
-    agg = (m.cells.groupBy(GENE)
-           .agg(F.count(VALUE).alias("_k"), F.avg(VALUE).alias("_a"), F.var_pop(VALUE).alias("_v")))
+    agg = m.cells.groupBy(GENE).agg(*_moments())
     g = m.genes_bc().join(agg, GENE, "left")
+    n = F.lit(m.n_samples).cast("bigint") - F.coalesce(F.col("_m"), F.lit(0))
     k = F.coalesce(F.col("_k"), F.lit(0))
     a = F.coalesce(F.col("_a"), F.lit(0.0))
     v = F.coalesce(F.col("_v"), F.lit(0.0))
     total = k.cast("double") * a
-    mean = total / F.lit(float(n)) if n > 0 else F.lit(None).cast("double")
-    return g.select(GENE, F.lit(n).cast("bigint").alias("n"), total.alias("total"),
-                    mean.alias("mean"), _padded_var(k, a, v, n).alias("var"))
+    return g.select(GENE, n.alias("n"), total.alias("total"),
+                    F.try_divide(total, n.cast("double")).alias("mean"), _padded_var_col(k, a, v, n).alias("var"))
 
 
 def padded_quantile(sorted_vals: Column, n_zeros: Column, n_total: Column, q: float) -> Column:
@@ -104,10 +101,10 @@ def sample_stats(m: ExprMatrix, q: float = 0.75) -> DataFrame:
     """
     g = m.n_genes
     per = (m.cells.groupBy(SAMPLE)
-           .agg(F.sum(VALUE).alias("total"), F.count(VALUE).alias("_k"),
-                F.array_sort(F.collect_list(VALUE)).alias("_s")))
-    return per.select(SAMPLE, "total",
-                      padded_quantile(F.col("_s"), F.lit(g) - F.col("_k"), F.lit(g), q).alias("quantile"))
+           .agg(F.coalesce(F.sum(VALUE), F.lit(0.0)).alias("total"), F.count(VALUE).alias("_k"),
+                F.count_if(F.col(VALUE).isNull()).alias("_m"), F.array_sort(F.collect_list(VALUE)).alias("_s")))
+    n = F.lit(g) - F.col("_m")
+    return per.select(SAMPLE, "total", padded_quantile(F.col("_s"), n - F.col("_k"), n, q).alias("quantile"))
 
 
 def geometric_mean_zero_as_one(col: str | Column) -> Column:
@@ -128,3 +125,13 @@ def strictly_greater(x: Column, t: Column, rel: float = 1e-12) -> Column:
     an exact tie can come out a few ulps either way; the tolerance keeps a tie a tie.
     """
     return (x - t) > F.lit(rel) * F.greatest(F.abs(x), F.abs(t))
+
+
+def comparable(x: Column, digits: int = 12) -> Column:
+    """``x`` (not negative) kept to ``digits`` significant digits, at any magnitude.
+
+    Equal values reached by different summation orders differ in their last bits; kept to
+    fewer digits they rank as equal, and values that differ never merge for being small.
+    """
+    unit = F.pow(F.lit(10.0), F.floor(F.log10(x)) - (digits - 1))
+    return F.when(x > 0, F.round(x / unit) * unit).otherwise(x)

@@ -2,7 +2,7 @@
 
 * long matrix: lineitem ⋈ part — sample = supplier, gene = ``p_brand|p_type``,
   value = Σ l_quantity; samples are all suppliers, genes all brand|type pairs of part;
-* sparse slice of it (parts of size ≤ 5) so that some genes are all zero;
+* the same with further genes that no cell has (``none|p_type``), so that some are all zero;
 * class label: the supplier's region (5 classes); regression target: s_acctbal;
 * row-array matrix with class label: embeddings (vec_id, embedding, label).
 
@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from ..matrix import GENE, SAMPLE, VALUE, VALUES, ExprMatrix, cache_small
 
-SPARSE_SLICE = "p_size <= 5"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,15 +29,15 @@ def gene_col() -> F.Column:
 def tpch_matrix(spark: SparkSession, sf_dir: str, sparse: bool = False) -> ExprMatrix:
     """Long matrix from lineitem ⋈ part; only the three needed lineitem columns are read."""
     li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_quantity")
-    part = table(spark, sf_dir, "part")
-    if sparse:
-        part = part.filter(F.expr(SPARSE_SLICE))
-    part = part.select("p_partkey", gene_col().alias(GENE))
+    part = table(spark, sf_dir, "part").select("p_partkey", gene_col().alias(GENE))
     cells = (li.join(part, li.l_partkey == part.p_partkey)
              .groupBy(F.col("l_suppkey").alias(SAMPLE), GENE)
              .agg(F.sum("l_quantity").alias(VALUE)))
     samples = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias(SAMPLE))
-    genes = cache_small(table(spark, sf_dir, "part").select(gene_col().alias(GENE)).distinct())
+    genes = table(spark, sf_dir, "part").select(gene_col().alias(GENE)).distinct()
+    if sparse:
+        genes = genes.union(table(spark, sf_dir, "part").select(F.concat_ws("|", F.lit("none"), "p_type")).distinct())
+    genes = cache_small(genes)
     return ExprMatrix.from_cells(cells, samples, genes).materialized()
 
 
@@ -84,17 +83,17 @@ def embedding_matrix(spark: SparkSession, sf_dir: str, absolute: bool = True) ->
 
 
 # ------------------------------------------------------------------ SQL (DuckDB oracle)
-def sql_cells(sparse: bool = False) -> str:
-    where = f"WHERE {SPARSE_SLICE}" if sparse else ""
-    return f"""SELECT l_suppkey AS sample_id, p_brand || '|' || p_type AS gene_id, sum(l_quantity) AS value
-  FROM lineitem JOIN (SELECT * FROM part {where}) p ON l_partkey = p_partkey GROUP BY ALL"""
+def sql_cells() -> str:
+    return """SELECT l_suppkey AS sample_id, p_brand || '|' || p_type AS gene_id, sum(l_quantity) AS value
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL"""
 
 
 def sql_matrix_ctes(sparse: bool = False) -> str:
     """CTEs ``cells, samples, genes, dense`` for the long binding; ``dense`` zero-fills."""
-    return f"""cells AS ({sql_cells(sparse)}),
+    more = "\n  UNION SELECT DISTINCT 'none|' || p_type FROM part" if sparse else ""
+    return f"""cells AS ({sql_cells()}),
 samples AS (SELECT s_suppkey AS sample_id FROM supplier),
-genes AS (SELECT DISTINCT p_brand || '|' || p_type AS gene_id FROM part),
+genes AS (SELECT DISTINCT p_brand || '|' || p_type AS gene_id FROM part{more}),
 dense AS (SELECT s.sample_id, g.gene_id, coalesce(c.value, 0.0) AS value
   FROM samples s CROSS JOIN genes g LEFT JOIN cells c ON c.sample_id = s.sample_id AND c.gene_id = g.gene_id)"""
 

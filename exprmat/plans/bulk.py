@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..matrix import ExprMatrix, cache_small
+from ..matrix import ExprMatrix
 from ..operators.filters import filter_low_signal
 from ..operators.transforms import log2p1, upper_quartile_normalize
 
@@ -41,7 +41,7 @@ def bulk_pipeline(m: ExprMatrix, labels, task: str = "classification", label: st
     task = ml.normalize_task(task)
     pre = feature_preprocessing(m)
     rows, _ = pre.to_row_array()
-    prepared = cache_small(ml.pre_ml(rows, labels, task, label, seed=seed))
+    prepared = ml.pre_ml(rows, labels, task, label, seed=seed)
     train = prepared.filter(F.col("split") == "train")
     est = ml.make_estimator(task, kind, seed, **est_params)
     if grid:

@@ -194,7 +194,7 @@ def q_log_normalize(spark, sf_dir):
 
 SQL_K2 = f"""WITH {CTE}
 SELECT gene_id, round(var_samp(value), 6) AS var FROM dense GROUP BY gene_id
-ORDER BY round(var_samp(value), 9) DESC, gene_id LIMIT 20"""
+ORDER BY (count(*) * sum(value::HUGEINT * value::HUGEINT) - sum(value::HUGEINT) * sum(value::HUGEINT)) DESC, gene_id LIMIT 20"""
 
 
 @register("k2_top_variance_genes", SQL_K2)
@@ -205,15 +205,16 @@ def q_top_variance(spark, sf_dir):
 
 _SQL_HVG = f"""WITH {CTE},
 ln AS ({_sql_lognorm('dense')}),
-hv AS (SELECT gene_id, var_samp(value) AS var FROM ln GROUP BY gene_id ORDER BY round(var, 9) DESC, gene_id LIMIT 20)"""
+hv AS (SELECT gene_id, var_samp(value) AS var FROM ln GROUP BY gene_id ORDER BY var DESC, gene_id LIMIT 20)"""
 
 SQL_C4 = _SQL_HVG + "\nSELECT gene_id, round(var, 6) AS var FROM hv"
 
 
 @register("c4_highly_variable_genes", SQL_C4)
 def q_hvg(spark, sf_dir):
-    from ..operators.selection import top_variance_genes
-    return r6(top_variance_genes(transforms.log_normalize(B.tpch_matrix(spark, sf_dir)), 20))
+    from ..operators.selection import highly_variable_genes
+    _, top = highly_variable_genes(transforms.log_normalize(B.tpch_matrix(spark, sf_dir)), 20, with_stats=True)
+    return r6(top.select("gene_id", "var"))
 
 
 SQL_C5 = f"""WITH {CTE},
@@ -435,7 +436,7 @@ def q_join_labels(spark, sf_dir):
     return r6(join_labels(per, B.region_labels(spark, sf_dir)))
 
 
-SQL_U1 = f"""WITH {CTE}, sparse AS ({B.sql_cells(True)})
+SQL_U1 = f"""WITH {CTE}, sparse AS ({B.sql_cells()})
 SELECT sample_id, gene_id, round(value, 6) AS value FROM cells
 UNION ALL SELECT sample_id, gene_id, round(value, 6) AS value FROM sparse"""
 
@@ -889,8 +890,7 @@ def q_standard_scale(spark, sf_dir):
     from ..operators.sampling import train_test_split
     rows, _ = B.tpch_matrix(spark, sf_dir).to_row_array()
     s = train_test_split(rows, SAMPLE, 0.3, 42)
-    means, scales = fit_standard_scaler(s.filter(F.col("split") == "train"))
-    out = apply_standard_scaler(s, means, scales)
+    out = apply_standard_scaler(s, fit_standard_scaler(s.filter(F.col("split") == "train")))
     return r6(out.select(SAMPLE, "split", F.posexplode("values").alias("gene_idx", VALUE)))
 
 
@@ -1191,7 +1191,7 @@ def q_prepare(spark, sf_dir):
 
 
 SQL_C10 = f"""WITH {CTE},
-top AS (SELECT gene_id FROM dense GROUP BY gene_id ORDER BY round(var_samp(value), 9) DESC, gene_id LIMIT 20),
+top AS (SELECT gene_id FROM dense GROUP BY gene_id ORDER BY (count(*) * sum(value::HUGEINT * value::HUGEINT) - sum(value::HUGEINT) * sum(value::HUGEINT)) DESC, gene_id LIMIT 20),
 l AS ({B.SQL_REGION_LABELS}),
 c AS (SELECT label, count(*) AS n_class FROM l GROUP BY label),
 b AS (SELECT label, floor(50 * n_class / (SELECT sum(n_class) FROM c)) AS b,
@@ -1227,7 +1227,7 @@ def q_subsample_grid(spark, sf_dir):
 # ---------------------------------------------------------------------------- C6 on the customer × part matrix
 SQL_C6_CUSTOMERS = f"""WITH {B.sql_customer_part_ctes()},
 ln AS ({_sql_lognorm('dense')}),
-hv AS (SELECT gene_id FROM ln GROUP BY gene_id ORDER BY round(var_samp(value), 9) DESC, gene_id LIMIT 1000),
+hv AS (SELECT gene_id FROM ln GROUP BY gene_id ORDER BY var_samp(value) DESC, gene_id LIMIT 1000),
 sel AS (SELECT ln.* FROM ln JOIN hv USING (gene_id)),
 st AS (SELECT gene_id, avg(value) AS m, var_samp(value) AS v FROM sel GROUP BY gene_id)
 SELECT sample_id, gene_id, round(CASE WHEN v = 0 THEN NULL ELSE (value - m) / v END, 6) AS value
@@ -1305,7 +1305,8 @@ def q_map_batches(spark, sf_dir):
                              "total": [float(p["value"].sum())]})
 
     c = B.tpch_matrix(spark, sf_dir).cells.join(_supplier_batches(spark, sf_dir), SAMPLE)
-    return r6(map_batches(c, summarise, "batch int, n_cells long, total double", "batch"))
+    parts = map_batches(c, summarise, "batch int, n_cells long, total double", "batch", max_rows=50_000)
+    return r6(parts.groupBy("batch").agg(F.sum("n_cells").alias("n_cells"), F.sum("total").alias("total")))
 
 
 # ---------------------------------------------------------------------------- C2 on embeddings (row-array input)

@@ -45,7 +45,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster that setting names a shared file system folder and is used as is.
-    Only when it is unset (local tests) do we create a folder of our own.
+    Only when it is unset on a local master (tests) do we create a folder of our own;
+    on a cluster a driver's temporary folder would not be seen by the executors, so an
+    unset folder raises.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -53,6 +55,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        master = sc.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="exprmat-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

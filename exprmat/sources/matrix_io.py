@@ -1,9 +1,8 @@
 """Reading and writing matrices.
 
-No reader here builds one Spark column per gene (D0.1): CSV rows are read as text
-and split once into an array; wide parquet files become row-arrays either through
-``array(*cols)`` (narrow files) or through a ``mapInArrow`` job that reads each
-row group with pyarrow on the executors (wide files).
+No reader here keeps one Spark column per gene (D0.1): CSV rows are read as text and
+split once into an array; wide parquet files become row-arrays through ``array(*cols)``,
+a block of columns at a time.
 """
 
 from __future__ import annotations
@@ -17,8 +16,8 @@ from pyspark.sql import types as T
 
 from ..matrix import GENE, SAMPLE, VALUE, VALUES, ExprMatrix, counted_broadcast
 
-# Above this many gene columns a wide parquet file is imported with pyarrow on the
-# executors instead of array(*cols), which the optimizer handles badly when wide.
+# Gene columns that one scan of a wide parquet file reads: a plan with many thousand
+# columns is handled badly by the optimizer, and a row group of them fills memory.
 WIDE_COLUMN_LIMIT = 2000
 
 
@@ -42,13 +41,15 @@ def read_matrix_csv(spark: SparkSession, path: str, id_col: str | None = None,
     double, so integer files are widened to float as in the reference. ``id_col``
     names the key column (kept as sample_id); without one, each row gets a unique
     id from ``monotonically_increasing_id`` (the reference keys rows by position).
-    Returns ``(rows, gene_names)``.
+    A row with more or fewer fields than the header raises. Returns ``(rows, gene_names)``.
     """
     header = spark.read.option("header", True).option("sep", sep).csv(path).columns
     lines = spark.read.text(path)
     header_line = sep.join(header)
     parts = lines.filter((F.col("value") != header_line) & (F.length("value") > 0)) \
-        .select(F.split("value", sep_regex(sep)).alias("_f"))
+        .select(F.split("value", sep_regex(sep)).alias("_f")) \
+        .select(F.when(F.size("_f") == len(header), F.col("_f")).otherwise(F.raise_error(F.format_string(
+            f"a row has %d fields, the header {len(header)}", F.size("_f")))).alias("_f"))
     if id_col is not None:
         pos = header.index(id_col)
         genes = [h for i, h in enumerate(header) if i != pos]
@@ -90,73 +91,32 @@ def read_wide_parquet(spark: SparkSession, path: str, id_col: str | None = None,
                       max_array_columns: int = WIDE_COLUMN_LIMIT) -> tuple[DataFrame, list[str]]:
     """Wide parquet (one column per gene) → ``(sample_id, values)`` + gene names.
 
-    Narrow files: ``array(*cols)`` in one projection. Wide files: a DataFrame of
-    (file, row group) pieces is spread over the executors and each piece is read
-    with pyarrow inside ``mapInArrow``; ids without ``id_col`` are
-    ``<file name>:<row number>``.
+    Each scan reads a block of at most ``max_array_columns`` columns (the others are
+    pruned) into one array per row; the blocks of a row are then gathered by its id. Ids
+    without ``id_col`` are ``<file name>:<row number>``. Any Hadoop path works, and a
+    missing value stays NULL whatever the number of blocks.
     """
-    schema = spark.read.parquet(path).schema
-    genes = [f.name for f in schema.fields if f.name != id_col]
-    if len(genes) <= max_array_columns:
+    columns = spark.read.parquet(path).columns
+    genes = [c for c in columns if c != id_col]
+
+    def quoted(name: str) -> str:
+        return "`" + name.replace("`", "``") + "`"
+
+    def block(k: int) -> DataFrame:
         df = spark.read.parquet(path)
-        sid = F.col(id_col).cast("string") if id_col else F.concat(
+        sid = F.col(quoted(id_col)).cast("string") if id_col else F.concat(
             F.col("_metadata.file_name"), F.lit(":"), F.col("_metadata.row_index").cast("string"))
-        return df.select(sid.alias(SAMPLE), F.array(*[F.col(g).cast("double") for g in genes]).alias(VALUES)), genes
-    return _wide_parquet_arrow(spark, path, id_col, genes), genes
-
-
-def _wide_parquet_arrow(spark: SparkSession, path: str, id_col: str | None, genes: list[str]) -> DataFrame:
-    """Two mapInArrow stages: files → (file, row group, first row) pieces from the
-    footers, then pieces → row-arrays; both run on the executors."""
-    files = spark.read.parquet(path).select(F.col("_metadata.file_path").alias("file")).distinct()
-    piece_schema = "file string, row_group int, first_row long"
-    out_schema = T.StructType([T.StructField(SAMPLE, T.StringType()),
-                               T.StructField(VALUES, T.ArrayType(T.DoubleType()))])
-    gene_list = list(genes)
-
-    def open_file(uri):
-        import pyarrow.fs as pafs
-        import pyarrow.parquet as pq2
-        fs, p = pafs.FileSystem.from_uri(uri)
-        return pq2.ParquetFile(fs.open_input_file(p)), p
-
-    def list_groups(batches):
-        import pyarrow as pa
-        for b in batches:
-            out_f, out_g, out_r = [], [], []
-            for uri in b.column("file").to_pylist():
-                pf, _ = open_file(uri)
-                first = 0
-                for g in range(pf.num_row_groups):
-                    out_f.append(uri)
-                    out_g.append(g)
-                    out_r.append(first)
-                    first += pf.metadata.row_group(g).num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(out_f, pa.string()), pa.array(out_g, pa.int32()),
-                                              pa.array(out_r, pa.int64())], names=["file", "row_group", "first_row"])
-
-    def read_groups(batches):
-        import os as _os
-
-        import numpy as np
-        import pyarrow as pa
-        for b in batches:
-            for uri, g, first in zip(b.column("file").to_pylist(), b.column("row_group").to_pylist(),
-                                     b.column("first_row").to_pylist()):
-                pf, p = open_file(uri)
-                t = pf.read_row_group(g, columns=gene_list + ([id_col] if id_col else []))
-                mat = np.column_stack([t.column(c).to_numpy(zero_copy_only=False).astype("float64")
-                                       for c in gene_list])
-                if id_col:
-                    ids = [str(x) for x in t.column(id_col).to_pylist()]
-                else:
-                    name = _os.path.basename(p)
-                    ids = [f"{name}:{first + i}" for i in range(t.num_rows)]
-                values = pa.array(list(mat), type=pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), values], names=[SAMPLE, VALUES])
-
-    pieces = files.mapInArrow(list_groups, piece_schema)
-    return pieces.repartition("file", "row_group").mapInArrow(read_groups, out_schema)
+        part = genes[k:k + max_array_columns]
+        return df.select(sid.alias(SAMPLE), F.array(*[F.col(quoted(g)).cast("double") for g in part]).alias(VALUES))
+
+    if len(genes) <= max_array_columns:
+        return block(0), genes
+    pieces = None
+    for n, k in enumerate(range(0, len(genes), max_array_columns)):
+        one = block(k).withColumn("_block", F.lit(n))
+        pieces = one if pieces is None else pieces.unionByName(one)
+    rows = pieces.groupBy(SAMPLE).agg(F.sort_array(F.collect_list(F.struct("_block", VALUES))).alias("_b"))
+    return rows.select(SAMPLE, F.flatten(F.transform("_b", lambda x: x[VALUES])).alias(VALUES)), genes
 
 
 def read_matrix(spark: SparkSession, path: str, fmt: str | None = None, layout: str = "long",

@@ -134,3 +134,40 @@ def test_dense_output_includes_samples_without_cells(spark):
     rows, _ = m2.to_row_array()
     z = {r["sample_id"]: r["values"] for r in rows.collect()}
     assert z["s99"] == [0.0] * 5
+
+
+def test_missing_values_are_skipped(spark):
+    """A NULL is neither a zero nor a value: 2, NULL, 4 has mean 3 and variance 2."""
+    from pyspark.sql import functions as F
+
+    from exprmat.matrix import ExprMatrix
+    from exprmat.operators.stats import gene_stats, sample_stats
+
+    rows = spark.createDataFrame([("a", [2.0, 1.0]), ("b", [None, 0.0]), ("c", [4.0, float("nan")])], "sample_id string, values array<double>")
+    m = ExprMatrix.from_row_array(rows, gene_ids=["g", "h"])
+    got = {r.gene_id: (r.n, r.mean, r["var"]) for r in gene_stats(m).collect()}
+    assert got == {"g": (2, 3.0, 2.0), "h": (2, 0.5, 0.5)}
+    q = {r.sample_id: (r.total, r.quantile) for r in sample_stats(m, 0.5).collect()}
+    assert q["a"] == (3.0, 1.5) and q["b"] == (0.0, 0.0) and q["c"] == (4.0, 4.0)
+    assert m.cells.where(F.col("value").isNull()).count() == 2
+    back = {r.sample_id: list(r["values"]) for r in m.to_row_array()[0].collect()}
+    assert back == {"a": [2.0, 1.0], "b": [None, 0.0], "c": [4.0, None]}
+
+
+def test_unequal_rows_raise(spark):
+    import pytest
+
+    from exprmat.matrix import ExprMatrix
+
+    rows = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [3.0, 4.0, 5.0])], "sample_id string, values array<double>")
+    with pytest.raises(ValueError, match="2 to 3"):
+        ExprMatrix.from_row_array(rows)
+
+
+def test_tiny_variances_rank_by_size(spark):
+    from exprmat.matrix import ExprMatrix
+    from exprmat.operators.selection import top_variance_genes
+
+    cells = [(s, g, v * i) for g, v in (("a", 1e-6), ("b", 2e-6), ("c", 9e-6)) for i, s in enumerate("xyz")]
+    m = ExprMatrix.from_cells(spark.createDataFrame(cells, "sample_id string, gene_id string, value double"))
+    assert [r.gene_id for r in top_variance_genes(m, 2).collect()] == ["c", "b"]

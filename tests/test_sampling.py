@@ -73,3 +73,19 @@ def test_sample_with_replacement_repeatable(spark):
     a = sampling.sample_with_replacement(df, "sample_id", 80, 42).orderBy("draw").collect()
     b = sampling.sample_with_replacement(df.repartition(3), "sample_id", 80, 42).orderBy("draw").collect()
     assert a == b and len(a) == 80 and len({r["sample_id"] for r in a}) < 80
+
+
+def test_ranks_of_two_million_rows_with_payload(spark):
+    """Beyond one range partition the ranks are 0..n-1 and the split is exact."""
+    n = 2_000_000
+    df = spark.range(0, n, 1, 8).select((F.col("id") * 7919 % n).alias("sample_id"), (F.col("id") % 97).alias("payload"))
+    r = sampling.seeded_rank(df, "sample_id", 42).agg(F.min("_rank"), F.max("_rank"), F.count_distinct("_rank"), F.sum("payload")).first()
+    assert tuple(r) == (0, n - 1, n, df.agg(F.sum("payload")).first()[0])
+    s = sampling.train_test_split(df, "sample_id", 0.3, 42)
+    assert {x["split"]: x["count"] for x in s.groupBy("split").count().collect()} == {"test": 600_000, "train": 1_400_000}
+
+
+def test_many_strata(spark):
+    df = spark.range(3000).select(F.col("id").alias("sample_id"), (F.col("id") / 3).cast("int").alias("label"))
+    r = sampling.seeded_rank(df, "sample_id", within="label").groupBy("label").agg(F.sort_array(F.collect_list("_rank")).alias("r"))
+    assert r.where("r = array(0, 1, 2)").count() == 1000
