@@ -41,7 +41,7 @@ RHO = 1e-2
 #: Added to G, as a share of its trace: domains that posteriors hardly tell apart don't set the scale.
 RIDGE = 1e-3
 STEPS = 60
-TOLERANCE = 1e-4
+TOLERANCE = 1e-3
 #: Rates are written after so many steps, so that no step folds a longer list.
 REWRITE = 8
 
