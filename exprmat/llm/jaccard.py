@@ -43,8 +43,9 @@ SKETCHES = 6
 FREQUENT = 1 << 19
 #: Ranges of the hash space by which counts and lists are gathered, per shuffle partition.
 RANGES = 4
-#: Texts of one vectorised step.
-STEP_BYTES = 2 << 20
+#: Bytes of one vectorised step, and rows that a task holds sets of at a time: bounds on its memory.
+STEP_BYTES = 1 << 20
+STEP_ROWS = 1_500
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -144,6 +145,12 @@ def _sketch(s: np.ndarray) -> list[int]:
     return (_mix(least[::2] * _BASE + least[1::2]) + np.arange(SKETCHES, dtype=np.uint64)).view(np.int64).tolist()
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for k in range(0, b.num_rows, STEP_ROWS):
+            yield b.slice(k, STEP_ROWS)
+
+
 def _texts(b: pa.RecordBatch) -> list[bytes]:
     return [x or b"" for x in b.column("txt").to_pylist()]
 
@@ -155,7 +162,7 @@ def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def describe(docs: DataFrame, id_col: str, text_col: str, n: int = N) -> DataFrame:
     """Of each text its id, class, set size and sketches."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             sets = shingle_sets(_texts(b), n)
             rows = [(i, _class_of(s), len(s), _sketch(s) if len(s) else None)
                     for i, s in zip(b.column("id").to_pylist(), sets, strict=True)]
@@ -184,7 +191,7 @@ def frequent_shingles(docs: DataFrame, id_col: str, text_col: str, ranges: int,
     firsts = _starts(ranges) >> _KEY_SHIFT
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             sets = shingle_sets(_texts(b), n)
             keys, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]) >> _KEY_SHIFT, return_counts=True)
             cuts = np.searchsorted(keys, firsts)
@@ -237,7 +244,7 @@ def prefix_lists(docs: DataFrame, id_col: str, text_col: str, frequent: tuple[np
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = sent.value
-        for b in batches:
+        for b in _slices(batches):
             parts = []
             for s in shingle_sets(_texts(b), n):
                 if not len(s):
@@ -289,7 +296,7 @@ def prefix_lists(docs: DataFrame, id_col: str, text_col: str, frequent: tuple[np
 def sets_of(docs: DataFrame, wanted: DataFrame, rows: int, id_col: str, text_col: str, unique: bool, n: int = N) -> DataFrame:
     """``cls, s`` (its shingles) of the wanted ``id`` representatives; ``unique``: no wanted id has two rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             sets = shingle_sets(_texts(b), n)
             yield _batch([(_class_of(s), s.view(np.int64)) for s in sets], ["cls", "s"], [pa.int64(), pa.list_(pa.int64())])
 
