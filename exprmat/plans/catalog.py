@@ -698,9 +698,29 @@ def q_gene_trend(spark, sf_dir):
     return r6(gene_trend(B.tpch_matrix(spark, sf_dir)).drop("p_value"))
 
 
-@register("a17_gene_trend_pvalue")
+# Student's t with integer degrees of freedom nu has finite series; with theta = atan(t / sqrt(nu)):
+# even nu: A = sin * sum_k prod(2i-1)/(2i) cos^2k; odd nu: A = 2/pi (theta + sin * sum_k prod(2i)/(2i+1) cos^(2k+1)).
+SQL_A17_P = f"""WITH {CTE},
+st AS (SELECT gene_id, log10(avg(value) + 1) AS m FROM dense GROUP BY gene_id),
+xy AS (SELECT CAST(row_number() OVER (ORDER BY gene_id) - 1 AS DOUBLE) AS x, m AS y FROM st),
+fit AS (SELECT count(*) AS n, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, corr(x, y) AS r,
+               sqrt((1 - corr(x, y) * corr(x, y)) * var_pop(y) / (var_pop(x) * (count(*) - 2))) AS stderr FROM xy),
+th AS (SELECT *, n - 2 AS nu, atan(abs(slope / stderr) / sqrt(n - 2)) AS theta FROM fit),
+k AS (SELECT unnest(range(0, greatest(nu // 2, 1))) AS k, nu, theta FROM th),
+c AS (SELECT k, nu, theta,
+             exp(sum(CASE WHEN k = 0 THEN 0 WHEN nu % 2 = 0 THEN ln((2.0 * k - 1) / (2.0 * k)) ELSE ln((2.0 * k) / (2.0 * k + 1)) END)
+                 OVER (ORDER BY k)) AS p FROM k),
+a AS (SELECT sum(CASE WHEN nu % 2 = 0 THEN p * pow(cos(theta), 2 * k)
+                      WHEN k <= (nu - 3) // 2 THEN p * pow(cos(theta), 2 * k + 1) ELSE 0 END) AS total FROM c)
+SELECT n, round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(r, 6) AS r,
+       round(1 - CASE WHEN nu % 2 = 0 THEN sin(theta) * total ELSE 2 / pi() * (theta + sin(theta) * total) END, 6) AS p_value,
+       round(stderr, 6) AS stderr
+FROM th, a"""
+
+
+@register("a17_gene_trend_pvalue", SQL_A17_P)
 def q_gene_trend_p(spark, sf_dir):
-    """A17 with the p-value (no SQL oracle: DuckDB has no t distribution)."""
+    """A17 on log10(mean + 1), with the p-value."""
     from ..operators.metrics import gene_trend
     return r6(gene_trend(B.tpch_matrix(spark, sf_dir), log10=True))
 
@@ -955,6 +975,117 @@ def q_bulk_pipeline(spark, sf_dir):
                          numTrees=20, maxDepth=5)
 
 
+# ---------------------------------------------------------------------------- L3–L9, C8 with an oracle
+# One discrete feature decides the label, so every learner must predict the truth and every
+# score is 1; splits, folds and sizes come from SQL.
+def _decided(spark, sf_dir, task="classification"):
+    from ..operators.ml import pre_ml
+    v = B.embedding_rows(spark, sf_dir)
+    kind = (F.col(SAMPLE) % 3).cast("double")
+    rows = v.select(SAMPLE, F.concat(F.array(kind), F.slice("values", 1, 7)).alias("values"))
+    label = F.concat(F.lit("class"), kind.cast("int")) if task == "classification" else kind * 10
+    return pre_ml(rows, v.select(SAMPLE, label.alias("label")), task)
+
+
+_SQL_SPLIT = f"""r AS (SELECT vec_id, row_number() OVER (ORDER BY {sql_key('vec_id')}, vec_id) - 1 AS rk FROM embeddings),
+train AS (SELECT vec_id, row_number() OVER (ORDER BY rk) - 1 AS rk, count(*) OVER () AS n FROM r
+          WHERE rk >= ceil(0.3 * (SELECT count(*) FROM embeddings)))"""
+SQL_DECIDED = f"""WITH {_SQL_SPLIT}
+SELECT vec_id AS sample_id, CAST(vec_id % 3 AS DOUBLE) AS label_idx, CAST(vec_id % 3 AS DOUBLE) AS prediction
+FROM r WHERE rk < ceil(0.3 * (SELECT count(*) FROM embeddings))"""
+SQL_DECIDED_10 = SQL_DECIDED.replace("CAST(vec_id % 3 AS DOUBLE)", "CAST(vec_id % 3 * 10 AS DOUBLE)")
+
+
+def _decided_predictions(spark, sf_dir, task, kind, **params):
+    from ..operators.ml import fit_and_score, make_estimator
+    est = make_estimator(task, kind, 42, featureSubsetStrategy="all", maxDepth=3, **params)
+    _, pred, _ = fit_and_score(_decided(spark, sf_dir, task), est, task)
+    return r6(pred.select(SAMPLE, "label_idx", "prediction"))
+
+
+@register("l3_gbt_classifier_decided", SQL_DECIDED)
+def q_gbt_decided(spark, sf_dir):
+    return _decided_predictions(spark, sf_dir, "classification", "gbt", maxIter=2)
+
+
+@register("l4_gbt_regressor_decided", SQL_DECIDED_10)
+def q_gbt_regressor_decided(spark, sf_dir):
+    return _decided_predictions(spark, sf_dir, "regression", "gbt", maxIter=2)
+
+
+@register("l5_l6_rf_decided", SQL_DECIDED)
+def q_rf_decided(spark, sf_dir):
+    return _decided_predictions(spark, sf_dir, "classification", "rf", numTrees=5)
+
+
+def _sql_folds(k: int) -> str:
+    return f"""p AS (SELECT *, n // {k} + 1 AS big, n % {k} AS rem, n // {k} AS small FROM train),
+f AS (SELECT CAST(CASE WHEN rk < rem * big THEN rk // big ELSE rem + (rk - rem * big) // small END AS INTEGER) AS fold, n FROM p)"""
+
+
+SQL_L7 = f"""WITH {_SQL_SPLIT}, {_sql_folds(4)}
+SELECT fold, any_value(n) - count(*) AS n_train, count(*) AS n_test, CAST(1 AS DOUBLE) AS score FROM f GROUP BY fold"""
+
+
+@register("l7_cross_validate_decided", SQL_L7)
+def q_cv_decided(spark, sf_dir):
+    from ..operators.ml import cross_validate, make_estimator
+    p = _decided(spark, sf_dir).filter(F.col("split") == "train")
+    return r6(cross_validate(p, make_estimator("classification", "rf", 42, numTrees=5, maxDepth=3, featureSubsetStrategy="all"), k=4))
+
+
+SQL_L8 = """SELECT '{"maxDepth": ' || d || ', "numTrees": ' || t || '}' AS params, CAST(1 AS DOUBLE) AS avg_metric
+FROM (VALUES (3), (4)) a(d), (VALUES (3), (5)) b(t)"""
+
+
+@register("l8_grid_search_decided", SQL_L8)
+def q_grid_decided(spark, sf_dir):
+    from ..operators.ml import grid_search, make_estimator
+    p = _decided(spark, sf_dir).filter(F.col("split") == "train")
+    _, table = grid_search(p, make_estimator("classification", "rf", 42, featureSubsetStrategy="all"),
+                           {"numTrees": [3, 5], "maxDepth": [3, 4]}, folds=2, metric="f1")
+    return r6(table)
+
+
+SQL_L9 = f"""WITH {_SQL_SPLIT}, {_sql_folds(3)}
+SELECT fold, count(*) AS n_test, CAST(1 AS DOUBLE) AS score, '{{"numTrees": 3}}' AS best_params FROM f GROUP BY fold"""
+
+
+@register("l9_nested_cv_decided", SQL_L9)
+def q_nested_decided(spark, sf_dir):
+    from ..operators.ml import make_estimator, nested_cv
+    p = _decided(spark, sf_dir).filter(F.col("split") == "train")
+    return r6(nested_cv(p, make_estimator("classification", "rf", 42, maxDepth=3, featureSubsetStrategy="all"), {"numTrees": [3, 5]}, outer=3, inner=2))
+
+
+def _sql_c8(task: str, folds: int) -> str:
+    return f"""SELECT '{task}' AS task, count(*) - CAST(ceil(0.3 * count(*)) AS BIGINT) AS n_train,
+       CAST(ceil(0.3 * count(*)) AS BIGINT) AS n_test, CAST({folds} AS BIGINT) AS n_folds, true AS bounded FROM supplier"""
+
+
+def _c8(spark, sf_dir, labels, task, label, **params):
+    """Sizes of the bulk pipeline's split and folds, and whether its scores are at most 1."""
+    from .bulk import bulk_pipeline
+    out = bulk_pipeline(B.tpch_matrix(spark, sf_dir), labels, task, label, **params)
+    return out.select("task", "n_train", "n_test", F.col("n_folds").cast("bigint").alias("n_folds"),
+                      ((F.col("mean_cv") <= 1) & (F.col("eval_score") <= 1) & (F.col("var_cv") >= 0)).alias("bounded"))
+
+
+@register("c8_bulk_pipeline_gbt", _sql_c8("classification", 3))
+def q_c8_gbt(spark, sf_dir):
+    return _c8(spark, sf_dir, B.region_labels(spark, sf_dir), "classification", "label", kind="gbt", k=3, maxIter=2, maxDepth=2)
+
+
+@register("c8_bulk_pipeline_regression", _sql_c8("regression", 3))
+def q_c8_regression(spark, sf_dir):
+    return _c8(spark, sf_dir, B.acctbal_target(spark, sf_dir), "regression", "target", kind="gbt", k=3, maxIter=2, maxDepth=3)
+
+
+@register("c8_bulk_pipeline_grid", _sql_c8("classification", 5))
+def q_c8_grid(spark, sf_dir):
+    return _c8(spark, sf_dir, B.region_labels(spark, sf_dir), "classification", "label", grid={"numTrees": [3, 5]}, maxDepth=3)
+
+
 # ---------------------------------------------------------------------------- S1–S15 round trips, C9–C11
 # Each query writes a table derived from the driver tables under the shared checkpoint
 # folder (spark.checkpoint.dir) and reads it back with the reader under test.
