@@ -24,7 +24,11 @@ def log_normalize_stream(cells: DataFrame, gene_totals: DataFrame, scale: float
 
 
 def scale_stream(cells: DataFrame, gene_stats: DataFrame, by: str = "var") -> DataFrame:
-    """C5 on stored cells with fitted ``gene_id, mean, var``."""
+    """C5 on stored cells with fitted ``gene_id, mean, var``.
+
+    Only cells that arrive are scaled: the −mean/var of a pair that is not stored is not
+    produced, so this is the stored part of C5's dense output.
+    """
     div = F.col("var") if by == "var" else F.sqrt("var")
     st, _ = counted_broadcast(gene_stats.select(GENE, "mean", div.alias("_div")), MAX_BROADCAST_GENES)
     return cells.join(st, GENE).select(SAMPLE, GENE, F.try_divide(F.col(VALUE) - F.col("mean"), F.col("_div")).alias(VALUE))
