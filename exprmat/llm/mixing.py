@@ -6,10 +6,11 @@ domain shares are T = sum of m_d r_d p_d. Distributed projected gradient descent
 
     1/2 (T - t)' G^-1 (T - t) + rho/2 sum m_d (r_d - 1)^2   over r_d >= 0,   G = sum m_d p_d p_d'
 
-G (with a small ridge) only weighs the residuals: domains of few tokens count as much as large ones. A rate depends on its
-own posteriors and on the residual vectors of the steps so far, so rates are not written per step:
-each step (with Nesterov's momentum) folds the vectors since the last written table over the documents in
-one expression, and aggregates one vector. Copies are the rate's whole part, and one more where a hash of the id falls below the rest.
+G (with a small ridge) only weighs the residuals: domains of few tokens count as much as large ones. A
+rate depends on its own posteriors and on the residual vectors of the steps so far, so no rates are
+written per step: each step (with Nesterov's momentum) folds the vectors so far over the documents, and
+aggregates one vector. Copies are the rate's whole part, and one more where a hash of the id falls below
+the rest.
 
 The classifier is fitted on a bounded sample: at most ``max_labelled`` rows of each domain, by hash of
 the id. Posteriors, token counts and every step cover all documents.
@@ -23,9 +24,10 @@ get a row; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
 import numpy as np
+import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -42,8 +44,6 @@ RHO = 1e-2
 RIDGE = 1e-3
 STEPS = 60
 TOLERANCE = 1e-3
-#: Rates are written after so many steps, so that no step folds a longer list.
-REWRITE = 8
 
 
 def _features() -> PipelineModel:
@@ -96,6 +96,29 @@ def _start() -> Column:
     return F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
 
 
+def look_ahead(p: np.ndarray, moves: list[np.ndarray], step: float, rho: float) -> np.ndarray:
+    """The look-ahead points of :func:`walk` from 1, for rows of posteriors at once."""
+    r = y = np.ones(len(p))
+    for u in moves:
+        new = np.maximum(0, y - step * (p @ u[:-1] + rho * (y - 1)))
+        r, y = new, new + u[-1] * (new - r)
+    return y
+
+
+def shares_at(soft: DataFrame, size: float, moves: list[np.ndarray], step: float, rho: float, k: int) -> np.ndarray:
+    """Expected domain shares at the look-ahead point: each task sends one vector. (In Arrow batches,
+    since literals that change each step would make Spark compile the whole stage anew.)"""
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(k)
+        for b in batches:
+            p = b.column("p").flatten().to_numpy().reshape(-1, k)
+            total += (b.column("n_tokens").to_numpy() / size * look_ahead(p, moves, step, rho)) @ p
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], names=[f"s{j}" for j in range(k)])
+
+    sums = soft.select("n_tokens", "p").mapInArrow(part, ", ".join(f"s{j} double" for j in range(k)))
+    return np.array(sums.agg(*(F.sum(f"s{j}") for j in range(k))).first(), float)
+
+
 def fit_rates(soft: DataFrame, targets: np.ndarray, rho: float = RHO, steps: int = STEPS, tolerance: float = TOLERANCE) -> Column:
     """The rate as an expression of column ``p``."""
     k = len(targets)
@@ -110,16 +133,9 @@ def fit_rates(soft: DataFrame, targets: np.ndarray, rho: float = RHO, steps: int
         gram[i, j] = gram[j, i] = x
     weigh = np.linalg.inv(gram + RIDGE * np.trace(gram) * np.eye(k))
     # in the metric of m, the gradient's slope is at most 1 + rho: W^1/2 G W^1/2 is at most the identity
-    step, moves, written = 1 / (1 + rho), [], 0
-    state, last = soft.withColumn("at", _start()), None
+    step, moves, last = 1 / (1 + rho), [], None
     for n in range(steps):
-        if len(moves) - written == REWRITE:
-            state = pin(state.withColumn("at", walk(F.col("p"), F.col("at"), moves[written:], step, rho)), "mixing-rates")
-            written = len(moves)
-        point = walk(F.col("p"), F.col("at"), moves[written:], step, rho)
-        now = state.select("n_tokens", "p", point.alias("now"))
-        shares = np.array(now.agg(*(F.sum(m * F.get("p", F.lit(j)) * F.col("now.y")) for j in range(k))).first(), float)
-        move = weigh @ (shares - targets)
+        move = weigh @ (shares_at(soft, float(size), moves, step, rho, k) - targets)
         if last is not None and np.abs(move - last).max() < tolerance * max(1.0, np.abs(move).max()):
             break
         last = move
