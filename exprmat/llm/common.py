@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 
@@ -35,6 +38,20 @@ def small_side(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if rows <= bound else df
 
 
+@contextmanager
+def session_conf(spark: SparkSession, **settings: str) -> Iterator[None]:
+    """Session settings (dots written as ``__``) for the jobs that run within the block."""
+    names = {k.replace("__", "."): v for k, v in settings.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only. ``lower`` is exact (and much faster) where all characters are ASCII."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

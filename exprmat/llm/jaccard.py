@@ -8,7 +8,8 @@ represented by the smallest id; the join works on classes.
 2. Every class puts its prefix (the rarest quarter of its shingles: two sets of the wanted similarity
    share one of them) into inverted lists. A list is laid out by set size and walked in blocks of
    position; a block whose sizes or positions cannot reach the threshold is skipped. Lists of one class,
-   and lists whose sets are already connected, give nothing.
+   and lists whose sets are already connected, give nothing; for some rounds, one set of each component
+   in a list is checked against one of the list's first component, which connects families of copies.
 3. Answers are derived from the leaders' answers: Jaccard distance is a metric, so sets x and y can
    only link if their leaders' distance is at most the threshold plus both distances to the leaders.
    Leaders are compared once; linked leaders connect all their sets without comparing these, leaders
@@ -34,17 +35,19 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 
-from exprmat.llm.common import components, pin, small_side
+from exprmat.llm.common import components, pin, session_conf, small_side
 
 N = 5
 #: The threshold as a fraction: 100 * intersection >= 75 * union.
 NUM, DEN = 75, 100
 SKETCHES = 6
+#: Rounds in which the components that meet in a list are compared with one of them, before all are.
+STAR_ROUNDS = 4
 FREQUENT = 1 << 19
 #: Ranges of the hash space by which counts and lists are gathered, per shuffle partition.
 RANGES = 4
 #: Bytes of one vectorised step, and rows that a task holds sets of at a time: bounds on its memory.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 STEP_ROWS = 1_500
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -316,12 +319,25 @@ def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     F.size("sa").cast("long").alias("na"), F.size("sb").cast("long").alias("nb")))
 
 
+def _open_lists(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows of the lists whose sets are not all connected yet, with their component."""
+    placed = rows.join(known.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
+    mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+    return placed.join(mixed, "token").select("token", "cls", "size", "at", "lead", "d", "comp")
+
+
 LINKED = f"{DEN} * inter >= {NUM} * (na + nb - inter)"
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N) -> DataFrame:
     """``doc_id, n_shingles, component_id, class_id, n_links`` per row; class_id is the smallest id with
     the same set, n_links the checked links of its class to other sets."""
+    # texts reach the Python workers in small batches, so that a task's memory is bounded
+    with session_conf(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=str(STEP_ROWS)):
+        return _join(docs, id_col, text_col, n)
+
+
+def _join(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     spark = docs.sparkSession
     # enough ranges that a key's offset in its range fits 4 bytes, and that a range is a fraction of a partition
     ranges = max(256, RANGES * int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -348,13 +364,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # a set that does not link with a leader leads itself, at distance 0
     near = star.select(F.col("a").alias("cls"), F.col("b").alias("lead"),
                        (1 - F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("d"))
-    placed = (lists.join(known.withColumnRenamed("node", "cls"), "cls", "left").join(near, "cls", "left")
-              .select("token", "cls", "size", "at", F.coalesce("component", "cls").alias("comp"),
-                      F.coalesce("lead", "cls").alias("lead"), F.coalesce("d", F.lit(0.0)).alias("d")))
-    placed = pin(placed, "jaccard-placed")
-    open_lists = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    # blocks of a list: sets of one leader, component and size class, with their reach
-    left = pin(placed.join(open_lists, "token"), "jaccard-open")
+    left = lists.join(near, "cls", "left").select("token", "cls", "size", "at", F.coalesce("lead", "cls").alias("lead"),
+                                                  F.coalesce("d", F.lit(0.0)).alias("d"))
+    links, left = star.select("a", "b"), pin(_open_lists(left, known), "jaccard-open")
+    for _ in range(STAR_ROUNDS):
+        # of each component in a list one set meets the list's first one: links found here connect whole components
+        first = left.groupBy("token", "comp").agg(F.min(F.struct("at", "cls")).alias("m"))
+        heads = first.groupBy("token").agg(F.min(F.struct("comp", F.col("m.cls").alias("cls"))).alias("h"))
+        spokes = (first.join(heads, "token").where(F.col("comp") != F.col("h.comp"))
+                  .select(F.col("m.cls").alias("a"), F.col("h.cls").alias("b")).distinct())
+        found = pin(distances(pin(spokes, "jaccard-spokes"), sets).where(LINKED).select("a", "b"), "jaccard-spoke-links")
+        if not found.limit(1).count():
+            break
+        links = pin(links.union(found), "jaccard-links")
+        known = components(links, "a", "b", "jaccard-star")
+        left = pin(_open_lists(left.drop("comp"), known), "jaccard-open")
+    # blocks of a list: sets of one leader and component, with their reach
     blocks = left.groupBy("token", "lead", "comp").agg(F.min("size").alias("small"), F.max("size").alias("large"),
                                                        F.min("at").alias("at"), F.max("d").alias("d"))
     x, y = blocks.alias("x"), blocks.alias("y")
@@ -367,7 +392,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 .groupBy(F.col("x.lead").alias("a"), F.col("y.lead").alias("b")).agg(F.max(F.col("x.d") + F.col("y.d")).alias("slack")), "jaccard-leads")
     judged = pin(distances(pairs, sets).join(pairs, ["a", "b"]).select(
         "*", (1 - F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("far"), F.expr(LINKED).alias("linked")), "jaccard-judged")
-    edges = star.select("a", "b").union(judged.where("linked").select("a", "b"))
+    edges = links.union(judged.where("linked").select("a", "b"))
 
     # leaders that just miss: compare those sets whose own distances leave it open
     limit = 1 - NUM / DEN
