@@ -398,8 +398,11 @@ def _join(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     limit = 1 - NUM / DEN
     unsure = judged.where(~F.col("linked") & (F.col("far") <= F.col("slack") + limit + 1e-9)).select(
         F.col("a").alias("la"), F.col("b").alias("lb"), "far")
+    # the farthest set of the other leader bounds which sets of this one can matter
+    widest = left.groupBy(F.col("lead").alias("lb")).agg(F.max("d").alias("db"))
+    unsure = unsure.join(widest, "lb")
     u, v = left.alias("u"), left.alias("v")
-    rest = (u.join(unsure, F.col("u.lead") == F.col("la"))
+    rest = (u.join(unsure, (F.col("u.lead") == F.col("la")) & (F.col("far") <= F.col("u.d") + F.col("db") + limit + 1e-9))
             .join(v, (F.col("u.token") == F.col("v.token")) & (F.col("v.lead") == F.col("lb")))
             .where((F.col("u.comp") != F.col("v.comp")) & (F.col("far") <= F.col("u.d") + F.col("v.d") + limit + 1e-9)
                    & (NUM * F.col("u.size") <= DEN * F.col("v.size")) & (NUM * F.col("v.size") <= DEN * F.col("u.size"))
