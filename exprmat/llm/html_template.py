@@ -5,13 +5,15 @@ below them. Over the pages of one host, a token's occurrence vector says how oft
 Tokens with equal vectors form an equivalence class; vectors are never gathered, but told apart by sums of
 page hashes times counts, which combine map-side, so a host with a third of all pages is no hot group. A
 class that covers enough pages and has element paths is valid; classes nest by their paths into the host's
-template. Text runs that belong to a valid class are part of the template; what is left are its slots, and
-each slot has its share of linked text. Hosts of few pages use the template of all pages together.
+template. A text run whose class is that of an element it is nested in belongs to the template, wherever it
+stands; what is left are the template's slots, and each slot has its share of linked text. Hosts of few pages
+use the template of all pages together.
 
 Extraction drops elements that are no article by tag or name (menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles, comments). If the page marks an article, its text is the rest of that
-element. Otherwise it is the text in slots that are not mostly links, without the template's own text.
-Text in a marked article is never dropped for being repeated.
+adverts, forms, scripts, styles, comments), and on every page the template's own text and slots that are
+mostly links. Article marks are a prior for slots: the main slots are the marked ones, unless the host's other
+slots hold more than ``MARK_WEIGHT`` times their varying unlinked text; then all slots are. A page without
+text in its marked slots gives that of the others.
 
 Cases: a null or empty html, and one without text, give an empty text; unclosed, crossed and cut-off
 markup is read as far as it goes; a URL without host counts to a host of its own name; repeated rows each
@@ -37,7 +39,11 @@ MIN_PAGES = 4
 SUPPORT = 0.5
 #: A slot with a larger share of linked text is a menu.
 LINKED = 0.5
+#: What a character in a marked slot counts for, against one in another slot.
+MARK_WEIGHT = 4
 HOST_ROWS = 200_000
+#: Characters of a token's text: all, linked, and unlinked ones in and out of marked elements.
+SIZES = ("chars", "linked", "main", "free")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span "
@@ -98,7 +104,7 @@ def runs(page: str) -> Iterator[tuple[str, int, bool, str]]:
                 if stack[k][0] not in INLINE and stack[k][0] != "p":
                     break
             top = stack[-1]
-        path = f"{top[1]}/{tag}" + (f".{names}" if names else "")
+        path = f"{top[1]}/{tag}" + (f".{names.replace('/', '|')}" if names else "")
         place = top[2]
         if place != OUT:
             if tag in NOT_ARTICLE or tag not in ("html", "body", "article", "main") and names and NOT_NAMED.search(names) \
@@ -130,50 +136,53 @@ def page_host(url: Column) -> Column:
 
 
 def token_vectors(pages: DataFrame) -> DataFrame:
-    """Of each host's tokens: element path or text run (``text``), pages that have it, the vector's two
-    sums, and for paths the characters of their text and of linked text. Takes ``host, page, html``."""
+    """Of each host's tokens: element path or text run (``text``), its path above, pages that have it, the
+    vector's two sums, the characters of its text, of linked text, and of unlinked text in and out of marked
+    elements. Takes ``host, page, html``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sums: dict[tuple[str, int, bool], list[int]] = {}
-            paths: dict[int, tuple[int, str]] = {}
+            above: dict[int, int] = {}
             for host, page, html in zip(*(b.column(c).to_pylist() for c in ("host", "page", "html")), strict=True):
                 seen: Counter = Counter()
-                size: dict[int, list[int]] = defaultdict(lambda: [0, 0])
+                size: dict[tuple[int, bool], list[int]] = defaultdict(lambda: [0, 0, 0, 0])
                 keys: dict[str, int] = {}
                 for path, place, linked, text in runs(html):
                     k = keys.get(path)
                     if k is None:
                         k = keys[path] = _key(path)
-                        if k not in paths:
-                            up = path.rpartition("/")[0]
-                            paths[k] = (_key(up), path)
+                        if k not in above:
+                            above[k] = _key(path.rpartition("/")[0])
                     if text is None:
                         seen[k, False] += 1
-                    elif place == FREE and not text.isspace():
-                        n = len(text)
-                        size[k][0] += n
-                        size[k][1] += n * linked
-                        seen[_key(path, text), True] += 1
+                    elif place != OUT and not text.isspace():
+                        n, t = len(text), _key(path, text)
+                        seen[t, True] += 1
+                        above[t] = k
+                        for c in (size[k, False], size[t, True]):
+                            c[0] += n
+                            c[1 if linked else 2 if place == MAIN else 3] += n
                 h1, h2 = page & 0x7FFFFFFF, (page >> 31) & 0x7FFFFFFF
                 for (k, is_text), n in seen.items():
-                    s = sums.setdefault((host, k, is_text), [0, 0, 0, 0, 0])
+                    s = sums.setdefault((host, k, is_text), [0] * 7)
                     s[0] += 1
                     s[1] += h1 * n
                     s[2] += h2 * n
-                    if not is_text and k in size:
-                        s[3] += size[k][0]
-                        s[4] += size[k][1]
-            rows = [(h, k, paths[k][0] if not t else None, t, *s) for (h, k, t), s in sums.items()]
-            cols = zip(*rows, strict=True) if rows else [()] * 9
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 5]
+                    if (k, is_text) in size:
+                        for j, x in enumerate(size[k, is_text], 3):
+                            s[j] += x
+            rows = [(h, k, above[k], t, *s) for (h, k, t), s in sums.items()]
+            cols = zip(*rows, strict=True) if rows else [()] * 11
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 7]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)],
-                                             names=["host", "token", "parent", "text", "pages", "f1", "f2", "chars", "linked"])
+                                             names=["host", "token", "parent", "text", "pages", "f1", "f2", *SIZES])
 
-    part = pages.mapInArrow(run, "host string, token long, parent long, text boolean, pages long, f1 long, f2 long, chars long, linked long")
+    part = pages.mapInArrow(run, "host string, token long, parent long, text boolean, pages long, f1 long, f2 long, "
+                            + ", ".join(f"{c} long" for c in SIZES))
     wide = "decimal(38,0)"
     return part.groupBy("host", "token", "text").agg(
         F.first("parent").alias("parent"), F.sum("pages").alias("pages"), *(F.sum(F.col(c).cast(wide)).alias(c) for c in ("f1", "f2")),
-        F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
+        *(F.sum(c).alias(c) for c in SIZES))
 
 
 def valid_classes(vectors: DataFrame, host_pages: DataFrame) -> DataFrame:
@@ -186,38 +195,62 @@ def valid_classes(vectors: DataFrame, host_pages: DataFrame) -> DataFrame:
     above = tokens.where("not text").select("host", F.col("token").alias("parent"), F.col("cls").alias("nested_in"))
     return tokens.join(named, ["host", "cls"], "left_semi").join(above, ["host", "parent"], "left").select(
         "host", "token", "text", "cls", F.when(~F.col("nested_in").eqNullSafe(F.col("cls")), F.col("nested_in")).alias("nested_in"),
-        "chars", "linked")
+        "parent", *SIZES)
+
+
+def _template(tokens: list[dict], main: int, free: int) -> tuple[list[int], list[int], bool]:
+    """Of a host's valid tokens: keys of the template's own text runs, those of slots that are mostly links,
+    and whether slots out of marked elements are main slots too. ``main`` and ``free``: unlinked characters of
+    the host's pages in and out of marked elements."""
+    paths = {t["token"]: t for t in tokens if not t["text"]}
+    fixed = []
+    for t in tokens:
+        # all elements that a valid token is nested in are valid
+        up = paths.get(t["parent"]) if t["text"] else None
+        while up is not None and up["cls"] != t["cls"]:
+            up = paths.get(up["parent"])
+        if up is not None:
+            fixed.append(t["token"])
+            main -= t["main"]
+            free -= t["free"]
+    return fixed, [k for k, t in paths.items() if t["linked"] > LINKED * t["chars"]], free > MARK_WEIGHT * main
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """``host, fixed, menus``: keys of the template's own text runs, and of slots that are mostly links.
-    Host ``*`` is the template of all pages. Takes ``host, page, html``."""
+    """``host, fixed, menus, every``: keys of the template's own text runs, and of slots that are mostly
+    links, and whether all other slots are main slots, or the marked ones. Host ``*`` is the template of all
+    pages. Takes ``host, page, html``."""
     n = pages.groupBy("host").agg(F.count("*").alias("n_pages"))
     vectors = pin(token_vectors(pages), "html-vectors")
     pool = vectors.groupBy("token", "text").agg(F.first("parent").alias("parent"), *(F.sum(c).cast(vectors.schema[c].dataType).alias(c)
-                                                for c in ("pages", "f1", "f2", "chars", "linked")))
+                                                for c in ("pages", "f1", "f2", *SIZES)))
     total = n.agg(F.sum("n_pages").alias("n_pages")).select(F.lit("*").alias("host"), "n_pages")
     everything = vectors.unionByName(pool.withColumn("host", F.lit("*")).select(vectors.columns))
     classes = valid_classes(everything, n.where(F.col("n_pages") >= MIN_PAGES).union(total))
+    texts = everything.where("text").groupBy("host").agg(F.sum("main").alias("all_main"), F.sum("free").alias("all_free"))
     # a host's valid tokens are at most twice as many as those of one of its pages
-    return pin(classes.groupBy("host").agg(
-        F.collect_list(F.when(F.col("text"), F.col("token"))).alias("fixed"),
-        F.collect_list(F.when(~F.col("text") & (F.col("linked") > LINKED * F.col("chars")), F.col("token"))).alias("menus")), "html-templates")
+    found = classes.groupBy("host").agg(F.collect_list(F.struct("token", "parent", "text", "cls", *SIZES)).alias("tokens"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = zip(*(_template(r["tokens"], r["all_main"] or 0, r["all_free"] or 0) for r in b.to_pylist()), strict=True)
+            kinds = (pa.list_(pa.int64()), pa.list_(pa.int64()), pa.bool_())
+            made = [pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)] if b.num_rows else [pa.array([], k) for k in kinds]
+            yield pa.RecordBatch.from_arrays([b.column("host"), *made], names=["host", "fixed", "menus", "every"])
+
+    return pin(found.join(texts, "host", "left").mapInArrow(run, "host string, fixed array<long>, menus array<long>, every boolean"),
+               "html-templates")
 
 
-def main_text(page: str, fixed: frozenset[int], menus: frozenset[int]) -> str:
-    marked: list[str] = []
-    free: list[str] = []
+def main_text(page: str, fixed: frozenset[int], menus: frozenset[int], every: bool = False) -> str:
+    main: list[str] = []
+    rest: list[str] = []
     for path, place, _, text in runs(page):
-        if text is None or place == OUT:
+        if text is None or place == OUT or not text.isspace() and (_key(path) in menus or _key(path, text) in fixed):
             continue
-        if place == MAIN:
-            marked.append(text)
-        else:
-            if text.isspace() or _key(path) not in menus and _key(path, text) not in fixed:
-                free.append(text)
+        (main if every or place == MAIN else rest).append(text)
     # a marked article may be an empty shell
-    return plain(marked) or plain(free)
+    return plain(main) or plain(rest)
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -227,21 +260,21 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
                         page_host(url).alias("host"))
     known = templates(rows.select("host", F.xxhash64("page_id", "url").alias("page"), "html"))
     n_known = known.count()
-    pool = known.where("host = '*'").select("fixed", "menus").first()
-    everywhere = (frozenset(pool["fixed"]), frozenset(pool["menus"])) if pool else (frozenset(), frozenset())
+    pool = known.where("host = '*'").first()
+    everywhere = (frozenset(pool["fixed"]), frozenset(pool["menus"]), pool["every"]) if pool else (frozenset(), frozenset(), False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets: dict[str, tuple[frozenset[int], frozenset[int]]] = {}
+            sets: dict[str, tuple[frozenset[int], frozenset[int], bool]] = {}
             out = []
             for i, page in enumerate(b.column("html").to_pylist()):
                 host = b.column("host")[i].as_py()
                 if host not in sets:
                     f, m = b.column("fixed")[i].as_py(), b.column("menus")[i].as_py()
-                    sets[host] = everywhere if f is None else (frozenset(f), frozenset(m))
+                    sets[host] = everywhere if f is None else (frozenset(f), frozenset(m), b.column("every")[i].as_py())
                 out.append(main_text(page, *sets[host]))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string()),
                                               pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     joined = rows.join(small_side(known.where("host <> '*'"), n_known, HOST_ROWS), "host", "left")
-    return joined.select("page_id", "url", "html", "host", "fixed", "menus").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "host", "fixed", "menus", "every").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -147,6 +147,30 @@ def test_template_deduction(spark):
     assert ht.extract_text(df.where("false")).count() == 0
 
 
+def test_template_decides_on_marked_pages(spark):
+    """Text repeated within the mark goes, link slots too; a mark that holds little loses to the host's other slots."""
+    def page(i):
+        return (f"<html><body><div class='w-1/2'>Hello all</div><article><p>Story {i}</p><p>Same end</p><ul><li><a href='/{i}'>more {i}</a></li></ul>"
+                "</article></body></html>")
+
+    def shell(i):
+        return f"<html><body><article><p>Teaser {i}</p></article><div class=x4><p>{f'body of {i} ' * 20}</p><p>Same end</p></div></body></html>"
+
+    rows = [(i, f"http://one.org/{i}", page(i)) for i in range(6)] + [(10 + i, f"http://two.org/{i}", shell(i)) for i in range(6)]
+    got = {r.page_id: r.text for r in ht.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(6):
+        assert got[i] == f"Story {i}"
+        assert got[10 + i] == f"Teaser {i} " + " ".join([f"body of {i}"] * 20)
+
+
+def test_template_text_is_nested(spark):
+    """Text as frequent as an element elsewhere on the page, but in none that comes with it, is no template text."""
+    rows = [(i, f"http://one.org/{i}", "<html><body>" + ("<hr-x>a</hr-x>" if i < 3 else "") + f"<p>Story {i}</p>" + ("<p>Told thrice</p>" if i < 3 else "")
+             + "</body></html>") for i in range(6)]
+    got = {r.page_id: r.text for r in ht.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Story {i} Told thrice" if i < 3 else f"Story {i}" for i in range(6)}
+
+
 def test_equivalence_classes(spark):
     pages = spark.createDataFrame([("h", i, f"<html><body><div class=a>fixed</div><p>{i}</p>" + "<p>x</p>" * (i % 2) + "</body></html>") for i in range(1, 9)],
                                   "host string, page long, html string")
