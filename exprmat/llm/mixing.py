@@ -8,9 +8,12 @@ domain shares are T = sum of m_d r_d p_d. Distributed projected gradient descent
 
 G (with a small ridge) only weighs the residuals: domains of few tokens count as much as large ones. A
 rate depends on its own posteriors and on the residual vectors of the steps so far, so no rates are
-written per step: each step (with Nesterov's momentum) folds the vectors so far over the documents, and
-aggregates one vector. Copies are the rate's whole part, and one more where a hash of the id falls below
-the rest.
+written per step: each step (with Nesterov's momentum, begun anew when it leads uphill) folds the vectors so far over
+the documents, and aggregates one vector. The objective is strongly convex, so the projected gradient bounds
+how far the rates still are from the minimum (root mean square over tokens); no domain's total is farther
+from its limit. Steps end when this bound is at most ``TOLERANCE``; if they run out, a warning gives the
+bound and the gap to the targets. Copies are the rate's whole part, and one more where a hash of the id
+falls below the rest.
 
 The classifier is fitted on a bounded sample: at most ``max_labelled`` rows of each domain, by hash of
 the id. Posteriors, token counts and every step cover all documents.
@@ -24,6 +27,7 @@ get a row; an empty table gives no rows.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -42,8 +46,9 @@ MAX_LABELLED = 4_000
 RHO = 1e-2
 #: Added to G, as a share of its trace: domains that posteriors hardly tell apart don't set the scale.
 RIDGE = 1e-3
-STEPS = 60
-TOLERANCE = 1e-3
+#: Largest distance of the rates from the minimum at which steps end, and the most steps.
+TOLERANCE = 1e-4
+STEPS = 1_000
 
 
 def _features() -> PipelineModel:
@@ -76,47 +81,35 @@ def posteriors(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", tex
     return scored.select(*base, F.size("pieces").cast("long").alias("n_tokens"), vector_to_array("prob").alias("p")), domains
 
 
-def walk(p: Column, begin: Column, moves: list[np.ndarray], step: float, rho: float) -> Column:
-    """Rate ``r`` and look-ahead point ``y`` after more steps from ``begin``: a fold over their residual
-    vectors. The last entry of a vector is the step's momentum (Nesterov's acceleration)."""
-    if not moves:
-        return begin
-    k = len(moves[0]) - 1
-    history = F.array(*(F.array(*(F.lit(float(x)) for x in u)) for u in moves))
-
-    def go(at: Column, u: Column) -> Column:
-        slope = sum((F.get(p, F.lit(j)) * F.get(u, F.lit(j)) for j in range(1, k)), F.get(p, F.lit(0)) * F.get(u, F.lit(0)))
-        r = F.greatest(F.lit(0.0), at["y"] - F.lit(step) * (slope + F.lit(rho) * (at["y"] - 1)))
-        return F.struct(r.alias("r"), (r + F.get(u, F.lit(k)) * (r - at["r"])).alias("y"))
-
-    return F.aggregate(history, begin, go)
-
-
-def _start() -> Column:
-    return F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
-
-
-def look_ahead(p: np.ndarray, moves: list[np.ndarray], step: float, rho: float) -> np.ndarray:
-    """The look-ahead points of :func:`walk` from 1, for rows of posteriors at once."""
-    r = y = np.ones(len(p))
+def walk(p: np.ndarray, moves: list[np.ndarray], step: float, rho: float) -> tuple[np.ndarray, ...]:
+    """Rates after the steps so far from 1 and the next look-ahead point, then the rates before the last step
+    and its look-ahead point, for rows of posteriors at once. A move is a step's residual vector, then its
+    momentum (Nesterov's acceleration)."""
+    r = y = old = at = np.ones(len(p))
     for u in moves:
-        new = np.maximum(0, y - step * (p @ u[:-1] + rho * (y - 1)))
-        r, y = new, new + u[-1] * (new - r)
-    return y
+        old, at = r, y
+        r = np.maximum(0, y - step * (p @ u[:-1] + rho * (y - 1)))
+        y = r + u[-1] * (r - old)
+    return r, y, old, at
+
 
+def sums_at(soft: DataFrame, size: float, moves: list[np.ndarray], step: float, rho: float, k: int) -> np.ndarray:
+    """Expected domain shares at the look-ahead point and at the rates; the last step's squared length from its
+    look-ahead point, and whether it went against the momentum (above 0). Each task sends one vector. (In Arrow
+    batches, since literals that change each step would make Spark compile the whole stage anew.)"""
+    names = [f"s{j}" for j in range(2 * k + 2)]
 
-def shares_at(soft: DataFrame, size: float, moves: list[np.ndarray], step: float, rho: float, k: int) -> np.ndarray:
-    """Expected domain shares at the look-ahead point: each task sends one vector. (In Arrow batches,
-    since literals that change each step would make Spark compile the whole stage anew.)"""
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(k)
+        total = np.zeros(len(names))
         for b in batches:
             p = b.column("p").flatten().to_numpy().reshape(-1, k)
-            total += (b.column("n_tokens").to_numpy() / size * look_ahead(p, moves, step, rho)) @ p
-        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], names=[f"s{j}" for j in range(k)])
+            m = b.column("n_tokens").to_numpy() / size
+            r, y, old, at = walk(p, moves, step, rho)
+            total += np.concatenate([(m * y) @ p, (m * r) @ p, [m @ (at - r)**2, m @ ((at - r) * (r - old))]])
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], names=names)
 
-    sums = soft.select("n_tokens", "p").mapInArrow(part, ", ".join(f"s{j} double" for j in range(k)))
-    return np.array(sums.agg(*(F.sum(f"s{j}") for j in range(k))).first(), float)
+    sums = soft.select("n_tokens", "p").mapInArrow(part, ", ".join(f"{c} double" for c in names))
+    return np.array(sums.agg(*(F.sum(c) for c in names)).first(), float)
 
 
 def fit_rates(soft: DataFrame, targets: np.ndarray, rho: float = RHO, steps: int = STEPS, tolerance: float = TOLERANCE) -> Column:
@@ -133,14 +126,26 @@ def fit_rates(soft: DataFrame, targets: np.ndarray, rho: float = RHO, steps: int
         gram[i, j] = gram[j, i] = x
     weigh = np.linalg.inv(gram + RIDGE * np.trace(gram) * np.eye(k))
     # in the metric of m, the gradient's slope is at most 1 + rho: W^1/2 G W^1/2 is at most the identity
-    step, moves, last = 1 / (1 + rho), [], None
-    for n in range(steps):
-        move = weigh @ (shares_at(soft, float(size), moves, step, rho, k) - targets)
-        if last is not None and np.abs(move - last).max() < tolerance * max(1.0, np.abs(move).max()):
+    step, moves, age = 1 / (1 + rho), [], 0
+    while True:
+        sums = sums_at(soft, float(size), moves, step, rho, k)
+        # a step shrinks the distance to the minimum by 1 / (1 + rho) at least, so what is left is bounded by its length
+        left = np.sqrt(sums[-2]) / rho if moves else np.inf
+        if left <= tolerance:
+            break
+        if len(moves) >= steps:
+            warnings.warn(f"mixing rates: {steps} steps ended at most {left:.2g} from the minimum (asked: {tolerance:.2g}), "
+                          f"domain totals at most {np.abs(sums[k:2 * k] - targets).max():.2g} from their targets", stacklevel=2)
             break
-        last = move
-        moves.append(np.append(move, n / (n + 3)))
-    return walk(F.col("p"), _start(), moves, step, rho)["r"]
+        age = 0 if sums[-1] > 0 else age
+        moves.append(np.append(weigh @ (sums[:k] - targets), age / (age + 3)))
+        age += 1
+
+    @F.arrow_udf("double")
+    def rate(p: pa.Array) -> pa.Array:
+        return pa.array(walk(p.flatten().to_numpy().reshape(-1, k), moves, step, rho)[0])
+
+    return rate(F.col("p"))
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], id_col: str = "doc_id", text_col: str = "text",

@@ -133,6 +133,25 @@ def test_mixing_rates_equal_projected_gradient(spark):
     assert np.abs((p * (m * got)[:, None]).sum(0) - t).max() < 0.02
 
 
+def test_mixing_defaults_reach_the_minimum(spark):
+    """Rare targets and posteriors that lean to one domain, against many plain steps; too few steps are reported."""
+    rng = np.random.default_rng(3)
+    p = rng.dirichlet([3, 0.3, 0.2, 0.1], 400)
+    n = rng.integers(1, 500, 400)
+    soft = spark.createDataFrame([(i, int(k), [float(x) for x in q]) for i, (k, q) in enumerate(zip(n, p, strict=True))], "id long, n_tokens long, p array<double>")
+    t = np.array([0.05, 0.9, 0.04, 0.01])
+    got = np.array([r.rate for r in soft.withColumn("rate", mixing.fit_rates(soft, t)).orderBy("id").collect()])
+    m = n / n.sum()
+    gram = (p * m[:, None]).T @ p
+    weigh, r = np.linalg.inv(gram + mixing.RIDGE * np.trace(gram) * np.eye(4)), np.ones(400)
+    for _ in range(40_000):
+        r = np.maximum(0, r - (p @ (weigh @ (p.T @ (m * r) - t)) + mixing.RHO * (r - 1)) / (1 + mixing.RHO))
+    assert np.sqrt((m * (got - r)**2).sum()) < 2e-4
+    assert np.abs(p.T @ (m * (got - r))).max() < 2e-4
+    with pytest.warns(UserWarning, match="3 steps"):
+        mixing.fit_rates(soft, t, steps=3)
+
+
 def test_mix(spark, junk):
     docs, labels, truth = junk
     domains = labels.where("quality is not null").select("doc_id", F.concat(F.lit("d"), F.col("quality")).alias("domain"))
