@@ -3,13 +3,15 @@
 A list is a log of dated entries ``(kind, pattern, action, dated)``: from its date on, a pattern is
 blocked, allowed, or removed. Each entry becomes a validity interval that ends at the pattern's next
 entry, and an as-of join evaluates every capture against the entries active at its fetch time. Patterns
-are hosts, domains (that also match their subdomains), host and first path segment, and words of the URL.
+are hosts, domains (that also match their subdomains), host and one or more leading path segments, and words
+of the URL after its scheme, query and fragment included. Both sides are compared in lower case, and hosts
+without user, port, final dot or leading ``www.``.
 
 Intervals of one pattern don't overlap. They are laid out by month, and captures join on (kind, pattern,
 month), so a host with a third of all captures, or a pattern with very many entries, is spread over its
 months; intervals of a bounded count are broadcast. Captures are joined by a row key, not by their URLs.
 
-Of the active entries that match a capture the most specific decides (path, host, longest domain, word);
+Of the active entries that match a capture the most specific decides (longest path, host, longest domain, word);
 of equally specific ones an allowing entry wins.
 
 Cases: a null or hostless URL, or a null fetch time, matches nothing and is kept; entries with a null
@@ -31,17 +33,30 @@ RANK = {"path": 4_000, "host": 3_000, "domain": 1_000, "word": 0}
 FOREVER = "9999-12-31 00:00:00"
 
 
-def url_host(url: Column) -> Column:
-    """Lower-case host without user, port, final dot or leading ``www.``; null if the URL has none."""
-    authority = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1)
+def _host(authority: Column) -> Column:
+    """Lower-case host without user, port, final dot or leading ``www.``."""
     host = F.lower(F.regexp_replace(F.regexp_replace(authority, r"^.*@", ""), r":[0-9]*$", ""))
-    host = F.regexp_replace(F.regexp_replace(host, r"\.$", ""), r"^www\.", "")
+    return F.regexp_replace(F.regexp_replace(host, r"\.$", ""), r"^www\.", "")
+
+
+def url_host(url: Column) -> Column:
+    """Host of a URL as lists have it; null if the URL has none."""
+    host = _host(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1))
     return F.when(host != "", host)
 
 
 def url_path(url: Column) -> Column:
-    """First path segment; empty if there is none."""
-    return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*/([^/?#]+)", 1)
+    """Lower-case path without its first and last slashes; empty if there is none or its first segment is empty."""
+    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*/([^/?#][^?#]*)", 1)
+    return F.lower(F.regexp_replace(path, r"/+$", ""))
+
+
+def list_pattern(kind: Column, pattern: Column) -> Column:
+    """The pattern of a list entry in the form of :func:`url_keys`."""
+    path = F.lower(F.regexp_replace(F.regexp_extract(pattern, r"^[^/]*(/.*)$", 1), r"/+$", ""))
+    host = _host(F.regexp_extract(pattern, r"^([^/]*)", 1))
+    return (F.when(kind.isin("host", "domain"), _host(pattern)).when(kind == "path", F.concat(host, path))
+            .otherwise(F.lower(pattern)))
 
 
 def url_keys(url: Column) -> Column:
@@ -57,11 +72,16 @@ def url_keys(url: Column) -> Column:
     domains = F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda i: key(
         "domain", F.array_join(F.slice(labels, i, n - i + 1), "."))))
     none = F.array().cast("array<struct<kind:string,pattern:string>>")
-    words = F.array_distinct(F.array_remove(F.split(F.lower(F.concat_ws("/", host, path)), r"[^a-z0-9]+"), ""))
+    segments = F.split(path, "/")
+    # every prefix of the path's segments
+    paths = F.when(path != "", F.transform(F.sequence(F.lit(1), F.size(segments)), lambda i: key(
+        "path", F.concat(host, F.lit("/"), F.array_join(F.slice(segments, 1, i), "/")))))
+    rest = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*((?s:.*))$", 1)
+    words = F.array_distinct(F.array_remove(F.split(F.lower(F.concat(host, rest)), r"[^a-z0-9]+"), ""))
     parts = [
         F.array(key("host", host)),
         F.coalesce(domains, none),
-        F.when(path != "", F.array(key("path", F.concat(host, F.lit("/"), path)))).otherwise(none),
+        F.coalesce(paths, none),
         F.transform(words, lambda w: key("word", w)),
     ]
     return F.when(host.isNotNull(), F.concat(*parts)).otherwise(none)
@@ -71,7 +91,7 @@ def intervals(entries: DataFrame) -> DataFrame:
     """``kind, pattern, action, begins, ends`` of the blocking and allowing entries."""
     order = F.when(F.col("action") == "remove", 0).when(F.col("action") == "allow", 1).otherwise(2)
     dated = (entries.where("kind is not null and pattern is not null and dated is not null")
-             .select(F.lower("kind").alias("kind"), F.lower("pattern").alias("pattern"), "dated", F.lower("action").alias("action"))
+             .select(F.lower("kind").alias("kind"), list_pattern(F.lower("kind"), F.col("pattern")).alias("pattern"), "dated", F.lower("action").alias("action"))
              .groupBy("kind", "pattern", "dated").agg(F.min_by("action", order).alias("action")))
     each = W.partitionBy("kind", "pattern").orderBy("dated")
     return (dated.withColumn("ends", F.coalesce(F.lead("dated").over(each), F.lit(FOREVER).cast("timestamp")))

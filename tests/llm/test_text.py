@@ -200,3 +200,18 @@ def test_url_lists(spark):
     assert got == sorted(want, key=str)
     assert url_lists.filter_urls(c, e.where("false")).where("not kept").count() == 0
     assert url_lists.filter_urls(c.where("false"), e).count() == 0
+
+
+def test_url_lists_see_the_whole_url(spark):
+    """Deep paths, words of later segments, query and fragment, capitals, and ``www.`` in patterns."""
+    entries = [("path", "h.com/en/7", "block"), ("path", "h.com/en/7/ok", "allow"), ("path", "WWW.Caps.com/En/", "block"), ("word", "pills", "block"),
+               ("host", "www.w.com", "block"), ("domain", "www.D.org.", "block")]
+    captures = {"http://h.com/en/7": "h.com/en/7", "http://h.com/en/7/x?q": "h.com/en/7", "http://h.com/en/7/ok/1": "h.com/en/7/ok", "http://h.com/en/70": None,
+                "http://h.com/en": None, "http://caps.com/EN/1": "caps.com/en", "http://k.com/en/cheap-PILLS": "pills", "http://k.com/en/7?q=pills": "pills",
+                "http://k.com?pills": "pills", "http://k.com/a#pills": "pills", "http://k.com/spills": None, "http://www.w.com/": "w.com",
+                "http://a.d.org/": "d.org", "http://k.com//en/7/": None}
+    e = spark.createDataFrame(entries, "kind string, pattern string, action string").withColumn("dated", F.lit("2024-01-01").cast("timestamp"))
+    c = spark.createDataFrame(list(enumerate(captures)), "page_id long, url string").withColumn("fetched_at", F.lit("2024-02-01").cast("timestamp"))
+    out = url_lists.filter_urls(c, e).collect()
+    assert {r.url: r.pattern for r in out} == captures
+    assert {r.url for r in out if r.verdict == "allowed"} == {"http://h.com/en/7/ok/1"}
