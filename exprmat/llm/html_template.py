@@ -7,7 +7,8 @@ page hashes times counts, which combine map-side, so a host with a third of all
 class that covers enough pages and has element paths is valid; classes nest by their paths into the host's
 template. A text run whose class is that of an element it is nested in belongs to the template, wherever it
 stands; what is left are the template's slots, and each slot has its share of linked text. Hosts of few pages
-use the template of all pages together.
+use the template of all pages together. Copies of a page (equal but for head, scripts, styles and comments)
+count as one.
 
 Extraction drops elements that are no article by tag or name (menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles, comments), and on every page the template's own text and slots that are
@@ -65,6 +66,9 @@ TAG = re.compile(
     r"|<(?P<broken>[a-zA-Z][^>]*)(?:>|\Z)", re.S | re.I)
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
+#: What doesn't tell copies of a page apart.
+UNSEEN = r"(?is)<!--.*?-->|<(script|style|head)\b.*?</\1\s*>"
+
 OUT, MAIN, FREE = 0, 1, 2
 
 
@@ -219,13 +223,13 @@ def _template(tokens: list[dict], main: int, free: int) -> tuple[list[int], list
 def templates(pages: DataFrame) -> DataFrame:
     """``host, fixed, menus, every``: keys of the template's own text runs, and of slots that are mostly
     links, and whether all other slots are main slots, or the marked ones. Host ``*`` is the template of all
-    pages. Takes ``host, page, html``."""
-    n = pages.groupBy("host").agg(F.count("*").alias("n_pages"))
-    vectors = pin(token_vectors(pages), "html-vectors")
-    pool = vectors.groupBy("token", "text").agg(F.first("parent").alias("parent"), *(F.sum(c).cast(vectors.schema[c].dataType).alias(c)
-                                                for c in ("pages", "f1", "f2", *SIZES)))
-    total = n.agg(F.sum("n_pages").alias("n_pages")).select(F.lit("*").alias("host"), "n_pages")
-    everything = vectors.unionByName(pool.withColumn("host", F.lit("*")).select(vectors.columns))
+    pages. Copies count once a host, and once in all. Takes ``host, page, html``."""
+    body = F.regexp_replace("html", UNSEEN, "")
+    known = pages.withColumn("c1", F.xxhash64(body)).withColumn("c2", F.xxhash64(F.reverse(body)))
+    n = known.groupBy("host").agg(F.count_distinct("c1", "c2").alias("n_pages"))
+    total = known.agg(F.count_distinct("c1", "c2").alias("n_pages")).select(F.lit("*").alias("host"), "n_pages")
+    alone = known.dropDuplicates(["c1", "c2"]).withColumn("host", F.lit("*"))
+    everything = pin(token_vectors(known.dropDuplicates(["host", "c1", "c2"])).union(token_vectors(alone)), "html-vectors")
     classes = valid_classes(everything, n.where(F.col("n_pages") >= MIN_PAGES).union(total))
     texts = everything.where("text").groupBy("host").agg(F.sum("main").alias("all_main"), F.sum("free").alias("all_free"))
     # a host's valid tokens are at most twice as many as those of one of its pages

@@ -163,6 +163,16 @@ def test_template_decides_on_marked_pages(spark):
         assert got[10 + i] == f"Teaser {i} " + " ".join([f"body of {i}"] * 20)
 
 
+def test_copies_are_no_template(spark):
+    """Hosts made of copies of one page, marked or not, keep its text."""
+    def page(i, tag):
+        return f"<html><body><script>var id={i}</script><!-- {i} --><{tag}><p>One story</p><p>Its end</p></{tag}></body></html>"
+
+    rows = [(10 * h + i, f"http://{name}.org/{i}", page(i, tag)) for h, (name, tag) in enumerate([("a", "div"), ("b", "article"), ("c", "div")]) for i in range(6)]
+    got = ht.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 18 and {r.text for r in got} == {"One story Its end"}
+
+
 def test_template_text_is_nested(spark):
     """Text as frequent as an element elsewhere on the page, but in none that comes with it, is no template text."""
     rows = [(i, f"http://one.org/{i}", "<html><body>" + ("<hr-x>a</hr-x>" if i < 3 else "") + f"<p>Story {i}</p>" + ("<p>Told thrice</p>" if i < 3 else "")
