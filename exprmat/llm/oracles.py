@@ -68,7 +68,24 @@ SELECT s.page_id, s.url, s.host, s.fetched_at, coalesce(best.action, '') <> 'blo
 FROM split s LEFT JOIN decided d ON s.page_id = d.page_id AND s.url = d.url"""
 
 
+#: The characters that count as blank, as a DuckDB expression.
+BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+LINE_DEDUP_SQL = f"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place
+  FROM documents),
+keyed AS (SELECT *, translate(trim(line, {BLANKS}), '{UPPER}', '{UPPER.lower()}') AS key FROM lines),
+firsts AS (SELECT key, min(doc_id) AS first FROM keyed WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+told AS (SELECT k.*, first IS NOT NULL AND k.doc_id <> first AS gone FROM keyed k LEFT JOIN firsts USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+FROM told GROUP BY doc_id"""
+
+
 ORACLES: dict[str, str] = {
+    "op13_line_dedup": LINE_DEDUP_SQL,
     "op2_url_lists": URL_LISTS_SQL,
     "op3_decontaminate": decontaminate_sql(),
 }

@@ -141,3 +141,56 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from exprmat.llm.html_template import extract_text
 
     return extract_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op11_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from exprmat.llm.token_align import align
+
+    out = align(table(spark, sf_dir, "documents"), tokenizer_path(), public_tokenizers.path("piece_bpe_32k.model"))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
+                      F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256"))
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations with faults put in by the checksum of ``conv_id:turn``: of twenty rows one each is dropped,
+    emptied, stripped of its sentence ends, repeated, and given to the user. A null is one blank."""
+    def text_of(name):
+        return F.coalesce(F.col(name).cast("string"), F.lit(" "))
+
+    rows = conversations.select("conv_id", "turn", text_of("role").alias("role"), text_of("text").alias("text"),
+                                (F.crc32(F.concat(text_of("conv_id"), F.lit(":"), text_of("turn"))) % 20).alias("fate"))
+    fate = F.col("fate")
+    return rows.where(fate != 0).select(
+        "conv_id", "turn", F.when(fate == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(fate == 1, "").when(fate == 2, F.translate("text", ".!?", "")).otherwise(F.col("text")).alias("text"),
+        F.explode(F.array_repeat(F.lit(0), F.when(fate == 3, 2).otherwise(1))).alias("again")).drop("again")
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from exprmat.llm.conversation import conversation_digests, repair
+
+    told = table(spark, sf_dir, "conversations")
+    fixed = repair(damaged(told))
+    ids = told.select("conv_id").distinct()
+    out = ids.join(fixed.conversations, F.col("conv_id").eqNullSafe(F.col("conv")), "left").drop("conv")
+    digests = conversation_digests(fixed.rows)
+    out = out.join(digests, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+
+    def number(name):
+        return F.coalesce(name, F.lit(0).cast("long")).alias(name)
+
+    return out.select("conv_id", *[number(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
+                      F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+@query
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from exprmat.llm.line_dedup import dedup, empty_state, insert
+
+    docs = table(spark, sf_dir, "documents")
+    out = dedup(insert(empty_state(spark), docs), docs)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
