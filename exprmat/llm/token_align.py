@@ -7,8 +7,8 @@ found by bisecting B's ends, and both halves go on; an interval without a common
 group. All intervals of one depth are handled at once in numpy (``divide``).
 
 Words repeat, so a text is first cut where both tokenizers surely end a token: before a blank or a
-line end that follows a visible character, and after a single line end. No pre-token of A and no piece
-of B reaches over such a place, so the parts can be encoded and divided one by one, and every
+line end that follows a visible character, after a single line end, and before a mark that follows a
+letter and that no piece of B holds there. No pre-token of A and no piece of B reaches over such a place, so the parts can be encoded and divided one by one, and every
 different part only once per worker (``Aligner``). Where a tokenizer gives no such certainty, the whole
 text is one part.
 
@@ -26,21 +26,25 @@ are all best. Other columns of the input play no part.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
 from exprmat.llm.common import fresh_folder, pin, session_conf
 
 #: Bytes of text per vectorised step, and different parts a worker remembers before it starts anew.
-STEP_BYTES = 2 << 20
-REMEMBERED = 250_000
+STEP_BYTES = 12 << 20
+REMEMBERED = 400_000
 #: Parts longer than this are not remembered.
 LONG_PART = 200
+#: A part that may be a line among others: no white space but a blank before it, visible at both ends.
+LINE = re.compile("(?: ?[!-~À-ÿ](?:\\S*[!-~À-ÿ])?)")
 #: Pairs whose counts every task reads (17 bytes each); links of rarer pairs are joined.
 KNOWN_PAIRS = 4_000_000
 
@@ -95,7 +99,8 @@ def divide(ends_a: np.ndarray, ends_b: np.ndarray, a0, a1, b0, b1) -> tuple[np.n
 def linked(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the A and B tokens whose byte ranges overlap: one pair per stretch between
     neighbouring ends of either kind, which lies within one token of each."""
-    ends = np.union1d(ends_a, ends_b)
+    ends = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")
+    ends = ends[np.concatenate([[True], ends[1:] != ends[:-1]])] if len(ends) else ends
     return np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
 
 
@@ -106,6 +111,12 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in seen} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _joined(values: pa.StringArray, ends: np.ndarray, by: str) -> pa.StringArray:
+    """Neighbouring values up to each end as one string."""
+    offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+    return pc.binary_join(pa.ListArray.from_arrays(offsets, values), by)
+
+
 class _Flat:
     """Rows of different lengths kept end to end in one growing array."""
 
@@ -149,6 +160,7 @@ class Aligner:
         self.len_a = np.array([len(x) for x in self.bytes_a])
         self.len_b = np.array([len(x) for x in self.bytes_b])
         self.can_cut = self._parts_are_safe(pieces)
+        self.mark = self._marks_after_letters(pieces)
         self.forget()
 
     def _parts_are_safe(self, pieces: list[str]) -> bool:
@@ -156,51 +168,102 @@ class Aligner:
         mark = self.b.encode("\n")
         same = plain and len(mark) == 2 and self.bytes_b[mark[0]] + self.bytes_b[mark[1]] == b" \n"
         back = b"".join(self.bytes_b[i] for i in self.b.encode(" a  ﬁ\n\n b "))
-        return same and back == "  a  ﬁ\n\n b ".encode() and self.a.normalizer is None and "ByteLevel" in repr(self.a.pre_tokenizer)
+        first = self.a.encode("\n", add_special_tokens=False).ids
+        self.end_a, self.end_b = first[0], mark[-1]
+        return (same and len(first) == 1 and back == "  a  ﬁ\n\n b ".encode() and self.a.normalizer is None
+                and "ByteLevel" in repr(self.a.pre_tokenizer))
+
+    @staticmethod
+    def _marks_after_letters(pieces: list[str]) -> np.ndarray:
+        """Which ASCII marks no piece of B holds right after a letter, so that none reaches over."""
+        out = np.zeros(256, bool)
+        out[[ord(c) for c in ".,;:!?()[]{}\"|/"]] = True
+        for p in pieces:
+            for x, y in zip(p[:-1], p[1:], strict=True):
+                if x.isalpha() and y.isascii():
+                    out[ord(y)] = False
+        return out
 
     def forget(self) -> None:
         self.index: dict[str, int] = {}
         self.good = np.zeros(0, bool)
         self.n = np.zeros((0, 3), np.int64)  # tokens of A, tokens of B, groups
-        self.text: list[str] = []
-        self.links = _Flat(np.int64)
+        self.text = pa.array([], pa.string())
+        self.links = _Flat(np.int64)  # of numbers of pairs
+        self.number: dict[int, int] = {}
+        self.pairs = np.zeros(0, np.int64)
         self.size = 0
-
-    def _encode(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        self.age = getattr(self, "age", 0) + 1
+
+    def _lines(self, parts: list[str]) -> list[np.ndarray]:
+        """Ids and how many each part has, of A and of B: the parts are encoded as lines of one text."""
+        out: list[list[np.ndarray]] = [[], [], [], []]
+        for at in range(0, len(parts), 4000):
+            some = parts[at:at + 4000]
+            text = "\n" + "\n".join(some)
+            ids_a = np.array(self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+            ids_b = np.array(self.b.encode(text)[1:], np.int64)  # the first is the blank put before
+            for k, (ids, end) in enumerate(((ids_a, self.end_a), (ids_b, self.end_b))):
+                cuts = np.flatnonzero(ids == end)
+                if len(cuts) != len(some):
+                    raise ValueError("a tokenizer joins line ends to what stands beside them")
+                out[2 * k].append(ids[ids != end])
+                out[2 * k + 1].append(np.diff(cuts, append=len(ids)) - 1)
+        return [np.concatenate(x) for x in out]
+
+    def _alone(self, parts: list[str]) -> list[np.ndarray]:
+        """The same, part by part."""
         ids_a = [e.ids for e in self.a.encode_batch_fast(parts, add_special_tokens=False)]
-        if self.can_cut:  # read after a line end, whose blank and byte come first
-            ids_b = [x[2:] for x in self.b.encode(["\n" + p for p in parts], num_threads=1)]
-        else:
-            ids_b = self.b.encode([p[1:] for p in parts], num_threads=1)
-        return ids_a, ids_b
+        skip = 2 if self.can_cut else 0  # read after a line end, whose blank and byte come first
+        ids_b = [e[skip:] for e in self.b.encode(["\n" + p if skip else p[1:] for p in parts], num_threads=1)]
+        out = []
+        for ids in (ids_a, ids_b):
+            n = np.fromiter(map(len, ids), np.int64, len(parts))
+            out += [np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum())), n]
+        return out
 
     def learn(self, parts: list[str]) -> None:
-        """Tokens, groups and links of parts not met before."""
-        ids_a, ids_b = self._encode(parts)
-        good = np.zeros(len(parts), bool)
-        for k, p in enumerate(parts):
-            raw = p.encode()
-            good[k] = raw == b"".join([self.bytes_a[i] for i in ids_a[k]]) == b"".join([self.bytes_b[i] for i in ids_b[k]])
-            if not good[k]:
-                ids_a[k], ids_b[k] = [], []
-        na = np.fromiter(map(len, ids_a), np.int64, len(parts))
-        nb = np.fromiter(map(len, ids_b), np.int64, len(parts))
-        flat_a = np.fromiter(chain.from_iterable(ids_a), np.int64, int(na.sum()))
-        flat_b = np.fromiter(chain.from_iterable(ids_b), np.int64, int(nb.sum()))
+        """Tokens, groups and links of parts not met before. Parts without white space but one blank before
+        them are encoded as lines of one text, the others one by one."""
+        lines = [p for p in parts if self.can_cut and LINE.fullmatch(p)]
+        if lines:
+            self._learn(lines, *self._lines(lines))
+        if len(lines) < len(parts):
+            known = set(lines)
+            rest = [p for p in parts if p not in known]
+            self._learn(rest, *self._alone(rest))
+
+    def _learn(self, parts: list[str], flat_a: np.ndarray, na: np.ndarray, flat_b: np.ndarray, nb: np.ndarray) -> None:
+        raw = "".join(parts).encode()
+        good = np.ones(len(parts), bool)
+        size = np.fromiter((len(p) if p.isascii() else len(p.encode()) for p in parts), np.int64, len(parts))
+        for flat, n, lens, spelt in ((flat_a, na, self.len_a, self.bytes_a), (flat_b, nb, self.len_b, self.bytes_b)):
+            total = np.concatenate([[0], np.cumsum(lens[flat])])
+            upto = np.cumsum(n)
+            good &= total[upto] - total[upto - n] == size
+            if b"".join([spelt[i] for i in flat.tolist()]) != raw:
+                ids = np.split(flat, upto[:-1])
+                good &= np.fromiter((p.encode() == b"".join([spelt[i] for i in x.tolist()]) for p, x in zip(parts, ids, strict=True)), bool, len(parts))
+        if not good.all():
+            flat_a, flat_b = flat_a[np.repeat(good, na)], flat_b[np.repeat(good, nb)]
+            na, nb = np.where(good, na, 0), np.where(good, nb, 0)
         ends_a, ends_b = np.cumsum(self.len_a[flat_a]), np.cumsum(self.len_b[flat_b])
         upto_a, upto_b = np.cumsum(na), np.cumsum(nb)
         some = na > 0
         a0, a1, b0, b1 = divide(ends_a, ends_b, (upto_a - na)[some], upto_a[some], (upto_b - nb)[some], upto_b[some])
-        of = np.searchsorted(upto_a, a0, "right")
-        groups = np.bincount(of, minlength=len(parts))
-        text_a, text_b = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
-        spelt = [f"{','.join(text_a[i:j])}|{','.join(text_b[k:m])}"
-                 for i, j, k, m in zip(a0.tolist(), a1.tolist(), b0.tolist(), b1.tolist(), strict=True)]
-        upto = np.cumsum(groups).tolist()
-        self.text += [";".join(spelt[e - g:e]) for e, g in zip(upto, groups.tolist(), strict=True)]
+        groups = np.bincount(np.searchsorted(upto_a, a0, "right"), minlength=len(parts))
+        # the groups follow each other without a gap, so their ends are the list offsets
+        text_a = _joined(pa.array(flat_a).cast(pa.string()), a1, ",")
+        text_b = _joined(pa.array(flat_b).cast(pa.string()), b1, ",")
+        spelt = _joined(pc.binary_join_element_wise(text_a, text_b, "|"), np.cumsum(groups), ";")
+        self.text = pa.concat_arrays([self.text, spelt])
         at_a, at_b = linked(ends_a, ends_b)
         per_part = np.bincount(np.searchsorted(upto_a, at_a, "right"), minlength=len(parts)) if len(at_a) else np.zeros(len(parts), np.int64)
-        self.links.extend(flat_a[at_a] << 32 | flat_b[at_b], per_part)
+        kinds, which = np.unique(flat_a[at_a] << 32 | flat_b[at_b], return_inverse=True)
+        new = [p for p in kinds.tolist() if p not in self.number]
+        self.number.update(zip(new, range(len(self.pairs), len(self.pairs) + len(new)), strict=True))
+        self.pairs = np.concatenate([self.pairs, np.array(new, np.int64)])
+        self.links.extend(np.fromiter(map(self.number.__getitem__, kinds.tolist()), np.int64, len(kinds))[which], per_part)
         self.good = np.concatenate([self.good, good])
         self.n = np.concatenate([self.n, np.stack([na, nb, groups], axis=1)])
         self.size += int(na.sum() + nb.sum())
@@ -208,7 +271,7 @@ class Aligner:
 
     def parts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The number of each part of all texts in order, and how many parts each text has."""
-        if len(self.index) > REMEMBERED or self.size > 8 * REMEMBERED:
+        if len(self.index) > REMEMBERED or self.size > 16 * REMEMBERED:
             self.forget()
         raw = b"".join([b" " + t for t in texts])
         sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
@@ -219,6 +282,9 @@ class Aligner:
             after, first = shown.copy(), shown | (c == 0xC3)
             after[1:] |= (c[1:] >= 0x80) & (c[:-1] == 0xC3)
             start[1:] = after[:-1] & ((c[1:] == 32) | (c[1:] == 10))
+            letter = ((c | 32) >= 97) & ((c | 32) <= 122)
+            letter[1:] |= (c[:-1] == 0xC3) & (c[1:] != 0x97) & (c[1:] != 0xB7)
+            start[1:] |= letter[:-1] & self.mark[c[1:]]
             start[2:] |= after[:-2] & (c[1:-1] == 10) & first[2:]
         start[np.cumsum(sizes) - sizes] = True
         begin = np.flatnonzero(start)
@@ -227,12 +293,14 @@ class Aligner:
         words = pa.StringArray.from_buffers(
             len(begin), pa.py_buffer(np.append(begin, len(raw)).astype(np.int32)), pa.py_buffer(raw)).dictionary_encode()
         kinds = words.dictionary.to_pylist()
-        if new := [w for w in kinds if w not in self.index]:
+        found = list(map(self.index.get, kinds))
+        if new := [w for w, k in zip(kinds, found, strict=True) if k is None]:
             self.learn(new)
-        of = np.fromiter(map(self.index.__getitem__, kinds), np.int64, len(kinds))[words.indices.to_numpy()]
-        for w in new:
-            if len(w) > LONG_PART:
-                del self.index[w]
+            found = list(map(self.index.__getitem__, kinds))
+            for w in new:
+                if len(w) > LONG_PART:
+                    del self.index[w]
+        of = np.array(found, np.int64)[words.indices.to_numpy(zero_copy_only=False)]
         counts = np.diff(np.searchsorted(begin, np.concatenate([[0], np.cumsum(sizes)])))
         return of, counts
 
@@ -278,31 +346,28 @@ def count_pairs(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         al = _aligner(path_a, path_b)
-        held = np.zeros(0, np.int64)
-        times = np.zeros(0, np.int64)
+        times, age = np.zeros(0, np.int64), al.age  # documents per number of a pair
 
         def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(held), pa.array(times)], names=["pair", "docs"])
+            held = np.flatnonzero(times)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[held]), pa.array(times[held])], names=["pair", "docs"])
 
+        pairs = al.pairs
         for _, texts in _steps(batches):
             of, counts = al.parts(texts)
+            if al.age != age:  # the numbers begin anew
+                yield rows()
+                times, age = np.zeros(0, np.int64), al.age
+            pairs = al.pairs
             keep = np.repeat(_whole(al, texts, of, counts), counts)
             doc = np.repeat(np.arange(len(texts)), counts)[keep]
             once = _distinct(doc << 32 | of[keep])  # each part once per document
-            pairs, sizes = al.links.rows(once & 0xFFFFFFFF)
-            kinds, at = np.unique(pairs, return_inverse=True)
-            seen = _distinct(np.repeat(once >> 32, sizes) << 32 | at)
-            more = np.bincount(seen & 0xFFFFFFFF, minlength=len(kinds))
-            both = np.concatenate([held, kinds])
-            order = np.argsort(both, kind="stable")
-            both, n = both[order], np.concatenate([times, more])[order]
-            first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, np.int64)
-            held, times = both[first], np.add.reduceat(n, first) if len(first) else n
-            if len(held) > KNOWN_PAIRS // 8:
-                yield rows()
-                held, times = held[:0], times[:0]
-        if len(held):
-            yield rows()
+            linked_, sizes = al.links.rows(once & 0xFFFFFFFF)
+            seen = _distinct(np.repeat(once >> 32, sizes) << 32 | linked_)
+            more = np.bincount(seen & 0xFFFFFFFF, minlength=len(pairs))
+            more[:len(times)] += times
+            times = more
+        yield rows()
 
     found = docs.select(id_col, text_col).mapInArrow(count, "pair long, docs long")
     return found.groupBy("pair").agg(F.sum("docs").alias("docs"))
@@ -360,41 +425,39 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             al = _aligner(path_a, path_b)
             known, times, best = _known(folder)
+            age, per_part, hit = 0, np.zeros((0, 6), np.int64), np.zeros(0, bool)
             for ids, texts in _steps(batches):
                 of, counts = al.parts(texts)
-                whole = _whole(al, texts, of, counts)
-                part, where = np.unique(of, return_inverse=True)
-                pairs, sizes = al.links.rows(part)
+                if al.age != age:
+                    age, per_part, hit = al.age, np.zeros((0, 6), np.int64), np.zeros(0, bool)
+                # sums of the parts that are new since the last step
+                pairs = al.pairs[len(hit):]
                 at = np.minimum(np.searchsorted(known, pairs), max(len(known) - 1, 0))
-                hit = known[at] == pairs if len(known) else np.zeros(len(pairs), bool)
+                hit = np.concatenate([hit, known[at] == pairs if len(known) else np.zeros(len(pairs), bool)])
+                fresh, sizes = al.links.rows(np.arange(len(per_part), len(al.good)))
+                place = np.minimum(np.searchsorted(known, al.pairs[fresh]), max(len(known) - 1, 0))
+                docs_of = np.where(hit[fresh], times[place], 0) if len(known) else np.zeros(len(fresh), np.int64)
+                is_best = hit[fresh] & best[place] if len(known) else np.zeros(len(fresh), bool)
                 begin = np.cumsum(sizes) - sizes
-
-                def per_part(x: np.ndarray, begin=begin, sizes=sizes) -> np.ndarray:
-                    total = np.concatenate([[0], np.cumsum(x)])
-                    return total[begin + sizes] - total[begin]
-
-                docs_of = np.where(hit, times[at], 0) if len(known) else np.zeros(len(pairs), np.int64)
-                is_best = hit & best[at] if len(known) else hit
-                columns = [al.n[part, 0], al.n[part, 1], al.n[part, 2], sizes, per_part(is_best), per_part(docs_of)]
-                doc = np.repeat(np.arange(len(texts)), counts)
+                sums_ = [np.diff(np.concatenate([[0], np.cumsum(x)])[np.append(begin, len(fresh))]) for x in (is_best, docs_of)]
+                per_part = np.concatenate([per_part, np.stack([*al.n[len(per_part):].T, sizes, *sums_], axis=1)])
+                whole = _whole(al, texts, of, counts)
                 upto = np.cumsum(counts)
-                spans = list(zip((upto - counts).tolist(), upto.tolist(), whole.tolist(), strict=True))
                 made = []
-                for c in columns:
-                    total = np.concatenate([[0], np.cumsum(c[where])])
+                for c in per_part.T:
+                    total = np.concatenate([[0], np.cumsum(c[of])])
                     made.append(np.where(whole, total[upto] - total[upto - counts], 0))
-                spelt = [";".join([al.text[k] for k in of[i:j].tolist()]) if ok else "" for i, j, ok in spans]
+                spelt = pc.if_else(pa.array(whole), _joined(al.text.take(pa.array(of)), upto, ";"), "")
                 rare: list = [[]] * len(texts)
                 if not hit.all():
-                    number = np.repeat(np.arange(len(part)), sizes)[~hit]
-                    loose = _Flat(np.int64)
-                    loose.extend(pairs[~hit], np.bincount(number, minlength=len(part)))
-                    found, n = loose.rows(where)
-                    cuts = np.concatenate([[0], np.cumsum(np.bincount(doc, weights=n, minlength=len(texts)).astype(np.int64))])
+                    linked_, sizes = al.links.rows(of)
+                    doc = np.repeat(np.repeat(np.arange(len(texts)), counts), sizes)
+                    loose = ~hit[linked_]
+                    cuts = np.concatenate([[0], np.cumsum(np.bincount(doc[loose], minlength=len(texts)))])
+                    found = al.pairs[linked_[loose]]
                     rare = [found[i:j].tolist() if ok else [] for i, j, ok in zip(cuts[:-1].tolist(), cuts[1:].tolist(), whole.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), *[pa.array(m.astype(np.int64)) for m in made], pa.array(spelt, pa.string()),
-                     pa.array(rare, pa.list_(pa.int64()))],
+                    [pa.array(ids, pa.int64()), *[pa.array(m.astype(np.int64)) for m in made], spelt, pa.array(rare, pa.list_(pa.int64()))],
                     names=["id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups", "rare"])
 
         schema = ("id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, "

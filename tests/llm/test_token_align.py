@@ -90,7 +90,7 @@ def test_divide_without_a_common_end():
 def test_parts_equal_whole_texts(texts):
     al = tools()[3]
     of, counts = al.parts([t.encode() for t in texts])
-    got = [";".join(al.text[k] for k in part) if al.good[part].all() else "" for part in np.split(of, np.cumsum(counts)[:-1])] if texts else []
+    got = [";".join(al.text[int(k)].as_py() for k in part) if al.good[part].all() else "" for part in np.split(of, np.cumsum(counts)[:-1])] if texts else []
     want = [r[-1] for r in plain_align(enumerate(texts))]
     assert [g if t else "" for g, t in zip(got, texts)] == want
 
