@@ -198,8 +198,8 @@ class Aligner:
     def _lines(self, parts: list[str]) -> list[np.ndarray]:
         """Ids and how many each part has, of A and of B: the parts are encoded as lines of one text."""
         out: list[list[np.ndarray]] = [[], [], [], []]
-        for at in range(0, len(parts), 4000):
-            some = parts[at:at + 4000]
+        for at in range(0, len(parts), 400):
+            some = parts[at:at + 400]
             text = "\n" + "\n".join(some)
             ids_a = np.array(self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
             ids_b = np.array(self.b.encode(text)[1:], np.int64)  # the first is the blank put before

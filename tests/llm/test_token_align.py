@@ -42,7 +42,7 @@ def plain_align(rows):
     found, docs = [], Counter()
     for key, text in rows:
         e = a.encode(" " + (text or ""), add_special_tokens=False)
-        ib, bytes_a = b.encode(text or ""), [bytes(byte_of[c] for c in t) for t in e.tokens]
+        ia, ib, bytes_a = e.ids, b.encode(text or ""), [bytes(byte_of[c] for c in t) for t in e.tokens]
         bytes_b, raw = [spelt_b(i) for i in ib], (" " + (text or "")).encode()
         if not text or b"".join(bytes_a) != raw or b"".join(bytes_b) != raw:
             found.append((key, 0, 0, [], []))
@@ -53,11 +53,11 @@ def plain_align(rows):
         after_a, after_b = {c: i + 1 for i, c in enumerate(ends_a)}, {c: i + 1 for i, c in enumerate(ends_b)}
         for cut in sorted(set(ends_a) & set(ends_b)):
             i, j = after_a[cut], after_b[cut]
-            groups.append((e.ids[x:i], ib[y:j]))
+            groups.append((ia[x:i], ib[y:j]))
             x, y = i, j
-        links = [(e.ids[i], ib[j]) for i, j in sorted(set(zip(of_a, of_b)))]
+        links = [(ia[i], ib[j]) for i, j in sorted(set(zip(of_a, of_b)))]
         docs.update(set(links))
-        found.append((key, len(e.ids), len(ib), groups, links))
+        found.append((key, len(ia), len(ib), groups, links))
     best = defaultdict(int)
     for (i, _), n in docs.items():
         best[i] = max(best[i], n)
