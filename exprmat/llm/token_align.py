@@ -12,10 +12,11 @@ letter and that no piece of B holds there. No pre-token of A and no piece of B r
 different part only once per worker (``Aligner``). Where a tokenizer gives no such certainty, the whole
 text is one part.
 
-Two passes over the documents: the first counts in how many documents each (A id, B id) pair is
-linked, the second adds the counts up per document. Counts of the pairs held by most documents, at
-most ``KNOWN_PAIRS``, go to the tasks as files in the shared folder; links of the other pairs, which few
-documents hold, are joined by Spark. Both ways give the same sums.
+Texts are encoded and divided once; their ids and group sizes are written as packed columns. Two cheap
+passes read them: the first counts in how many documents each (A id, B id) pair is linked, the second
+adds the counts up per document. Counts of the pairs held by most documents, at most ``KNOWN_PAIRS``, go
+to the tasks as files in the shared folder; links of the other pairs, which few documents hold, are
+joined by Spark. Both ways give the same sums.
 
 Cases: a null or empty text, and a text whose tokens do not spell its bytes in either tokenizer, has no
 tokens: zeros and an empty group text. Repeated rows and ids stay rows of their own, and each counts
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame
 from exprmat.llm.common import fresh_folder, pin, session_conf
 
 #: Bytes of text per vectorised step, and different parts a worker remembers before it starts anew.
-STEP_BYTES = 12 << 20
+STEP_BYTES = 6 << 20
 REMEMBERED = 400_000
 #: Parts longer than this are not remembered.
 LONG_PART = 200
@@ -47,6 +48,8 @@ LONG_PART = 200
 LINE = re.compile("(?: ?[!-~À-ÿ](?:\\S*[!-~À-ÿ])?)")
 #: Pairs whose counts every task reads (17 bytes each); links of rarer pairs are joined.
 KNOWN_PAIRS = 4_000_000
+#: Rows that a task reads at once.
+ROWS = 512
 
 
 def divide(ends_a: np.ndarray, ends_b: np.ndarray, a0, a1, b0, b1) -> tuple[np.ndarray, ...]:
@@ -139,6 +142,10 @@ class _Flat:
         return self.data[place], sizes
 
 
+def _width(lengths: np.ndarray) -> type:
+    return np.uint16 if len(lengths) <= 1 << 16 else np.uint32
+
+
 class Aligner:
     """Encodes and divides the parts of texts, remembering the parts met so far."""
 
@@ -187,13 +194,8 @@ class Aligner:
     def forget(self) -> None:
         self.index: dict[str, int] = {}
         self.good = np.zeros(0, bool)
-        self.n = np.zeros((0, 3), np.int64)  # tokens of A, tokens of B, groups
-        self.text = pa.array([], pa.string())
-        self.links = _Flat(np.int64)  # of numbers of pairs
-        self.number: dict[int, int] = {}
-        self.pairs = np.zeros(0, np.int64)
-        self.size = 0
-        self.age = getattr(self, "age", 0) + 1
+        self.ids_a, self.ids_b = _Flat(_width(self.len_a)), _Flat(_width(self.len_b))
+        self.per_a, self.per_b = _Flat(np.uint32), _Flat(np.uint32)  # tokens per group
 
     def _lines(self, parts: list[str]) -> list[np.ndarray]:
         """Ids and how many each part has, of A and of B: the parts are encoded as lines of one text."""
@@ -252,26 +254,14 @@ class Aligner:
         some = na > 0
         a0, a1, b0, b1 = divide(ends_a, ends_b, (upto_a - na)[some], upto_a[some], (upto_b - nb)[some], upto_b[some])
         groups = np.bincount(np.searchsorted(upto_a, a0, "right"), minlength=len(parts))
-        # the groups follow each other without a gap, so their ends are the list offsets
-        text_a = _joined(pa.array(flat_a).cast(pa.string()), a1, ",")
-        text_b = _joined(pa.array(flat_b).cast(pa.string()), b1, ",")
-        spelt = _joined(pc.binary_join_element_wise(text_a, text_b, "|"), np.cumsum(groups), ";")
-        self.text = pa.concat_arrays([self.text, spelt])
-        at_a, at_b = linked(ends_a, ends_b)
-        per_part = np.bincount(np.searchsorted(upto_a, at_a, "right"), minlength=len(parts)) if len(at_a) else np.zeros(len(parts), np.int64)
-        kinds, which = np.unique(flat_a[at_a] << 32 | flat_b[at_b], return_inverse=True)
-        new = [p for p in kinds.tolist() if p not in self.number]
-        self.number.update(zip(new, range(len(self.pairs), len(self.pairs) + len(new)), strict=True))
-        self.pairs = np.concatenate([self.pairs, np.array(new, np.int64)])
-        self.links.extend(np.fromiter(map(self.number.__getitem__, kinds.tolist()), np.int64, len(kinds))[which], per_part)
+        for flat, values, n in ((self.ids_a, flat_a, na), (self.ids_b, flat_b, nb), (self.per_a, a1 - a0, groups), (self.per_b, b1 - b0, groups)):
+            flat.extend(values, n)
         self.good = np.concatenate([self.good, good])
-        self.n = np.concatenate([self.n, np.stack([na, nb, groups], axis=1)])
-        self.size += int(na.sum() + nb.sum())
         self.index.update(zip(parts, range(len(self.good) - len(parts), len(self.good)), strict=True))
 
     def parts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The number of each part of all texts in order, and how many parts each text has."""
-        if len(self.index) > REMEMBERED or self.size > 16 * REMEMBERED:
+        if len(self.index) > REMEMBERED or int(self.ids_a.at[-1]) > 16 * REMEMBERED:
             self.forget()
         raw = b"".join([b" " + t for t in texts])
         sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
@@ -341,36 +331,77 @@ def _distinct(x: np.ndarray) -> np.ndarray:
     return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
-def count_pairs(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``pair`` (A id << 32 | B id) and the number of documents that hold it linked."""
+TOKENS = "id long, n_a long, n_b long, n_groups long, a binary, b binary, per_a binary, per_b binary"
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        al = _aligner(path_a, path_b)
-        times, age = np.zeros(0, np.int64), al.age  # documents per number of a pair
 
-        def rows() -> pa.RecordBatch:
-            held = np.flatnonzero(times)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[held]), pa.array(times[held])], names=["pair", "docs"])
+def tokens_of(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: str) -> DataFrame:
+    """Per document: its tokens of both, and the groups they are divided into, as little-endian numbers: ids of
+    2 bytes (4 where a vocabulary is larger), tokens per group of 1 byte (4 where a group has more than 255)."""
 
-        pairs = al.pairs
-        for _, texts in _steps(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        al = _aligner(path_a, path_b)
+        for ids, texts in _steps(batches):
             of, counts = al.parts(texts)
-            if al.age != age:  # the numbers begin anew
-                yield rows()
-                times, age = np.zeros(0, np.int64), al.age
-            pairs = al.pairs
-            keep = np.repeat(_whole(al, texts, of, counts), counts)
-            doc = np.repeat(np.arange(len(texts)), counts)[keep]
-            once = _distinct(doc << 32 | of[keep])  # each part once per document
-            linked_, sizes = al.links.rows(once & 0xFFFFFFFF)
-            seen = _distinct(np.repeat(once >> 32, sizes) << 32 | linked_)
-            more = np.bincount(seen & 0xFFFFFFFF, minlength=len(pairs))
-            more[:len(times)] += times
-            times = more
-        yield rows()
-
-    found = docs.select(id_col, text_col).mapInArrow(count, "pair long, docs long")
-    return found.groupBy("pair").agg(F.sum("docs").alias("docs"))
+            whole = _whole(al, texts, of, counts)
+            of = of[np.repeat(whole, counts)]
+            ends = np.cumsum(np.where(whole, counts, 0))
+            columns, sizes = [], []
+            for flat in (al.ids_a, al.ids_b, al.per_a, al.per_b):
+                values, n = flat.rows(of)
+                upto = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], ends])]
+                sizes.append(np.diff(upto))
+                cuts = list(zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True))
+                if values.dtype == np.uint32 and flat in (al.per_a, al.per_b):
+                    columns.append([(x if x.max(initial=0) > 255 else x.astype(np.uint8)).tobytes() for x in (values[i:j] for i, j in cuts)])
+                else:
+                    columns.append([values[i:j].tobytes() for i, j in cuts])
+            numbers = [pa.array(x.astype(np.int64)) for x in sizes[:3]]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *numbers, *(pa.array(c, pa.binary()) for c in columns)],
+                                             names=["id", "n_a", "n_b", "n_groups", "a", "b", "per_a", "per_b"])
+
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, TOKENS)
+
+
+def _numbers(b: pa.RecordBatch, name: str, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(b.column(name).to_pylist()), kind).astype(np.int64)
+
+
+def _groups(b: pa.RecordBatch, name: str) -> np.ndarray:
+    parts = [np.frombuffer(x, np.uint8 if len(x) == n else np.uint32).astype(np.int64)
+             for x, n in zip(b.column(name).to_pylist(), b.column("n_groups").to_pylist(), strict=True)]
+    return np.concatenate([np.zeros(0, np.int64), *parts])
+
+
+def _links_of(al: Aligner, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of all links of some documents in order, and how many each document has."""
+    a, t = _numbers(b, "a", _width(al.len_a)), _numbers(b, "b", _width(al.len_b))
+    at_a, at_b = linked(np.cumsum(al.len_a[a]), np.cumsum(al.len_b[t]))
+    upto = np.searchsorted(at_a, np.concatenate([[0], np.cumsum(b.column("n_a").to_numpy())]))
+    return a[at_a] << 32 | t[at_b], np.diff(upto)
+
+
+def count_pairs(tokens: DataFrame, path_a: str, path_b: str) -> DataFrame:
+    """``pair`` (A id << 32 | B id) and the number of documents that hold it linked."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        al = _aligner(path_a, path_b)
+        held, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for b in batches:
+            pairs, n = _links_of(al, b)
+            kinds, number = np.unique(pairs, return_inverse=True)
+            once = _distinct(np.repeat(np.arange(len(n)), n) << 32 | number)
+            more = np.bincount(once & 0xFFFFFFFF, minlength=len(kinds))
+            both = np.concatenate([held, kinds])
+            order = np.argsort(both, kind="stable")
+            both, added = both[order], np.concatenate([times, more])[order]
+            first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, np.int64)
+            held, times = both[first], np.add.reduceat(added, first) if len(first) else added
+            if len(held) > KNOWN_PAIRS // 4:
+                yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(times)], names=["pair", "docs"])
+                held, times = held[:0], times[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(times)], names=["pair", "docs"])
+
+    return tokens.select("n_a", "a", "b").mapInArrow(count, "pair long, docs long").groupBy("pair").agg(F.sum("docs").alias("docs"))
 
 
 def _write_known(counted: DataFrame, known_pairs: int) -> tuple[str, int]:
@@ -415,8 +446,9 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     ``n_best`` (links whose pair is the A id's most frequent) and ``count_sum`` (documents holding each
     link's pair, added over the links)."""
     spark = docs.sparkSession
-    with session_conf(spark, spark__sql__execution__arrow__maxRecordsPerBatch="256"):
-        counted = pin(count_pairs(docs, path_a, path_b, id_col, text_col), "pair-counts")
+    with session_conf(spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(ROWS)):
+        tokens = pin(tokens_of(docs, path_a, path_b, id_col, text_col), "aligned-tokens")
+        counted = pin(count_pairs(tokens, path_a, path_b), "pair-counts")
         top = counted.groupBy(F.shiftright("pair", 32).alias("a")).agg(F.max("docs").alias("most"))
         counted = pin(counted.withColumn("a", F.shiftright("pair", 32)).join(top, "a")
                       .select("pair", "docs", (F.col("docs") == F.col("most")).alias("best")), "pair-best")
@@ -425,44 +457,32 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             al = _aligner(path_a, path_b)
             known, times, best = _known(folder)
-            age, per_part, hit = 0, np.zeros((0, 6), np.int64), np.zeros(0, bool)
-            for ids, texts in _steps(batches):
-                of, counts = al.parts(texts)
-                if al.age != age:
-                    age, per_part, hit = al.age, np.zeros((0, 6), np.int64), np.zeros(0, bool)
-                # sums of the parts that are new since the last step
-                pairs = al.pairs[len(hit):]
-                at = np.minimum(np.searchsorted(known, pairs), max(len(known) - 1, 0))
-                hit = np.concatenate([hit, known[at] == pairs if len(known) else np.zeros(len(pairs), bool)])
-                fresh, sizes = al.links.rows(np.arange(len(per_part), len(al.good)))
-                place = np.minimum(np.searchsorted(known, al.pairs[fresh]), max(len(known) - 1, 0))
-                docs_of = np.where(hit[fresh], times[place], 0) if len(known) else np.zeros(len(fresh), np.int64)
-                is_best = hit[fresh] & best[place] if len(known) else np.zeros(len(fresh), bool)
-                begin = np.cumsum(sizes) - sizes
-                sums_ = [np.diff(np.concatenate([[0], np.cumsum(x)])[np.append(begin, len(fresh))]) for x in (is_best, docs_of)]
-                per_part = np.concatenate([per_part, np.stack([*al.n[len(per_part):].T, sizes, *sums_], axis=1)])
-                whole = _whole(al, texts, of, counts)
-                upto = np.cumsum(counts)
-                made = []
-                for c in per_part.T:
-                    total = np.concatenate([[0], np.cumsum(c[of])])
-                    made.append(np.where(whole, total[upto] - total[upto - counts], 0))
-                spelt = pc.if_else(pa.array(whole), _joined(al.text.take(pa.array(of)), upto, ";"), "")
-                rare: list = [[]] * len(texts)
+            for b in batches:
+                pairs, n = _links_of(al, b)
+                kinds, number = np.unique(pairs, return_inverse=True)
+                at = np.minimum(np.searchsorted(known, kinds), max(len(known) - 1, 0))
+                hit = known[at] == kinds if len(known) else np.zeros(len(kinds), bool)
+                docs_of = np.where(hit, times[at], 0) if len(known) else np.zeros(len(kinds), np.int64)
+                is_best = hit & best[at] if len(known) else hit
+                upto = np.concatenate([[0], np.cumsum(n)])
+                added = [np.diff(np.concatenate([[0], np.cumsum(x[number])])[upto]) for x in (is_best, docs_of)]
+                texts = [_joined(pa.array(_numbers(b, c, _width(lens))).cast(pa.string()), np.cumsum(_groups(b, f"per_{c}")), ",")
+                         for c, lens in (("a", al.len_a), ("b", al.len_b))]
+                spelt = _joined(pc.binary_join_element_wise(*texts, "|"), np.cumsum(b.column("n_groups").to_numpy()), ";")
+                rare: list = [[]] * len(n)
                 if not hit.all():
-                    linked_, sizes = al.links.rows(of)
-                    doc = np.repeat(np.repeat(np.arange(len(texts)), counts), sizes)
-                    loose = ~hit[linked_]
-                    cuts = np.concatenate([[0], np.cumsum(np.bincount(doc[loose], minlength=len(texts)))])
-                    found = al.pairs[linked_[loose]]
-                    rare = [found[i:j].tolist() if ok else [] for i, j, ok in zip(cuts[:-1].tolist(), cuts[1:].tolist(), whole.tolist(), strict=True)]
+                    loose = ~hit[number]
+                    cuts = np.concatenate([[0], np.cumsum(loose)])[upto].tolist()
+                    found = pairs[loose]
+                    rare = [found[i:j].tolist() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), *[pa.array(m.astype(np.int64)) for m in made], spelt, pa.array(rare, pa.list_(pa.int64()))],
+                    [b.column("id"), b.column("n_a"), b.column("n_b"), b.column("n_groups"), pa.array(n), *(pa.array(x) for x in added),
+                     spelt, pa.array(rare, pa.list_(pa.int64()))],
                     names=["id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups", "rare"])
 
         schema = ("id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, "
                   "groups string, rare array<long>")
-        out = docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(sums, schema)
+        out = tokens.mapInArrow(sums, schema)
         if least > 1:
             out = pin(out.withColumn("row", F.monotonically_increasing_id()), "aligned")
             links = out.select("row", F.explode("rare").alias("pair")).groupBy("row", "pair").count()

@@ -90,7 +90,12 @@ def test_divide_without_a_common_end():
 def test_parts_equal_whole_texts(texts):
     al = tools()[3]
     of, counts = al.parts([t.encode() for t in texts])
-    got = [";".join(al.text[int(k)].as_py() for k in part) if al.good[part].all() else "" for part in np.split(of, np.cumsum(counts)[:-1])] if texts else []
+    got = []
+    for part in np.split(of, np.cumsum(counts)[:-1]) if texts else []:
+        (a, _), (b, _), (na, _), (nb, _) = (flat.rows(part) for flat in (al.ids_a, al.ids_b, al.per_a, al.per_b))
+        x, y = np.split(a, np.cumsum(na)[:-1]), np.split(b, np.cumsum(nb)[:-1])
+        spelt = ";".join(",".join(map(str, i)) + "|" + ",".join(map(str, j)) for i, j in zip(x, y, strict=True))
+        got.append(spelt if al.good[part].all() else "")
     want = [r[-1] for r in plain_align(enumerate(texts))]
     assert [g if t else "" for g, t in zip(got, texts)] == want
 
