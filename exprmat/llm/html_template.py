@@ -142,12 +142,12 @@ def page_host(url: Column) -> Column:
 def token_vectors(pages: DataFrame) -> DataFrame:
     """Of each host's tokens: element path or text run (``text``), its path above, pages that have it, the
     vector's two sums, the characters of its text, of linked text, and of unlinked text in and out of marked
-    elements. Takes ``host, page, html``."""
+    elements; and the same of the host ``*`` over the pages that are ``pooled``. Takes ``host, page, html, pooled``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sums: dict[tuple[str, int, bool], list[int]] = {}
             above: dict[int, int] = {}
-            for host, page, html in zip(*(b.column(c).to_pylist() for c in ("host", "page", "html")), strict=True):
+            for host, page, html, pooled in zip(*(b.column(c).to_pylist() for c in ("host", "page", "html", "pooled")), strict=True):
                 seen: Counter = Counter()
                 size: dict[tuple[int, bool], list[int]] = defaultdict(lambda: [0, 0, 0, 0])
                 keys: dict[str, int] = {}
@@ -168,13 +168,14 @@ def token_vectors(pages: DataFrame) -> DataFrame:
                             c[1 if linked else 2 if place == MAIN else 3] += n
                 h1, h2 = page & 0x7FFFFFFF, (page >> 31) & 0x7FFFFFFF
                 for (k, is_text), n in seen.items():
-                    s = sums.setdefault((host, k, is_text), [0] * 7)
-                    s[0] += 1
-                    s[1] += h1 * n
-                    s[2] += h2 * n
-                    if (k, is_text) in size:
-                        for j, x in enumerate(size[k, is_text], 3):
-                            s[j] += x
+                    for whose in (host, "*") if pooled else (host,):
+                        s = sums.setdefault((whose, k, is_text), [0] * 7)
+                        s[0] += 1
+                        s[1] += h1 * n
+                        s[2] += h2 * n
+                        if (k, is_text) in size:
+                            for j, x in enumerate(size[k, is_text], 3):
+                                s[j] += x
             rows = [(h, k, above[k], t, *s) for (h, k, t), s in sums.items()]
             cols = zip(*rows, strict=True) if rows else [()] * 11
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 7]
@@ -223,13 +224,22 @@ def _template(tokens: list[dict], main: int, free: int) -> tuple[list[int], list
 def templates(pages: DataFrame) -> DataFrame:
     """``host, fixed, menus, every``: keys of the template's own text runs, and of slots that are mostly
     links, and whether all other slots are main slots, or the marked ones. Host ``*`` is the template of all
-    pages. Copies count once a host, and once in all. Takes ``host, page, html``."""
+    pages. Copies count once a host, and once in all. Takes ``host, html``."""
     body = F.regexp_replace("html", UNSEEN, "")
-    known = pages.withColumn("c1", F.xxhash64(body)).withColumn("c2", F.xxhash64(F.reverse(body)))
-    n = known.groupBy("host").agg(F.count_distinct("c1", "c2").alias("n_pages"))
-    total = known.agg(F.count_distinct("c1", "c2").alias("n_pages")).select(F.lit("*").alias("host"), "n_pages")
-    alone = known.dropDuplicates(["c1", "c2"]).withColumn("host", F.lit("*"))
-    everything = pin(token_vectors(known.dropDuplicates(["host", "c1", "c2"])).union(token_vectors(alone)), "html-vectors")
+    known = pages.select("host", "html", F.xxhash64(body).alias("c1"), F.xxhash64(F.reverse(body)).alias("c2"))
+    contents = pin(known.groupBy("host", "c1", "c2").agg(F.count("*").alias("rows")), "html-contents")
+    n = contents.groupBy("host").agg(F.count("*").alias("n_pages"))
+    apart = contents.groupBy("c1", "c2").agg(F.sum("rows").alias("rows"), F.min("host").alias("first_host"))
+    total = apart.agg(F.count("*").alias("n_pages")).select(F.lit("*").alias("host"), "n_pages")
+    # only the html of contents that several rows have moves; the others are read where they lie
+    copied = pin(apart.where("rows > 1").select("c1", "c2", "first_host"), "html-copied")
+    copied = small_side(copied, copied.count())
+    single = known.join(copied.select("c1", "c2"), ["c1", "c2"], "left_anti").withColumn("pooled", F.lit(True))
+    several = (known.join(copied, ["c1", "c2"]).dropDuplicates(["host", "c1", "c2"])
+               .withColumn("pooled", F.col("host") == F.col("first_host")))
+    # a page stands for its content, so its place in the vectors does not depend on which copy is read
+    columns = ["host", F.col("c1").alias("page"), "html", "pooled"]
+    everything = pin(token_vectors(single.select(*columns).union(several.select(*columns))), "html-vectors")
     classes = valid_classes(everything, n.where(F.col("n_pages") >= MIN_PAGES).union(total))
     texts = everything.where("text").groupBy("host").agg(F.sum("main").alias("all_main"), F.sum("free").alias("all_free"))
     # a host's valid tokens are at most twice as many as those of one of its pages
@@ -262,7 +272,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     url = F.col(url_col).cast("string")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"),
                         page_host(url).alias("host"))
-    known = templates(rows.select("host", F.xxhash64("page_id", "url").alias("page"), "html"))
+    known = templates(rows.select("host", "html"))
     n_known = known.count()
     pool = known.where("host = '*'").first()
     everywhere = (frozenset(pool["fixed"]), frozenset(pool["menus"]), pool["every"]) if pool else (frozenset(), frozenset(), False)
