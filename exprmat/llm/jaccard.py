@@ -334,7 +334,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     the same set, n_links the checked links of its class to other sets."""
     # texts reach the Python workers in small batches, so that a task's memory is bounded
     with session_conf(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=str(STEP_ROWS)):
-        return _join(docs, id_col, text_col, n)
+        top = docs.agg(F.max(F.col(id_col).cast("long")).alias("m"), F.count_if(F.col(id_col).isNull()).alias("n")).first()
+        if not top["n"]:
+            return _join(docs, id_col, text_col, n)
+        # rows without an id link like others: here they go by ids past all real ones, equal texts by one
+        past = F.lit((top["m"] if top["m"] is not None else -1) + 1)
+        given = F.coalesce(F.col(id_col).cast("long"), past + F.pmod(F.xxhash64(F.col(text_col)), F.lit(1 << 40)))
+        out = _join(docs.select(given.alias("_id"), F.col(text_col).alias("_text")), "_id", "_text", n)
+        return out.withColumns({c: F.when(F.col(c) < past, F.col(c)) for c in ("doc_id", "component_id", "class_id")})
 
 
 def _join(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
