@@ -9,6 +9,10 @@ reread as the next stage's documents. All but the last return the columns of ``d
 4. mix: documents are kept, dropped or repeated by the rates that match the target token weights.
 5. token_ids: what is left is encoded and written to Simple-8b shard files; the rows read back are returned.
 
+Cases: stages 2 and 3 decide row by row: rows that share an id but not a text, and rows without an id,
+are documents of their own; of equal rows one stays. Null and empty texts are no near duplicates, have no
+words and encode to the end id alone. An empty table stays empty through every stage.
+
 The classifiers and the tokenizer leave no SQL for ``run``, so ``ORACLE_SQL`` is None; the stages are
 tested one by one and end to end in ``tests/llm/test_pipeline.py``.
 """
@@ -22,21 +26,34 @@ from exprmat.llm import decontaminate as contamination
 from exprmat.llm import jaccard, mixing, quality, token_ids
 from exprmat.llm.common import fresh_folder, pin, small_side, table
 from exprmat.llm.queries import TARGETS, label_domains, tokenizer_path
+from exprmat.operators.sampling import RANK, global_rank
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """``docs`` with a ``row_key`` of its own for every row, in doc_id order (null last): the id where all
+    ids are there and differ, else the row's rank by id and text."""
+    n, ids = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    if n == ids:
+        return docs.withColumn("row_key", F.col("doc_id").cast("long"))
+    ordered = docs.withColumn("_no_id", F.col("doc_id").isNull()).withColumn("_text_hash", F.xxhash64("text"))
+    ranked = global_rank(ordered, ["_no_id", "doc_id", "_text_hash"], n_rows=n)
+    return ranked.withColumnRenamed(RANK, "row_key").drop("_no_id", "_text_hash")
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.keep_one(docs)
+    return jaccard.keep_one(with_row_key(docs), "row_key").drop("row_key")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = contamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    keyed = with_row_key(docs)
+    found = contamination.decontaminate(keyed, table(spark, sf_dir, "benchmark"), "row_key")
     dirty = found.where(contamination.contaminated(F.col("n_words"), F.col("n_hit")))
-    dirty = pin(dirty.select(F.col("doc_id").alias("dirty_id")).distinct(), "pipeline-contaminated")
-    return docs.join(small_side(dirty, dirty.count()), docs["doc_id"].eqNullSafe(F.col("dirty_id")), "left_anti")
+    dirty = pin(dirty.select(F.col("doc_id").alias("dirty_key")).distinct(), "pipeline-contaminated")
+    return keyed.join(small_side(dirty, dirty.count()), F.col("row_key") == F.col("dirty_key"), "left_anti").drop("row_key")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
