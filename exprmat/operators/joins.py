@@ -35,7 +35,9 @@ def match_samples(features: DataFrame, labels: DataFrame, key: str = SAMPLE) ->
 
 
 def join_labels(features: DataFrame, labels: DataFrame, key: str = SAMPLE) -> DataFrame:
-    """Features and labels on one row, matched by key (not by position)."""
+    """Features and labels on one row, matched by key; a key with several labels raises,
+    several feature rows of one key each get its label. By position: ``sources.positions``."""
+    assert_unique_key(labels, key)
     return features.join(labels, key, "inner")
 
 

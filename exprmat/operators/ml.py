@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..matrix import GENE_IDX, SAMPLE, VALUE, VALUES, cache_small, materialize
+from .exact import finish, merge_states, moment_state, subtract_state
 from .joins import join_labels
 from .sampling import kfold, train_test_split
 
@@ -48,6 +49,20 @@ def fit_label_encoder(train: DataFrame, label: str = "label"):
 
 
 # ---------------------------------------------------------------------------- L2
+def _positions_state(rows: DataFrame, by: list[str], values: str) -> DataFrame:
+    """Moment states per position of the row arrays (and per value of the ``by`` columns)."""
+    return moment_state(rows.select(*by, F.posexplode(values).alias(GENE_IDX, VALUE)), [*by, GENE_IDX])
+
+
+def _scaler_rows(state: DataFrame, by: list[str]) -> DataFrame:
+    """``by, means, scales`` from position states, two arrays in position order per group."""
+    st = finish(state.withColumn("_rows", F.col("k") + F.col("missing")), [*by, GENE_IDX], "_rows")
+    scale = F.when(F.col("var_pop") > 0, F.sqrt("var_pop")).otherwise(1.0)
+    by_place = F.sort_array(F.collect_list(F.struct(GENE_IDX, F.coalesce("mean", F.lit(0.0)).alias("m"), scale.alias("s"))))
+    return st.groupBy(*by).agg(by_place.alias("_p")).select(*by, F.transform("_p", lambda x: x["m"]).alias("means"),
+                                                           F.transform("_p", lambda x: x["s"]).alias("scales"))
+
+
 def fit_standard_scaler(train: DataFrame, values: str = VALUES) -> DataFrame:
     """L2 fit: one row ``(means, scales)``, per position the mean and population standard
     deviation over training rows.
@@ -55,14 +70,31 @@ def fit_standard_scaler(train: DataFrame, values: str = VALUES) -> DataFrame:
     One aggregate over the exploded arrays (partial aggregation leaves one row per
     position per task before the shuffle), gathered into two arrays of length n_genes
     in position order. They stay in Spark: nothing per gene enters the plan or the
-    driver. A zero deviation becomes 1, so a constant column is only centred.
+    driver. A zero deviation becomes 1, so a constant column is only centred. The sums are
+    exact, so the scaler does not depend on the partitioning.
+    """
+    return cache_small(_scaler_rows(_positions_state(train, [], values), []))
+
+
+def fit_fold_scalers(folded: DataFrame, fold: str = "fold", values: str = VALUES) -> DataFrame:
+    """``(fold, means, scales)``: for every fold the scaler of all *other* folds' rows (L2 within L7, L9).
+
+    One pass over the table gives the state of each fold. The state of the training rows of a
+    fold is the whole table's less the fold's, exactly, so every scaler equals a refit
+    without its fold, bit for bit, and nothing of the held-out rows is left in it.
     """
-    st = (train.select(F.posexplode(values).alias(GENE_IDX, VALUE))
-          .groupBy(GENE_IDX).agg(F.avg(VALUE).alias("m"), F.stddev_pop(VALUE).alias("s")))
-    scale = F.when(F.col("s") > 0, F.col("s")).otherwise(1.0)
-    by_place = F.sort_array(F.collect_list(F.struct(GENE_IDX, F.coalesce("m", F.lit(0.0)).alias("m"), scale.alias("s"))))
-    return cache_small(st.agg(by_place.alias("_p")).select(F.transform("_p", lambda x: x["m"]).alias("means"),
-                                                          F.transform("_p", lambda x: x["s"]).alias("scales")))
+    own = materialize(_positions_state(folded, [fold], values), "fold_states")
+    whole = merge_states([own], [GENE_IDX])
+    folds = [F.lit(r[0]) for r in own.select(fold).distinct().collect()]  # k numbers
+    # fold × position: the fold's own state, taken out of the whole's
+    every = whole.withColumn(fold, F.explode(F.array(*folds)))
+    return cache_small(_scaler_rows(subtract_state(every, own, [fold, GENE_IDX]), [fold]))
+
+
+def scale_by_fold(df: DataFrame, scalers: DataFrame, held_out: int, values: str = VALUES) -> DataFrame:
+    """Rows scaled by the statistics of all folds but ``held_out`` (its own rows included)."""
+    out = apply_standard_scaler(df, scalers.where(F.col("fold") == held_out), values)
+    return out.withColumn("features", array_to_vector(values))
 
 
 def apply_standard_scaler(df: DataFrame, scaler: DataFrame, values: str = VALUES) -> DataFrame:
@@ -151,23 +183,28 @@ def _folds(df: DataFrame, k: int, seed: int, stratify: str | None = None) -> Dat
 
 
 def cross_validate(df: DataFrame, estimator: Estimator, task: str = CLASSIFICATION, k: int = 10,
-                   seed: int = 42, parallelism: int = 4, stratify: str | None = None) -> DataFrame:
+                   seed: int = 42, parallelism: int = 4, stratify: str | None = None,
+                   scale: bool = False, metric: str | None = None) -> DataFrame:
     """K shuffled folds (M4; with ``stratify`` each fold keeps that column's proportions,
-    M5); per fold fit on the rest and score on the fold.
+    M5); per fold fit on the rest and score on the fold by ``metric``. With ``scale`` the raw
+    ``values`` are scaled within each fold by statistics of its training rows (one pass for
+    all folds); without it ``features`` are taken as they are.
 
     Returns ``(fold, n_train, n_test, score)``, one row per fold — every fold is
     computed (Q9). Folds run as concurrent Spark jobs from ``parallelism`` threads.
     """
     spark = df.sparkSession
     folded = _folds(df, k, seed, stratify)
-    ev = evaluator(task)
+    ev = evaluator(task, metric)
 
     sizes = {r["fold"]: r["count"] for r in folded.groupBy("fold").count().collect()}
     n = sum(sizes.values())
+    scalers = fit_fold_scalers(folded) if scale else None
 
     def one(f: int):
-        model = estimator.fit(folded.filter(F.col("fold") != f))
-        score = float(ev.evaluate(model.transform(folded.filter(F.col("fold") == f))))
+        rows = scale_by_fold(folded, scalers, f) if scale else folded
+        model = estimator.fit(rows.filter(F.col("fold") != f))
+        score = float(ev.evaluate(model.transform(rows.filter(F.col("fold") == f))))
         return (f, n - sizes.get(f, 0), sizes.get(f, 0), score)
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
@@ -201,17 +238,21 @@ def grid_search(train: DataFrame, estimator: Estimator, grid: dict[str, list], t
 
 def nested_cv(df: DataFrame, estimator: Estimator, grid: dict[str, list], task: str = CLASSIFICATION,
               outer: int = 5, inner: int = 2, seed: int = 42, parallelism: int = 2,
-              stratify: str | None = None, metric: str | None = None) -> DataFrame:
+              stratify: str | None = None, metric: str | None = None, scale: bool = False) -> DataFrame:
     """``outer`` shuffled folds (stratified with ``stratify``); in each, a grid search
-    (L8) on the rest and the refit best model scored on the fold by ``metric``. Returns ``(fold, n_test, score, best_params)``."""
+    (L8) on the rest and the refit best model scored on the fold by ``metric``; with ``scale``
+    the values are scaled within each outer fold as in ``cross_validate``. Returns ``(fold, n_test, score, best_params)``."""
     spark = df.sparkSession
     folded = _folds(df, outer, seed, stratify)
     ev = evaluator(task, metric)
 
     sizes = {r["fold"]: r["count"] for r in folded.groupBy("fold").count().collect()}
 
+    scalers = fit_fold_scalers(folded) if scale else None
+
     def one(f: int):
-        tr, te = folded.filter(F.col("fold") != f), folded.filter(F.col("fold") == f)
+        rows = scale_by_fold(folded, scalers, f) if scale else folded
+        tr, te = rows.filter(F.col("fold") != f), rows.filter(F.col("fold") == f)
         model, table = grid_search(tr, estimator, grid, task, inner, seed, 1, metric)
         best = table.orderBy(F.col("avg_metric").desc() if ev.isLargerBetter() else F.col("avg_metric"),
                              "params").first()["params"]
@@ -222,11 +263,11 @@ def nested_cv(df: DataFrame, estimator: Estimator, grid: dict[str, list], task:
     return spark.createDataFrame(rows, "fold int, n_test bigint, score double, best_params string")
 
 
-def fit_and_score(prepared: DataFrame, estimator: Estimator, task: str = CLASSIFICATION):
-    """L6 + A8/A9: fit on the train split, predict the test split, score it."""
+def fit_and_score(prepared: DataFrame, estimator: Estimator, task: str = CLASSIFICATION, metric: str | None = None):
+    """L6 + A8/A9: fit on the train split, predict the test split, score it by ``metric``."""
     train = prepared.filter(F.col("split") == "train")
     test = prepared.filter(F.col("split") == "test")
     model = estimator.fit(train)
     pred = model.transform(test)
-    return model, pred, float(evaluator(task).evaluate(pred))
+    return model, pred, float(evaluator(task, metric).evaluate(pred))
 

@@ -1,8 +1,8 @@
 """Seeded sampling and splits.
 
 Randomness is a deterministic order (D0.7): rows are ordered by the first 8 hex
-digits of md5(id || '-' || seed), ties by id; a split takes ranks in that order.
-Ranks are computed without a global single-task window: the rows are range
+digits of md5(id || '-' || seed), ties by id. Splits, folds and samples cut that order at
+places found by counting (``order_stats``). Where every row needs its rank it is computed without a global single-task window: the rows are range
 partitioned on the order key, numbered inside each partition, written once, and
 shifted by the row count of all earlier partitions (a table with one row per partition).
 """
@@ -17,10 +17,9 @@ from pyspark.sql import functions as F
 from ..functions.scalar import hash_rank_key
 from ..matrix import (GENE, MAX_BROADCAST_SAMPLES, SAMPLE, ExprMatrix, cache_small, checked_broadcast,
                       materialize)
+from .order_stats import after_cut, rank_cuts
 
 RANK = "_rank"
-# Rank rows (order columns and a rank) that may be broadcast back to their table.
-MAX_BROADCAST_RANKS = 200_000
 
 
 # Rows per range partition when ranking: ids sort comfortably in one task at this size.
@@ -29,20 +28,22 @@ RANK_ROWS_PER_PARTITION = 500_000
 
 def global_rank(df: DataFrame, order: list[str], n_partitions: int | None = None,
                 n_rows: int | None = None) -> DataFrame:
-    """Add ``_rank`` = 0-based position of each row in ``order`` (columns; a total order).
-
-    Only the order columns are ranked: they are range-partitioned, numbered inside each
-    partition and written once, so partition sizes and positions come from the same
-    exchange, whatever it sampled. A second exchange would draw other boundaries.
-    The rank is joined back on the order columns; the payload is never sorted.
+    """Add ``_rank`` = 0-based position of each row in ``order`` (columns).
+
+    The rows are range-partitioned on the order columns, numbered inside each partition and
+    written once, so partition sizes and positions come from the same exchange, whatever it
+    sampled (a second exchange would draw other boundaries). The written rows are read back
+    and shifted by the rows of all earlier partitions: nothing is joined on the order columns,
+    so rows that share an id, or have none, stay as many as they were. Rows equal in all
+    order columns get different ranks next to each other, in no fixed order.
     """
     spark = df.sparkSession
     if n_rows is None and n_partitions is None:
         n_rows = df.count()
-    n = n_partitions or max(1, math.ceil(n_rows / RANK_ROWS_PER_PARTITION))
-    keys = df.select(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
-    names = keys.columns
-    parts = (keys.repartitionByRange(n, *names).sortWithinPartitions(*names)
+    # few rows per task where rows may be wide, up to the session's partitions
+    spread = min(math.ceil((n_rows or 0) / 1000), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = n_partitions or max(1, spread, math.ceil(n_rows / RANK_ROWS_PER_PARTITION))
+    parts = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
              .withColumn("_pid", F.spark_partition_id())
              .withColumn("_local", F.monotonically_increasing_id()))
     parts = materialize(parts.withColumn("_local", F.col("_local") - F.shiftleft(F.col("_pid").cast("bigint"), 33)), "ranks")
@@ -50,14 +51,8 @@ def global_rank(df: DataFrame, order: list[str], n_partitions: int | None = None
     counts = parts.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_off"))
-    ranks = (parts.join(F.broadcast(offsets), "_pid")
-             .select(*names, (F.col("_off") + F.col("_local")).alias(RANK)))
-    if df.columns == list(order):
-        return ranks.select(*[F.col(o).alias(c) for o, c in zip(names, order)], RANK)
-    if n_rows is not None:
-        ranks = checked_broadcast(ranks, n_rows, MAX_BROADCAST_RANKS)
-    on = [F.col(c).eqNullSafe(F.col(o)) for c, o in zip(order, names)]
-    return df.join(ranks, on).drop(*names)
+    return (parts.join(F.broadcast(offsets), "_pid")
+            .withColumn(RANK, F.col("_off") + F.col("_local")).drop("_pid", "_local", "_off"))
 
 
 def seeded_rank(df: DataFrame, id_col: str, seed: int = 42, within: str | None = None,
@@ -79,30 +74,35 @@ def seeded_rank(df: DataFrame, id_col: str, seed: int = 42, within: str | None =
             .withColumn(RANK, F.col(RANK) - F.col("_start")).drop("_w", "_start"))
 
 
+def _order_key(id_col: str, seed: int) -> Column:
+    """The md5 order of an id as an integer; ids that are null come first."""
+    return F.coalesce(hash_rank_key(F.col(id_col), seed), F.lit(-1).cast("bigint"))
+
+
 def train_test_split(df: DataFrame, id_col: str = SAMPLE, test_frac: float = 0.3, seed: int = 42,
                      n_rows: int | None = None) -> DataFrame:
-    """M1: add ``split`` ∈ {'train','test'}; the first ceil(test_frac·n) ranks are test
-    (sklearn's test size for a fraction)."""
+    """M1: add ``split`` ∈ {'train','test'}; the first ceil(test_frac·n) rows in md5 order are
+    test (sklearn's test size for a fraction).
+
+    The order is cut at one place, found by narrowing (``order_stats``): no rank is given to any
+    row and nothing is shuffled but counts. Rows that share an id are on one side, so with repeated
+    ids the test part may hold the rest of the last id's rows too.
+    """
     n = df.count() if n_rows is None else n_rows
     n_test = math.ceil(test_frac * n)
-    return (seeded_rank(df, id_col, seed, n_rows=n)
-            .withColumn("split", F.when(F.col(RANK) < n_test, "test").otherwise("train"))
-            .drop(RANK))
-
-
-def fold_of_rank(rank: Column, n: int, k: int) -> Column:
-    """K-fold number of a rank: contiguous folds, the first n mod k one larger."""
-    big, r = n // k + 1, n % k
-    small = max(n // k, 1)
-    return (F.when(rank < r * big, F.floor(rank / big))
-            .otherwise(F.lit(r) + F.floor((rank - r * big) / small))).cast("int")
+    if n_test == 0:
+        return df.withColumn("split", F.lit("train"))
+    key = _order_key(id_col, seed)
+    cut = rank_cuts(df, key, id_col, [n_test - 1])[0]
+    return df.withColumn("split", F.when(after_cut(key, id_col, cut), "train").otherwise("test"))
 
 
 def kfold(df: DataFrame, id_col: str = SAMPLE, k: int = 10, seed: int = 42,
           stratify: str | None = None, n_rows: int | None = None) -> DataFrame:
     """M4/M5: add ``fold`` (0..k-1).
 
-    Plain: shuffled k-fold with contiguous folds in rank order (sklearn KFold sizes).
+    Plain: shuffled k-fold with contiguous folds in md5 order (sklearn KFold sizes), cut at
+    k − 1 places found by narrowing; rows that share an id are in one fold.
     Stratified: within each value of ``stratify``, rank mod k, so every fold gets
     each class in proportion (sizes differ by at most one per class).
     """
@@ -114,7 +114,10 @@ def kfold(df: DataFrame, id_col: str = SAMPLE, k: int = 10, seed: int = 42,
     n = df.count() if n_rows is None else n_rows
     if n < k:
         raise ValueError(f"cannot split {n} rows into {k} folds")
-    return seeded_rank(df, id_col, seed, n_rows=n).withColumn("fold", fold_of_rank(F.col(RANK), n, k)).drop(RANK)
+    key = _order_key(id_col, seed)
+    ends = [(j + 1) * (n // k) + min(j + 1, n % k) - 1 for j in range(k - 1)]
+    after = [after_cut(key, id_col, c).cast("int") for c in rank_cuts(df, key, id_col, ends)]
+    return df.withColumn("fold", sum(after[1:], after[0]))
 
 
 def class_quotas(df: DataFrame, label: str, n: int) -> DataFrame:
@@ -143,8 +146,16 @@ def stratified_sample(df: DataFrame, label: str, n: int, id_col: str = SAMPLE, s
 
 
 def sample_ids(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
-    """n rows without replacement: the first n in md5 order."""
-    return seeded_rank(df, id_col, seed).filter(F.col(RANK) < n).drop(RANK)
+    """n rows without replacement: the first n in md5 order (all, if fewer). The rows before the
+    cut are filtered; of rows that share the last id as many as are missing are taken."""
+    total = df.count()
+    if n >= total or n <= 0:
+        return df.limit(0) if n <= 0 else df
+    key = _order_key(id_col, seed)
+    t, i = rank_cuts(df, key, id_col, [n - 1])[0]
+    at_cut = (key == t) & F.col(id_col).eqNullSafe(F.lit(i))
+    before = df.where(~after_cut(key, id_col, (t, i)) & ~at_cut)
+    return before.unionByName(df.where(at_cut).limit(n - before.count()))
 
 
 def sample_matrix(m: ExprMatrix, n_samples: int, n_genes: int, seed: int = 42) -> ExprMatrix:

@@ -1,10 +1,12 @@
 """Per-gene and per-sample statistics on the sparse long matrix.
 
-Absent cells are zeros. For a gene with k stored values (mean a, population variance
-v) out of n samples, z = n - k zeros are added analytically:
+Absent cells are zeros. They add nothing to Σx and Σx², so a gene's statistics follow from
+the sums over its stored cells and the number of samples n:
 
-    sum  = k·a                     mean = k·a / n
-    var  = (k·v + k·z/n · a²) / (n − 1)          (ddof = 1, no Σx² cancellation)
+    mean = Σx / n            var = (n·Σx² − (Σx)²) / (n·(n − 1))          (ddof = 1)
+
+The sums are exact integers (``exact``), so nothing cancels, equal genes have equal
+statistics to the last bit, and the partitioning of the cells does not show.
 
 Per-sample quantiles pad each sample's sorted stored values with its z zeros at the
 right rank (negative values before them, positive after), so no zero is ever stored.
@@ -17,15 +19,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..matrix import GENE, SAMPLE, VALUE, ExprMatrix, counted_broadcast
+from ..matrix import GENE, SAMPLE, VALUE, ExprMatrix, cache_small, counted_broadcast
+from . import exact
+from .order_stats import exact_quantiles
+
 
+def gene_state(m: ExprMatrix) -> DataFrame:
+    """The moment state of every gene's stored cells (``exact``), zeros for genes without any: what
+    may be kept, merged with the state of further samples, or reduced by that of some.
+
+    One partial+final hash aggregate over the cells (map-side combine shrinks each task to
+    one row per gene before the shuffle), then a join with the gene table, which is
+    bounded by the gene count and broadcast when that count allows.
+    """
+    state = m.genes_bc().join(exact.moment_state(m.cells, [GENE]), GENE, "left")
+    return state.select(GENE, *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in exact.STATE])
 
-def _padded_var_col(k: Column, a: Column, v: Column, n: Column) -> Column:
-    """Sample variance of n values made of k stored values (avg a, var_pop v) and zeros."""
-    k = k.cast("double")
-    n = n.cast("double")
-    ss = k * v + k * (n - k) / n * a * a
-    return F.when(n < 2, F.lit(None).cast("double")).when(k == 0, F.lit(0.0)).otherwise(ss / (n - 1))
+
+def gene_stats_from_state(state: DataFrame, n_samples: int) -> DataFrame:
+    """``(gene_id, n, total, mean, var)`` of a gene state over ``n_samples`` samples."""
+    rows = state.withColumn("_rows", F.lit(n_samples).cast("bigint"))
+    return exact.finish(rows, [GENE], "_rows").drop("var_pop")
+
+
+def gene_stats(m: ExprMatrix) -> DataFrame:
+    """``(gene_id, n, total, mean, var)`` for every gene of ``m`` (A1–A3), the same bits
+    however the cells are partitioned."""
+    return gene_stats_from_state(gene_state(m), m.n_samples)
 
 
 def gene_stats_by_batch(m: ExprMatrix, batches: DataFrame, batch: str = "batch") -> DataFrame:
@@ -36,38 +56,9 @@ def gene_stats_by_batch(m: ExprMatrix, batches: DataFrame, batch: str = "batch")
     appear; a missing pair is an all-zero gene in that batch (total = mean = var = 0).
     """
     b = batches.select(SAMPLE, batch)
-    n_b, _ = counted_broadcast(b.groupBy(batch).agg(F.count(F.lit(1)).alias("n")))
-    agg = (m.cells.join(m.samples_bc(b), SAMPLE).groupBy(batch, GENE)
-           .agg(*_moments()))
-    st = agg.join(n_b, batch).withColumn("n", F.col("n") - F.col("_m"))
-    total = F.col("_k").cast("double") * F.coalesce(F.col("_a"), F.lit(0.0))
-    return st.select(batch, GENE, F.col("n").cast("bigint").alias("n"), total.alias("total"),
-                     F.try_divide(total, F.col("n")).alias("mean"),
-                     _padded_var_col(F.col("_k"), F.col("_a"), F.col("_v"), F.col("n")).alias("var"))
-
-
-def _moments() -> list[Column]:
-    """Of stored values: how many, mean, population variance; and how many are missing."""
-    return [F.count(VALUE).alias("_k"), F.avg(VALUE).alias("_a"), F.var_pop(VALUE).alias("_v"),
-            F.count_if(F.col(VALUE).isNull()).alias("_m")]
-
-
-def gene_stats(m: ExprMatrix) -> DataFrame:
-    """``(gene_id, n, total, mean, var)`` for every gene of ``m`` (A1–A3).
-
-    One partial+final hash aggregate over the cells (map-side combine shrinks each
-    task to one row per gene before the shuffle), then a join with the gene table,
-    which is bounded by the gene count and broadcast when that count allows.
-    """
-    agg = m.cells.groupBy(GENE).agg(*_moments())
-    g = m.genes_bc().join(agg, GENE, "left")
-    n = F.lit(m.n_samples).cast("bigint") - F.coalesce(F.col("_m"), F.lit(0))
-    k = F.coalesce(F.col("_k"), F.lit(0))
-    a = F.coalesce(F.col("_a"), F.lit(0.0))
-    v = F.coalesce(F.col("_v"), F.lit(0.0))
-    total = k.cast("double") * a
-    return g.select(GENE, n.alias("n"), total.alias("total"),
-                    F.try_divide(total, n.cast("double")).alias("mean"), _padded_var_col(k, a, v, n).alias("var"))
+    n_b, _ = counted_broadcast(b.groupBy(batch).agg(F.count(F.lit(1)).alias("_rows")))
+    state = exact.moment_state(m.cells.join(m.samples_bc(b), SAMPLE), [batch, GENE]).join(n_b, batch)
+    return exact.finish(state, [batch, GENE], "_rows").drop("var_pop")
 
 
 def padded_quantile(sorted_vals: Column, n_zeros: Column, n_total: Column, q: float) -> Column:
@@ -101,37 +92,31 @@ def sample_stats(m: ExprMatrix, q: float = 0.75) -> DataFrame:
     """
     g = m.n_genes
     per = (m.cells.groupBy(SAMPLE)
-           .agg(F.coalesce(F.sum(VALUE), F.lit(0.0)).alias("total"), F.count(VALUE).alias("_k"),
+           .agg(F.count(VALUE).alias("_k"),
                 F.count_if(F.col(VALUE).isNull()).alias("_m"), F.array_sort(F.collect_list(VALUE)).alias("_s")))
     n = F.lit(g) - F.col("_m")
-    return per.select(SAMPLE, "total", padded_quantile(F.col("_s"), n - F.col("_k"), n, q).alias("quantile"))
+    # added up in sorted order, so the sum does not depend on the order of the cells
+    total = F.aggregate("_s", F.lit(0.0), lambda acc, x: acc + x)
+    return per.select(SAMPLE, total.alias("total"), padded_quantile(F.col("_s"), n - F.col("_k"), n, q).alias("quantile"))
+
+
+def zero_as_one(c: Column) -> Column:
+    """0 replaced by 1, as the geometric mean counts it."""
+    return F.when(c == 0, F.lit(1.0)).otherwise(c)
 
 
 def geometric_mean_zero_as_one(col: str | Column) -> Column:
     """Aggregate: exp(mean(ln(x with 0 replaced by 1)))."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.exp(F.avg(F.ln(F.when(c == 0, F.lit(1.0)).otherwise(c))))
-
-
-def stat_quantiles(stats: DataFrame, q: float = 0.25, cols=("mean", "var")) -> DataFrame:
-    """One row of exact quantiles of per-gene statistics (A7); ``percentile`` is exact."""
-    return stats.agg(*[F.percentile(c, F.lit(q)).alias(f"q_{c}") for c in cols])
-
-
-def strictly_greater(x: Column, t: Column, rel: float = 1e-12) -> Column:
-    """x > t, where values equal to within ``rel`` relative count as equal.
+    return F.exp(F.avg(F.ln(zero_as_one(c))))
 
-    Thresholds are interpolated quantiles of sums taken in a data-dependent order, so
-    an exact tie can come out a few ulps either way; the tolerance keeps a tie a tie.
-    """
-    return (x - t) > F.lit(rel) * F.greatest(F.abs(x), F.abs(t))
 
+def geometric_mean(df: DataFrame, col: str) -> Column:
+    """The same as a scalar-subquery column, with an exact mean of the logarithms."""
+    return exact.exact_mean(df, F.ln(zero_as_one(F.col(col)))).select(F.exp("mean")).scalar()
 
-def comparable(x: Column, digits: int = 12) -> Column:
-    """``x`` (not negative) kept to ``digits`` significant digits, at any magnitude.
 
-    Equal values reached by different summation orders differ in their last bits; kept to
-    fewer digits they rank as equal, and values that differ never merge for being small.
-    """
-    unit = F.pow(F.lit(10.0), F.floor(F.log10(x)) - (digits - 1))
-    return F.when(x > 0, F.round(x / unit) * unit).otherwise(x)
+def stat_quantiles(stats: DataFrame, q: float = 0.25, cols=("mean", "var")) -> DataFrame:
+    """One row of exact quantiles of per-gene statistics (A7), found by narrowing (``order_stats``)."""
+    got = exact_quantiles(cache_small(stats.select(*cols)), list(cols), q)
+    return stats.sparkSession.range(1).select(*[F.lit(got[c]).cast("double").alias(f"q_{c}") for c in cols])

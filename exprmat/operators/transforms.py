@@ -10,7 +10,7 @@ from ..functions import scalar as fx
 from ..matrix import (GENE, GENE_IDX, MAX_BROADCAST_SAMPLES, SAMPLE, VALUE, VALUES,
                       ExprMatrix, checked_broadcast, cache_small)
 from .filters import drop_zero_genes
-from .stats import gene_stats, gene_stats_by_batch, geometric_mean_zero_as_one, sample_stats
+from .stats import gene_stats, gene_stats_by_batch, geometric_mean, sample_stats
 
 
 def upper_quartile_factors(m: ExprMatrix, q: float = 0.75, on_empty_sample: str = "error") -> DataFrame:
@@ -33,7 +33,7 @@ def upper_quartile_factors(m: ExprMatrix, q: float = 0.75, on_empty_sample: str
         raise ValueError(f"upper_quartile: {m.n_samples - n_ok} sample(s) have no nonzero value "
                          "(pass on_empty_sample='drop' to leave them out)")
     nf = per.filter(F.col("total") != 0).select(SAMPLE, F.try_divide("quantile", "total").alias("norm_factor"))
-    geo = nf.agg(geometric_mean_zero_as_one("norm_factor")).scalar()
+    geo = geometric_mean(nf, "norm_factor")
     return nf.select(SAMPLE, "norm_factor", (F.col("norm_factor") / geo).alias("scaling_factor"))
 
 

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from ..matrix import ExprMatrix
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
+from ..matrix import SAMPLE, VALUES, ExprMatrix, materialize
+from ..operators import ml
 from ..operators.filters import filter_low_signal
+from ..operators.metrics import cv_summary
 from ..operators.transforms import log2p1, upper_quartile_normalize
+from ..sources.positions import pair_by_position, read_labels_by_position, read_rows_by_position
 
 
 def feature_preprocessing(m: ExprMatrix, q_uq: float = 0.75, q_filter: float = 0.25,
@@ -25,38 +31,57 @@ def feature_preprocessing(m: ExprMatrix, q_uq: float = 0.75, q_filter: float = 0
 
 def bulk_pipeline(m: ExprMatrix, labels, task: str = "classification", label: str = "label",
                   grid: dict | None = None, kind: str = "rf", k: int = 10, seed: int = 42,
-                  parallelism: int = 8, **est_params):
+                  parallelism: int = 8, stratify: bool = False, metric: str | None = None, **est_params):
     """Preprocess (C2) → dense rows → pre-ML (C7) → cross-validated scores on the
     training split (L7, or nested CV with a grid search, L9 + L8) → fit on train and
-    score the test split (A8 accuracy / A9 R²).
+    score the test split (A8 accuracy / A9 R², or another ``metric`` of the task).
 
-    Returns one row ``(task, n_train, n_test, n_folds, mean_cv, var_cv, std_cv, eval_score)``;
-    ``var_cv`` is what the reference calls its standard deviation (np.var).
+    A ``grid`` may go with either task (Q17); the grid is searched by the same metric. With
+    ``stratify`` the (outer) folds keep the classes' proportions (Q18). Returns one row ``(task,
+    n_train, n_test, n_folds, mean_cv, var_cv, std_cv, eval_score)``; ``var_cv`` is what the
+    reference calls its standard deviation (np.var).
     """
-    from pyspark.sql import functions as F
+    task = ml.normalize_task(task)
+    rows, _ = feature_preprocessing(m).to_row_array()
+    return score_rows(rows, labels, task, label, grid, kind, k, seed, parallelism, stratify, metric, **est_params)
 
-    from ..operators import ml
-    from ..operators.metrics import cv_summary
 
+def score_rows(rows, labels, task: str = "classification", label: str = "label", grid: dict | None = None,
+               kind: str = "rf", k: int = 10, seed: int = 42, parallelism: int = 8, stratify: bool = False,
+               metric: str | None = None, **est_params):
+    """The learning half of C8 on preprocessed row arrays."""
     task = ml.normalize_task(task)
-    pre = feature_preprocessing(m)
-    rows, _ = pre.to_row_array()
+    if stratify and task != ml.CLASSIFICATION:
+        raise ValueError("only classes can be stratified")
     prepared = ml.pre_ml(rows, labels, task, label, seed=seed)
     train = prepared.filter(F.col("split") == "train")
     est = ml.make_estimator(task, kind, seed, **est_params)
+    by = label if stratify else None
     if grid:
-        if task != ml.CLASSIFICATION:
-            raise ValueError("grid search scores accuracy; it needs a classification task (Q17)")
-        scores = ml.nested_cv(train, est, grid, task, 5, 2, seed, parallelism)
-        model, _ = ml.grid_search(train, est, grid, task, 2, seed, parallelism)
+        scores = ml.nested_cv(train, est, grid, task, 5, 2, seed, parallelism, by, metric)
+        model, _ = ml.grid_search(train, est, grid, task, 2, seed, parallelism, metric)
         pred = model.bestModel.transform(prepared.filter(F.col("split") == "test"))
-        eval_score = float(ml.evaluator(task).evaluate(pred))
+        eval_score = float(ml.evaluator(task, metric).evaluate(pred))
     else:
-        scores = ml.cross_validate(train, est, task, k, seed, parallelism)
-        _, _, eval_score = ml.fit_and_score(prepared, est, task)
+        scores = ml.cross_validate(train, est, task, k, seed, parallelism, by, metric=metric)
+        _, _, eval_score = ml.fit_and_score(prepared, est, task, metric)
     n = prepared.groupBy("split").count().collect()
     counts = {r["split"]: r["count"] for r in n}
     summary = cv_summary(scores)
     return summary.select(F.lit(task).alias("task"), F.lit(counts.get("train", 0)).cast("bigint").alias("n_train"),
                           F.lit(counts.get("test", 0)).cast("bigint").alias("n_test"), "n_folds", "mean_cv",
                           "var_cv", "std_cv", F.lit(eval_score).alias("eval_score"))
+
+
+def bulk_pipeline_path(spark: SparkSession, features: str, labels: str, label_col: str = "label", task: str = "classification",
+                       **options):
+    """C8 from files without keys: one row per sample in ``features`` (one column per gene), the label of
+    the same row in column ``label_col`` of ``labels``; CSV or parquet, each in any number of parts.
+    Rows are numbered across the parts and paired by number; ``options`` are those of ``bulk_pipeline``."""
+    rows, names = read_rows_by_position(spark, features)
+    lab = read_labels_by_position(spark, labels, label_col)
+    paired = materialize(pair_by_position(rows, lab), "paired")
+    m = ExprMatrix.from_row_array(paired, SAMPLE, VALUES, gene_ids=names)
+    if task in ("regression", "regress"):
+        paired = paired.withColumn("label", F.col("label").cast("double"))
+    return bulk_pipeline(m, paired.select(SAMPLE, "label"), task, "label", **options)
