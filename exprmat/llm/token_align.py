@@ -40,16 +40,17 @@ from pyspark.sql import DataFrame
 from exprmat.llm.common import fresh_folder, pin, session_conf
 
 #: Bytes of text per vectorised step, and different parts a worker remembers before it starts anew.
-STEP_BYTES = 6 << 20
-REMEMBERED = 400_000
+STEP_BYTES = 4 << 20
+REMEMBERED = 250_000
 #: Parts longer than this are not remembered.
 LONG_PART = 200
 #: A part that may be a line among others: no white space but a blank before it, visible at both ends.
 LINE = re.compile("(?: ?[!-~À-ÿ](?:\\S*[!-~À-ÿ])?)")
 #: Pairs whose counts every task reads (17 bytes each); links of rarer pairs are joined.
-KNOWN_PAIRS = 4_000_000
-#: Rows that a task reads at once.
-ROWS = 512
+KNOWN_PAIRS = 3_000_000
+#: Rows that reach a task at once, and tokens of A whose links are laid out at once.
+ROWS = 256
+STEP_TOKENS = 1 << 19
 
 
 def divide(ends_a: np.ndarray, ends_b: np.ndarray, a0, a1, b0, b1) -> tuple[np.ndarray, ...]:
@@ -372,6 +373,18 @@ def _groups(b: pa.RecordBatch, name: str) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.int64), *parts])
 
 
+def _token_steps(al: Aligner, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Some documents at a time, at most about ``STEP_TOKENS`` tokens of A; what the encoder remembered goes."""
+    al.forget()
+    for b in batches:
+        at = np.concatenate([[0], np.cumsum(b.column("n_a").to_numpy())])
+        begin = 0
+        while begin < b.num_rows:
+            end = max(begin + 1, int(np.searchsorted(at, at[begin] + STEP_TOKENS, "right")) - 1)
+            yield b.slice(begin, end - begin)
+            begin = end
+
+
 def _links_of(al: Aligner, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """The pairs of all links of some documents in order, and how many each document has."""
     a, t = _numbers(b, "a", _width(al.len_a)), _numbers(b, "b", _width(al.len_b))
@@ -386,7 +399,7 @@ def count_pairs(tokens: DataFrame, path_a: str, path_b: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         al = _aligner(path_a, path_b)
         held, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for b in batches:
+        for b in _token_steps(al, batches):
             pairs, n = _links_of(al, b)
             kinds, number = np.unique(pairs, return_inverse=True)
             once = _distinct(np.repeat(np.arange(len(n)), n) << 32 | number)
@@ -457,7 +470,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             al = _aligner(path_a, path_b)
             known, times, best = _known(folder)
-            for b in batches:
+            for b in _token_steps(al, batches):
                 pairs, n = _links_of(al, b)
                 kinds, number = np.unique(pairs, return_inverse=True)
                 at = np.minimum(np.searchsorted(known, kinds), max(len(known) - 1, 0))
