@@ -41,7 +41,7 @@ MAGIC = b"S8BSHRD1"
 END_ID = 0
 #: Bytes of text per shard file and code points per vectorised step: bounds on a task's memory.
 SHARD_BYTES = 8 << 20
-STEP_CHARS = 3 << 19
+STEP_CHARS = 5 << 19
 #: Different pre-tokens a worker remembers; the store starts anew beyond it.
 REMEMBERED = 400_000
 
