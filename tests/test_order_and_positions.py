@@ -167,8 +167,8 @@ def test_path_pipelines_equal_the_keyed_ones(spark, tmp_path):
     y = [[f"c{int(sum(r) > 600)}", sum(r)] for r in data]
     labels = write_parts(tmp_path / "y", ["cls", "target"], y, [10, 30, 50])
     keyed = spark.createDataFrame([(i, c, float(t)) for i, (c, t) in enumerate(y)], "sample_id long, cls string, target double")
-    a = bulk.bulk_pipeline_path(spark, path, labels, "cls", k=3, stratify=True, metric="f1", numTrees=1, featureSubsetStrategy="all").first()
-    b = bulk.bulk_pipeline(m, keyed.select("sample_id", F.col("cls").alias("label")), k=3, stratify=True, metric="f1", numTrees=1, featureSubsetStrategy="all").first()
+    a = bulk.bulk_pipeline_path(spark, path, labels, "cls", k=3, stratify=True, metric="f1", numTrees=2, bootstrap=False, featureSubsetStrategy="all").first()
+    b = bulk.bulk_pipeline(m, keyed.select("sample_id", F.col("cls").alias("label")), k=3, stratify=True, metric="f1", numTrees=2, bootstrap=False, featureSubsetStrategy="all").first()
     assert a == b
     r = bulk.bulk_pipeline_path(spark, path, labels, "target", "regression", grid={"maxDepth": [1, 3]}, numTrees=4, metric="rmse").first()
     assert r.n_folds == 5 and r.n_train + r.n_test == n and r.eval_score > 0
