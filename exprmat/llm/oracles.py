@@ -84,7 +84,65 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM told GROUP BY doc_id"""
 
 
+def _conversation_sql() -> str:
+    """Left to right over a conversation's rows: the least ``cost || audit`` per automaton state (0 start, 1 after s,
+    2 after u, 3 after a), six digits of cost before the audit so that texts order like pairs."""
+    def add(v: str, cost: str, letter: str) -> str:
+        return f"(lpad(CAST(CAST(left({v}, 6) AS INTEGER) + {cost} AS VARCHAR), 6, '0') || substr({v}, 7) || '{letter}')"
+
+    def edit(states: str, letter: str) -> list[str]:
+        out = []
+        for x in states:
+            out.append(f"CASE WHEN what IN ('k', 't') AND who = '{letter}' THEN {add('c' + x, '(what = chr(116))::INTEGER', 'K')} END")
+            if letter != "s":
+                out.append(f"CASE WHEN what IN ('k', 't') THEN {add('c' + x, '2 + (what = chr(116))::INTEGER', 'R')} END")
+        return out
+
+    steps = {"0": [], "1": edit("0", "s"), "2": edit("013", "u"), "3": edit("2", "a")}
+    stepped = ", ".join(f"list_min([{', '.join([add('c' + q, '3', 'D'), *ways])}]) AS c{q}" for q, ways in steps.items())
+    inserted = (f"c0, c1, list_min([c2, {add('c0', '2', 'I')}, {add('c1', '2', 'I')}, {add('c3', '2', 'I')}]) AS c2, "
+                f"list_min([c3, {add('c2', '2', 'I')}, {add('c0', '4', 'II')}, {add('c1', '4', 'II')}]) AS c3")
+    return f"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+    lambda c, x: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END)) AS t),
+fated AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(4294967295, list_reduce(list_concat([4294967295]::BIGINT[], list_transform(
+      string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda ch: ord(ch)::BIGINT)),
+      lambda c, b: xor(t[(xor(c, b) % 256) + 1], c // 256))) % 20 AS fate FROM conversations, crc),
+damaged AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+    CASE fate WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(CASE WHEN fate = 3 THEN 2 ELSE 1 END)) AS copy FROM fated WHERE fate <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth, trim(text, {BLANKS}) AS core FROM damaged),
+told AS (SELECT conv_id, i, turn, role, text, left(role, 1) AS who,
+    CASE WHEN core = '' THEN 'b' WHEN nth > 1 THEN 'd' WHEN right(core, 1) IN ('.', '!', '?') THEN 'k' ELSE 't' END AS what,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed),
+counted AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (what = 'b') AS blank, count(*) FILTER (what = 'd') AS duplicate, count(*) FILTER (what = 't') AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || who NOT IN ('su', 'ua', 'au')) AS illegal FROM told GROUP BY conv_id),
+least_edits AS (
+  SELECT conv_id, 0::BIGINT AS i, '000000' AS c0, NULL::VARCHAR AS c1, '000002I' AS c2, '000004II' AS c3 FROM counted
+  UNION ALL
+  SELECT conv_id, i, {inserted} FROM (
+    SELECT e.conv_id, t.i, {stepped} FROM least_edits e JOIN told t ON t.conv_id IS NOT DISTINCT FROM e.conv_id AND t.i = e.i + 1)),
+best AS (SELECT c.*, list_min([c0, c3]) AS v FROM least_edits e JOIN counted c ON c.conv_id IS NOT DISTINCT FROM e.conv_id AND c.n = e.i),
+letters AS (SELECT conv_id, unnest(string_split(substr(v, 7), '')) AS letter, generate_subscripts(string_split(substr(v, 7), ''), 1) AS p FROM best),
+spelt AS (SELECT *, count(*) FILTER (letter <> 'I') OVER w AS i, count(*) FILTER (letter <> 'D') OVER w AS o
+          FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY p)),
+kept AS (SELECT s.conv_id, s.p, s.letter, s.o, t.role, CASE WHEN s.letter = 'I' THEN '' ELSE t.text END AS text,
+           max(CASE WHEN s.o = 1 AND s.letter = 'K' AND t.who = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY s.conv_id) AS system
+         FROM spelt s LEFT JOIN told t ON t.conv_id IS NOT DISTINCT FROM s.conv_id AND t.i = s.i WHERE s.letter <> 'D'),
+repaired AS (SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (o - system) % 2 = 1 THEN 'user' ELSE 'assistant' END
+                                        || ':' || text, chr(10) ORDER BY p) AS text FROM kept GROUP BY conv_id)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+       coalesce(CAST(left(v, 6) AS BIGINT), 0)::BIGINT AS cost, coalesce(substr(v, 7), '') AS audit, sha256(coalesce(r.text, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM a.conv_id"""
+
+
 ORACLES: dict[str, str] = {
+    "op12_conversation_repair": _conversation_sql(),
     "op13_line_dedup": LINE_DEDUP_SQL,
     "op2_url_lists": URL_LISTS_SQL,
     "op3_decontaminate": decontaminate_sql(),
