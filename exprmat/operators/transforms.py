@@ -37,6 +37,12 @@ def upper_quartile_factors(m: ExprMatrix, q: float = 0.75, on_empty_sample: str
     return nf.select(SAMPLE, "norm_factor", (F.col("norm_factor") / geo).alias("scaling_factor"))
 
 
+def zero_factor_samples(factors: DataFrame) -> DataFrame:
+    """``(sample_id)`` of the samples whose factor is 0: their upper quartile is 0 although they
+    hold values, so normalisation turns all of them into 0 (Q12). Empty where none is lost."""
+    return factors.filter(F.col("norm_factor") == 0).select(SAMPLE)
+
+
 def upper_quartile_normalize(m: ExprMatrix, q: float = 0.75, on_empty_sample: str = "error",
                              factors: DataFrame | None = None) -> ExprMatrix:
     """Multiply every cell of the *unfiltered* matrix by its sample's scaling factor.

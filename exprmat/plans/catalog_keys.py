@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..matrix import GENE, SAMPLE, VALUES, materialize
-from ..operators import exact, filters, ml, order_stats, sampling, stats
+from ..operators import exact, filters, ml, order_stats, sampling, stats, transforms
 from ..session import scratch_path
 from . import bindings as B
-from .catalog import CTE, CTE_EMB, SQL_C6_CUSTOMERS, _sql_c8, _sql_lognorm, r6, register, sql_key
+from .catalog import CTE, CTE_EMB, SQL_C6_CUSTOMERS, _sql_c8, _sql_lognorm, _sql_uq_factors, r6, register, sql_key
 
 # ---------------------------------------------------------------------------- S1, J3, C6, C8 by position
 # Matrices written without their key, in row order, in many parts; row i of the key order is
@@ -251,3 +251,15 @@ def q_c6_genes(spark, sf_dir):
 def q_c6_samples(spark, sf_dir):
     """Count, sum and extremes of every customer's scaled values, without the dense rows."""
     return r6(_sparse_customers(spark, sf_dir).sample_totals())
+
+
+# ---------------------------------------------------------------------------- C1: samples that normalisation empties (Q12)
+SQL_ZERO_FACTORS = _sql_uq_factors(B.sql_customer_part_ctes()) + """
+SELECT sample_id FROM nf WHERE norm_factor = 0"""
+
+
+@register("c1_zero_factor_samples", SQL_ZERO_FACTORS)
+def q_zero_factors(spark, sf_dir):
+    """Customers whose upper quartile over all parts is 0 though they bought some."""
+    factors = transforms.upper_quartile_factors(B.customer_part_matrix(spark, sf_dir), 0.75, on_empty_sample="drop")
+    return transforms.zero_factor_samples(factors)
