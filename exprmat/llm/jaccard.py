@@ -399,7 +399,9 @@ def _join(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
                 .groupBy(F.col("x.lead").alias("a"), F.col("y.lead").alias("b")).agg(F.max(F.col("x.d") + F.col("y.d")).alias("slack")), "jaccard-leads")
     judged = pin(distances(pairs, sets).join(pairs, ["a", "b"]).select(
         "*", (1 - F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("far"), F.expr(LINKED).alias("linked")), "jaccard-judged")
-    edges = links.union(judged.where("linked").select("a", "b"))
+    edges = pin(links.union(judged.where("linked").select("a", "b")), "jaccard-links")
+    # families that their leaders now connect need no further comparison
+    left = pin(_open_lists(left.drop("comp"), components(edges, "a", "b", "jaccard-star")), "jaccard-open")
 
     # leaders that just miss: compare those sets whose own distances leave it open
     limit = 1 - NUM / DEN
