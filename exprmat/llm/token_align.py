@@ -40,8 +40,8 @@ from pyspark.sql import DataFrame
 from exprmat.llm.common import fresh_folder, pin, session_conf
 
 #: Bytes of text per vectorised step, and different parts a worker remembers before it starts anew.
-STEP_BYTES = 4 << 20
-REMEMBERED = 250_000
+STEP_BYTES = 3 << 20
+REMEMBERED = 180_000
 #: Parts longer than this are not remembered.
 LONG_PART = 200
 #: A part that may be a line among others: no white space but a blank before it, visible at both ends.
