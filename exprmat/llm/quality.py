@@ -3,15 +3,20 @@
 The text view sees hashed words and runs of symbols of a text (``HashingTF`` and logistic
 regression). The metadata view sees only what a crawl record or a glance tells: language, source,
 length, and shares of line breaks, capitals, digits, symbols and separators. Both are fitted on
-labelled documents; then, round by round, each view labels the documents of an unlabelled pool of
+labelled documents; then, round by round, each view labels those of all unlabelled documents of
 which it is most sure, and the other view learns from them. Each view is calibrated on labelled
 documents that no fit has seen, and the mean of the two calibrated logits scores every document.
 
-Fitting uses a bounded sample: at most ``max_labelled`` labelled rows of each class and ``max_pool``
-unlabelled ones, by hash of the id. Every document is scored, on its whole text.
+Of the labelled rows a bounded sample is used: at most ``max_labelled`` of each class, by hash of the
+id. All unlabelled documents take part in the exchange: their features are written once, every round
+both views score all of them, counts by bins of the score give the cut above which the surest share
+of each class lies, and every document above the cut is learned from. Together the rows exchanged
+weigh as much as that share of the labelled rows, so their number does not outweigh the labels.
+Every document is scored, on its whole text.
 
 Cases: a null text counts as empty and null language or source as a value of their own; labels given
-more than once count as good if any row does; null labels and ids are skipped; without labels of both
+more than once count as good if any row does; null labels are skipped, documents with a null id are
+unlabelled; documents of equal score are exchanged together; without labels of both
 classes every score is 1; repeated rows each get a row; an empty table gives no rows.
 """
 
@@ -19,6 +24,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import pyspark.sql.functions as F
 from pyspark.ml import PipelineModel, Transformer
@@ -30,13 +36,16 @@ from pyspark.sql import Column, DataFrame
 from exprmat.llm.common import pin, small_side
 
 MAX_LABELLED = 6_000
-MAX_POOL = 6_000
 ROUNDS = 2
-#: Share of the pool that a view labels each round, and how sure it must be.
+#: Share of the unlabelled documents that a view labels in the first round (then twice that, and so on),
+#: and how sure it must be.
 EXCHANGE = 0.1
 SURE = 0.9
+#: Scores are counted in bins of a hundredth of a logit, the outermost open.
+BIN = 0.01
+OUTERMOST = 5_000
 TEXT_BITS = 15
-#: Partitions of the bounded sample while fitting.
+#: Partitions of the labelled sample while fitting.
 FIT_PARTS = 6
 #: Buckets to which sources and languages are hashed.
 SITES = 64
@@ -79,12 +88,16 @@ def with_views(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sourc
 def feature_stages() -> list[Transformer]:
     return [
         HashingTF(numFeatures=1 << TEXT_BITS, inputCol="pieces", outputCol="counts"),
-        Normalizer(p=2.0, inputCol="counts", outputCol="text_view"),
         HashingTF(numFeatures=SITES, inputCol="site", outputCol="sites"),
         VectorAssembler(inputCols=[*META, "sites"], outputCol="meta_view"),
     ]
 
 
+def unit_length() -> Transformer:
+    """The text view from the counts, which are what is written: small whole numbers pack well."""
+    return Normalizer(p=2.0, inputCol="counts", outputCol="text_view")
+
+
 VIEWS = ("text_view", "meta_view")
 
 
@@ -97,7 +110,7 @@ class Quality:
 
     def score(self, rows: DataFrame) -> DataFrame:
         """Adds ``score``; takes the columns of :func:`with_views`."""
-        out = PipelineModel(feature_stages()).transform(rows)
+        out = PipelineModel([*feature_stages(), unit_length()]).transform(rows)
         logits = []
         for v, m in self.views.items():
             out = m.setRawPredictionCol(f"raw_{v}").setProbabilityCol("").setPredictionCol("").transform(out)
@@ -107,19 +120,60 @@ class Quality:
         return out.withColumn("score", 1 / (1 + F.exp(-F.greatest(F.least(mean, F.lit(500.0)), F.lit(-500.0)))))
 
 
-def _learn(rows: DataFrame, view: str) -> LogisticRegressionModel:
+def _learn(seen: DataFrame, view: str, exchanged: DataFrame | None = None) -> LogisticRegressionModel:
+    """A view's model of the rows ``y, weight`` and the view: labelled ones and, if any, exchanged ones."""
     text = view == "text_view"  # already of unit length; a stronger penalty would leave it sure of nothing
-    return LogisticRegression(featuresCol=view, labelCol="y", regParam=1e-5 if text else 1e-3, maxIter=20,
-                              standardization=not text).fit(rows.coalesce(FIT_PARTS))
-
-
-def _probability(rows: DataFrame, model: LogisticRegressionModel) -> DataFrame:
-    return model.setRawPredictionCol("raw").setProbabilityCol("prob").setPredictionCol("").transform(rows).withColumn(
-        "p", vector_to_array("prob")[1])
+    rows = seen.select("y", F.lit(1.0).alias("weight"), view).coalesce(FIT_PARTS)
+    if exchanged is not None:
+        rows = rows.union(exchanged.select("y", "weight", view))
+    return LogisticRegression(featuresCol=view, labelCol="y", weightCol="weight", regParam=1e-5 if text else 1e-3, maxIter=20,
+                              standardization=not text).fit(rows)
+
+
+def _logit(rows: DataFrame, model: LogisticRegressionModel, name: str = "logit") -> DataFrame:
+    raw = f"raw_{name}"
+    out = model.setRawPredictionCol(raw).setProbabilityCol("").setPredictionCol("").transform(rows)
+    return out.withColumn(name, vector_to_array(raw)[1]).drop(raw)
+
+
+def score_bin(logit: Column) -> Column:
+    return F.least(F.greatest(F.floor(logit / BIN), F.lit(-OUTERMOST)), F.lit(OUTERMOST)).cast("int")
+
+
+def surest(counts: dict[int, int], share: float, rate: float) -> dict[float, tuple[int, int]]:
+    """By class (1.0, 0.0): the bin from which on (up for 1, down for 0) lie its surest documents, and how many
+    they are; ``share`` of all, in the proportion ``rate`` of class 1, whole bins, none less sure than ``SURE``.
+    A class of which the view is sure nowhere is left out."""
+    size = sum(counts.values())
+    least = math.ceil(math.log(SURE / (1 - SURE)) / BIN)
+    out = {}
+    for label, part in ((1.0, rate), (0.0, 1 - rate)):
+        n, cut = 0, None
+        for b in sorted(counts, reverse=label == 1.0):
+            if n >= size * share * part or (b < least if label else b >= -least):
+                break
+            n, cut = n + counts[b], b
+        if cut is not None:
+            out[label] = cut, n
+    return out
+
+
+def _exchanged(pool: DataFrame, model: LogisticRegressionModel, cuts: dict[float, tuple[int, int]], share: float,
+               labelled: dict[float, int]) -> DataFrame | None:
+    """All unlabelled rows beyond the cuts with their label ``y`` and ``weight``; None where there are none."""
+    if not cuts:
+        return None
+    b, y, weight = F.col("bin"), F.lit(None).cast("double"), F.lit(0.0)
+    for label, (cut, n) in cuts.items():
+        inside = b >= cut if label else b <= cut
+        y = F.when(inside, label).otherwise(y)
+        weight = F.when(inside, min(1.0, share * labelled[label] / n)).otherwise(weight)
+    marked = _logit(pool, model).withColumn("bin", score_bin(F.col("logit")))
+    return marked.withColumn("y", y).withColumn("weight", weight).where("y is not null")
 
 
 def _calibrate(rows: DataFrame, model: LogisticRegressionModel) -> tuple[float, float]:
-    logit = _probability(rows, model).select(vector_to_array("raw")[1].alias("x"), "y")
+    logit = _logit(rows, model, "x").select("x", "y")
     one = VectorAssembler(inputCols=["x"], outputCol="f").transform(logit)
     fit = LogisticRegression(featuresCol="f", labelCol="y", regParam=1e-3, maxIter=25).fit(one)
     return float(fit.coefficients[0]), float(fit.intercept)
@@ -127,41 +181,42 @@ def _calibrate(rows: DataFrame, model: LogisticRegressionModel) -> tuple[float,
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         source_col: str = "source", label_id_col: str = "doc_id", label_col: str = "quality", rounds: int = ROUNDS,
-        max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> Quality | None:
+        max_labelled: int = MAX_LABELLED) -> Quality | None:
     """Both views after ``rounds`` exchanges; None without labelled documents of both classes."""
     known = (labels.select(F.col(label_id_col).alias("id"), F.col(label_col).alias("y"))
              .where("id is not null and y is not null").groupBy("id").agg(F.max(F.when(F.col("y") > 0, 1.0).otherwise(0.0)).alias("y")))
-    ids = docs.select(F.col(id_col).alias("id")).where("id is not null").distinct().join(known, "id", "left")
-    ids = ids.withColumn("h", F.xxhash64("id", F.lit(7)))
-    # the first rows of each part by hash: a bounded, repeatable sample
-    parts = [ids.where(cond).orderBy("h", "id").limit(n) for cond, n in
-             (("y = 1", max_labelled), ("y = 0", max_labelled), ("y is null", max_pool))]
-    sample = pin(parts[0].union(parts[1]).union(parts[2]), "quality-sample")
-    views = with_views(docs.join(small_side(sample.select(F.col("id").alias(id_col)), sample.count()), id_col, "left_semi"),
+    known = pin(known, "quality-labels")
+    named = known.select(F.col("id").alias(id_col))
+    n_known = known.count()
+    ids = docs.select(F.col(id_col).alias("id")).join(small_side(known, n_known), "id").distinct()
+    ids = pin(ids.withColumn("h", F.xxhash64("id", F.lit(7))), "quality-ids")
+    # the first rows of each class by hash: a bounded, repeatable sample
+    parts = [ids.where(F.col("y") == y).orderBy("h", "id").limit(max_labelled) for y in (1.0, 0.0)]
+    sample = pin(parts[0].union(parts[1]), "quality-sample")
+    stages = PipelineModel(feature_stages())
+    views = with_views(docs.join(small_side(sample.select(F.col("id").alias(id_col)), 2 * max_labelled), id_col, "left_semi"),
                        id_col, text_col, lang_col, source_col)
-    rows = PipelineModel(feature_stages()).transform(views.join(small_side(sample, 2 * max_labelled + max_pool), "id"))
-    rows = pin(rows.select("id", "h", "y", *VIEWS), "quality-views")
+    rows = stages.transform(views.join(small_side(sample, 2 * max_labelled), "id"))
+    rows = unit_length().transform(pin(rows.select("id", "h", "y", "counts", "meta_view"), "quality-views"))
     holdout = F.pmod("h", F.lit(4)) == 0
-    seen, held, pool = rows.where(F.col("y").isNotNull() & ~holdout), rows.where(F.col("y").isNotNull() & holdout), rows.where("y is null")
-    classes = {r["y"] for part in (seen, held) for r in part.select("y").distinct().collect()}
-    if classes != {0.0, 1.0} or seen.select("y").distinct().count() < 2 or held.select("y").distinct().count() < 2:
+    seen, held = rows.where(~holdout), rows.where(holdout)
+    labelled, kept_out = ({r["y"]: r["count"] for r in part.groupBy("y").count().collect()} for part in (seen, held))
+    if len(labelled) < 2 or len(kept_out) < 2:
         return None
-    rate = seen.agg(F.avg("y")).first()[0]
-    added: dict[str, DataFrame] = {}
     models = {v: _learn(seen, v) for v in VIEWS}
-    size = pool.count()
-    for r in range(rounds if size else 0):
+    if rounds:
+        rest = with_views(docs.join(small_side(named, n_known), id_col, "left_anti"), id_col, text_col, lang_col, source_col)
+        pool = unit_length().transform(pin(stages.transform(rest).select("counts", "meta_view"), "quality-pool"))
+    rate = labelled[1.0] / sum(labelled.values())
+    for r in range(rounds):
         share = min(1.0, EXCHANGE * (r + 1))
-        for v, other in zip(VIEWS, VIEWS[::-1], strict=True):
-            marked = _probability(pool, models[v])
-            # the surest of each class, in the proportion of the labelled rows
-            tops = []
-            for label, sure in ((1.0, F.col("p")), (0.0, 1 - F.col("p"))):
-                n = max(1, math.ceil(size * share * (rate if label else 1 - rate)))
-                tops.append(marked.where(sure >= SURE).orderBy(sure.desc(), "id").limit(n)
-                            .select("id", "h", F.lit(label).alias("y"), *VIEWS))
-            added[other] = pin(tops[0].union(tops[1]), f"quality-round{r}")
-        models = {v: _learn(seen.select("y", v).union(added[v].select("y", v)), v) for v in VIEWS}
+        marked = reduce(lambda df, v: _logit(df, models[v], v + "_logit"), VIEWS, pool)
+        bins = (marked.select(F.explode(F.array(*(F.struct(F.lit(v).alias("view"), score_bin(F.col(v + "_logit")).alias("bin"))
+                                                   for v in VIEWS))).alias("x"))
+                .groupBy("x.view", "x.bin").count().collect())  # at most 10,001 bins a view
+        found = {v: surest({b["bin"]: b["count"] for b in bins if b["view"] == v}, share, rate) for v in VIEWS}
+        models = {other: _learn(seen, other, _exchanged(pool, models[v], found[v], share, labelled))
+                  for v, other in zip(VIEWS, VIEWS[::-1], strict=True)}
     return Quality(models, {v: _calibrate(held, m) for v, m in models.items()})
 
 

@@ -105,7 +105,7 @@ def junk(spark):
 
 def test_quality_co_training(spark, junk):
     docs, labels, truth = junk
-    model = quality.fit(docs, labels, max_labelled=200, max_pool=100)
+    model = quality.fit(docs, labels, max_labelled=200)
     got = quality.score(docs, model).collect()
     assert len(got) == docs.count() and all(0 <= r.score <= 1 for r in got)
     unseen = [r for r in got if r.doc_id in truth and r.doc_id % 5 == 0]
@@ -117,6 +117,45 @@ def test_quality_co_training(spark, junk):
     assert quality.keep_good(docs, None).count() == docs.count()
 
 
+def test_surest_takes_whole_bins_from_both_ends():
+    rng = np.random.default_rng(3)
+    for size, share, rate in ((1000, 0.125, 0.75), (1000, 1.0, 0.5), (40, 0.25, 0.875), (5, 0.125, 0.5), (0, 0.125, 0.5)):
+        bins = np.round(rng.normal(0, 400, size)).astype(int)
+        counts = {int(b): int(n) for b, n in zip(*np.unique(bins, return_counts=True), strict=True)}
+        got = quality.surest(counts, share, rate)
+        sure = {1.0: bins[bins >= 220], 0.0: bins[bins < -220]}
+        for label, part in ((1.0, rate), (0.0, 1 - rate)):
+            want = size * share * part
+            by_sureness = np.sort(sure[label])[::-1] if label else np.sort(sure[label])
+            if not len(by_sureness):
+                assert label not in got
+                continue
+            at = min(len(by_sureness), max(1, int(np.ceil(want - 1e-9)))) - 1
+            cut, n = got[label]
+            assert cut == by_sureness[at] and n == ((bins >= cut) if label else (bins <= cut)).sum()
+    assert quality.surest({0: 10, 100: 5}, 1.0, 0.5) == {}
+
+
+def test_quality_exchanges_every_row_beyond_the_cut(spark):
+    """No row of the unlabelled ones is left out, repeats and ties included, and the weights add up to the share."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.linalg import Vectors
+
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(0, 6, 3000), np.full(2000, 9.0)])  # two fifths are copies of one row
+    pool = spark.createDataFrame([(Vectors.dense([float(v)]),) for v in x], ["v"]).repartition(7)
+    train = spark.createDataFrame([(Vectors.dense([float(v)]), float(v > 0)) for v in range(-5, 6)], ["v", "y"])
+    model = LogisticRegression(featuresCol="v", labelCol="y", regParam=0.05).fit(train)
+    z = x * model.coefficients[0] + model.intercept
+    bins = np.clip(np.floor(z / quality.BIN), -quality.OUTERMOST, quality.OUTERMOST).astype(int)
+    cuts = quality.surest({int(b): int(n) for b, n in zip(*np.unique(bins, return_counts=True), strict=True)}, 0.2, 0.6)
+    got = quality._exchanged(pool, model, cuts, 0.2, {1.0: 60, 0.0: 40}).groupBy("y").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
+    got = {r.y: (r.n, r.w) for r in got.collect()}
+    assert got[1.0][0] == (bins >= cuts[1.0][0]).sum() == cuts[1.0][1] > 600 and got[0.0][0] == (bins <= cuts[0.0][0]).sum()
+    assert got[1.0][1] == pytest.approx(12) and got[0.0][1] == pytest.approx(8)
+    assert quality._exchanged(pool, model, {}, 0.2, {1.0: 60, 0.0: 40}) is None
+
+
 def test_mixing_rates_equal_projected_gradient(spark):
     rng = np.random.default_rng(1)
     p = rng.dirichlet([0.4, 0.4, 0.4], 300)
