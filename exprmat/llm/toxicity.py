@@ -11,9 +11,11 @@ and a word that is frequent in one class keeps its evidence. A text is compared
 log-likelihood under both models, and a logistic curve fitted on labelled documents that took no part in
 the counts turns this into 0 to 1.
 
-The counts cover every labelled row of the training part. Only entries whose count reaches K can tell
-the classes apart; K rises until at most ``max_words`` are left on each level, which bounds what is
-sent to the tasks. The curve is fitted on at most ``max_curve_rows`` rows.
+A fifth of the training rows is kept out of the counts while the discount is chosen and the curve is
+fitted, on at most ``max_curve_rows`` of them; the final counts cover every labelled row of the training
+part. Only entries whose count reaches K can tell the classes apart. They stay a table that grows with
+the corpus. The ``max_words`` most frequent of each level are sent to the tasks; if there are more,
+the words of a text that were not sent meet the table by a join, with the same scores.
 
 Cases: a null or empty text has no words and gets the curve's value at zero evidence; labels of a
 document given more than once count as toxic if any row does, null labels and ids are skipped; a null
@@ -24,6 +26,7 @@ every score is 0; repeated rows each get a row; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,7 @@ from exprmat.llm.common import pin, small_side
 
 #: Discounts that are tried; the one whose curve has the least loss on the rows kept for it is used.
 DISCOUNTS = (3, 10, 20, 50)
+#: Entries of a level that are sent to the tasks; further ones are joined.
 MAX_WORDS = 500_000
 MAX_CURVE_ROWS = 20_000
 BETWEEN_WORDS = r"[^\p{L}\p{N}]+"
@@ -53,52 +57,68 @@ def remainder(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+@dataclass
 class Model:
-    """Log-ratio of the two class probabilities for the words and beginnings that can tell them apart."""
-
-    def __init__(self, levels: list[dict[str, tuple[float, float]]], totals: np.ndarray, k: np.ndarray, left: np.ndarray):
-        """``levels``: ordinary and toxic counts of the entries that reach ``k``, words first, then ever
-        shorter beginnings; ``left``: what the last level gave up, by class."""
-        n0, n1 = totals
-        self.stems = STEMS
-        self.rest = float(np.log(left[1] / n1) - np.log(left[0] / n0))  # of words without any known beginning
-        self.ratio: list[dict[str, float]] = [{} for _ in levels]
-        above: dict[str, tuple[float, float]] = {}
-        for j in range(len(levels) - 1, -1, -1):
-            mass = {}
-            for key, (c0, c1) in levels[j].items():
-                pooled = min(c0, k[0]) + min(c1, k[1])
-                if j == len(levels) - 1:
-                    back, whole = left, left[0] + left[1]
-                else:
-                    parent = key[:STEMS[j]]
-                    back, whole = above[parent], sum(levels[j + 1][parent])
-                share = pooled / whole
-                m = max(c0 - k[0], 0) + back[0] * share, max(c1 - k[1], 0) + back[1] * share
-                mass[key] = m
-                self.ratio[j][key] = float(np.log(m[1] / n1) - np.log(m[0] / n0))
-            above = mass
-        self.curve = np.zeros(4)
+    """Log-ratio of the two class probabilities for the words and beginnings that can tell them apart:
+    the whole tables ``levels (key, ratio)``, words first, and the part ``sent`` that goes to the tasks."""
+
+    levels: list[DataFrame]
+    sizes: list[int]
+    sent: list[dict[str, float]]
+    rest: float  # of words without any known beginning
+    curve: np.ndarray = field(default_factory=lambda: np.zeros(4))
+
+    def table(self) -> Table:
+        return Table(self.sent, self.rest, self.curve, all(len(t) == n for t, n in zip(self.sent, self.sizes, strict=True)))
 
     def of_word(self, word: str) -> float:
+        return self.table().of_word(word)
+
+
+@dataclass
+class Table:
+    """What tasks hold of a model; ``whole`` if that is all."""
+
+    ratio: list[dict[str, float]]
+    rest: float
+    curve: np.ndarray
+    whole: bool
+
+    def of_word(self, word: str) -> float | None:
+        """The word's log-ratio; None if the tables that were not sent have to be asked."""
         r = self.ratio[0].get(word)
-        for j, n in enumerate(self.stems, 1):
+        if r is None and not self.whole:
+            return None
+        for j, n in enumerate(STEMS, 1):
             if r is None:
                 r = self.ratio[j].get(word[:n])
         return self.rest if r is None else r
 
-    def evidence(self, words: pa.Array, sizes: np.ndarray) -> np.ndarray:
-        """By text: toxic less ordinary log-likelihood per word, that by root of length, and 1 / root of length."""
+    def totals(self, words: pa.Array, sizes: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+        """By text: the sum of the log-ratios of its words, and the words that were not sent, repeats included."""
+        if not len(words):
+            return np.zeros(len(sizes)), pa.array([[]] * len(sizes), pa.list_(pa.string()))
         of = np.repeat(np.arange(len(sizes)), sizes)
         kinds = words.dictionary_encode()
         distinct = kinds.dictionary.to_numpy(zero_copy_only=False)
-        each = np.fromiter(map(self.of_word, distinct), float, len(distinct))[kinds.indices.to_numpy()] if len(words) else np.zeros(0)
-        total = np.bincount(of, each, len(sizes))
-        n = np.maximum(sizes, 1)
-        return np.stack([total / n, total / np.sqrt(n), 1 / np.sqrt(sizes + 1.0), np.ones(len(sizes))], 1)
+        at = kinds.indices.to_numpy()
+        values = [self.of_word(w) for w in distinct]
+        each = np.array([0.0 if v is None else v for v in values])[at]
+        unknown = np.array([v is None for v in values])[at]
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(of[unknown], minlength=len(sizes)))])
+        unsent = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), words.filter(pa.array(unknown)).cast(pa.string()))
+        return np.bincount(of, each, len(sizes)), unsent
+
 
-    def scores(self, evidence: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(evidence @ self.curve, -500, 500)))
+def evidence(total: Column, n: Column) -> list[Column]:
+    """Toxic less ordinary log-likelihood per word, that by root of length, and 1 / root of length."""
+    some = F.greatest(n, F.lit(1))
+    return [(total / some).alias("e0"), (total / F.sqrt(some)).alias("e1"), (1 / F.sqrt(n + 1.0)).alias("e2")]
+
+
+def curve_score(curve: np.ndarray) -> Column:
+    x = sum((F.col(f"e{j}") * float(curve[j]) for j in range(3)), F.lit(float(curve[3])))
+    return 1 / (1 + F.exp(-F.greatest(F.least(x, F.lit(500.0)), F.lit(-500.0))))
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
@@ -121,8 +141,9 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
 
 
 def _evidence(rows: DataFrame, model: Model, keep: str) -> DataFrame:
-    """``keep`` columns and the evidence ``e`` of each row's words ``w``."""
-    sent = rows.sparkSession.sparkContext.broadcast(model)
+    """``keep`` columns and the evidence ``e0, e1, e2`` of each row's words ``w``."""
+    table = model.table()
+    sent = rows.sparkSession.sparkContext.broadcast(table)
     names = [c.split()[0] for c in keep.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,13 +151,27 @@ def _evidence(rows: DataFrame, model: Model, keep: str) -> DataFrame:
         for b in batches:
             w = b.column("w")
             sizes = np.diff(w.offsets.to_numpy())
-            e = m.evidence(w.flatten(), sizes)
-            cols = [b.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays(
-                [*cols, pa.array(m.scores(e)), *(pa.array(e[:, j]) for j in range(3))],
-                names=[*names, "score", "e0", "e1", "e2"])
-
-    return rows.select(*names, "w").mapInArrow(run, f"{keep}, score double, e0 double, e1 double, e2 double")
+            total, unsent = m.totals(w.flatten(), sizes)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(total), pa.array(sizes, pa.int64()), unsent],
+                                             names=[*names, "total", "n", "unsent"])
+
+    out = rows.select(*names, "w").mapInArrow(run, f"{keep}, total double, n long, unsent array<string>")
+    total = F.col("total")
+    if not table.whole:
+        # equal lists of words have equal sums, so repeated rows need no key of their own
+        out = pin(out.withColumn("list", F.md5(F.to_json("unsent"))), "toxic-unsent")
+        asked = (out.select("list", "unsent").where(F.size("unsent") > 0).dropDuplicates(["list"])
+                 .select("list", F.explode("unsent").alias("key")).groupBy("list", "key").count())
+        found, ratio = asked, []
+        for j, (level, size) in enumerate(zip(model.levels, model.sizes, strict=True)):
+            part = level.select(F.col("key").alias(f"key{j}"), F.col("ratio").alias(f"ratio{j}"))
+            on = F.col("key") if j == 0 else F.left("key", F.lit(STEMS[j - 1]))
+            found = found.join(small_side(part, size), on == F.col(f"key{j}"), "left")
+            ratio.append(F.col(f"ratio{j}"))
+        more = found.groupBy("list").agg(F.sum(F.col("count") * F.coalesce(*ratio, F.lit(model.rest))).alias("more"))
+        out = out.join(more, "list", "left")
+        total = total + F.coalesce("more", F.lit(0.0))
+    return out.select(*names, *evidence(total, F.col("n")))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id",
@@ -150,50 +185,70 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = pin(known, "toxic-labels")
     rows = known.count()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("txt")).where("txt is not null")
-    seen = (texts.join(small_side(known.where("not curve"), rows), "id")
-            .select("y", F.explode(F.array_distinct(lower_words(F.col("txt")))).alias("key"))
-            .groupBy("key").agg(F.sum(1 - F.col("y")).cast("double").alias("c0"), F.sum("y").cast("double").alias("c1")))
-    counts = pin(seen, "toxic-counts")
-    totals = np.array(counts.agg(F.sum("c0"), F.sum("c1")).first(), dtype=object)
-    if not all(totals):
+    counted = F.when(F.col("curve"), 0).otherwise(1)  # kept out while the discount is chosen
+    seen = (texts.join(small_side(known, rows), "id")
+            .select("y", "curve", F.explode(F.array_distinct(lower_words(F.col("txt")))).alias("key"))
+            .groupBy("key").agg(*(F.sum(x).cast("double").alias(c) for c, x in (
+                ("c0", (1 - F.col("y")) * counted), ("c1", F.col("y") * counted), ("all0", 1 - F.col("y")), ("all1", F.col("y"))))))
+    every = pin(seen, "toxic-counts")
+    counts = every.where("c0 + c1 > 0").select("key", "c0", "c1")
+    sums = every.agg(*(F.sum(c) for c in ("c0", "c1", "all0", "all1"))).first()
+    if not all(sums):
         return None
-    totals = totals.astype(float)
+    totals, whole_totals = np.array(sums[:2], float), np.array(sums[2:], float)
     chosen = known.where("curve").orderBy(F.xxhash64("id", F.lit(1)), "id").limit(max_curve_rows)
     curve_rows = pin(texts.join(small_side(chosen, max_curve_rows), "id").select("y", lower_words(F.col("txt")).alias("w")), "toxic-curve")
-    best, least = None, np.inf
+    best, curve, least = discounts[0], np.zeros(4), np.inf
     for discount in discounts:
         model = _model(counts, totals, discount, max_words)
         found = _evidence(curve_rows, model, "y int").toArrow()
         y = found["y"].to_numpy()
         if len(y) and 0 < y.sum() < len(y):
             x = np.stack([*(found[c].to_numpy() for c in ("e0", "e1", "e2")), np.ones(len(y))], 1)
-            model.curve = fit_curve(x, y)
-            p = np.clip(model.scores(x), 1e-9, 1 - 1e-9)
+            tried = fit_curve(x, y)
+            p = np.clip(1 / (1 + np.exp(-np.clip(x @ tried, -500, 500))), 1e-9, 1 - 1e-9)
             loss = float(-np.mean(np.where(y == 1, np.log(p), np.log(1 - p))))
         else:
-            model.curve, loss = np.array([1.0, 0, 0, 0]), 0.0
+            tried, loss = np.array([1.0, 0, 0, 0]), 0.0
         if loss < least:
-            best, least = model, loss
-    return best
+            best, curve, least = discount, tried, loss
+    model = _model(every.select("key", F.col("all0").alias("c0"), F.col("all1").alias("c1")), whole_totals, best, max_words)
+    model.curve = curve
+    return model
 
 
 def _model(counts: DataFrame, totals: np.ndarray, discount: int, max_words: int) -> Model:
-    scale = totals / totals.min()
-
-    def reach(k: float) -> Column:
-        return (F.col("c0") >= k * float(scale[0])) | (F.col("c1") >= k * float(scale[1]))
-
-    steps = [discount * 2**j for j in range(40)]
-    reached = counts.agg(*(F.count(F.when(reach(k), 1)) for k in steps)).first()
-    k = next(k for k, n in zip(steps, reached, strict=True) if n <= max_words)
-    cut, level, levels = k * scale, counts, []
-    for stem in (*STEMS, 0):
-        found = level.where(reach(k)).toArrow()
-        both = zip(found["c0"].to_pylist(), found["c1"].to_pylist(), strict=True)
-        levels.append(dict(zip(found["key"].to_pylist(), both, strict=True)))
-        level = level.groupBy(F.left("key", F.lit(stem)).alias("key")).agg(
-            *(F.sum(F.least(c, F.lit(float(x)))).alias(c) for c, x in zip(("c0", "c1"), cut, strict=True)))
-    return Model(levels, totals, cut, np.array(level.agg(F.sum("c0"), F.sum("c1")).first(), float))
+    """Both classes' models of ``counts (key, c0, c1)`` of ordinary and toxic documents."""
+    cut = [float(x) for x in discount * totals / totals.min()]
+    c = [F.col("c0"), F.col("c1")]
+    given = [F.least(x, F.lit(k)) for x, k in zip(c, cut, strict=True)]
+    reached = (c[0] >= cut[0]) | (c[1] >= cut[1])
+    levels = [counts]
+    for stem in STEMS:
+        up = levels[-1].groupBy(F.left("key", F.lit(stem)).alias("key")).agg(*(F.sum(g).alias(f"c{y}") for y, g in enumerate(given)))
+        levels.append(pin(up, "toxic-beginnings"))
+    left = [float(x) for x in levels[-1].agg(*(F.sum(g) for g in given)).first()]
+    # down the chain: what an entry keeps, and its part of what its beginning passes on
+    above, tables, sent, sizes = None, [], [], []
+    for j in range(len(levels) - 1, -1, -1):
+        rows = levels[j].where(reached)
+        if above is None:
+            rows = rows.select("key", *c, *(F.lit(x).alias(f"back{y}") for y, x in enumerate(left)), F.lit(sum(left)).alias("whole"))
+        else:
+            passed = above.select(F.col("key").alias("parent"), *(F.col(f"m{y}").alias(f"back{y}") for y in (0, 1)), (c[0] + c[1]).alias("whole"))
+            rows = rows.join(passed, F.left("key", F.lit(STEMS[j])) == F.col("parent"))
+        share = (given[0] + given[1]) / F.col("whole")
+        rows = rows.select("key", *c, *((F.greatest(c[y] - cut[y], F.lit(0.0)) + F.col(f"back{y}") * share).alias(f"m{y}") for y in (0, 1)))
+        ratio = F.log(F.col("m1") / float(totals[1])) - F.log(F.col("m0") / float(totals[0]))
+        above = pin(rows.withColumn("ratio", ratio), "toxic-ratios")
+        size = above.count()
+        most = above if size <= max_words else above.orderBy((c[0] + c[1]).desc(), "key").limit(max_words)
+        found = most.select("key", "ratio").toArrow()
+        tables.insert(0, above.select("key", "ratio"))
+        sizes.insert(0, size)
+        sent.insert(0, dict(zip(found["key"].to_pylist(), found["ratio"].to_pylist(), strict=True)))
+    rest = float(np.log(left[1] / totals[1]) - np.log(left[0] / totals[0]))
+    return Model(tables, sizes, sent, rest)
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", folds: int = 5) -> DataFrame:
@@ -205,5 +260,5 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     else:
         kind = rows.schema["doc_id"].dataType.simpleString()
         out = _evidence(rows.withColumn("w", lower_words(F.col("txt"))), model, f"doc_id {kind}, held_out boolean")
-        out = out.withColumnRenamed("e0", "ratio")
+        out = out.withColumn("score", curve_score(model.curve)).withColumnRenamed("e0", "ratio")
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "ratio")

@@ -88,6 +88,16 @@ def test_kneser_ney_model_by_hand(spark):
     assert model.of_word("idiotlike") == pytest.approx(np.log(mass("idiot", 1) / totals[1]) - np.log(mass("idiot", 0) / totals[0]))
 
 
+def test_toxicity_scores_do_not_depend_on_what_is_sent(spark, rude):
+    """With few entries sent, words meet the rest of the tables by a join; repeated rows and empty texts included."""
+    docs, labels, _ = rude
+    docs = docs.union(docs)
+    a, b = (sorted((str(r.doc_id), round(r.score, 9)) for r in toxicity.score(docs, toxicity.fit(docs, labels, max_words=n, discounts=(1, 3))).collect())
+            for n in (toxicity.MAX_WORDS, 4))
+    assert len(toxicity.fit(docs, labels, max_words=4, discounts=(1,)).sent[0]) == 4
+    assert a == b
+
+
 @pytest.fixture(scope="module")
 def junk(spark):
     def page(i):
