@@ -12,8 +12,8 @@ log-likelihood under both models, and a logistic curve fitted on labelled docume
 the counts turns this into 0 to 1.
 
 A fifth of the training rows is kept out of the counts while the discount is chosen and the curve is
-fitted, on at most ``max_curve_rows`` of them; the final counts cover every labelled row of the training
-part. Only entries whose count reaches K can tell the classes apart. They stay a table that grows with
+fitted, on at most ``max_curve_rows`` of them; the curve holds for models of these counts, so the fifth
+is not added to them later. Only entries whose count reaches K can tell the classes apart. They stay a table that grows with
 the corpus. The ``max_words`` most frequent of each level are sent to the tasks; if there are more,
 the words of a text that were not sent meet the table by a join, with the same scores.
 
@@ -212,7 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             tried, loss = np.array([1.0, 0, 0, 0]), 0.0
         if loss < least:
             best, curve, least = discount, tried, loss
-    model = _model(every.select("key", F.col("all0").alias("c0"), F.col("all1").alias("c1")), whole_totals, best, max_words)
+    model = _model(counts, totals, best, max_words)
     model.curve = curve
     return model
 
