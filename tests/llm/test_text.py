@@ -2,8 +2,10 @@
 
 import hashlib
 import itertools
+import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,6 +107,33 @@ def test_jaccard_components_equal_brute_force(spark):
     assert jaccard.jaccard_components(df.where("false")).count() == 0
 
 
+def test_jaccard_lists_keep_only_pairs_that_can_reach_the_overlap(spark):
+    by_hash = sorted(WORDS, key=lambda w: int(jaccard.shingle_sets([w.encode()], 1)[0][0]))
+    # the only common word: place 8 of 11 posted ones (31 of 40 held from there on), then place 2
+    late = [by_hash[:40], by_hash[60:68] + [by_hash[8]] + by_hash[100:131]]
+    early = [by_hash[200:240], [by_hash[202]] + by_hash[240:279]]
+    frequent = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    for sets, rows in ((late, 0), (early, 2)):
+        docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(sets)], "doc_id long, text string")
+        assert jaccard.prefix_lists(docs, "doc_id", "text", frequent, 16, 1).count() == rows
+
+
+def test_jaccard_families_near_the_threshold(spark, monkeypatch):
+    rng, docs = random.Random(7), []
+    for family in range(6):
+        base = [f"f{family}x{i}" for i in range(60)]
+        for _ in range(25):
+            words = list(base)
+            for _ in range(rng.randint(0, 4)):
+                words[rng.randrange(60)] = rng.choice(WORDS)
+            docs.append((len(docs), " ".join(words[: rng.randint(48, 60)])))
+    compared, whole = [], jaccard.distances
+    monkeypatch.setattr(jaccard, "distances", lambda pairs, sets: compared.append(pairs.count()) or whole(pairs, sets))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect()) == _brute_components(docs)
+    assert sum(compared) < 300  # 225; 509 without the place of the common shingle
+
+
 def test_jaccard_order_does_not_matter(spark):
     """The prefix order from corpus counts changes candidates, never links."""
     docs = [(i, " ".join(WORDS[:40] + WORDS[40 + i % 3 * 5:60])) for i in range(30)]
