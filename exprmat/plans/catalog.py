@@ -1175,13 +1175,41 @@ def q_file_map(spark, sf_dir):
     return read_file_map(spark, path, "case_id", multiline=False, order_field="event_id")
 
 
+FOLDERS_PER_TASK = 250
+
+
 def _write_sample_tree(spark, sf_dir, path):
     """Per-sample TSV files (gene id, value) in one folder per supplier, each with a
-    non-gene footer row, as the per-sample expression files of the reference."""
-    c = B.tpch_matrix(spark, sf_dir).cells
+    non-gene footer row, as the per-sample expression files of the reference. Tasks write
+    their samples' files one after the other: the tree is many files of few bytes."""
+    m = B.tpch_matrix(spark, sf_dir)
+    c = m.cells
     footer = c.select(SAMPLE).distinct().select(SAMPLE, F.lit("__no_feature").alias(GENE), F.lit(1.0).alias(VALUE))
-    (c.unionByName(footer).repartition(SAMPLE).write.mode("overwrite").partitionBy(SAMPLE)
-     .option("sep", "\t").option("header", False).csv(path))
+    # the cost is in the files: a number of tasks by folders, which is not coalesced by bytes
+    tasks = max(spark.sparkContext.defaultParallelism, -(-m.n_samples // FOLDERS_PER_TASK))
+    line = F.to_csv(F.struct(GENE, VALUE), {"sep": "\t"})
+    rows = c.unionByName(footer).repartition(tasks, SAMPLE).sortWithinPartitions(SAMPLE)
+
+    def write(batches):
+        import itertools
+        import uuid
+
+        import pyarrow as pa
+        from pyarrow.fs import FileSystem
+
+        fs, root = FileSystem.from_uri(path)
+        lines = ((k, x) for b in batches for k, x in zip(b.column("k").to_pylist(), b.column("line").to_pylist(), strict=True))
+        for key, of in itertools.groupby(lines, lambda r: r[0]):
+            folder, own = f"{root}/{SAMPLE}={key}", uuid.uuid4().hex
+            fs.create_dir(folder)
+            with fs.open_output_stream(f"{folder}/_{own}") as out:
+                for _, x in of:
+                    out.write(f"{x}\n".encode())
+            # one name per sample: a repeated task puts the same rows in the same place
+            fs.move(f"{folder}/_{own}", f"{folder}/part-0.csv")
+            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int64())], names=["n"])
+
+    rows.select(F.col(SAMPLE).cast("string").alias("k"), line.alias("line")).mapInArrow(write, "n long").agg(F.sum("n")).collect()
 
 
 SQL_S6 = f"""WITH {CTE}

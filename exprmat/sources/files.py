@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import basename
-from ..matrix import GENE, SAMPLE, VALUE, ExprMatrix, counted_broadcast
+from ..matrix import GENE, SAMPLE, VALUE, ExprMatrix, counted_broadcast, materialize
 
 # The reference's NA marker in exposure tables, the file-name tags of a
 # per-sample expression file, and the row prefix of gene (not footer) rows.
 NA_MARKER = "'--"
 SAMPLE_FILE_TAGS = ("counts", "pkm")
 GENE_ROW_PREFIX = "ENSG"
+LISTINGS_PER_CORE = 8
 
 
 def read_labels(spark: SparkSession, path: str, columns: list[str] | None = None, sep: str = "\t",
@@ -72,16 +73,25 @@ def read_sample_files(spark: SparkSession, root: str, tags=SAMPLE_FILE_TAGS, nam
 
     schema = T.StructType([T.StructField(GENE, T.StringType()), T.StructField(VALUE, T.DoubleType())])
     glob = name_glob or "*"
-    raw = (spark.read.schema(schema).option("sep", "\t").option("header", False)
-           .option("recursiveFileLookup", True).option("pathGlobFilter", glob).csv(root)
-           .withColumn("_path", F.col("_metadata.file_path")))
+    # folders are listed by a job of a few tasks per core, not of one task per folder
+    setting = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(min(int(before), LISTINGS_PER_CORE * spark.sparkContext.defaultParallelism)))
+    try:
+        raw = (spark.read.schema(schema).option("sep", "\t").option("header", False)
+               .option("recursiveFileLookup", True).option("pathGlobFilter", glob).csv(root)
+               .withColumn("_path", F.col("_metadata.file_path")))
+    finally:
+        spark.conf.set(setting, before)
     name = F.lower(basename("_path"))
     if name_glob is None:
         cond = F.lit(False)
         for t in tags:
             cond = cond | name.contains(t)
         raw = raw.filter(cond)
-    raw = raw.withColumn("_dir", F.regexp_replace("_path", "/[^/]*$", ""))
+    # many small files cost their opening, so each is opened once: the choice of files, the dimensions and the
+    # cells are all taken from the rows as written here
+    raw = materialize(raw.withColumn("_dir", F.regexp_replace("_path", "/[^/]*$", "")), "sample_files")
     first = raw.select("_dir", "_path").distinct().groupBy("_dir").agg(F.min("_path").alias("_path"))
     if n_subsamples is not None:
         # The occurrence number of a repeated draw is computed on the draws (one row
@@ -98,7 +108,7 @@ def read_sample_files(spark: SparkSession, root: str, tags=SAMPLE_FILE_TAGS, nam
     sid = basename("_path") if key == "file" else basename("_dir")
     sid = F.when(F.col("_occ") == 0, sid).otherwise(F.concat(sid, F.lit("#"), F.col("_occ").cast("string")))
     cells = cells.select(sid.alias(SAMPLE), GENE, VALUE)
-    return ExprMatrix.from_cells(cells.groupBy(SAMPLE, GENE).agg(F.sum(VALUE).alias(VALUE)))
+    return ExprMatrix.from_cells(materialize(cells.groupBy(SAMPLE, GENE).agg(F.sum(VALUE).alias(VALUE)), "sample_cells"))
 
 
 def read_gene_list(spark: SparkSession, path: str) -> DataFrame:

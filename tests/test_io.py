@@ -156,3 +156,37 @@ def test_write_long_formats(spark, tmp_dir, fmt):
     else:
         back = spark.read.option("header", True).schema("sample_id string, gene_id string, value double").csv(path)
     assert as_dict(back) == as_dict(m.cells)
+
+
+def test_sample_files_are_opened_once(spark, tmp_dir):
+    """The matrix read from a tree of small files stands on rows written once, not on the files."""
+    from exprmat.sources.files import read_sample_files
+
+    for s in ("s1", "s2"):
+        os.makedirs(f"{tmp_dir}/{s}")
+        for name, v in (("a.counts.tsv", 1), ("b.counts.tsv", 2)):
+            with open(f"{tmp_dir}/{s}/{name}", "w") as f:
+                f.write(f"ENSG1\t{v}.5\nENSG1\t1\nENSG2\t\n__no_feature\t9\n")
+    setting = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(setting)
+    m = read_sample_files(spark, tmp_dir, key="folder")
+    assert sorted(m.cells.collect()) == [(s, g, v) for s in ("s1", "s2") for g, v in (("ENSG1", 2.5), ("ENSG2", None))]
+    assert not [f for df in (m.cells, m.samples, m.genes) for f in df.inputFiles() if tmp_dir in f]
+    assert spark.conf.get(setting) == before
+
+
+def test_sample_tree_has_one_file_a_sample(spark, tmp_dir):
+    from exprmat.plans import bindings as B
+    from exprmat.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    catalog._write_sample_tree(spark, sf, f"file:{tmp_dir}/tree")
+    want = {}
+    for r in B.tpch_matrix(spark, sf).cells.collect():
+        want.setdefault(f"sample_id={r.sample_id}", ["__no_feature\t1.0"]).append(f"{r.gene_id}\t{r.value}")
+    got = {}
+    for folder in os.listdir(f"{tmp_dir}/tree"):
+        assert os.listdir(f"{tmp_dir}/tree/{folder}") == ["part-0.csv"]
+        with open(f"{tmp_dir}/tree/{folder}/part-0.csv") as f:
+            got[folder] = sorted(f.read().splitlines())
+    assert got == {k: sorted(v) for k, v in want.items()}
