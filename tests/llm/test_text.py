@@ -118,6 +118,19 @@ def test_jaccard_lists_keep_only_pairs_that_can_reach_the_overlap(spark):
         assert jaccard.prefix_lists(docs, "doc_id", "text", frequent, 16, 1).count() == rows
 
 
+def test_jaccard_shuffled_forms_are_small_and_whole():
+    rng = np.random.default_rng(3)
+    keys = np.unique(np.concatenate([rng.integers(0, 1 << 24, 2000), [0, 65534, 65535, 65536, (1 << 24) - 1]])).astype(np.uint64)
+    packed = jaccard._pack(keys)
+    assert (jaccard._unpack(packed) == keys).all() and len(packed) < 3 * len(keys)
+    assert len(jaccard._unpack(jaccard._pack(keys[:0]))) == 0
+    posts = np.zeros(2000, jaccard._POSTING)
+    posts["token"], posts["cls"] = (7 << 32) + rng.integers(0, 1 << 32, 2000), rng.integers(-(1 << 63), (1 << 63) - 1, 2000)
+    posts["size"], posts["at"] = rng.integers(1, 1 << 32, 2000), rng.integers(0, 1 << 32, 2000)
+    columns = jaccard._columns(posts, np.uint64(7 << 32))
+    assert (jaccard._postings(columns, np.uint64(7 << 32)) == posts).all() and len(columns) == 20 * len(posts)
+
+
 def test_jaccard_families_near_the_threshold(spark, monkeypatch):
     rng, docs = random.Random(7), []
     for family in range(6):
