@@ -142,7 +142,10 @@ def page_host(url: Column) -> Column:
 def token_vectors(pages: DataFrame) -> DataFrame:
     """Of each host's tokens: element path or text run (``text``), its path above, pages that have it, the
     vector's two sums, the characters of its text, of linked text, and of unlinked text in and out of marked
-    elements; and the same of the host ``*`` over the pages that are ``pooled``. Takes ``host, page, html, pooled``."""
+    elements; and the same of the host ``*`` over the pages that are ``pooled`` (all, without that column). Takes ``host, page, html, pooled``."""
+    if "pooled" not in pages.columns:
+        pages = pages.withColumn("pooled", F.lit(True))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sums: dict[tuple[str, int, bool], list[int]] = {}
