@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 
@@ -52,6 +54,15 @@ def session_conf(spark: SparkSession, **settings: str) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def release_memory() -> None:
+    """Give memory that a task has freed back to the system: Spark keeps idle Python workers for a
+    minute, beside the executor's next tasks. Does nothing where the C library has no ``malloc_trim``."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only. ``lower`` is exact (and much faster) where all characters are ASCII."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

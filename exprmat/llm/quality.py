@@ -33,7 +33,7 @@ from pyspark.ml.feature import HashingTF, Normalizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 
-from exprmat.llm.common import pin, small_side
+from exprmat.llm.common import pin, session_conf, small_side
 
 MAX_LABELLED = 6_000
 ROUNDS = 2
@@ -47,6 +47,9 @@ OUTERMOST = 5_000
 TEXT_BITS = 15
 #: Partitions of the labelled sample while fitting.
 FIT_PARTS = 6
+#: Rows that Spark's Parquet reader decodes at once while fitting: with its own 4,096, texts and vectors
+#: fill arrays so large that the JVM's heap grows for them alone.
+READ_ROWS = 256
 #: Buckets to which sources and languages are hashed.
 SITES = 64
 PIECE = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"
@@ -183,6 +186,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         source_col: str = "source", label_id_col: str = "doc_id", label_col: str = "quality", rounds: int = ROUNDS,
         max_labelled: int = MAX_LABELLED) -> Quality | None:
     """Both views after ``rounds`` exchanges; None without labelled documents of both classes."""
+    with session_conf(docs.sparkSession, spark__sql__parquet__columnarReaderBatchSize=str(READ_ROWS)):
+        return _fit(docs, labels, id_col, text_col, lang_col, source_col, label_id_col, label_col, rounds, max_labelled)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str,
+         label_id_col: str, label_col: str, rounds: int, max_labelled: int) -> Quality | None:
     known = (labels.select(F.col(label_id_col).alias("id"), F.col(label_col).alias("y"))
              .where("id is not null and y is not null").groupBy("id").agg(F.max(F.when(F.col("y") > 0, 1.0).otherwise(0.0)).alias("y")))
     known = pin(known, "quality-labels")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 
 from exprmat.llm import simple8b
-from exprmat.llm.common import fresh_folder, pin
+from exprmat.llm.common import fresh_folder, pin, release_memory
 
 MAGIC = b"S8BSHRD1"
 END_ID = 0
@@ -44,6 +44,8 @@ SHARD_BYTES = 8 << 20
 STEP_CHARS = 5 << 19
 #: Different pre-tokens a worker remembers; the store starts anew beyond it.
 REMEMBERED = 400_000
+#: Pre-tokens handed to the library at once: each comes back as an object of its own.
+AT_ONCE = 2_000
 
 #: A pre-token that may be a line among others: letters or digits with at most a blank before them.
 LINE = re.compile("(?: ?[0-9A-Za-zÀ-ÖØ-öø-ÿ]+)")
@@ -107,9 +109,11 @@ class Encoder:
         if len(lines) < len(words):
             known = set(lines)
             rest = [w for w in words if w not in known]
-            found = [e.ids for e in self.library.encode_batch_fast(rest, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            self._keep(rest, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes)
+            for at in range(0, len(rest), AT_ONCE):
+                some = rest[at:at + AT_ONCE]
+                found = [e.ids for e in self.library.encode_batch_fast(some, add_special_tokens=False)]
+                sizes = np.fromiter(map(len, found), np.int64, len(found))
+                self._keep(some, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes)
 
     def _keep(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         at, k = int(self.begin[self.words]), self.words
@@ -291,6 +295,8 @@ def write_token_ids(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", tex
         if doc_ids:
             k = TaskContext.get().partitionId()
             put_file(f"{uri}/shard-{k:08d}.s8b", pack_shard(doc_ids, np.concatenate(sizes), np.concatenate(ids)))
+            del sizes, ids
+            release_memory()
             yield pa.RecordBatch.from_pydict({"shard": [k], "docs": [len(doc_ids)]})
 
     ranged.mapInArrow(write, "shard long, docs long").agg(F.sum("docs")).collect()
@@ -313,6 +319,8 @@ def read_token_ids(spark, folder: str) -> DataFrame:
                     pa.array([shard] * len(doc_ids), pa.int64()), pa.array(np.arange(len(doc_ids))),
                     pa.array(doc_ids, pa.int64()), pa.array(ends - sizes), pa.array(sizes), pa.array(crc, pa.int64())],
                     names=["shard", "place", "doc_id", "within", "n_tokens", "ids_crc32"])
+                del data, ids, raw
+        release_memory()
 
     schema = "shard long, place long, doc_id long, within long, n_tokens long, ids_crc32 long"
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.s8b").load(folder)
