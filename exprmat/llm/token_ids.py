@@ -295,8 +295,6 @@ def write_token_ids(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", tex
         if doc_ids:
             k = TaskContext.get().partitionId()
             put_file(f"{uri}/shard-{k:08d}.s8b", pack_shard(doc_ids, np.concatenate(sizes), np.concatenate(ids)))
-            del sizes, ids
-            release_memory()
             yield pa.RecordBatch.from_pydict({"shard": [k], "docs": [len(doc_ids)]})
 
     ranged.mapInArrow(write, "shard long, docs long").agg(F.sum("docs")).collect()
@@ -320,7 +318,7 @@ def read_token_ids(spark, folder: str) -> DataFrame:
                     pa.array(doc_ids, pa.int64()), pa.array(ends - sizes), pa.array(sizes), pa.array(crc, pa.int64())],
                     names=["shard", "place", "doc_id", "within", "n_tokens", "ids_crc32"])
                 del data, ids, raw
-        release_memory()
+        release_memory()  # here, after the encoding on the same workers: between its tasks the memory is taken up again
 
     schema = "shard long, place long, doc_id long, within long, n_tokens long, ids_crc32 long"
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.s8b").load(folder)
